@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, secrets, urls
+from . import bpe, exact_dedup, language, mixing, ngram_join, secrets, urls
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan, op5_language_id, op6_url_filter, op7_mix_sources, op8_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_secret_scan, op5_language_id, op6_url_filter, op7_mix_sources, op8_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
