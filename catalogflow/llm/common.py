@@ -81,6 +81,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of_byte, np.cumprod(power), np.cumprod(inverse)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    _, power, inverse = _tables()
+    if n <= len(power):
+        return power[:n], inverse[:n]
+    long = [np.full(n, x[1], np.uint64) for x in (power, inverse)]
+    for x in long:
+        x[0] = 1
+    return np.cumprod(long[0]), np.cumprod(long[1])
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (splitmix64's finaliser)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -101,7 +112,7 @@ def gram_hashes(words: list[bytes], k: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     k = min(k, len(words))
-    of_byte, power, inverse = _tables()
+    of_byte = _tables()[0]
     out, lengths = [], np.fromiter(map(len, words), np.int64, len(words)) + 1
     at = np.append(0, np.cumsum(lengths))
     first = 0
@@ -110,13 +121,10 @@ def gram_hashes(words: list[bytes], k: int) -> np.ndarray:
         joined = np.frombuffer(b" ".join(words[first:last]), np.uint8)
         starts = at[first:last] - at[first]
         ends = at[first + 1 : last + 1] - at[first] - 1
-        if len(joined) >= len(power):  # one run of k words longer than a chunk
-            digest = [int.from_bytes(__import__("hashlib").blake2b(b" ".join(words[i : i + k]), digest_size=8).digest(), "little") for i in range(first, last - k + 1)]
-            out.append(np.array(digest, np.uint64))
-        else:
-            sums = np.zeros(len(joined) + 1, np.uint64)
-            np.cumsum(of_byte[joined] * power[: len(joined)], out=sums[1:])
-            s, e = starts[: len(starts) - k + 1], ends[k - 1 :]
-            out.append(mixed((sums[e] - sums[s]) * inverse[s]))
+        power, inverse = powers(len(joined) + 1)
+        sums = np.zeros(len(joined) + 1, np.uint64)
+        np.cumsum(of_byte[joined] * power[:-1], out=sums[1:])
+        s, e = starts[: len(starts) - k + 1], ends[k - 1 :]
+        out.append(mixed((sums[e] - sums[s]) * inverse[s]))
         first = last - k + 1
     return np.concatenate(out) if out else np.empty(0, np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, ngram_join, secrets, substring_dedup, topk, urls
+from . import bpe, exact_dedup, language, mixing, ngram_join, secrets, substring_dedup, topk, toxicity, urls
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -53,7 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_topk_search, op4_secret_scan, op5_language_id, op6_url_filter, op7_mix_sources, op8_bpe, op9_exact_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_topk_search, op4_secret_scan, op5_language_id, op6_url_filter, op7_mix_sources, op8_bpe, op9_exact_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,7 @@ logit is then fitted so that 0.5 separates best.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,72 +24,90 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import _tables, held_out, mixed, powers
 
 #: The labelled sample, at most so many documents of each label (chosen by a hash of the id).
 MOST_TOXIC, MOST_OTHER = 2_000, 4_000
 WINDOW, HIDDEN, ATTENTION, INPUTS = 32, 8, 8, 6
 WORD_BITS, GRAM_BITS = 17, 18
 BATCH, STEPS, RATE = 128, 220, 0.01
-KEPT_WORDS = 120_000
+KEPT_WORDS = 150_000
 SEED = 5
 
 
-def core(word: str) -> bytes:
-    """The letters of a word in lower case."""
-    return "".join(filter(str.isalpha, word.lower())).encode()
+_OTHER = re.compile(r"[^\w\n]|[\d_]")
 
 
-def word_bucket(letters: bytes) -> int:
-    return zlib.crc32(letters) & ((1 << WORD_BITS) - 1)
+def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word its bucket and whether it has a letter; for its character 4- and 5-grams and the
+    fenced word as a whole, by word: owners (ascending) and buckets.
 
-
-def gram_buckets(letters: bytes) -> list[int]:
-    fenced, mask = b"^" + letters + b"$", (1 << GRAM_BITS) - 1
-    return [zlib.crc32(fenced[i : i + k]) & mask for k in (4, 5) for i in range(max(1, len(fenced) - k + 1))]
+    Only letters count, in lower case. All words go through as one array of bytes.
+    """
+    letters = _OTHER.sub("", "\n".join(words).lower()).split("\n")
+    data = np.frombuffer("\n".join(f"^{w}$" for w in letters).encode("utf-8", "surrogatepass"), np.uint8)
+    if len(data) > 1_000_000 and len(words) > 1:
+        half = len(words) // 2
+        (w1, l1, o1, g1), (w2, l2, o2, g2) = hashed(words[:half]), hashed(words[half:])
+        return np.concatenate([w1, w2]), np.concatenate([l1, l2]), np.concatenate([o1, o2 + half]), np.concatenate([g1, g2])
+    of_byte, (power, inverse) = _tables()[0], powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(of_byte[data] * power[:-1], out=sums[1:])
+    breaks = data == 10
+    owner = np.append(0, np.cumsum(breaks))
+    ends = np.append(np.flatnonzero(breaks), len(data))
+    starts = np.append(0, ends[:-1] + 1)
+    whole = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    owners, buckets = [np.arange(len(words))], [whole >> np.uint64(64 - GRAM_BITS)]
+    for k in (4, 5):
+        at = np.flatnonzero((owner[:-k] == owner[k:]) & ~breaks[: len(data) + 1 - k]) if len(data) >= k else np.empty(0, np.int64)
+        owners.append(owner[at])
+        buckets.append(mixed((sums[at + k] - sums[at]) * inverse[at]) >> np.uint64(64 - GRAM_BITS))
+    owners, buckets = np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
+    order = np.argsort(owners, kind="stable")
+    return (mixed(whole) >> np.uint64(64 - WORD_BITS)).astype(np.int64), ends - starts > 2, owners[order], buckets[order]
 
 
 @dataclass
 class Evidence:
     """Log odds and z scores of word and gram buckets."""
 
-    word_odds: list[float]
-    word_z: list[float]
-    gram_odds: list[float]
-    gram_z: list[float]
+    word_odds: np.ndarray
+    word_z: np.ndarray
+    gram_odds: np.ndarray
+    gram_z: np.ndarray
 
     @classmethod
     def counted(cls, texts: list[str], toxic: np.ndarray) -> Evidence:
         words, grams = np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << GRAM_BITS))
-        known: dict[str, tuple[int, list[int]]] = {}
-        for text, label in zip(texts, toxic.astype(int).tolist(), strict=True):
-            own_words, own_grams = set(), set()
-            for w in set(text.split()):
-                if (found := known.get(w)) is None:
-                    letters = core(w)
-                    found = known[w] = (word_bucket(letters), gram_buckets(letters))
-                own_words.add(found[0])
-                own_grams.update(found[1])
-            words[label, list(own_words)] += 1
-            grams[label, list(own_grams)] += 1
+        split = [set(t.split()) for t in texts]
+        number = {w: i for i, w in enumerate(set().union(*split))}
+        bucket, _, owners, buckets = hashed(list(number))
+        first = np.searchsorted(owners, np.arange(len(number) + 1)).tolist()
+        for own, label in zip(split, toxic.astype(int).tolist(), strict=True):
+            if own:
+                at = [number[w] for w in own]
+                words[label, np.unique(bucket[at])] += 1
+                grams[label, np.unique(np.concatenate([buckets[first[i] : first[i + 1]] for i in at]))] += 1
         sizes = np.array([[max(1, (toxic == 0).sum())], [max(1, (toxic == 1).sum())]])
 
-        def judged(counts: np.ndarray) -> tuple[list[float], list[float]]:
+        def judged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             odds = np.log((counts[1] + 0.5) / (sizes[1] + 1)) - np.log((counts[0] + 0.5) / (sizes[0] + 1))
             odds[counts.sum(axis=0) == 0] = 0
-            return odds.tolist(), (odds / np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))).tolist()
+            return odds.astype(np.float32), (odds / np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))).astype(np.float32)
 
         return cls(*judged(words), *judged(grams))
 
-    def inputs(self, word: str) -> tuple[float, ...]:
-        letters = core(word)
-        if not letters:
-            return (0.0,) * INPUTS
-        w, z = word_bucket(letters), self.gram_z
-        grams = gram_buckets(letters)
-        most = max(grams, key=z.__getitem__)
-        mean = sum(map(z.__getitem__, grams)) / len(grams)
-        return self.word_odds[w] / 3, self.word_z[w] / 2, self.gram_odds[most] / 3, z[most] / 2, mean / 2, 1.0
+    def inputs(self, words: list[str]) -> np.ndarray:
+        """A row of INPUTS numbers per word; a word without letters is a blank."""
+        bucket, lettered, owners, buckets = hashed(words)
+        first = np.searchsorted(owners, np.arange(len(words)))
+        z = self.gram_z[buckets]
+        top = np.maximum.reduceat(z, first)
+        mean = np.add.reduceat(z, first) / np.diff(np.append(first, len(z)))
+        best = np.minimum.reduceat(np.where(z == top[owners], np.arange(len(z)), len(z)), first)
+        rows = np.stack([self.word_odds[bucket] / 3, self.word_z[bucket] / 2, self.gram_odds[buckets[best]] / 3, top / 2, mean / 2, np.ones(len(words))], axis=1)
+        return np.where(lettered[:, None], rows, 0).astype(np.float32)
 
 
 class Words(dict):
@@ -96,23 +115,27 @@ class Words(dict):
 
     def __init__(self, evidence: Evidence) -> None:
         self.evidence = evidence
-        self.rows = np.zeros((KEPT_WORDS + 200_000, INPUTS), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        n = len(self) + 1
-        if n >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = self.evidence.inputs(word)
-        self[word] = n
-        return n
-
-    def windows(self, text: str) -> np.ndarray:
-        """Word numbers of the overlapping windows of a text; the last one ends with the text."""
-        numbers = np.array([self[w] for w in text.split()], np.int32)
-        if len(numbers) < WINDOW:
-            numbers = np.concatenate([np.zeros(WINDOW - len(numbers), np.int32), numbers])
-        starts = np.append(np.arange(0, len(numbers) - WINDOW, WINDOW // 2), len(numbers) - WINDOW)
-        return np.lib.stride_tricks.sliding_window_view(numbers, WINDOW)[starts]
+        self.rows = np.zeros((1, INPUTS), np.float32)
+
+    def windows(self, texts: list[str]) -> list[np.ndarray]:
+        """Word numbers of the overlapping windows of each text; its last one ends with it."""
+        split = [t.split() for t in texts]
+        if len(self) > KEPT_WORDS:
+            self.clear()
+            self.rows = self.rows[:1]
+        new = list(set().union(*split).difference(self))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            self.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
+            self.rows = np.concatenate([self.rows, self.evidence.inputs(part)])
+        out = []
+        for own in split:
+            numbers = np.array([self[w] for w in own], np.int32)
+            if len(numbers) < WINDOW:
+                numbers = np.concatenate([np.zeros(WINDOW - len(numbers), np.int32), numbers])
+            starts = np.append(np.arange(0, len(numbers) - WINDOW, WINDOW // 2), len(numbers) - WINDOW)
+            out.append(np.lib.stride_tricks.sliding_window_view(numbers, WINDOW)[starts])
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -216,17 +239,14 @@ class Model:
         out = np.zeros(len(texts))
         at = 0
         while at < len(texts):
-            parts, to, size = [], at, 0
-            while to < len(texts) and size < 8192:
-                parts.append(words.windows(texts[to] or ""))
-                size += len(parts[-1])
+            to, size = at, 0
+            while to < len(texts) and size < 1_000_000:
+                size += len(texts[to] or "") + 200
                 to += 1
-            logits = self.network.logits(self.network.projected(words.rows[: len(words) + 1]), np.concatenate(parts))
-            firsts = np.append(0, np.cumsum([len(p) for p in parts]))[:-1]
-            out[at:to] = np.maximum.reduceat(logits, firsts)
+            parts = words.windows([t or "" for t in texts[at:to]])
+            logits = self.network.logits(self.network.projected(words.rows), np.concatenate(parts))
+            out[at:to] = np.maximum.reduceat(logits, np.append(0, np.cumsum([len(p) for p in parts]))[:-1])
             at = to
-            if len(words) > KEPT_WORDS:
-                words.clear()
         return _sigmoid(out - self.shift)
 
 
@@ -242,10 +262,10 @@ def trained(texts: list[str], toxic: np.ndarray, part: np.ndarray, seed: int = S
     pick = lambda which: [t for t, x in zip(texts, which, strict=True) if x]
     evidence = Evidence.counted(pick(~part), toxic[~part])
     words, rng, net = Words(evidence), np.random.default_rng(seed), Network(seed)
-    views, labels = [words.windows(t) for t in pick(part)], toxic[part].astype(np.float32)
+    views, labels = words.windows(pick(part)), toxic[part].astype(np.float32)
     if len(set(labels.tolist())) < 2:
         return Model(None, None, float(np.clip(toxic.mean(), 0.01, 0.49)))
-    rows = words.rows[: len(words) + 1]
+    rows = words.rows
     telling = rows[:, 1] + rows[:, 3]
 
     def sample(score) -> tuple[np.ndarray, np.ndarray]:
