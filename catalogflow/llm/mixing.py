@@ -37,9 +37,8 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), ma
     before, everything = by_room.rowsBetween(Window.unboundedPreceding, -1), by_room.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     open_weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    step = ranked.withColumn("share", left / open_weight).withColumn("free", F.col("cap") >= F.col("share") * F.col("w"))
-    level = F.min(F.when(F.col("free"), F.col("share"))).over(everything)
-    return step.withColumn("target", F.round(F.least(F.col("cap").cast("double"), level * F.col("w")), 6)).select("source", "source_size", "target")
+    level = F.max("share").over(everything)
+    return ranked.withColumn("share", left / open_weight).withColumn("target", F.round(F.least(F.col("cap").cast("double"), level * F.col("w")), 6)).select("source", "source_size", "target")
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_rate: int = 3, seed: str = SEED) -> DataFrame:
@@ -79,7 +78,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w, source_size * 3 AS cap FROM s),
 c AS (SELECT *, ((sum(source_size) OVER ()) - coalesce(sum(cap) OVER b, 0))::DOUBLE / ((sum(w) OVER ()) - coalesce(sum(w) OVER b, 0))::DOUBLE AS share
       FROM r WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min(share) AS level FROM c WHERE cap >= share * w),
+l AS (SELECT max(share) AS level FROM c),
 t AS (SELECT source, source_size, round(least(cap::DOUBLE, level * w), 6) AS target FROM c, l),
 x AS (SELECT d.doc_id, size, source_size, target,
              CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate,
