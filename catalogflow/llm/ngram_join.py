@@ -4,9 +4,12 @@ Two documents link when their sets of k-word shingles have a Jaccard similarity
 percent / 100. What comes out is each document's class: the components of the links.
 
 1. Documents of equal sets are one class (equal sets, similarity 1); classes stand for them.
-2. Every class posts the first n - T + 1 of its shingles, T = ceil(n * percent / 100), in one global
-   order: rare shingles by hash, then frequent ones by hash. Two linked classes share a posted
-   shingle, so each shingle's list holds the candidates. Lists of frequent shingles are salted.
+2. Every class posts the first n - T + l of its shingles, T = ceil(n * percent / 100), l = n // 10 and
+   at least 1, in one global order: rare shingles by hash, then frequent ones by hash. Two linked
+   classes share the first l' posted shingles that they have in common, l' the smaller l of the two;
+   as a partner of n has at least T shingles, a class needs T // 10 (at least 1) lists in which a class
+   of a size near its own stands too. Classes with fewer have no link and leave the lists. Lists of
+   frequent shingles are salted and count without a look at the others.
 3. The classes of a list gather round one of them, its centre: that with the largest share of
    frequent shingles, which in a family of near copies is the one that the others derive from.
 4. At each centre, in blocks of bounded size, the T-occurrence search with the centre as query finds
@@ -58,6 +61,11 @@ def set_key(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def extra(n: int) -> int:
+    """How many posted shingles two linked sets of at least n share."""
+    return max(1, n // 10)
+
+
 def needed(n: int, percent: int = PERCENT) -> int:
     """Overlap that any partner of a set of n must reach."""
     return -(-n * percent // 100)
@@ -172,7 +180,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
-    """(shingle, key, heavy, share) for the posted shingles of each set met in a task."""
+    """(shingle, key, heavy, share, n) for the posted shingles of each set met in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -184,15 +192,29 @@ def _postings(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataF
                     continue
                 seen.add(key)
                 heavy = among(s, often)
-                posted = len(s) - needed(len(s), percent) + 1
+                posted = len(s) - needed(len(s), percent) + extra(len(s))
                 first = np.concatenate([s[~heavy], s[heavy]])[:posted]
                 light = min(posted, int((~heavy).sum()))
-                parts.append((first, np.full(posted, key, np.int64), np.arange(posted) >= light, np.full(posted, 1000 * int(heavy.sum()) // len(s), np.int32)))
+                parts.append((first, np.full(posted, key, np.int64), np.arange(posted) >= light, np.full(posted, 1000 * int(heavy.sum()) // len(s), np.int32), np.full(posted, len(s), np.int32)))
             if parts:
-                a, b, c, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b), pa.array(c), pa.array(d)], ["shingle", "key", "heavy", "share"])
+                a, b, c, d, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b), pa.array(c), pa.array(d), pa.array(e)], ["shingle", "key", "heavy", "share", "n"])
+
+    return docs.mapInArrow(run, "shingle long, key long, heavy boolean, share int, n int")
+
+
+def _near_in_size(lists: DataFrame, percent: int) -> DataFrame:
+    """The postings beside which another of the list has a size that a link allows."""
+    by_size = Window.partitionBy("shingle", "salt").orderBy("n")
+    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (percent * F.lead("n").over(by_size) <= 100 * F.col("n"))
+    return lists.withColumn("near", F.coalesce(near, F.lit(False))).filter("heavy OR near").drop("near")
+
 
-    return docs.mapInArrow(run, "shingle long, key long, heavy boolean, share int")
+def _supported(lists: DataFrame, percent: int) -> DataFrame:
+    """The postings of classes that stand in as many lists as a link asks for."""
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
+    enough = lists.groupBy("key", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least).select("key")
+    return lists.join(enough, "key", "left_semi")
 
 
 def _sets(docs: DataFrame, needs: DataFrame, k: int) -> DataFrame:
@@ -306,9 +328,10 @@ def jaccard_classes(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> D
     classes = cut(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n")), "classes")
 
     posted = _postings(own.filter("doc_id IS NOT NULL"), k, percent, often).withColumn("salt", F.when(F.col("heavy"), F.pmod("key", F.lit(LIST_SALTS))).otherwise(0).cast("int"))
-    once = posted.repartition("shingle", "salt").groupBy("shingle", "salt", "heavy", "key").agg(F.max("share").alias("share"))
-    many = F.count("*").over(Window.partitionBy("shingle", "salt"))
-    lists = cut(once.withColumn("m", many).filter("heavy OR m > 1").drop("m"), "lists")
+    once = posted.repartition("shingle", "salt").groupBy("shingle", "salt", "heavy", "key", "n").agg(F.max("share").alias("share"))
+    lists = cut(_near_in_size(once, percent), "lists")
+    lists = cut(_near_in_size(_supported(lists, percent), percent), "lists")
+    lists = _supported(lists, percent).drop("n")
     best = lists.groupBy("shingle", "salt").agg(F.max(F.struct("share", "key")).alias("best"))
     centres = best.groupBy("shingle").agg(F.max("best").alias("best")).select("shingle", F.col("best.key").alias("centre"))
     dealt = best.select("shingle", "salt").join(centres, "shingle")
