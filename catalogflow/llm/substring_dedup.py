@@ -36,12 +36,16 @@ from .heavy import BlockCounter, among, frequent
 
 WINDOW, ANCHOR = 50, 20
 #: Words of passages that a shard should hold, about; rows up to which a table is broadcast.
-SHARD_WORDS, BROADCAST_ROWS = 300_000, 100_000
+SHARD_WORDS, BROADCAST_ROWS = 1_500_000, 100_000
 #: Windows that a passage has at most (a run that repeats itself can keep one anchor for long).
 MOST_WINDOWS = 64
 _TOP = np.uint64(1 << 63)
 
 
+#: For each place in a packed word the bits before it.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """Counts of a symbol before a position, over packed bits: log2(symbols) + some 50 % bits each."""
 
@@ -60,8 +64,8 @@ class WaveletMatrix:
         at = position
         for level, (packed, before, zeros) in enumerate(self.levels):
             word = at >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            at = np.where((symbol >> (self.bits - 1 - level)) & 1, zeros + ones, at - ones)
+            ones = before[word] + np.bitwise_count(packed[word] & _BELOW[at & 63])
+            at = np.where(symbol & (1 << (self.bits - 1 - level)), zeros + ones, at - ones)
         return at
 
 
@@ -79,11 +83,14 @@ class PassageIndex:
         starts = np.append(0, np.cumsum(np.bincount(text, minlength=self.symbols)))[: self.symbols]
         # a symbol's rows less where its path starts on the wavelet's last level
         self.shift = starts - self.wavelet.count(np.arange(self.symbols), np.zeros(self.symbols, np.int64))
-        self.least = [documents[owner[order]] if passages else np.zeros(1, np.int64)]
-        while (half := 1 << (len(self.least) - 1)) * 2 <= len(text):
-            last = self.least[-1]
-            self.least.append(np.minimum(last[:-half], last[half:]))
-        self.size = len(text)
+        # the smallest document of every run of 1, 2, 4, ... suffixes, by rank among documents
+        self.documents, ranks = np.unique(documents, return_inverse=True) if passages else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+        levels = [ranks.astype(np.int32)[owner[order]] if passages else np.zeros(1, np.int32)]
+        while (half := 1 << (len(levels) - 1)) * 2 <= len(text):
+            last = levels[-1].copy()
+            np.minimum(last[:-half], last[half:], out=last[:-half])
+            levels.append(last)
+        self.least, self.size = np.concatenate(levels), len(text)
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
@@ -104,17 +111,17 @@ class PassageIndex:
 
     def extended(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of matches made longer by a symbol on the left."""
-        return self.shift[symbol] + self.wavelet.count(symbol, low), self.shift[symbol] + self.wavelet.count(symbol, high)
+        both = np.concatenate([symbol, symbol])
+        found = self.shift[both] + self.wavelet.count(both, np.concatenate([low, high]))
+        return found[: len(low)], found[len(low) :]
 
     def smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The smallest document in each interval; the largest number where it is empty."""
-        out = np.full(len(low), np.iinfo(np.int64).max)
         width = high - low
-        level = np.frexp(np.maximum(width, 1).astype(np.float64))[1] - 1
-        for k in np.unique(level[width > 0]):
-            it = (level == k) & (width > 0)
-            out[it] = np.minimum(self.least[k][low[it]], self.least[k][high[it] - (1 << int(k))])
-        return out
+        level = np.frexp(np.maximum(width, 1).astype(np.float64))[1].astype(np.int64) - 1
+        row = level * self.size
+        least = np.minimum(self.least[row + np.minimum(low, self.size - 1)], self.least[row + np.maximum(high - (1 << level), 0)])
+        return np.where(width > 0, self.documents[least], np.iinfo(np.int64).max)
 
 
 def repeated_in_smaller(passages: list[np.ndarray], documents: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
