@@ -1 +1 @@
-
+"""Column expressions: geodesy, physics, time and text."""

@@ -1 +1 @@
-
+"""Pipelines and the registered queries over the driver's tables."""
