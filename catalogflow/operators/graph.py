@@ -14,20 +14,22 @@ from .joins import grid_pairs
 def connected(edges: DataFrame, nodes: DataFrame, *, a: str, b: str, id: str) -> DataFrame:
     """``nodes`` (id) with ``family``: the smallest id that edges reach.
 
-    Labels pass to neighbours and then to their labels' labels, so rounds go with the logarithm of the
-    longest chain; lineage is cut at a reliable checkpoint each round.
+    Each round every label that has a smaller neighbour label hooks to the smallest one, chains of hooks
+    are shortened, and edges within one label go. As at least half of the labels with open edges hook,
+    rounds go with the logarithm of their number. Lineage is cut at reliable checkpoints.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
     labels = nodes.select(F.col(id).alias("u")).distinct().withColumn("label", F.col("u")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("offer")), "v").groupBy("u").agg(F.min("offer").alias("offer"))
-        hooked = labels.join(near, "u", "left").select("u", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label")).checkpoint()
-        jump = hooked.select(F.col("u").alias("label"), F.col("label").alias("far"))
-        after = hooked.join(jump, "label").select("u", "old", F.least("label", "far").alias("label")).checkpoint()
-        done = after.filter("label < old").isEmpty()
-        labels = after.select("u", "label")
-        if done:
-            return labels.select(F.col("u").alias(id), F.col("label").alias("family"))
+    ends = lambda x, y: [F.least(x, y).alias("low"), F.greatest(x, y).alias("high")]
+    open_ = edges.select(*ends(F.col(a), F.col(b))).filter("low < high").distinct().checkpoint()
+    while not open_.isEmpty():
+        hook = open_.groupBy("high").agg(F.min("low").alias("to")).checkpoint()
+        for _ in range(2):
+            far = hook.select(F.col("high").alias("__k"), F.col("to").alias("__far"))
+            hook = hook.join(far, F.col("to") == F.col("__k"), "left").select("high", F.coalesce("__far", "to").alias("to")).checkpoint()
+        low, high = hook.select(F.col("high").alias("low"), F.col("to").alias("__l")), hook.select("high", F.col("to").alias("__h"))
+        open_ = open_.join(low, "low", "left").join(high, "high", "left").select(*ends(F.coalesce("__l", "low"), F.coalesce("__h", "high"))).filter("low < high").distinct().checkpoint()
+        labels = labels.join(hook.withColumnRenamed("high", "label"), "label", "left").select("u", F.coalesce("to", "label").alias("label")).checkpoint()
+    return labels.select(F.col("u").alias(id), F.col("label").alias("family"))
 
 
 def depths(forest: DataFrame, *, id: str, parent: str) -> DataFrame:

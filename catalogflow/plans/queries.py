@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from . import queries_joins, queries_stats  # noqa: F401
+from . import queries_joins, queries_more, queries_stats  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -72,9 +72,10 @@ def a11(s, d):
     return readings(s, d).groupBy(F.year("ts").alias("year")).agg(F.round(F.percentile("ml", 0.5), 6).alias("ml"), F.round(F.percentile("snr", 0.5), 6).alias("snr"), F.count("*").alias("n"))
 
 
-@query("a12_two_anchors", with_("readings", "SELECT event_idx, round(quantile_cont(ml, 0.5), 6) AS ml FROM readings WHERE unit % 4 = 0 GROUP BY 1 HAVING count(DISTINCT unit) >= 2"))
+@query("a12_two_anchors", with_("readings", "SELECT event_idx, round(quantile_cont(ml, 0.5), 6) AS ml FROM readings JOIN supplier ON s_suppkey = unit AND s_acctbal > 5000 GROUP BY 1 HAVING count(DISTINCT unit) >= 2"))
 def a12(s, d):
-    return readings(s, d).filter("unit % 4 = 0").groupBy("event_idx").agg(F.round(F.percentile("ml", 0.5), 6).alias("ml"), F.count_distinct("unit").alias("u")).filter("u >= 2").drop("u")
+    anchors = table(s, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("unit"))
+    return readings(s, d).join(anchors, "unit", "left_semi").groupBy("event_idx").agg(F.round(F.percentile("ml", 0.5), 6).alias("ml"), F.count_distinct("unit").alias("u")).filter("u >= 2").drop("u")
 
 
 @query("a13_binned", with_("readings", "SELECT ceil(dist / 20.0)::BIGINT AS bin, round(quantile_cont(ml, 0.5), 6) AS med, round(stddev_samp(ml), 6) AS std, count(*) AS n FROM readings WHERE dist > 0 GROUP BY 1"))
@@ -511,10 +512,10 @@ def k07(s, d):
     return records.subset_blocks(lines, table(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")))
 
 
-@query("k08_renumber", "SELECT s_suppkey AS id, 'row ' || lpad((s_suppkey + 7)::VARCHAR, 6, ' ') || ' end' AS value FROM supplier WHERE s_suppkey % 2 = 0")
+@query("k08_renumber", "SELECT s_suppkey AS id, 'row ' || lpad((s_suppkey + 7)::VARCHAR, 6, ' ') || ' end' AS value FROM supplier WHERE s_acctbal > 0")
 def k08(s, d):
     lines = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("row "), F.lpad(F.col("s_suppkey").cast("string"), 6, " "), F.lit(" end")).alias("value"))
-    ids = table(s, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") + 7).alias("new_id"))
+    ids = table(s, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") + 7).alias("new_id"))
     return records.renumber_blocks(lines, ids, at=5, width=6).select("id", "value")
 
 
@@ -546,10 +547,10 @@ def s13(s, d):
     return b.groupBy("path", "block").agg(F.max(F.when(F.col("value").startswith("H "), F.substring("value", 3, 20).cast("long"))).alias("id"), F.count(x).alias("n_phases"), F.max(x).alias("top"), F.round(F.sqrt(F.avg(x * x)), 6).alias("rms")).select("id", "n_phases", "top", "rms")
 
 
-@query("s15_split_columns", "SELECT s_suppkey::DOUBLE AS a, s_acctbal AS b, s_nationkey::DOUBLE AS c FROM supplier WHERE s_suppkey % 3 <> 0")
+@query("s15_split_columns", "SELECT s_suppkey::DOUBLE AS a, s_acctbal AS b, s_nationkey::DOUBLE AS c FROM supplier WHERE s_acctbal > 0")
 def s15(s, d):
     x = table(s, d, "supplier")
-    lines = x.select(F.when(F.col("s_suppkey") % 3 != 0, F.format_string("  %d   %.2f %d ", "s_suppkey", "s_acctbal", "s_nationkey")).otherwise(F.col("s_suppkey").cast("string")).alias("value"))
+    lines = x.select(F.when(F.col("s_acctbal") > 0, F.format_string("  %d   %.2f %d ", "s_suppkey", "s_acctbal", "s_nationkey")).otherwise(F.col("s_suppkey").cast("string")).alias("value"))
     return records.read_columns(lines, ["a", "b", "c"])
 
 

@@ -23,7 +23,7 @@ RELATIONS = {
     "catalog": "SELECT o_orderkey AS idx, o_orderdate AS ts, epoch_us(o_orderdate) AS us, log10(o_totalprice) AS mag, o_orderpriority AS zone, o_orderstatus AS state, 128 + (o_orderkey % 997) / 997.0::DOUBLE AS lon, 35 + (o_orderkey * 7 % 991) / 991.0::DOUBLE AS lat, (o_orderkey * 13 % 211) / 10.0::DOUBLE AS dep FROM orders",
     "located": "SELECT o_orderkey AS idx, (o_orderkey % 113) / 10.0::DOUBLE AS erh, (o_orderkey % 97) / 10.0::DOUBLE AS erz, (o_orderkey * 17 % 3600) / 10.0::DOUBLE AS gap, o_orderkey % 20 AS num, CASE WHEN o_orderkey % 41 <> 0 THEN (o_orderkey % 31) / 20.0::DOUBLE END AS rms FROM orders",
     "stations": "SELECT s_suppkey AS id, 'S' || s_suppkey AS sta, s_nationkey AS net, 35 + (s_suppkey * 37 % 100) / 100.0::DOUBLE AS lat, 128 + (s_suppkey * 53 % 100) / 100.0::DOUBLE AS lon, (s_suppkey * 7 % 500)::DOUBLE AS elev, s_acctbal AS bal FROM supplier",
-    "epochs": "SELECT user_id, 'U' || user_id AS base, 'U' || user_id || 'abc'[k + 1] AS value, epoch_us(TIMESTAMP '2024-01-01') + (user_id % 5 + k * 10) * 86400000000 AS t0, epoch_us(TIMESTAMP '2024-01-01') + (user_id % 5 + (k + 1) * 10) * 86400000000 AS t1 FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 3 <> 0), range(2) r(k)",
+    "epochs": "SELECT user_id, 'U' || user_id AS base, 'U' || user_id || 'abc'[k + 1] AS value, epoch_us(TIMESTAMP '2024-01-01') + (user_id % 5 + k * 10) * 86400000000 AS t0, epoch_us(TIMESTAMP '2024-01-01') + (user_id % 5 + (k + 1) * 10) * 86400000000 AS t1 FROM (SELECT DISTINCT user_id FROM events WHERE value > 150), range(2) r(k)",
 }
 
 
@@ -82,7 +82,7 @@ def stations(spark, d) -> DataFrame:
 
 
 def epochs(spark, d) -> DataFrame:
-    u = table(spark, d, "events").filter("user_id % 3 <> 0").select("user_id").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    u = table(spark, d, "events").filter("value > 150").select("user_id").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     start, day = F.lit(1704067200000000), F.lit(tm.DAY_US)
     base = F.concat(F.lit("U"), F.col("user_id").cast("string"))
     return u.select("user_id", base.alias("base"), F.concat(base, F.char(F.col("k") + 97)).alias("value"), (start + (F.col("user_id") % 5 + F.col("k") * 10) * day).alias("t0"), (start + (F.col("user_id") % 5 + (F.col("k") + 1) * 10) * day).alias("t1"))
