@@ -17,7 +17,7 @@ percent / 100. What comes out is each document's class: the components of the li
    and so in one component, or one of them is a stray; each stray is a query of its own against
    all that gathered there, in every block. So no link between components is lost, and a family of
    m near copies costs m comparisons and not m * m.
-5. Components of the links found, by label passing.
+5. Components of the links found, by hooking labels to smaller neighbours.
 
 The search of a query among gathered sets: of the inverted lists of the query's shingles the L
 longest are set aside; the short ones are merged (by a heap; by sorting when they are many) and
@@ -295,21 +295,23 @@ def _searched(sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(v, label): for each end of ``links`` (a, b) the smallest end that it reaches.
 
-    Each round takes the least label of the neighbours and then the label of that label, and is
-    written out; rounds go with the logarithm of the longest chain.
+    Each round every label that has a smaller neighbour label hooks to the smallest one, chains of hooks
+    are shortened, and links within one label go; at least half of the labels with open links hook, so
+    rounds go with the logarithm of their number. Each step is written out.
     """
-    edges = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = cut(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("label")), "labels")
-    while True:
-        offered = edges.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("offer"))
-        hooked = labels.join(offered, F.col("v") == F.col("a")).select("v", "label", F.least("label", "offer").alias("next"))
-        hooked = cut(hooked, "hooked")
-        over = hooked.select(F.col("v").alias("w"), F.col("next").alias("far"))
-        after = cut(hooked.join(over, F.col("next") == F.col("w")).select("v", "label", F.least("next", "far").alias("next")), "labels")
-        done = after.filter(F.col("next") < F.col("label")).isEmpty()
-        labels = after.select("v", F.col("next").alias("label"))
-        if done:
-            return labels
+    ends = lambda x, y: [F.least(x, y).alias("low"), F.greatest(x, y).alias("high")]
+    open_ = cut(links.select(*ends(F.col("a"), F.col("b"))).filter("low < high").distinct(), "open")
+    labels = cut(open_.select(F.col("low").alias("v")).union(open_.select("high")).distinct().withColumn("label", F.col("v")), "labels")
+    while not open_.isEmpty():
+        hook = cut(open_.groupBy("high").agg(F.min("low").alias("to")), "hook")
+        for _ in range(2):
+            far = hook.select(F.col("high").alias("__k"), F.col("to").alias("__far"))
+            hook = cut(hook.join(far, F.col("to") == F.col("__k"), "left").select("high", F.coalesce("__far", "to").alias("to")), "hook")
+        low, high = hook.select(F.col("high").alias("low"), F.col("to").alias("__l")), hook.select("high", F.col("to").alias("__h"))
+        moved = open_.join(low, "low", "left").join(high, "high", "left").select(*ends(F.coalesce("__l", "low"), F.coalesce("__h", "high")))
+        open_ = cut(moved.filter("low < high").distinct(), "open")
+        labels = cut(labels.join(hook.withColumnRenamed("high", "label"), "label", "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
+    return labels
 
 
 def jaccard_classes(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFrame:
