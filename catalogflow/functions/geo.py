@@ -9,8 +9,8 @@ EARTH_KM = 6371.0
 
 #: Layer tops (km) with P and S speeds (km/s).
 MODELS = {
-    "kim1983": [(0.0, 5.98, 3.40), (15.0, 6.38, 3.79), (32.0, 7.95, 4.58)],
-    "kim2011": [(0.0, 5.63, 3.40), (7.29, 6.17, 3.60), (20.70, 6.58, 3.70), (31.30, 7.77, 4.45)],
+    "three_layer": [(0.0, 5.98, 3.40), (15.0, 6.38, 3.79), (32.0, 7.95, 4.58)],
+    "four_layer": [(0.0, 5.63, 3.40), (7.29, 6.17, 3.60), (20.70, 6.58, 3.70), (31.30, 7.77, 4.45)],
 }
 
 
@@ -35,7 +35,7 @@ def azimuth_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.pmod(F.degrees(F.atan2(east, lat2 - lat1)) + 360, F.lit(360.0))
 
 
-def layer_speed(depth: Column, phase: Column, model: str = "kim1983") -> Column:
+def layer_speed(depth: Column, phase: Column, model: str = "three_layer") -> Column:
     """Speed at a depth; a depth on an interface has the lower layer's."""
     out = F.lit(None).cast("double")
     for top, p, s in MODELS[model]:
@@ -44,12 +44,12 @@ def layer_speed(depth: Column, phase: Column, model: str = "kim1983") -> Column:
     return out
 
 
-def slant_seconds(epicentral_km: Column, depth: Column, phase: Column, model: str = "kim1983") -> Column:
+def slant_seconds(epicentral_km: Column, depth: Column, phase: Column, model: str = "three_layer") -> Column:
     """Straight ray at the source layer's speed."""
     return F.hypot(epicentral_km, depth) / layer_speed(depth, phase, model)
 
 
-def first_arrival_seconds(epicentral_km: Column, phase_index: int, model: str = "kim2011", depth: float = 0.0) -> Column:
+def first_arrival_seconds(epicentral_km: Column, phase_index: int, model: str = "four_layer", depth: float = 0.0) -> Column:
     """First of the direct wave and the head waves under each layer, for a source in the top layer at a
     fixed depth (flat layers)."""
     layers = MODELS[model]
@@ -68,9 +68,9 @@ def first_arrival_seconds(epicentral_km: Column, phase_index: int, model: str =
     return F.least(*waves)
 
 
-def local_magnitude(amplitude_mm: Column, hypocentral_km: Column, law: str = "heo") -> Column:
+def local_magnitude(amplitude_mm: Column, hypocentral_km: Column, law: str = "regional") -> Column:
     """log10 of the amplitude plus the distance correction; fixed coefficients of the two laws."""
-    if law == "heo":
+    if law == "regional":
         correction = 1.450676 * F.log10(hypocentral_km / 17) - 0.000661 * (hypocentral_km - 17) + 2.0
     else:
         correction = 0.5107 * F.log10(hypocentral_km / 100) + 0.001699 * (hypocentral_km - 100) + 3.0

@@ -21,7 +21,7 @@ def with_stations(events: DataFrame, stations: DataFrame) -> DataFrame:
     return events.join(F.broadcast(stations)).withColumn("km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
 
 
-def candidates(events: DataFrame, assigned: DataFrame, stations: DataFrame, picks: DataFrame, *, least: float = 0.3, radius: float = 100.0, tolerance: float = 1.0, before: int = 5_000_000, after: int = 120_000_000, model: str = "kim1983", stretch: float = 1.0) -> DataFrame:
+def candidates(events: DataFrame, assigned: DataFrame, stations: DataFrame, picks: DataFrame, *, least: float = 0.3, radius: float = 100.0, tolerance: float = 1.0, before: int = 5_000_000, after: int = 120_000_000, model: str = "three_layer", stretch: float = 1.0) -> DataFrame:
     """Picks that fit an event's predicted arrival within ``tolerance`` seconds and are not yet its.
 
     events: idx, us, lat, lon, dep; assigned: idx, station, phase; stations: station, slat, slon; picks:

@@ -589,15 +589,15 @@ def x03(s, d):
     return table(s, d, "events").select("event_id", tm.event_id(t).alias("key"), tm.day_of_year_text(t).alias("doy"), r6(tm.year_by_days(t), "y1"), r6(tm.decimal_year(t), "y2"), F.date_format(tm.korean(t), "ddHH").alias("kst"), r6(tm.hour_of_day(t), "hour"), tm.is_weekend(t).alias("weekend"))
 
 
-@query("x04_magnitude_laws", "SELECT l_orderkey, l_linenumber, round(log10(l_quantity) + 1.450676 * log10((1 + l_partkey % 120) / 17.0::DOUBLE) - 0.000661 * (1 + l_partkey % 120 - 17) + 2.0, 6) AS heo, round(log10(l_quantity) + 0.5107 * log10((1 + l_partkey % 120) / 100.0::DOUBLE) + 0.001699 * (1 + l_partkey % 120 - 100) + 3.0, 6) AS sheen FROM lineitem")
+@query("x04_magnitude_laws", "SELECT l_orderkey, l_linenumber, round(log10(l_quantity) + 1.450676 * log10((1 + l_partkey % 120) / 17.0::DOUBLE) - 0.000661 * (1 + l_partkey % 120 - 17) + 2.0, 6) AS regional, round(log10(l_quantity) + 0.5107 * log10((1 + l_partkey % 120) / 100.0::DOUBLE) + 0.001699 * (1 + l_partkey % 120 - 100) + 3.0, 6) AS national FROM lineitem")
 def x04(s, d):
     r = 1 + F.col("l_partkey") % 120
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", r6(geo.local_magnitude(F.col("l_quantity"), r), "heo"), r6(geo.local_magnitude(F.col("l_quantity"), r, "sheen"), "sheen"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", r6(geo.local_magnitude(F.col("l_quantity"), r), "regional"), r6(geo.local_magnitude(F.col("l_quantity"), r, "national"), "national"))
 
 
 @query("x05_travel_times", with_("catalog", "SELECT idx, round(sqrt(dep * dep + 400) / (CASE WHEN dep >= 15 THEN 6.38 ELSE 5.98 END), 6) AS p, round(sqrt(dep * dep + 400) / (CASE WHEN dep >= 20.7 THEN 3.7 WHEN dep >= 7.29 THEN 3.6 ELSE 3.4 END), 6) AS s FROM catalog"))
 def x05(s, d):
-    return catalog(s, d).select("idx", r6(geo.slant_seconds(F.lit(20.0), F.col("dep"), F.lit("P")), "p"), r6(geo.slant_seconds(F.lit(20.0), F.col("dep"), F.lit("S"), "kim2011"), "s"))
+    return catalog(s, d).select("idx", r6(geo.slant_seconds(F.lit(20.0), F.col("dep"), F.lit("P")), "p"), r6(geo.slant_seconds(F.lit(20.0), F.col("dep"), F.lit("S"), "four_layer"), "s"))
 
 
 @query("x06_head_waves", with_("readings", "SELECT DISTINCT dist, round(least(dist / 5.63, CASE WHEN dist >= 2 * 7.29 * (5.63 / 6.17) / sqrt(1 - (5.63 / 6.17) ** 2) THEN dist / 6.17 + 2 * 7.29 * sqrt(1 - (5.63 / 6.17) ** 2) / 5.63 END, CASE WHEN dist >= 2 * 7.29 * (5.63 / 6.58) / sqrt(1 - (5.63 / 6.58) ** 2) + 2 * (20.7 - 7.29) * (6.17 / 6.58) / sqrt(1 - (6.17 / 6.58) ** 2) THEN dist / 6.58 + 2 * 7.29 * sqrt(1 - (5.63 / 6.58) ** 2) / 5.63 + 2 * (20.7 - 7.29) * sqrt(1 - (6.17 / 6.58) ** 2) / 6.17 END, CASE WHEN dist >= 2 * 7.29 * (5.63 / 7.77) / sqrt(1 - (5.63 / 7.77) ** 2) + 2 * (20.7 - 7.29) * (6.17 / 7.77) / sqrt(1 - (6.17 / 7.77) ** 2) + 2 * (31.3 - 20.7) * (6.58 / 7.77) / sqrt(1 - (6.58 / 7.77) ** 2) THEN dist / 7.77 + 2 * 7.29 * sqrt(1 - (5.63 / 7.77) ** 2) / 5.63 + 2 * (20.7 - 7.29) * sqrt(1 - (6.17 / 7.77) ** 2) / 6.17 + 2 * (31.3 - 20.7) * sqrt(1 - (6.58 / 7.77) ** 2) / 6.58 END), 6) AS seconds FROM readings"))
