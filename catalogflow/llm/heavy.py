@@ -9,22 +9,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A run counts as frequent from this many documents on; the most frequent LIMIT ones are used (8
+#: A run counts as frequent from this many occurrences on; the most frequent LIMIT ones are used (8
 #: bytes each reach every task).
 FREQUENT, LIMIT = 8, 200_000
-#: A task counts within blocks of so many runs, and reports those that LOCAL documents of a block share.
+#: A task counts within blocks of so many runs, and reports those that occur LOCAL times in a block.
 BLOCK, LOCAL = 2_000_000, 3
 
 
 class BlockCounter:
-    """Counts, block by block, in how many documents each run occurs."""
+    """Counts, block by block, how often each run occurs in what is added."""
 
     def __init__(self) -> None:
         self.held, self.size = [], 0
 
-    def add(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        self.held.append(distinct)
-        self.size += len(distinct)
+    def add(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        self.held.append(runs)
+        self.size += len(runs)
         return self.flush() if self.size >= BLOCK else None
 
     def flush(self) -> tuple[np.ndarray, np.ndarray] | None:
@@ -42,6 +42,25 @@ def frequent(counts: DataFrame) -> np.ndarray:
     return np.sort(found["run"].to_numpy(np.int64).view(np.uint64)) if len(found) else np.empty(0, np.uint64)
 
 
+class Known:
+    """Membership in a sorted array of hashes: a table of their top bits first, then binary search for
+    what it lets through."""
+
+    def __init__(self, ordered: np.ndarray) -> None:
+        self.ordered, self.table = ordered, np.zeros(1 << 22, bool)
+        self.table[(ordered >> np.uint64(42)).astype(np.int64)] = True
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        """Which of ``values`` stand in the array."""
+        if not len(self.ordered):
+            return np.zeros(len(values), bool)
+        found = self.table[(values >> np.uint64(42)).astype(np.int64)]
+        maybe = np.flatnonzero(found)
+        at = np.minimum(np.searchsorted(self.ordered, values[maybe]), len(self.ordered) - 1)
+        found[maybe] = self.ordered[at] == values[maybe]
+        return found
+
+
 def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which of ``values`` stand in the sorted ``ordered``."""
     if not len(ordered):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, gram_hashes, small, words_of
-from .heavy import BlockCounter, among, frequent
+from .heavy import BlockCounter, Known, frequent
 
 WINDOW, ANCHOR = 50, 20
 #: Words of passages that a shard should hold, about; rows up to which a table is broadcast.
@@ -100,7 +100,7 @@ class PassageIndex:
         rank = rank.astype(np.int64)
         while True:
             both = rank * (int(rank.max()) + 1) + np.roll(rank, -k)
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
             ordered = both[order]
             steps = np.append(0, np.cumsum(ordered[1:] != ordered[:-1]))
             rank = np.empty(n, np.int64)
@@ -188,9 +188,9 @@ def repeated_in_smaller(passages: list[np.ndarray], documents: np.ndarray, windo
     return found
 
 
-def least_anchors(hashes: np.ndarray, often: np.ndarray, span: int) -> np.ndarray:
+def least_anchors(hashes: np.ndarray, often: Known, span: int) -> np.ndarray:
     """For each window of ``span`` runs the least hash, frequent runs after all others."""
-    keyed = (hashes >> np.uint64(1)) | np.where(among(hashes, often), _TOP, np.uint64(0))
+    keyed = (hashes >> np.uint64(1)) | np.where(often.among(hashes), _TOP, np.uint64(0))
     width, now = 1, keyed
     while width * 2 <= span:
         now = np.minimum(now[:-width], now[width:])
@@ -199,7 +199,7 @@ def least_anchors(hashes: np.ndarray, often: np.ndarray, span: int) -> np.ndarra
     return np.minimum(now[: len(now) - rest], now[rest:]) if rest else now
 
 
-def passages_of(words: list[bytes], often: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def passages_of(words: list[bytes], often: Known, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors, first words and windows of a document's passages."""
     if len(words) < window:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -232,7 +232,7 @@ def _frequent_runs(docs: DataFrame, anchor: int, window: int) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 if len(words) >= window:
-                    yield from told(counter.add(np.unique(gram_hashes(words, anchor))))
+                    yield from told(counter.add(gram_hashes(words, anchor)))
         yield from told(counter.flush())
 
     return frequent(docs.select("text").mapInArrow(run, "run long, n long"))
@@ -240,10 +240,11 @@ def _frequent_runs(docs: DataFrame, anchor: int, window: int) -> np.ndarray:
 
 def _anchored(docs: DataFrame, often: np.ndarray, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(often)
         for batch in _slices(batches):
             parts = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, s, c = passages_of(words_of(text), often, window, anchor)
+                a, s, c = passages_of(words_of(text), known, window, anchor)
                 parts.append((a, np.full(len(a), doc, np.int64), s, c))
             a, d, s, c = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32))], ["anchor", "doc_id", "start", "windows"])
