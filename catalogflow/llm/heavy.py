@@ -59,11 +59,3 @@ class Known:
         at = np.minimum(np.searchsorted(self.ordered, values[maybe]), len(self.ordered) - 1)
         found[maybe] = self.ordered[at] == values[maybe]
         return found
-
-
-def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Which of ``values`` stand in the sorted ``ordered``."""
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return ordered[at] == values

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, gram_hashes, small, words_of
-from .heavy import BlockCounter, among, frequent
+from .heavy import BlockCounter, Known, frequent
 
 K, PERCENT = 5, 80
 #: Shingles that one block of a centre holds, about; rows up to which a table is broadcast.
@@ -184,6 +184,7 @@ def _postings(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        known = Known(often)
         for batch in _texts(batches):
             parts = []
             for text in batch.column(1).to_pylist():
@@ -191,7 +192,7 @@ def _postings(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataF
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                heavy = among(s, often)
+                heavy = known.among(s)
                 posted = len(s) - needed(len(s), percent) + extra(len(s))
                 first = np.concatenate([s[~heavy], s[heavy]])[:posted]
                 light = min(posted, int((~heavy).sum()))
