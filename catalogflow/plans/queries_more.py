@@ -19,14 +19,12 @@ PARENTS = DAYS + ", e AS (SELECT c.idx, o.idx AS parent, log10(c.t - o.t) - 0.5
 
 
 def day_events(s, d):
-    c = catalog(s, d)
-    first = c.groupBy((F.col("us") / 8.64e10).alias("t")).agg(F.min("idx").alias("idx"))
-    return c.join(first, "idx").select("idx", "t", (F.col("lon") * 100).alias("x"), (F.col("lat") * 100).alias("y"), F.col("mag").alias("m"), "dep")
+    return catalog(s, d).select("idx", (F.col("us") / 8.64e10).alias("t"), (F.col("lon") * 100).alias("x"), (F.col("lat") * 100).alias("y"), F.col("mag").alias("m"), "dep")
 
 
 def parents(s, d):
     n = day_events(s, d)
-    return n, graph.nearest_parent(n, id="idx", t="t", x="x", y="y", m="m", block=200).checkpoint()
+    return n, graph.nearest_parent(n, id="idx", t="t", x="x", y="y", m="m").checkpoint()
 
 
 @query("c04_declustered_families", with_("catalog", PARENTS + " SELECT idx, family FROM fam").replace("WITH catalog", "WITH RECURSIVE catalog"))
@@ -53,7 +51,7 @@ def c05(s, d):
 @query("c08_randomised_null")
 def c08(s, d):
     r = families.randomised(day_events(s, d), id="idx", t="t", m="m", coords=["x", "y"])
-    return graph.nearest_parent(r, id="idx", t="t", x="x", y="y", m="m", block=200)
+    return graph.nearest_parent(r, id="idx", t="t", x="x", y="y", m="m")
 
 
 CC = "WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings), cc AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.25), w AS (SELECT a, b FROM cc UNION SELECT b, a FROM cc), r AS (SELECT vec_id AS id, vec_id AS hit FROM v UNION SELECT r.id, w.b FROM r JOIN w ON w.a = r.hit) SELECT id AS vec_id, min(hit) AS family FROM r GROUP BY 1"

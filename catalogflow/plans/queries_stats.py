@@ -436,10 +436,8 @@ DAYS = ", d AS (SELECT us / 8.64e10 AS t, min(idx) AS idx FROM catalog GROUP BY
 
 @query("j23_nearest_parent", with_("catalog", DAYS + ", p AS (SELECT c.idx, o.idx AS parent, log10(c.t - o.t) - 0.5 * o.m + 1.6 * log10(greatest(sqrt((c.x - o.x) ** 2 + (c.y - o.y) ** 2), 0.01)) - 0.5 * o.m AS e FROM n c JOIN n o ON o.t < c.t AND o.t >= c.t - 200) SELECT idx, arg_min(parent, e) AS parent, round(min(e), 5) AS log_eta FROM p GROUP BY 1"))
 def j23(s, d):
-    c = catalog(s, d)
-    first = c.groupBy((F.col("us") / 8.64e10).alias("t")).agg(F.min("idx").alias("idx"))
-    n = c.join(first, "idx").select("idx", "t", (F.col("lon") * 100).alias("x"), (F.col("lat") * 100).alias("y"), F.col("mag").alias("m"))
-    return graph.nearest_parent(n, id="idx", t="t", x="x", y="y", m="m", block=200).select("idx", "parent", F.round("log_eta", 5).alias("log_eta"))
+    n = catalog(s, d).select("idx", (F.col("us") / 8.64e10).alias("t"), (F.col("lon") * 100).alias("x"), (F.col("lat") * 100).alias("y"), F.col("mag").alias("m"))
+    return graph.nearest_parent(n, id="idx", t="t", x="x", y="y", m="m").select("idx", "parent", F.round("log_eta", 5).alias("log_eta"))
 
 
 @query("c09_dbscan", with_("stations", ", p AS (SELECT a.id AS a, b.id AS b, sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) AS r FROM stations a JOIN stations b ON sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) <= 0.09), core AS (SELECT a AS id FROM p GROUP BY 1 HAVING count(*) >= 4), r AS (SELECT id, id AS reach FROM core UNION SELECT r.id, p.b FROM r JOIN p ON r.reach = p.a JOIN core ON core.id = p.b), f AS (SELECT id, min(reach) AS cluster FROM r GROUP BY 1), n AS (SELECT a AS id, arg_min(b, r * 1e6 + b / 1e6) AS core FROM p JOIN core ON core.id = b WHERE a NOT IN (SELECT id FROM core) GROUP BY 1) SELECT s.id, coalesce(f.cluster, g.cluster) AS cluster FROM stations s LEFT JOIN f ON f.id = s.id LEFT JOIN n ON n.id = s.id LEFT JOIN f g ON g.id = n.core").replace("WITH stations", "WITH RECURSIVE stations"))

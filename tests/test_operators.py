@@ -107,6 +107,28 @@ def test_depths_of_a_chain_and_a_star(spark):
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 9: (9, 0), 10: (9, 1), 11: (9, 1)}
 
 
+def test_nearest_parent_searches_all_earlier_events(spark):
+    """Many events a day, over far more days than a few slices."""
+    from catalogflow.plans.queries_more import day_events
+
+    from .conftest import SF
+
+    draw = np.random.default_rng(3)
+    n = 3000
+    t, x, y, m = draw.integers(0, 900, n).astype(float), draw.uniform(0, 100, n), draw.uniform(0, 100, n), draw.exponential(0.5, n)
+    m[t < 20] += 3
+    got = {r.id: r for r in graph.nearest_parent(spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "t": t, "x": x, "y": y, "m": m})), id="id", t="t", x="x", y="y", m="m").collect()}
+    assert set(got) == set(np.flatnonzero(t > t.min()).tolist())
+    for i, r in got.items():
+        old = np.flatnonzero(t < t[i])
+        eta = np.log10(t[i] - t[old]) + 1.6 * np.log10(np.maximum(np.hypot(x[i] - x[old], y[i] - y[old]), 0.01)) - m[old]
+        assert r.parent == old[eta.argmin()] and r.log_eta == pytest.approx(eta.min())
+    assert max(t[i] - t[r.parent] for i, r in got.items()) > 200
+    assert day_events(spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    null = families.randomised(spark.createDataFrame([(i, float(i), i / 7) for i in range(500)], "id long, t double, m double"), id="id", t="t", m="m", coords=[])
+    assert sorted(r.m for r in null.collect()) == [i / 7 for i in range(500)]
+
+
 def test_nearest_parent_is_strictly_earlier(spark):
     e = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 5.0), (2, 0.0, 0.0, 0.0, 3.0), (3, 1.0, 1.0, 0.0, 2.0)], "id long, t double, x double, y double, m double")
     got = {r.id: r.parent for r in graph.nearest_parent(e, id="id", t="t", x="x", y="y", m="m").collect()}
