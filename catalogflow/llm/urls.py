@@ -67,10 +67,12 @@ def _prior(counts: DataFrame) -> tuple[float, float]:
     return p, min(STRENGTH_MOST, max(STRENGTH_LEAST, 1 / rho - 1)) if rho > 0 else STRENGTH_MOST
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """host, n, bad, mean and low from labelled outcomes (host, bad in {0, 1}).
 
-    mean is the posterior mean, low its lower bound (mean less DEVIATIONS posterior deviations).
+    mean is the posterior mean, low its lower bound (mean less DEVIATIONS posterior deviations). Hosts of
+    ``others`` (host) without outcomes have n = bad = 0: the posterior of their domain, else of their
+    suffix, else the rate of all is their prior.
     """
     counted = outcomes.filter("bad IS NOT NULL AND host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = cut(counted.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
@@ -80,19 +82,24 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     shrunk = lambda prior, s: (F.col("bad") + s * prior) / (F.col("n") + s)
     level2 = suffixes.select("suffix", shrunk(F.lit(rate), s2).alias("m_suffix"))
     level1 = domains.join(level2, "suffix").select("domain", "suffix", shrunk(F.col("m_suffix"), s1).alias("m_domain"))
-    level0 = hosts.join(level1, ["domain", "suffix"]).withColumn("mean", shrunk(F.col("m_domain"), s0))
+    level0 = hosts.join(level1, ["domain", "suffix"]).select("host", "n", "bad", "m_domain")
+    if others is not None:
+        new = others.filter("host <> ''").select("host").distinct().join(hosts, "host", "left_anti").withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+        prior = F.coalesce("m_domain", "m_suffix", F.lit(rate))
+        level0 = level0.union(new.join(level1, ["domain", "suffix"], "left").join(level2, "suffix", "left").select("host", F.lit(0).cast("long"), F.lit(0).cast("long"), prior))
+    level0 = level0.withColumn("mean", shrunk(F.col("m_domain"), s0))
     return level0.select("host", "n", "bad", "mean", (F.col("mean") - DEVIATIONS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + s0 + 1))).alias("low"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, limit: float = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict and low of each row of ``pages`` (page_id, url).
 
-    outcomes: (host, bad). A host without outcomes is allowed (low is null), so is the empty host of
-    a url that is null or has no ``://``. Repeated rows give repeated rows. The join on hosts is
+    outcomes: (host, bad). A host without outcomes is judged by its domain's, else its suffix's, else
+    the rate of all; the empty host of a url that is null or has no ``://`` is allowed (low is null). Repeated rows give repeated rows. The join on hosts is
     salted: a host that holds a third of the pages is dealt to SALTS tasks.
     """
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = reputation(outcomes).filter(F.col("low") > limit).select("host", "low").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = reputation(outcomes, own).filter(F.col("low") > limit).select("host", "low").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     found = salted.join(known, ["host", "salt"], "left").withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.lit(None).cast("string")

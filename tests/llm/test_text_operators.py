@@ -143,6 +143,18 @@ def test_secrets_equal_the_plain_patterns(spark):
     assert secrets.scan(no_docs(spark)).count() == 0
 
 
+def test_hosts_without_outcomes_are_judged_by_their_domain(spark):
+    bad = [(f"h{i}.bad.com", 1) for i in range(6) for _ in range(30)]
+    good = [(f"h{i}.good{i % 3}.com", 0) for i in range(9) for _ in range(30)]
+    outcomes = spark.createDataFrame(bad + good, "host string, bad long")
+    hosts = ["new.bad.com", "h0.bad.com", "new.good1.com", "new.unseen.com", "new.nowhere.xyz"]
+    pages = spark.createDataFrame([(i, f"http://{h}/a") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.host: r.verdict for r in urls.judge(pages, outcomes).collect()}
+    assert got == dict(zip(hosts, ["block", "block", "allow", "allow", "allow"], strict=True))
+    new = {r.host: r for r in urls.reputation(outcomes, pages.select(urls.host_of(F.col("url")).alias("host"))).collect()}
+    assert len(new) == 15 + 4 and new["new.bad.com"].n == 0 and new["new.nowhere.xyz"].mean == pytest.approx(180 / 450)
+
+
 def test_urls(spark):
     pages = [
         (1, "http://A.Example.NET/en/1?q"), (2, "https://x.net/en/"), (3, "https://net"), (4, "ftp://b.example.com/de/x#y"), (5, "http://example.com/en/"), (6, "https://w.org/fr/"), (7, "nothing"), (8, None),
