@@ -1,9 +1,9 @@
 """Secret scans (operator 4): patterns, and a token-efficiency test for what has no pattern.
 
 A random string falls apart into short tokens under a vocabulary learned from prose and code, so few
-characters a token expose it. Runs of token characters of some length that hold letters and digits
-are measured with a tiktoken vocabulary; known digests (hexadecimal of the usual lengths), UUIDs,
-dates, plain numbers and dotted or dashed identifiers made of words are excluded first.
+characters a token expose it. All runs of token characters of some length, and their parts between
+/ + - _ =, are measured with a tiktoken vocabulary, but for known digests (hexadecimal of the usual
+lengths), UUIDs, dates, plain numbers, one short piece repeated and identifiers whose parts are words that tokenise well.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ HINTS = ("password", "passwd", "secret", "token", "api")
 #: Fixed values of the method.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/=_-]+|(?:[A-Za-z]+|[0-9]{1,8})(?:[-_/+=]+(?:[A-Za-z]+|[0-9]{1,8}))*")
-LEAST_DIGITS, LEAST_LETTERS, MOST_PER_TOKEN = 3, 3, 2.2
+KNOWN = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/=_-]+|(.{1,4}?)\1{3,}.{0,3}")  # the last: one short piece again and again
+PART = re.compile(r"[A-Za-z0-9]+")
+LEAST, SHORT, MOST_PER_TOKEN = 16, 3, 2.2
 
 PATTERN_FILE = "byte_bpe_50k.tiktoken"
 
@@ -63,17 +64,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, encoding, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of few characters a token, but for known forms and what a base span already covers."""
+    """Runs, or neighbouring parts of a run, of few characters a token, but for known forms and what a
+    base span already covers. Every run is measured whole; if that says nothing, what remains of it
+    between the parts that are words, numbers or digests."""
+    few = lambda piece: len(piece) <= MOST_PER_TOKEN * len(encoding.encode_ordinary(piece))
+    free = lambda lo, hi: not any(s < hi and lo < e for s, _, e in taken)
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        digits, letters = sum(c.isdigit() for c in run), sum(c.isalpha() for c in run)
-        if digits < LEAST_DIGITS or letters < LEAST_LETTERS or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        run, at = m[0], m.start()
+        if DIGEST.fullmatch(run) or KNOWN.fullmatch(run):
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
+        whole = few(run)
+        if not whole and len(run) <= LEAST:
             continue
-        if len(run) <= MOST_PER_TOKEN * len(encoding.encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        parts = [(p.start(), p.end(), p[0]) for p in PART.finditer(run)]
+        if whole and not all(len(p) <= 8 if p.isdigit() else p.isalpha() and (len(p) <= SHORT or not few(p)) for _, _, p in parts):
+            if free(at, m.end()):
+                found.append((at, 3, m.end()))
+                continue
+        odd: list[tuple[int, int]] = []
+        for lo, hi, p in [*parts, (len(run), len(run), "")]:
+            if p and len(p) <= SHORT:
+                continue  # says nothing: inside of what is odd on both sides it belongs to that
+            if p and not p.isdigit() and not DIGEST.fullmatch(p) and few(p):
+                odd.append((lo, hi))
+                continue
+            if odd:
+                lo, hi = odd[0][0], odd[-1][1]
+                if hi - lo >= LEAST and not KNOWN.fullmatch(run[lo:hi]) and few(run[lo:hi]) and free(at + lo, at + hi):
+                    found.append((at + lo, 3, at + hi))
+            odd = []
     return found
 
 

@@ -155,6 +155,23 @@ def test_hosts_without_outcomes_are_judged_by_their_domain(spark):
     assert len(new) == 15 + 4 and new["new.bad.com"].n == 0 and new["new.nowhere.xyz"].mean == pytest.approx(180 / 450)
 
 
+def test_random_keys_are_found_with_few_digits_and_in_paths():
+    encoding = secrets._encoding(secrets.default_vocabulary())
+    draw = random.Random(4)
+    find = lambda text: [(lo, hi) for lo, _, hi in secrets.random_spans(text, encoding, [])]
+    letters, base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    path = "/download/files/session/attachments/"
+    for n in (16, 20, 24, 32):
+        for signs in (letters, base62):
+            keys = ["".join(draw.choices(signs, k=n)) for _ in range(300)]
+            assert sum(find(f"x {k} y") == [(2, 2 + n)] for k in keys) >= 297
+            assert sum(any(lo <= len(path) and hi == len(path) + n for lo, hi in find(path + k)) for k in keys) >= 294
+    plain = ["internationalization", "well-known-identifier_of_words", "/usr/share/documentation/packages/", "2024-01-02/2024-02-03", "0123456789abcdef0123456789abcdef", "123e4567-e89b-12d3-a456-426614174000"]
+    assert [find(t) for t in plain] == [[]] * len(plain)
+    known = "aZ3-bY7_cX9-dW4_eV2-fU8"
+    assert find(known) == [(0, len(known))]
+
+
 def test_urls(spark):
     pages = [
         (1, "http://A.Example.NET/en/1?q"), (2, "https://x.net/en/"), (3, "https://net"), (4, "ftp://b.example.com/de/x#y"), (5, "http://example.com/en/"), (6, "https://w.org/fr/"), (7, "nothing"), (8, None),
