@@ -27,16 +27,19 @@ def in_chunks(picks: DataFrame, *, overlap: int) -> DataFrame:
     return picks.withColumn("day", F.explode(near))
 
 
-def grid_associator(stations: Mapping[str, tuple[float, float]], *, speed: Mapping[str, float], step: float, tolerance: float, least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def grid_associator(stations: Mapping[str, tuple[float, float]] | Callable[[str], tuple[float, float]], *, speed: Mapping[str, float], step: float, tolerance: float, least: int, box: tuple[tuple[float, float], tuple[float, float]] | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Back-projects picks on a grid: the node and time with most picks is an event, whose picks leave;
-    until fewer than ``least`` agree."""
-    xy = np.array(list(stations.values()))
+    until fewer than ``least`` agree. ``stations`` has the places, or is a function from any station's
+    code to its place; the grid then spans ``box``. Picks of stations that a mapping lacks have no place."""
+    listed = not callable(stations)
+    place_of = stations.__getitem__ if listed else stations
+    xy = np.array(box or list(stations.values()))
     lows, highs = xy.min(axis=0), xy.max(axis=0)
     nodes = np.array([(x, y) for x in np.arange(lows[0], highs[0] + step, step) for y in np.arange(lows[1], highs[1] + step, step)])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame[frame["station"].isin(list(stations))].sort_values("us")
-        place = np.array([stations[s] for s in own["station"]]).reshape(-1, 2)
+        own = (frame[frame["station"].isin(list(stations))] if listed else frame).sort_values("us")
+        place = np.array([place_of(s) for s in own["station"]]).reshape(-1, 2)
         t = own["us"].to_numpy(np.int64) / 1e6
         v = np.array([speed[p] for p in own["phase"]])
         travel = np.hypot(place[:, None, 0] - nodes[None, :, 0], place[:, None, 1] - nodes[None, :, 1]) / v[:, None]

@@ -78,8 +78,8 @@ def c15(s, d):
 @query("c17_association")
 def c17(s, d):
     own = picks(s, d).filter("phase IN ('view', 'click')").select("pick_id", "station", F.when(F.col("phase") == "view", "P").otherwise("S").alias("phase"), "us")
-    place = {f"KG.U{i}": (float(i * 37 % 100), float(i * 53 % 100)) for i in range(20_000)}
-    events, _ = asc.associate(own, asc.grid_associator(place, speed={"P": 0.02, "S": 0.01}, step=50.0, tolerance=900.0, least=12), gate={"n_picks": 12, "n_p": 2, "n_s": 2, "n_ps": 0})
+    place = lambda code: (float(int(code[4:]) * 37 % 100), float(int(code[4:]) * 53 % 100))
+    events, _ = asc.associate(own, asc.grid_associator(place, box=((0.0, 0.0), (99.0, 99.0)), speed={"P": 0.02, "S": 0.01}, step=50.0, tolerance=900.0, least=12), gate={"n_picks": 12, "n_p": 2, "n_s": 2, "n_ps": 0})
     return events.select("global_id", "us", "x", "y", "n_picks", "n_p", "n_s")
 
 

@@ -107,6 +107,18 @@ def test_depths_of_a_chain_and_a_star(spark):
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 9: (9, 0), 10: (9, 1), 11: (9, 1)}
 
 
+def test_association_takes_every_station(spark, tmp_path):
+    """Users from 20,000 on are stations like all others."""
+    from datetime import datetime, timedelta
+
+    users = [20_000 + 100 * i for i in range(16)]
+    day = datetime(2024, 1, 5, 12)
+    rows = [(i, u, ("view", "click")[i % 2], day + timedelta(seconds=i), 1.0) for i, u in enumerate(users)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = core.queries()["c17_association"](spark, str(tmp_path)).collect()
+    assert [(r.n_picks, r.n_p, r.n_s) for r in got] == [(16, 8, 8)]
+
+
 def test_nearest_parent_searches_all_earlier_events(spark):
     """Many events a day, over far more days than a few slices."""
     from catalogflow.plans.queries_more import day_events
