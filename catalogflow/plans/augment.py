@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +11,43 @@ from ..functions import geo
 from ..operators import joins as jn
 from ..operators import windows as wn
 
-#: Rows up to which a station table is sent to every task; beyond, events meet stations by grid cell.
-STATIONS = 50_000
-
+def nearest_stations(events: DataFrame, stations: DataFrame, *, n: int, id: str = "id", event: str = "idx") -> DataFrame:
+    """The ``n`` stations (slat, slon) nearest to each event (lat, lon), all columns and ``km``; ties go to
+    the smaller id.
 
-def with_stations(events: DataFrame, stations: DataFrame) -> DataFrame:
-    """Every event with every station (slat, slon) and their distance ``km``. A station network is
-    small; its size is checked before it goes to all tasks."""
-    if stations.count() > STATIONS:
-        raise ValueError("too many stations to pair with every event: restrict them by a box first")
-    return events.join(F.broadcast(stations)).withColumn("km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")))
+    Events meet the stations of the cells round their own. Those whose n-th distance is not less than a
+    cell's width, beyond which a station may have been missed, go on with cells of twice the width.
+    """
+    own = jn.top(stations, [F.col("slat"), F.col("slon")], [F.col(id)], n).checkpoint()
+    box = own.agg(F.count_distinct("slat", "slon").alias("n"), *(f(c) for c in ("slat", "slon") for f in (F.min, F.max))).first()
+    if not box.n:
+        return events.join(own.limit(0).withColumn("km", F.lit(0.0)), F.lit(False))
+    width = min(180.0, max(1e-4, math.sqrt(max(box[2] - box[1], 1e-4) * max(box[4] - box[3], 1e-4) * n / box.n)))
+    open_, found = events.checkpoint(), None
+    while True:
+        last = width >= 180
+        around = max(1, math.floor(360 / width))  # cells round the globe, at least as wide as ``width``
+        row, col = (lambda c: F.floor(F.col(c) / width)), (lambda c: F.floor(F.pmod(F.col(c), F.lit(360.0)) / (360 / around)))
+        if last:
+            row = col = lambda c: F.lit(0).cast("long")
+            asked = open_.withColumns({"__i": row("lat"), "__j": col("lon")})
+        else:
+            asked = open_.withColumn("__i", F.explode(F.array(*(row("lat") + k for k in (-1, 0, 1))))).withColumn("__j", F.explode(F.array_distinct(F.array(*(F.pmod(col("lon") + k, F.lit(around)) for k in (-1, 0, 1))))))
+        km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
+        pairs = asked.join(own.withColumns({"__i": row("slat"), "__j": F.pmod(col("slon"), F.lit(around))}), ["__i", "__j"]).drop("__i", "__j").withColumn("km", km)
+        best = jn.top(pairs, [F.col(event)], [F.col("km"), F.col(id)], n)
+        if last:
+            return best if found is None else found.unionByName(best)
+        # a station outside differs by a width in latitude or longitude at least; cells do not reach over a pole
+        sure = 0.999999 * geo.EARTH_KM * F.least(F.radians(F.lit(width)), F.asin(F.cos(F.radians(F.col("lat"))) * math.sin(math.radians(min(width, 90.0)))))
+        best = best.checkpoint()
+        done = best.groupBy(event).agg(F.count("*").alias("__n"), F.max(F.col("km") - sure).alias("__over")).filter((F.col("__n") == n) & (F.col("__over") < 0)).select(event).checkpoint()
+        sound = best.join(done, event, "left_semi")
+        found = sound if found is None else found.unionByName(sound)
+        open_ = open_.join(done, event, "left_anti").checkpoint()
+        if open_.isEmpty():
+            return found
+        width *= 2
 
 
 def candidates(events: DataFrame, assigned: DataFrame, stations: DataFrame, picks: DataFrame, *, least: float = 0.3, radius: float = 100.0, tolerance: float = 1.0, before: int = 5_000_000, after: int = 120_000_000, model: str = "three_layer", stretch: float = 1.0) -> DataFrame:

@@ -301,9 +301,10 @@ def j22(s, d):
 
 @query("j24_nearest_station", with_("origins stations", f"SELECT idx, round(min({hav('o.lat', 'o.lon', 's.lat', 's.lon')}), 6) AS km FROM origins o, stations s GROUP BY 1"))
 def j24(s, d):
-    from .augment import with_stations
+    from .augment import nearest_stations
 
-    return with_stations(origins(s, d).select("idx", "lat", "lon"), stations(s, d).select("id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))).groupBy("idx").agg(F.min("km").alias("km")).select("idx", r6(F.col("km"), "km"))
+    near = nearest_stations(origins(s, d).select("idx", "lat", "lon"), stations(s, d).select("id", F.col("lat").alias("slat"), F.col("lon").alias("slon")), n=1)
+    return near.select("idx", r6(F.col("km"), "km"))
 
 
 @query("j25_nearest_node", with_("origins", "SELECT idx, round(35 + round_even((lat - 35) / 0.05, 0) * 0.05, 6) AS node_lat, round(128 + round_even((lon - 128) / 0.05, 0) * 0.05, 6) AS node_lon FROM origins"))
@@ -491,10 +492,10 @@ def t04(s, d):
 
 @query("t05_nearest_n", with_("origins stations", f"SELECT idx, id FROM origins o, stations s WHERE bal > 0 QUALIFY row_number() OVER (PARTITION BY idx ORDER BY {hav('o.lat', 'o.lon', 's.lat', 's.lon')}, id) <= 3"))
 def t05(s, d):
-    from .augment import with_stations
+    from .augment import nearest_stations
 
-    pairs = with_stations(origins(s, d).select("idx", "lat", "lon"), stations(s, d).filter("bal > 0").select("id", F.col("lat").alias("slat"), F.col("lon").alias("slon")))
-    return jn.top(pairs, [F.col("idx")], [F.col("km"), F.col("id")], 3).select("idx", "id")
+    known = stations(s, d).filter("bal > 0").select("id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    return nearest_stations(origins(s, d).select("idx", "lat", "lon"), known, n=3).select("idx", "id")
 
 
 @query("t06_seeded_sample", "SELECT event_id FROM (SELECT event_id, ts FROM events ORDER BY sha256('s7:' || event_id), event_id LIMIT 200)")

@@ -119,6 +119,23 @@ def test_association_takes_every_station(spark, tmp_path):
     assert [(r.n_picks, r.n_p, r.n_s) for r in got] == [(16, 8, 8)]
 
 
+def test_nearest_stations_equal_brute_force(spark):
+    """More stations than were once allowed, lone events far from all, both sides of 180 degrees, near a pole."""
+    draw = np.random.default_rng(8)
+    la, lo = np.r_[draw.uniform(35, 37, 60_000), 10.0, -20.0, 89.0], np.r_[draw.uniform(126, 130, 60_000), 179.9, -179.5, 10.0]
+    at = [(36.0, 128.0), (35.0, 126.0), (36.7, 140.0), (10.0, -179.9), (-18.0, 179.9), (88.9, -170.0), (-89.0, 0.0)] + [(float(a), float(b)) for a, b in zip(draw.uniform(35, 37, 40), draw.uniform(126, 130, 40), strict=True)]
+    events = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "idx long, lat double, lon double")
+    sta = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(la)), "slat": la, "slon": lo}))
+    got = {}
+    for r in augment.nearest_stations(events, sta, n=3).collect():
+        got.setdefault(r.idx, []).append((r.km, r.id))
+    a, b = np.radians(la), np.radians(lo)
+    for i, (y, x) in enumerate(at):
+        h = np.sin((a - math.radians(y)) / 2) ** 2 + math.cos(math.radians(y)) * np.cos(a) * np.sin((b - math.radians(x)) / 2) ** 2
+        km = 2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(h)))
+        assert [k for _, k in sorted(got[i])] == np.argsort(km)[:3].tolist()
+
+
 def test_nearest_parent_searches_all_earlier_events(spark):
     """Many events a day, over far more days than a few slices."""
     from catalogflow.plans.queries_more import day_events
