@@ -136,6 +136,23 @@ def test_nearest_stations_equal_brute_force(spark):
         assert [k for _, k in sorted(got[i])] == np.argsort(km)[:3].tolist()
 
 
+def test_part_families_take_every_row(spark):
+    from .conftest import SF
+
+    up = {}
+
+    def root(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect():
+        a, b = sorted((root(r.l_partkey), root(r.l_suppkey + 1_000_000)))
+        up[b] = a
+    got = {r.id: r.family for r in core.queries()["c04_families"](spark, SF).collect()}
+    assert got == {i: root(i) for i in up}
+
+
 def test_nearest_parent_searches_all_earlier_events(spark):
     """Many events a day, over far more days than a few slices."""
     from catalogflow.plans.queries_more import day_events
