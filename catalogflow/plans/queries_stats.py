@@ -469,7 +469,7 @@ def c14(s, d):
 @query("w20_change_points")
 def w20(s, d):
     x = readings(s, d).withColumn("us", tm.micros(F.col("ts")))
-    return robust.change_points(x, keys=["unit"], at="us", value="ml", least=50, step=0.02, tests=40, level=0.05)
+    return robust.change_points(x, keys=["unit"], at="us", value="ml", least=50, step=0.02, tests=300, level=0.01)
 
 
 @query("c01_kmeans")
