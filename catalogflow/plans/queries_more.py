@@ -27,24 +27,30 @@ def parents(s, d):
     return n, graph.nearest_parent(n, id="idx", t="t", x="x", y="y", m="m").checkpoint()
 
 
+def trees(n, p):
+    """idx and family, the smallest idx of its tree: each event has one parent at most, so pointers double."""
+    up = n.select("idx").join(p.filter("log_eta < -2.5").select("idx", "parent"), "idx", "left")
+    d = graph.depths(up, id="idx", parent="parent").select("idx", "root")
+    return d.join(d.groupBy("root").agg(F.min("idx").alias("family")), "root").select("idx", "family")
+
+
 @query("c04_declustered_families", with_("catalog", PARENTS + " SELECT idx, family FROM fam").replace("WITH catalog", "WITH RECURSIVE catalog"))
 def c04b(s, d):
     n, p = parents(s, d)
-    edges = p.filter("log_eta < -2.5")
-    return graph.connected(edges, n.select("idx"), a="idx", b="parent", id="idx")
+    return trees(n, p)
 
 
 @query("c06_background", with_("catalog", PARENTS + " SELECT n.idx, (log_eta IS NULL OR log_eta >= -2.5) AS above_diagonal, (n.idx = family) AS roots, (count(*) OVER (PARTITION BY family) = 1) AS strict FROM n JOIN fam USING (idx) LEFT JOIN par USING (idx)").replace("WITH catalog", "WITH RECURSIVE catalog"))
 def c06(s, d):
     n, p = parents(s, d)
-    f = graph.connected(p.filter("log_eta < -2.5"), n.select("idx"), a="idx", b="parent", id="idx")
+    f = trees(n, p)
     return families.background(p, f, id="idx", eta0=-2.5)
 
 
 @query("c05_merged_by_place")
 def c05(s, d):
     n, p = parents(s, d)
-    f = graph.connected(p.filter("log_eta < -2.5"), n.select("idx"), a="idx", b="parent", id="idx")
+    f = trees(n, p)
     return families.merged_by_place(n.join(f, "idx"), family="family", x="x", y="y", z="dep", reach=3.0, depth=1.0).select("idx", "merged")
 
 

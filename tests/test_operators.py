@@ -162,6 +162,18 @@ def test_part_families_take_every_row(spark):
     assert got == {i: root(i) for i in up}
 
 
+def test_declustered_families_are_the_components_of_all_events(spark):
+    from catalogflow.plans.queries_more import parents
+
+    from .conftest import SF
+
+    n, p = parents(spark, SF)
+    want = graph.connected(p.filter("log_eta < -2.5"), n.select("idx"), a="idx", b="parent", id="idx")
+    got = core.queries()["c04_declustered_families"](spark, SF)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
 def test_nearest_parent_searches_all_earlier_events(spark):
     """Many events a day, over far more days than a few slices."""
     from catalogflow.plans.queries_more import day_events
