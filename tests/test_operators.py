@@ -138,7 +138,7 @@ def test_nearest_stations_equal_brute_force(spark):
 
 def test_change_points_are_placed_finely(spark):
     draw = np.random.default_rng(5)
-    n, k = 6000, 2137
+    n, k = 6000, 2225
     v = draw.normal(0, 0.05, n) + np.where(np.arange(n) >= k, 1.0, 0.0)
     frame = spark.createDataFrame(pd.DataFrame({"k": 1, "t": np.arange(n), "v": v}))
     got = robust.change_points(frame, keys=["k"], at="t", value="v", least=50, tests=300, level=0.01, most=1).collect()
