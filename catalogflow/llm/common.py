@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from functools import lru_cache
@@ -40,23 +41,54 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there.
 
     Columnar and compressed, so smaller than a checkpoint of rows, and a lost executor costs no
-    more than reading it again. The folder goes when the driver's JVM ends.
+    more than reading it again. The folder goes with :func:`release`, at the latest when the driver's
+    JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, fs = _folder(spark, path)
+    fs.deleteOnExit(where)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._cut_path = path
+    return read
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast of ``df`` if a count shows at most ``rows`` rows; else leave it as it is.
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the folders of tables that :func:`cut` returned and that nothing reads any more."""
+    for df in tables:
+        where, fs = _folder(df.sparkSession, df._cut_path)
+        fs.delete(where, True)
+
+
+#: A cut table is broadcast up to so many bytes in its files (rows of numbers take some four times
+#: as many in memory).
+BROADCAST_BYTES = 4 << 20
+
+
+def small(df: DataFrame, bytes_: int | None = None) -> DataFrame:
+    """Hint a broadcast of ``df``, a table that was cut, if its files hold at most ``bytes_``
+    (BROADCAST_BYTES); else leave it as it is, for a join that shuffles."""
+    where, fs = _folder(df.sparkSession, df._cut_path)
+    size = fs.getContentSummary(where).getLength()
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if bytes_ is None else bytes_) else df
 
-    ``df`` should be a table that was cut, so that counting reads footers only.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def held_out(doc_id) -> "F.Column":
@@ -64,8 +96,7 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-# Word hashing. A text is its words joined by one space; the hash of words i..j is a polynomial
-# over the bytes between them, taken from prefix sums and shifted to start at power 0, then mixed.
+# Hashing of bytes and of words in numpy.
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 20
@@ -104,27 +135,52 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.translate(_LOWER) if lower else data).split()
 
 
+#: Longer words count by a digest of their bytes; so many words are hashed at once.
+_LONG_WORD, _AT_ONCE = 16, 50_000
+_PLACES = np.random.default_rng(20240202).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words: a polynomial over the bytes, from prefix sums, then mixed.
+
+    A polynomial modulo 2**64 is weak on long regular strings, so words of more than 16 bytes stand in
+    it as 17 bytes of their BLAKE2b.
+    """
+    out = np.empty(len(words), np.uint64)
+    of_byte, power, inverse = _tables()
+    for lo in range(0, len(words), _AT_ONCE):
+        own = words[lo : lo + _AT_ONCE]
+        lengths = np.fromiter(map(len, own), np.int64, len(own))
+        if lengths.max() > _LONG_WORD:
+            own = list(own)
+            for i in np.flatnonzero(lengths > _LONG_WORD).tolist():
+                own[i], lengths[i] = hashlib.blake2b(own[i], digest_size=_LONG_WORD + 1).digest(), _LONG_WORD + 1
+        data = np.frombuffer(b"".join(own), np.uint8)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(of_byte[data] * power[: len(data)], out=sums[1:])
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        out[lo : lo + len(own)] = (sums[ends] - sums[starts]) * inverse[starts]
+    return mixed(out)
+
+
 def gram_hashes(words: list[bytes], k: int) -> np.ndarray:
     """64-bit hashes of all runs of ``k`` words, in order; of the whole text if it has fewer.
 
-    Long texts go through in chunks of about a megabyte, so memory beyond the words is bounded.
+    A run of up to 8 words is the sum of their hashes, each times an odd number drawn for its place; a
+    longer run is a polynomial over them, from prefix sums.
     """
     if not words:
         return np.empty(0, np.uint64)
-    k = min(k, len(words))
-    of_byte = _tables()[0]
-    out, lengths = [], np.fromiter(map(len, words), np.int64, len(words)) + 1
-    at = np.append(0, np.cumsum(lengths))
-    first = 0
-    while first + k <= len(words):
-        last = max(first + k, int(np.searchsorted(at, at[first] + _CHUNK, "right")) - 1)
-        joined = np.frombuffer(b" ".join(words[first:last]), np.uint8)
-        starts = at[first:last] - at[first]
-        ends = at[first + 1 : last + 1] - at[first] - 1
-        power, inverse = powers(len(joined) + 1)
-        sums = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(of_byte[joined] * power[:-1], out=sums[1:])
-        s, e = starts[: len(starts) - k + 1], ends[k - 1 :]
-        out.append(mixed((sums[e] - sums[s]) * inverse[s]))
-        first = last - k + 1
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    k, n = min(k, len(words)), len(words)
+    h = word_hashes(words)
+    if k <= len(_PLACES):
+        total = h[: n - k + 1] * _PLACES[0]
+        for j in range(1, k):
+            total += h[j : n - k + 1 + j] * _PLACES[j]
+    else:
+        power, inverse = powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * power[:-1], out=sums[1:])
+        total = (sums[k:] - sums[: n - k + 1]) * inverse[: n - k + 1]
+    return mixed(total + np.uint64(k * 0x9FB21C651E98DF25 % 2**64))

@@ -9,15 +9,21 @@ in three steps, and each compares the whole normalised text beside its digest:
 3. by (digest, text): at most ``salts`` rows a text.
 
 Rows find their winner by digest alone; only for a digest that two different texts share (step 3
-counts them) do rows carry their text once more.
+counts them) do rows carry their text once more. The winners of large groups, those of more than one
+part in HOT of all rows (so HOT at most, whatever the table), are broadcast, and the rows of these
+groups do not shuffle; no other group is larger than that.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import SPACE, cut
+from .common import SPACE, cut, fresh
+
+#: At most so many groups are broadcast (48 bytes each).
+HOT = 50_000
 
 
 def normalised(text) -> "F.Column":
@@ -37,11 +43,16 @@ def exact_dedup(docs: DataFrame, *, salts: int = 16) -> DataFrame:
     texts = salted.groupBy("digest", "body").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     winners = cut(texts.select("digest", "keep_id", "group_size"), "winners")
     if winners.groupBy("digest").count().filter("count > 1").isEmpty():
-        on, found = ["digest"], winners
+        slim = cut(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("m")), "rows")
+        total = winners.agg(F.sum("group_size")).first()[0] or 0
+        large = F.col("group_size") * HOT > total
+        hot = winners.filter(large & (F.col("group_size") > 1)).withColumnsRenamed({"digest": "of", "keep_id": "k", "group_size": "g"})
+        tried = slim.join(F.broadcast(hot), F.col("digest") == F.col("of"), "left")
+        found = tried.filter("of IS NOT NULL").select("doc_id", "digest", "m", F.col("k").alias("keep_id"), F.col("g").alias("group_size"))
+        rest = tried.filter("of IS NULL").select("doc_id", "digest", "m").join(winners, "digest").select(*found.columns)
+        joined = found.unionByName(rest)
     else:  # two texts under one digest: rows find theirs by the whole text
-        on, found = ["digest", "body"], texts
-    slim = rows.groupBy("doc_id", *on).agg(F.count("*").alias("m"))
-    joined = slim.join(found, on)
+        joined = rows.groupBy("doc_id", "digest", "body").agg(F.count("*").alias("m")).join(texts, ["digest", "body"])
     again = joined.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     return again.select(
         "doc_id", "keep_id", "group_size",
@@ -51,10 +62,17 @@ def exact_dedup(docs: DataFrame, *, salts: int = 16) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, *, salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with their own columns."""
-    kept = exact_dedup(docs, salts=salts).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    own = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col("text")), 256))).dropDuplicates(["doc_id", "__digest"])
-    return own.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__id")) & (F.col("d.__digest") == F.col("k.__digest")), "left_semi").drop("__digest")
+    """The rows of ``docs`` (doc_id, text, any others of any name) that :func:`exact_dedup` keeps, with
+    their own columns. Of rows that repeat a doc_id and its text the first by the hash of the whole row
+    stays, so that reruns agree; rows alike in all columns are one."""
+    key, at, order = fresh(docs, "key", "at", "order")
+    own = docs.withColumn(key, F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    kept = exact_dedup(docs, salts=salts).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("m")).filter("kept")
+    kept = kept.select(F.struct("doc_id", F.unhex("text_sha256").alias("key"), "m").alias(at))
+    found = own.join(kept, F.col("doc_id").eqNullSafe(F.col(f"{at}.doc_id")) & (F.col(key) == F.col(f"{at}.key")))
+    whole = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+    repeated = found.filter(F.col(f"{at}.m") > 1).withColumn(order, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(whole))).filter(F.col(order) == 1)
+    return found.filter(F.col(f"{at}.m") == 1).select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 #: DuckDB: the same rows, from the definition.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import fresh, held_out
 
 DIMENSIONS = 1024
 SEED = 11
@@ -133,11 +133,12 @@ def learn(docs: DataFrame, *, dimensions: int = DIMENSIONS) -> Profiles:
     return Profiles(languages, found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9))
 
 
-def predict(docs: DataFrame, profiles: Profiles, *, out: str = "__language") -> DataFrame:
-    """``docs`` with a struct column ``out`` of lang_pred and score.
+def predict(docs: DataFrame, profiles: Profiles, *, out: str = "language") -> DataFrame:
+    """``docs`` with a struct column ``out`` (a name that ``docs`` does not have) of lang_pred and score.
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned; else
-    the language of the largest cosine (ties: the first by name) and that cosine, at least 0.
+    the language of the largest cosine (ties: the first by name) and that cosine, at least 0. Long texts
+    are bundled whole, some thousand trigrams at a time.
     """
 
     @F.pandas_udf("lang_pred string, score double")
@@ -167,10 +168,12 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select("doc_id", "text", "lang")
     found = predict(slim.select("doc_id", "text"), learn(slim))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "__language.lang_pred", "__language.score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
 
 
 def accept(docs: DataFrame, *, least: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` whose language is known: neither ``und`` nor a cosine under ``least``."""
-    found = predict(docs, learn(docs.select("doc_id", "text", "lang")))
-    return found.filter((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= least)).drop("__language")
+    """The rows of ``docs`` (doc_id, text, lang, any others of any name) whose language is known: neither
+    ``und`` nor a cosine under ``least``."""
+    (name,) = fresh(docs, "language")
+    found = predict(docs, learn(docs.select("doc_id", "text", "lang")), out=name)
+    return found.filter((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).drop(name)

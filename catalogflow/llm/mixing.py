@@ -3,6 +3,10 @@
 Words are summed by source (map-side combined, so a hot source is one row a task), the targets are
 water-filled under a cap over one row a source, and each document is emitted floor(rate) times plus
 once more if its own hash falls below the fraction.
+
+Draws of few documents of very different lengths would miss a target by much. So the fraction is moved
+to the point of the draws, to one part in DRAWS, where the words of the copies come nearest to what
+the fraction asks for; of many documents that point is the fraction itself.
 """
 
 from __future__ import annotations
@@ -11,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh, small
 
-#: Sources up to which the table of rates is broadcast (some 100 bytes a row); beyond, a salted join.
-BROADCAST_SOURCES = 20_000
+#: Salts of the join with the rates where their table is too large to broadcast.
+SALTS = 32
+#: Steps of a draw: three hexadecimal digits of a SHA-256.
+DRAWS = 4096
 SEED = "mix-1"
 
 
@@ -41,49 +47,73 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), ma
     return ranked.withColumn("share", left / open_weight).withColumn("target", F.round(F.least(F.col("cap").cast("double"), level * F.col("w")), 6)).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_rate: int = 3, seed: str = SEED) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with __size, __source_size, __target and __copies.
-
-    __copies is how often the mix takes the document: 0 to max_rate, the same in every run, as it
-    hangs on doc_id and ``seed`` alone. Null or wordless texts have size 0 and are taken like any
-    other of their source; a source of no words at all has rate 0. A null source is a source of its
-    own; a null doc_id draws as the empty id. Repeated rows draw alike.
+def _draw(seed: str) -> "F.Column":
+    """0 to DRAWS - 1, from the document's id, or from its text where the id is null."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.coalesce("text", F.lit(""))))
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), named), 256), 1, 3), 16, 10).cast("int")
+
+
+def source_rates(drawn: DataFrame, **kind) -> DataFrame:
+    """source, source_size, target, whole and cutoff from (source, draw, words), a row a step of the
+    draws: a document is taken ``whole`` times, and once more if its draw is below ``cutoff``."""
+    sizes = drawn.groupBy("source").agg(F.sum("words").alias("source_size"))
+    targets = source_targets(sizes, **kind)
+    most = F.lit(float(kind.get("max_rate", 3)))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), most)).otherwise(0.0)
+    rates = targets.withColumn("whole", F.floor(rate).cast("int")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    same = F.col("source").eqNullSafe(F.col("of"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("draw"))
+    steps = drawn.withColumn("words", upto).unionByName(sizes.select("source", F.lit(-1).alias("draw"), F.lit(0).cast("long").alias("words")))
+    near = steps.join(rates.select(F.col("source").alias("of"), "need"), same).groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("need")).alias("off"), (F.col("draw") + 1).alias("cutoff"))).alias("s"))
+    return rates.join(near.select(F.col("source").alias("of"), "s.cutoff"), same).select("source", "source_size", "target", "whole", F.when(F.col("whole") < most, F.col("cutoff")).otherwise(0).alias("cutoff"))
+
+
+def mix(docs: DataFrame, *, out: str = "mix", weights: tuple[int, ...] = (1, 2, 3), max_rate: int = 3, seed: str = SEED) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) with a struct ``out`` of size, source_size, target and copies.
+
+    copies is how often the mix takes the document: 0 to max_rate, the same in every run, as it
+    hangs on the table and ``seed`` alone. A source's words taken differ from its target by half the
+    words of one step of the draws at most (a step holds one document, or one part in DRAWS of a large
+    source). Null or wordless texts have size 0 and are taken like any other of their source; a source
+    of no words at all has rate 0. A null source is a source of its own; a null doc_id draws by its text.
+    Rows that repeat a doc_id draw alike. An empty table gives no rows. A column of ``docs`` may have any
+    name but ``out``.
     """
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    rates = cut(source_targets(sizes, weights=weights, max_rate=max_rate), "rates")
-    rates = rates.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    if rates.count() <= BROADCAST_SOURCES:
-        joined = sized.join(F.broadcast(rates), same)
-    else:
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(32)).cast("int")
-        spread = rates.withColumn("__there", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        joined = sized.withColumn("__here", salt).join(spread, same & (F.col("__here") == F.col("__there"))).drop("__here", "__there")
-    rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(max_rate)))).otherwise(0.0)
-    draw = F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
-    copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("__copies", copies.cast("int")).drop("__source")
-
-
-def emit(mixed_docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixed_docs.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
-
-
-#: DuckDB: the water-filling by cumulative sums over one row a source, and the draw from sha256.
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {out}")
+    own = docs.select(F.struct("*").alias("row"), "source", word_count(F.col("text")).alias("size"), _draw(seed).alias("draw"))
+    drawn = cut(own.groupBy("source", "draw").agg(F.sum("size").alias("words")), "draws")
+    rates = cut(source_rates(drawn, weights=weights, max_rate=max_rate).withColumnRenamed("source", "of"), "rates")
+    same, fit = F.col("source").eqNullSafe(F.col("of")), small(rates)
+    if fit is rates:
+        fit = rates.withColumn("there", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same &= F.pmod("draw", F.lit(SALTS)) == F.col("there")
+    copies = F.col("whole") + F.when(F.col("draw") < F.col("cutoff"), 1).otherwise(0)
+    return own.join(fit, same).select("row.*", F.struct("size", "source_size", "target", copies.cast("int").alias("copies")).alias(out))
+
+
+def emit(docs: DataFrame, **kind) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it."""
+    name, copy = fresh(docs, "mix", "copy")
+    taken = mix(docs, out=name, **kind).filter(F.col(f"{name}.copies") > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies")))).drop(name, copy)
+
+
+#: DuckDB: the water-filling by cumulative sums over one row a source, and the draws from sha256.
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, '~' || coalesce(text, ''))), 1, 3))::INTEGER AS draw FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w, source_size * 3 AS cap FROM s),
 c AS (SELECT *, ((sum(source_size) OVER ()) - coalesce(sum(cap) OVER b, 0))::DOUBLE / ((sum(w) OVER ()) - coalesce(sum(w) OVER b, 0))::DOUBLE AS share
       FROM r WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT max(share) AS level FROM c),
 t AS (SELECT source, source_size, round(least(cap::DOUBLE, level * w), 6) AS target FROM c, l),
-x AS (SELECT d.doc_id, size, source_size, target,
-             CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate,
-             ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 AS draw
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
+k AS (SELECT *, floor(CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END)::INTEGER AS whole FROM t),
+u AS (SELECT source, -1 AS draw, 0::BIGINT AS words FROM s
+      UNION ALL SELECT source, draw, sum(words) OVER (PARTITION BY source ORDER BY draw) FROM (SELECT source, draw, sum(size)::BIGINT AS words FROM d GROUP BY ALL)),
+n AS (SELECT k.source, CASE WHEN any_value(whole) >= 3 THEN 0 ELSE arg_min(draw + 1, (abs(words - (target - whole * source_size)), draw)) END AS cutoff
+      FROM k JOIN u ON k.source IS NOT DISTINCT FROM u.source GROUP BY k.source)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN draw < cutoff THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source JOIN n ON d.source IS NOT DISTINCT FROM n.source
 """

@@ -35,8 +35,8 @@ from .common import cut, gram_hashes, small, words_of
 from .heavy import BlockCounter, Known, frequent
 
 WINDOW, ANCHOR = 50, 20
-#: Words of passages that a shard should hold, about; rows up to which a table is broadcast.
-SHARD_WORDS, BROADCAST_ROWS = 1_500_000, 100_000
+#: Words of passages that a shard should hold, about.
+SHARD_WORDS = 1_500_000
 #: Windows that a passage has at most (a run that repeats itself can keep one anchor for long).
 MOST_WINDOWS = 64
 _TOP = np.uint64(1 << 63)
@@ -255,7 +255,7 @@ def _anchored(docs: DataFrame, often: np.ndarray, window: int, anchor: int) -> D
 def _cut_out(docs: DataFrame, passages: DataFrame, window: int) -> DataFrame:
     """The passages' words: (doc_id, anchor, start, words, digest, body)."""
     goes = passages.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("parts"))
-    wanted = docs.join(small(cut(goes, "parts"), BROADCAST_ROWS), "doc_id").select("doc_id", "text", "parts")
+    wanted = docs.join(small(cut(goes, "parts")), "doc_id").select("doc_id", "text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (("doc_id", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("digest", pa.binary()), ("body", pa.binary()))
@@ -323,8 +323,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     doc_id keeps all and covers nothing; rows that repeat a doc_id do not cover one another, as
     only a smaller id covers. An empty table gives no rows.
     """
-    spans = cut(repeated_spans(docs, window=window, anchor=anchor), "spans").withColumnRenamed("doc_id", "__id")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(spans, BROADCAST_ROWS), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
+    spans = cut(repeated_spans(docs, window=window, anchor=anchor).withColumnRenamed("doc_id", "of"), "spans")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(spans), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "spans")
     kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + ([("kept", pa.string())] if text else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,7 +51,7 @@ def classes(texts, k=5, percent=80):
     for i, t in texts:
         w = words((t or "").translate(LOWER))
         sets[i] = frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
-    up = {i: i for i in sets}
+    up, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def root(x):
         while up[x] != x:
@@ -64,17 +64,20 @@ def classes(texts, k=5, percent=80):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), root(i)) for i in ids}
+                links[a] += 1
+                links[b] += 1
+    return {i: (len(sets[i]), root(i), links[i]) for i in ids}
 
 
 def found(frame):
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in frame.collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in frame.collect()}
 
 
 def test_join_on_hard_cases(spark):
     got = ngram_join.jaccard_classes(hard_docs(spark))
     assert got.count() == len(hard_texts())
-    assert found(got) == classes(hard_texts())
+    want = {i: (n, c, k + (i == 18)) for i, (n, c, k) in classes(hard_texts()).items()}  # id 18 stands there twice
+    assert found(got) == want
     assert ngram_join.jaccard_classes(no_docs(spark)).count() == 0
 
 
@@ -109,13 +112,33 @@ def test_join_finds_every_component_of_hot_families(spark, monkeypatch, block):
     got, want = found(ngram_join.jaccard_classes(docs)), classes(texts)
     assert got == want
     kept = {r.doc_id for r in ngram_join.keep_one(docs).collect()}
-    assert kept == {c for _, c in want.values()}
+    assert kept == {c for _, c, _ in want.values()}
 
 
 def test_null_ids_do_not_carry_links(spark):
     docs = spark.createDataFrame([(None, prose(1, 50)), (4, prose(1, 50) + " x"), (9, prose(1, 50)), (None, "alone here")], "doc_id long, text string")
-    got = sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.jaccard_classes(docs).collect())
-    assert got == [(-1, -1), (-1, 4), (4, 4), (9, 4)]
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.n_links) for r in ngram_join.jaccard_classes(docs).collect())
+    assert got == [(-1, -1, 0), (-1, 4, 2), (4, 4, 1), (9, 4, 1)]
+    assert sorted(r.doc_id or -1 for r in ngram_join.keep_one(docs).collect()) == [-1, -1, 4]
+
+
+def test_long_regular_words_are_told_apart(spark):
+    def thue_morse(n, a, b):
+        return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+    texts = [(k, thue_morse(n, a, b)) for k, (n, a, b) in enumerate((n, *ab) for n in (16, 512, 1024, 4096) for ab in ("ab", "ba"))]
+    texts += [(20 + k, " ".join([thue_morse(256, a, b)] * 3 + ["tail"] * 4)) for k, (a, b) in enumerate(("ab", "ba"))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert found(ngram_join.jaccard_classes(docs)) == classes(texts)
+
+
+def test_sets_that_share_a_key_stay_apart(spark, monkeypatch):
+    whole = ngram_join.set_key
+    monkeypatch.setattr(ngram_join, "set_key", lambda s: (whole(s)[0] % 3, whole(s)[1]))
+    texts = [(3 * i + 1, t) for i, (_, t) in enumerate(families(6)[:40])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found_ = sorted((r.class_id, r.n_shingles) for r in ngram_join.jaccard_classes(docs).collect())
+    assert len(found_) == len({c for c, _ in found_})
 
 
 def test_search_equals_counting():

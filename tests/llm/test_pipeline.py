@@ -21,20 +21,30 @@ def expected(docs, accepted):
     rows = [r for r in rows if first[normalised(r[1])] == r[0]]
     of = classes([(i, t) for i, t, _ in rows])
     rows = [r for r in rows if of[r[0]][1] == r[0]]
-    sizes = defaultdict(int)
-    for _, t, s in rows:
+    sizes, steps = defaultdict(int), defaultdict(int)
+    drawn = lambda i: int(hashlib.sha256(f"mix-1:{i}".encode()).hexdigest()[:3], 16)
+    for i, t, s in rows:
         sizes[s] += len(words(t))
+        steps[s, drawn(i)] += len(words(t))
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     target = dict(zip(names, filled([sizes[n] for n in names], [(1, 2, 3)[k % 3] for k in range(len(names))]), strict=True))
+    whole, cutoff = {}, {}
+    for s in names:
+        rate = min(3.0, round(target[s], 6) / sizes[s]) if sizes[s] else 0.0
+        whole[s], taken = math.floor(rate), 0
+        need = round(target[s], 6) - whole[s] * sizes[s]
+        best = (abs(need), 0)
+        for step in sorted(d for n, d in steps if n == s):
+            taken += steps[s, step]
+            best = min(best, (abs(taken - need), step + 1))
+        cutoff[s] = best[1] if whole[s] < 3 else 0
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(bpe.default_vocabulary())
     out = []
     for i, t, s in rows:
-        rate = min(3.0, round(target[s], 6) / sizes[s]) if sizes[s] else 0.0
-        draw = int(hashlib.sha256(f"mix-1:{i}".encode()).hexdigest()[:12], 16) / 2**48
         ids = library.encode(t or "", add_special_tokens=False).ids
-        out += [(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(t or ""))] * (math.floor(rate) + (draw < rate - math.floor(rate)))
+        out += [(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(t or ""))] * (whole[s] + (drawn(i) < cutoff[s]))
     return sorted(out)
 
 

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from catalogflow.llm import bpe, language, mixing, secrets, topk, toxicity, urls
+from catalogflow.llm import bpe, exact_dedup, language, mixing, ngram_join, secrets, topk, toxicity, urls
 
 from pyspark.sql import functions as F
 
@@ -77,32 +77,62 @@ def test_targets_are_filled_like_water(spark, sizes):
     assert [got[n] for n in names] == pytest.approx(filled(sizes, [(1, 2, 3)[i % 3] for i in range(len(sizes))]), abs=1e-4)
 
 
+def mixed(frame):
+    return [(r.doc_id, *r.mix) for r in mixing.mix(frame).collect()]
+
+
 def test_mix_takes_what_it_says(spark):
     docs = hard_docs(spark)
-    rows = mixing.mix(docs).collect()
-    assert len(rows) == len(hard_texts())
-    text = [len(words(t)) for _, t in hard_texts()]
-    assert sorted(r["__size"] for r in rows) == sorted(text)
-    assert all(0 <= r["__copies"] <= 3 for r in rows)
-    assert [(r.doc_id, r["__copies"]) for r in sorted(rows, key=lambda r: (r.doc_id, r.source or ""))] == [(r.doc_id, r["__copies"]) for r in sorted(mixing.mix(docs).collect(), key=lambda r: (r.doc_id, r.source or ""))]
-    emitted = mixing.emit(mixing.mix(docs), docs.columns)
-    assert emitted.columns == docs.columns and emitted.count() == sum(r["__copies"] for r in rows)
+    rows = mixed(docs)
+    assert sorted(r[1] for r in rows) == sorted(len(words(t)) for _, t in hard_texts())
+    assert all(0 <= r[4] <= 3 for r in rows)
+    assert sorted(rows) == sorted(mixed(docs.repartition(2)))
+    emitted = mixing.emit(docs)
+    assert emitted.columns == docs.columns and emitted.count() == sum(r[4] for r in rows)
     assert mixing.mix(no_docs(spark)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs, out="SHARD")
+
+
+def test_mix_draws_null_ids_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, prose(i, 30), "ab"[i % 2]) for i in range(300)], "doc_id long, text string, source string")
+    assert len({r[4] for r in mixed(docs)}) > 1
 
 
-def test_mix_comes_near_its_targets(spark):
-    docs = spark.createDataFrame([(i, prose(i, 20 + i % 40), f"s{i % 4}") for i in range(4000)], "doc_id long, text string, source string")
-    rows = mixing.mix(docs).groupBy("source").agg({"__target": "max"}).collect()
-    taken = {r.source: r["sum((__size * __copies))"] for r in mixing.mix(docs).selectExpr("source", "__size * __copies").groupBy("source").sum("(__size * __copies)").withColumnRenamed("sum((__size * __copies))", "sum((__size * __copies))").collect()}
-    for r in rows:
-        assert abs(taken[r.source] / r["max(__target)"] - 1) < 0.1
+@pytest.mark.parametrize("longest", [60, 5_000])
+def test_mix_comes_near_its_targets(spark, longest):
+    draw = random.Random(longest)
+    size = [draw.randrange(20, 60 if i % 50 else longest + 1) for i in range(4000)]
+    source = [f"s{0 if i % 3 else draw.randrange(20)}" for i in range(4000)]  # two thirds in one, some 65 in others
+    docs = spark.createDataFrame([(i, prose(i, size[i]), source[i]) for i in range(4000)], "doc_id long, text string, source string")
+    taken, target, top = {}, {}, {}
+    for doc, n, _, wanted, copies in mixed(docs):
+        s = source[doc]
+        taken[s], target[s], top[s] = taken.get(s, 0) + n * copies, wanted, max(n, top.get(s, 0))
+    assert all(abs(taken[s] - target[s]) <= top[s] / 2 + 1 for s in target)
 
 
 def test_mix_joins_many_sources_with_salt(spark, monkeypatch):
     docs = hard_docs(spark)
-    want = sorted((r.doc_id, r["__copies"], r["__target"]) for r in mixing.mix(docs).collect())
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    assert sorted((r.doc_id, r["__copies"], r["__target"]) for r in mixing.mix(docs).collect()) == want
+    want = sorted(mixed(docs))
+    monkeypatch.setattr(mixing, "small", lambda table: table)
+    assert sorted(mixed(docs)) == want
+
+
+def clashing(docs, *names):
+    """``docs`` with columns of the names that helpers have or had."""
+    return docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = "row size draw mix copy copy_ of there whole cutoff target copies at order language gone __gone __size __copies __copy __source __target __digest __language".split()
+    docs = clashing(hard_docs(spark).drop("key"), *names, "key")
+    for name, f in (("mix", mixing.emit), ("dedup", exact_dedup.keep_first), ("join", ngram_join.keep_one), ("language", language.accept)):
+        after = f(docs)
+        assert after.columns == docs.columns, name
+        rows = after.collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in [*names, "key"]), name
+    assert [f for f in mixing.mix(docs.drop("mix")).columns if f not in docs.columns] == []
 
 
 def test_language_on_hard_cases_and_held_out(spark):
