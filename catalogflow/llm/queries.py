@@ -37,7 +37,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("long").alias("bad"))
     outcomes = pages.join(labels, "page_id").select(urls.host_of(F.col("url")).alias("host"), "bad")
-    return urls.judge(pages, outcomes).drop("low")
+    return urls.judge(pages, outcomes).drop("doubt")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

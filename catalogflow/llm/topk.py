@@ -8,7 +8,8 @@ accumulator plus what the dimensions still hold; the bound is compared with the
 so far. A query stops only when this proves that few vectors can still be among the best, and these
 possible members are scored exactly. All of it is integer arithmetic.
 
-Queries and shards meet block by block: (shards x query blocks) tasks of bounded size.
+A task holds the index of one shard and streams a block of queries past it; shards and blocks are of
+like size, so that vectors and queries are copied as seldom as the two allow.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,7 +26,10 @@ from .common import cut
 
 SCALE = 256
 #: Vectors of a shard, queries of a block, segments of a dimension, rounds of a query.
-SHARD, BLOCK, SEGMENTS, ROUNDS = 16_384, 2_048, 16, 8
+SHARD, BLOCK, SEGMENTS, ROUNDS = 16_384, 16_384, 16, 8
+#: Components of a larger size (of x, as a power of two) and longer vectors leave the exact range: products
+#: of codes below 2**24 in 2**15 dimensions fit 64 bits.
+LARGEST, LONGEST = 16, 1 << 15
 #: A query is finished exactly once so small a share of a shard can still be among its best.
 FEW = 0.04
 
@@ -61,7 +65,7 @@ class ImpactIndex:
                 dim, seg = np.divmod(part, gain.shape[1])
                 sizes = self.cuts[seg + 1] - self.cuts[seg]
                 at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.cuts[seg], sizes)
-                seats += np.bincount(self.order[at, np.repeat(dim, sizes)], weights=np.repeat(gain.ravel()[part], sizes), minlength=n).astype(np.int64)
+                np.add.at(seats, self.order[at, np.repeat(dim, sizes)], np.repeat(gain.ravel()[part], sizes))
                 done += np.bincount(dim, minlength=dims)
             rest = int(unmet[np.arange(dims), np.minimum(done, gain.shape[1] - 1)][done < gain.shape[1]].sum())
             tried = np.argpartition(-seats, min(4 * k, n - 1))[: 4 * k] if n > 4 * k else rows
@@ -84,15 +88,29 @@ class ImpactIndex:
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and code (floor(scale * x) of each component x as a double), without vectors that are
-    null, empty or hold a null, a NaN or an infinity, and without rows whose vec_id is null."""
+    null, empty or hold a null, a NaN or an infinity, and without rows whose vec_id is null.
+
+    Nor do vectors take part whose scores could leave 64 bits: those with a component of 2**LARGEST and
+    more or of more than LONGEST components.
+    """
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long"))
-    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("code"))
+    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float(1 << LARGEST)))
+    there = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.size("embedding").between(1, LONGEST)
+    return vectors.filter(there).filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("code"))
+
+
+def _matrix(codes: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of a list column, those that are shorter than ``width`` ended by zeros."""
+    flat, ends = codes.flatten().to_numpy(), codes.value_lengths().to_numpy()
+    out = np.zeros((len(codes), max(width, int(ends.max(initial=0)))), np.int64)
+    rows = np.repeat(np.arange(len(codes)), ends)
+    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)] = flat
+    return out
 
 
 def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of all other rows for each row of ``vectors``
-    (vec_id, embedding) where ``is_query`` holds.
+    (vec_id, embedding; others are ignored) where ``is_query`` holds.
 
     Scores are inner products of the quantised vectors (shorter ones count as ending in zeros); ties
     go to the smaller vec_id. Every row but those of the query's own vec_id is a candidate. Rows that
@@ -103,24 +121,37 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = SCALE) -> Da
     n = codes.count()
     asked = codes.filter(is_query).groupBy("vec_id").agg(F.min("code").alias("code"))
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-codes.filter(is_query).count() // BLOCK))
-    stored = codes.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(False))
-    asks = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        width = int(frame["code"].map(len).max())
-        matrix = np.zeros((len(frame), width), np.int64)
-        for i, code in enumerate(frame["code"]):
-            matrix[i, : len(code)] = code
-        query, ids = frame["asks"].to_numpy(bool), frame["vec_id"].to_numpy(np.int64)
-        found: list[tuple] = []
-        if query.any() and not query.all():
-            index, own = ImpactIndex(matrix[~query]), ids[~query]
-            for row, qid in zip(matrix[query], ids[query].tolist(), strict=True):
-                at, scores = index.search(row, k, own, qid)
-                found += zip([qid] * len(at), own[at].tolist(), scores.tolist(), strict=True)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    met = stored.unionByName(asks).groupBy("shard", "block").applyInPandas(run, "query_id long, vec_id long, score long")
+    own = lambda many: F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    stored = codes.withColumn("shard", own(shards)).withColumn("block", each(blocks)).withColumn("asks", F.lit(0))
+    asks = asked.withColumn("block", own(blocks)).withColumn("shard", each(shards)).withColumn("asks", F.lit(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index, ids = None, [], None, None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in ("shard", "block", "asks")])
+            edges = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                part, shard = batch.slice(lo, hi - lo), tuple(place[:2, lo])
+                if shard != at:
+                    at, held, index = shard, [], None
+                if not place[2, lo]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    ids = np.concatenate([h.column("vec_id").to_numpy() for h in held])
+                    width = max(int(h.column("code").value_lengths().to_numpy().max()) for h in held)
+                    index = ImpactIndex(np.concatenate([_matrix(h.column("code"), width) for h in held]))
+                asking = _matrix(part.column("code"), index.vectors.shape[1])[:, : index.vectors.shape[1]]
+                found = [index.search(row, k, ids, own_id) for row, own_id in zip(asking, part.column("vec_id").to_pylist(), strict=True)]
+                who = np.repeat(part.column("vec_id").to_numpy(), [len(rows) for rows, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(ids[np.concatenate([rows for rows, _ in found])], pa.int64()), pa.array(np.concatenate([s for _, s in found]), pa.int64())], ["query_id", "vec_id", "score"])
+
+    met = stored.unionByName(asks).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks").mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -128,7 +159,7 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = SCALE) -> Da
 #: DuckDB: every query against every other vector.
 SQL = r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS code FROM embeddings
-           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 65536)) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.code, v.code)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

@@ -185,6 +185,30 @@ def test_hosts_without_outcomes_are_judged_by_their_domain(spark):
     assert len(new) == 15 + 4 and new["new.bad.com"].n == 0 and new["new.nowhere.xyz"].mean == pytest.approx(180 / 450)
 
 
+def test_verdicts_follow_the_labels(spark):
+    """On the driver's pages: with outcomes turned to bad for the hosts of one domain, its pages without a
+    rule are blocked, those of hosts without outcomes too."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    outcomes = pages.join(labels, pages.page_id == labels.doc_id).select(urls.host_of(F.col("url")).alias("host"), (F.col("quality") == 0).cast("long").alias("bad"))
+    extra = spark.createDataFrame([(900_000, "http://never.seen.example.com/x")], "page_id long, url string")
+    every = pages.select("page_id", "url").union(extra)
+    said = {r.page_id: r for r in urls.judge(every, outcomes).collect()}
+    turned = outcomes.withColumn("bad", F.when(F.col("host").endswith("example.com"), 1).otherwise(F.col("bad")))
+    again = {r.page_id: r for r in urls.judge(every, turned).collect()}
+    free = [i for i, r in said.items() if r.rule is None]
+    assert {said[i].verdict for i in free} == {"allow"}
+    assert all(again[i].verdict == ("block" if again[i].host.endswith("example.com") else "allow") for i in free if again[i].host)
+    assert again[900_000].verdict == "block"
+
+
+def test_beta_shares():
+    draw = np.random.default_rng(1)
+    for a, b, x in ((2.0, 3.0, 0.5), (0.1, 5.0, 0.5), (30.0, 2.0, 0.9), (900.0, 950.0, 0.5), (1e6, 1e6 + 900, 0.5)):
+        assert urls.beta_share(x, np.array([a]), np.array([b]))[0] == pytest.approx((draw.beta(a, b, 200_000) <= x).mean(), abs=0.005)
+    assert urls.beta_share(0.5, np.array([0.0, 3.0]), np.array([3.0, 0.0])).tolist() == [1.0, 0.0]
+
+
 def test_random_keys_are_found_with_few_digits_and_in_paths():
     encoding = secrets._encoding(secrets.default_vocabulary())
     draw = random.Random(4)
@@ -215,6 +239,8 @@ def test_urls(spark):
         (6, "w.org", "/fr/", "org/fr/", "allow"), (7, "", "", None, "allow"), (8, "", "", None, "allow"), (9, "bad.example.com", "/a", None, "block"), (9, "bad.example.com", "/a", None, "block"), (10, "xnet", "/de/", None, "allow"), (11, "h", "", None, "allow"),
         (12, "good.example.com", "", None, "allow"),
     ]
+    long = frame.limit(1).withColumn("url", F.lit("http://a.net/" + "x" * 200_000))
+    assert [(r.host, len(r.path), r.verdict) for r in urls.judge(long, outcomes).collect()] == [("a.net", 200_001, "block")]
     means = {r.host: r for r in urls.reputation(outcomes).collect()}
     assert 0 < means["good.example.com"].mean < 0.2 < means["once.example.com"].mean < means["bad.example.com"].mean < 1
     assert urls.judge(frame.limit(0), outcomes.limit(0)).count() == 0
@@ -224,11 +250,11 @@ def test_urls(spark):
 def test_topk_equals_brute_force(spark):
     draw = np.random.default_rng(5)
     rows = [(i, [float(x) for x in draw.normal(0, 0.2, 8)]) for i in range(300)]
-    rows += [(300, None), (301, []), (302, [float("nan")] * 8), (303, [None] * 8), (304, [float("inf")] + [0.0] * 7), (305, rows[0][1]), (306, [0.5]), (50, rows[7][1]), (None, rows[1][1])]
+    rows += [(300, None), (301, []), (302, [float("nan")] * 8), (303, [None] * 8), (304, [float("inf")] + [0.0] * 7), (305, rows[0][1]), (306, [0.5]), (50, rows[7][1]), (None, rows[1][1]), (400, [1e17, 1.0]), (401, [-65536.0]), (450, [65535.5, -65535.5])]
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, shard string").repartition(3)
     got = [tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     code = {}
-    sound = [(i, np.pad(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int), (0, 8 - len(v)))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    sound = [(i, np.pad(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int), (0, 8 - len(v)))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and max(map(abs, v)) < 65536]
     for i, v in sound:
         code[i] = min(code.get(i, tuple(v)), tuple(v))
     want = []
