@@ -17,7 +17,10 @@ the same word sequence as one that starts in a document of a smaller id.
    first with this passage, all of it is covered.
 
 Word sequences are compared as words, in passages, index and search; hashes only route. Shards are
-of bounded size: as many as the passages' words ask for.
+of bounded size: as many as the passages' words ask for. An anchor whose different passages alone
+would overfill one (a run that very many texts hold in ever other surroundings) is not indexed: its
+windows are dealt out one by one, by 128 bits of their BLAKE2b, and the smallest document of each is
+found by an aggregation.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from .heavy import BlockCounter, Known, frequent
 WINDOW, ANCHOR = 50, 20
 #: Words of passages that a shard should hold, about.
 SHARD_WORDS = 1_500_000
+#: Suffixes of a block in the table of smallest documents.
+RUN = 16
 #: Windows that a passage has at most (a run that repeats itself can keep one anchor for long).
 MOST_WINDOWS = 64
 _TOP = np.uint64(1 << 63)
@@ -83,14 +88,23 @@ class PassageIndex:
         starts = np.append(0, np.cumsum(np.bincount(text, minlength=self.symbols)))[: self.symbols]
         # a symbol's rows less where its path starts on the wavelet's last level
         self.shift = starts - self.wavelet.count(np.arange(self.symbols), np.zeros(self.symbols, np.int64))
-        # the smallest document of every run of 1, 2, 4, ... suffixes, by rank among documents
+        # the smallest document, by rank among documents: of runs of 1, 2, ... RUN suffixes, and of runs
+        # of 1, 2, 4, ... whole blocks of RUN
         self.documents, ranks = np.unique(documents, return_inverse=True) if passages else (np.zeros(1, np.int64), np.zeros(1, np.int64))
-        levels = [ranks.astype(np.int32)[owner[order]] if passages else np.zeros(1, np.int32)]
-        while (half := 1 << (len(levels) - 1)) * 2 <= len(text):
-            last = levels[-1].copy()
+        own = ranks.astype(np.int32)[owner[order]] if passages else np.zeros(1, np.int32)
+        self.size, self.within = len(text), self._minima(own, RUN.bit_length())
+        blocks = np.minimum.reduceat(own, np.arange(0, self.size, RUN))
+        self.count, self.over = len(blocks), self._minima(blocks, len(blocks).bit_length())
+
+    @staticmethod
+    def _minima(values: np.ndarray, levels: int) -> np.ndarray:
+        """The minima of the runs of 2**level values that start at each, level by level."""
+        out = [values]
+        for level in range(1, levels):
+            half, last = 1 << (level - 1), out[-1].copy()
             np.minimum(last[:-half], last[half:], out=last[:-half])
-            levels.append(last)
-        self.least, self.size = np.concatenate(levels), len(text)
+            out.append(last)
+        return np.concatenate(out)
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
@@ -116,11 +130,21 @@ class PassageIndex:
         return found[: len(low)], found[len(low) :]
 
     def smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The smallest document in each interval; the largest number where it is empty."""
+        """The smallest document in each interval; the largest number where it is empty.
+
+        Two overlapping runs cover an interval of up to 2 * RUN; a longer one is its first and last RUN
+        and the whole blocks between.
+        """
         width = high - low
-        level = np.frexp(np.maximum(width, 1).astype(np.float64))[1].astype(np.int64) - 1
+        level = np.minimum(np.frexp(np.maximum(width, 1).astype(np.float64))[1].astype(np.int64) - 1, RUN.bit_length() - 1)
         row = level * self.size
-        least = np.minimum(self.least[row + np.minimum(low, self.size - 1)], self.least[row + np.maximum(high - (1 << level), 0)])
+        least = np.minimum(self.within[row + np.minimum(low, self.size - 1)], self.within[row + np.maximum(high - (1 << level), 0)])
+        wide = np.flatnonzero(width > 2 * RUN)
+        if len(wide):
+            first, last = -(-low[wide] // RUN), high[wide] // RUN
+            level = np.frexp((last - first).astype(np.float64))[1].astype(np.int64) - 1
+            row = level * self.count
+            least[wide] = np.minimum(least[wide], np.minimum(self.over[row + first], self.over[row + last - (1 << level)]))
         return np.where(width > 0, self.documents[least], np.iinfo(np.int64).max)
 
 
@@ -294,6 +318,24 @@ def _reported(distinct: DataFrame, shards: int, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "digest binary, first long, spans array<int>")
 
 
+def _by_window(distinct: DataFrame, window: int) -> DataFrame:
+    """What :func:`_reported` tells, of passages of any number, window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 256):
+            rows = []
+            for digest, body, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = body.split(b" ")
+                rows += [(digest, first, i, hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()) for i in range(len(words) - window + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.binary()))], ["digest", "first", "at", "window"])
+
+    windows = cut(distinct.select("digest", "body", "first").mapInArrow(run, "digest binary, first long, at int, window binary"), "windows")
+    smallest = windows.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("window", "least")
+    covered = windows.join(smallest, "window").filter("least < first")
+    found = covered.groupBy("digest", "first").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + window))).alias("spans"))
+    return windows.select("digest", "first").distinct().join(found, ["digest", "first"], "left").select("digest", "first", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id and spans (array of first and last + 1 word numbers, in turn) of documents with covered
     words. Rows with a null doc_id take no part."""
@@ -308,7 +350,12 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     parts = cut(_cut_out(own, kept, window), "bodies")
     distinct = parts.groupBy("anchor", "digest", "body").agg(F.min("doc_id").alias("first"))
     shards = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
-    told = cut(_reported(distinct, shards, window), "told")
+    sizes = parts.groupBy("anchor", "digest").agg(F.max("words").alias("words")).groupBy("anchor").agg(F.sum("words").alias("words"))
+    wide = cut(sizes.filter(F.col("words") > SHARD_WORDS).select("anchor"), "wide")
+    told = _reported(distinct.join(small(wide), "anchor", "left_anti"), shards, window)
+    if not wide.isEmpty():
+        told = told.unionByName(_by_window(distinct.join(small(wide), "anchor", "left_semi"), window))
+    told = cut(told, "told")
     back = parts.select("doc_id", "start", "words", "digest").join(told, "digest")
     spans = F.when(F.col("doc_id") > F.col("first"), F.array(F.lit(0), F.col("words"))).otherwise(F.col("spans"))
     moved = back.withColumn("spans", spans).filter(F.size("spans") > 0).select("doc_id", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))

@@ -180,7 +180,9 @@ def test_substring_dedup_on_hard_cases(spark):
     assert substring_dedup.remove_repeats(no_docs(spark)).count() == 0
 
 
-def test_substring_dedup_of_shared_passages(spark):
+@pytest.mark.parametrize("shard", [1_500_000, 300])
+def test_substring_dedup_of_shared_passages(spark, monkeypatch, shard):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     draw = random.Random(8)
     passages = [prose(s, draw.randrange(40, 130)) for s in range(12)]
     texts = []
@@ -193,6 +195,18 @@ def test_substring_dedup_of_shared_passages(spark):
     assert sorted(map(tuple, substring_dedup.remove_repeats(spark.createDataFrame(loop, "doc_id long, text string")).collect())) == removed(loop, 50)
 
 
+def test_smallest_documents_of_intervals():
+    draw = np.random.default_rng(2)
+    passages, documents = [draw.integers(1, 40, draw.integers(5, 90)) for _ in range(60)], draw.integers(0, 30, 60)
+    index = substring_dedup.PassageIndex(passages, documents)
+    text = np.concatenate([x for p in passages for x in (p, [0])])
+    own = documents[np.repeat(np.arange(60), [len(p) + 1 for p in passages])[index._suffixes(text)]]
+    low = draw.integers(0, index.size, 3000)
+    high = np.minimum(index.size, low + draw.integers(0, index.size, 3000) // draw.integers(1, 200, 3000))
+    want = [own[a:b].min() if a < b else np.iinfo(np.int64).max for a, b in zip(low, high, strict=True)]
+    assert index.smallest(low, high).tolist() == want
+
+
 def test_wavelet_counts_and_backward_search():
     draw = np.random.default_rng(1)
     symbols = draw.integers(0, 11, 700)
