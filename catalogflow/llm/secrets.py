@@ -30,7 +30,11 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 KNOWN = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/=_-]+|(.{1,4}?)\1{3,}.{0,3}")  # the last: one short piece again and again
 PART = re.compile(r"[A-Za-z0-9]+")
-LEAST, SHORT, MOST_PER_TOKEN = 16, 3, 2.2
+WORDLIKE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Characters a token, at most, of what counts as random. Under the vocabulary of PATTERN_FILE, random strings
+#: of 16 characters and more have 1.3 (letters and digits) to 1.7 (letters of one case), 95 % of them at
+#: most 2.0; invented words of other languages begin at 2.0, so what looks like a word must be below that.
+LEAST, SHORT, MOST_PER_TOKEN, MOST_PER_TOKEN_WORD = 16, 3, 2.2, 1.9
 
 PATTERN_FILE = "byte_bpe_50k.tiktoken"
 
@@ -67,7 +71,7 @@ def random_spans(text: str, encoding, taken: list[tuple[int, int, int]]) -> list
     """Runs, or neighbouring parts of a run, of few characters a token, but for known forms and what a
     base span already covers. Every run is measured whole; if that says nothing, what remains of it
     between the parts that are words, numbers or digests."""
-    few = lambda piece: len(piece) <= MOST_PER_TOKEN * len(encoding.encode_ordinary(piece))
+    few = lambda piece: len(piece) <= (MOST_PER_TOKEN_WORD if WORDLIKE.fullmatch(piece) else MOST_PER_TOKEN) * len(encoding.encode_ordinary(piece))
     free = lambda lo, hi: not any(s < hi and lo < e for s, _, e in taken)
     found = []
     for m in RUN.finditer(text):
@@ -106,7 +110,8 @@ def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     n_access, n_hex, base_sha256, spans (base and random ones as kind:start:end in code points, end
     exclusive, by start and then kind) and n_random.
 
-    A null text is the empty one: no spans. Repeated rows give repeated rows.
+    A null text is the empty one: no spans. Repeated rows give repeated rows, an empty table none; a null
+    doc_id is returned as it is. Texts of any length are scanned whole, one at a time.
     """
     path = vocabulary or default_vocabulary()
 
