@@ -7,6 +7,7 @@ each pair meets once and the join shuffles by (keys, bucket) and spreads hot key
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -91,6 +92,37 @@ def grid_pairs(points: DataFrame, *, id: str, coords: Sequence[str], reach: floa
     return joined.withColumn("apart", apart).filter(F.col("apart") <= reach)
 
 
+def nearest_neighbour(points: DataFrame, *, id: str, coords: Sequence[str]) -> DataFrame:
+    """id, neighbour and apart: the nearest other point of each, ties to the smaller id; none if it is alone.
+
+    Points meet those of the cells round their own. A neighbour not further than a cell's width is
+    proven; the others go on with cells of twice the width, at last one cell for all.
+    """
+    own = points.select(id, *coords).checkpoint()
+    box = own.agg(F.count("*").alias("n"), *(f(c) for c in coords for f in (F.min, F.max))).first()
+    spans = [max(1e-12, float(box[2 + 2 * i] - box[1 + 2 * i])) for i in range(len(coords))] if box.n else []
+    if box.n < 2:
+        return own.select(id, F.col(id).alias("neighbour"), F.lit(0.0).alias("apart")).limit(0)
+    width = min(max(spans), (math.prod(spans) * 2 / box.n) ** (1 / len(coords))) or 1e-12
+    other = own.select(F.col(id).alias("neighbour"), *(F.col(c).alias(f"__{c}") for c in coords))
+    apart = F.sqrt(sum((F.pow(F.col(c) - F.col(f"__{c}"), 2) for c in coords), F.lit(0.0)))
+    open_, found = own, None
+    while True:
+        last = width > max(spans)
+        a, b = open_, other
+        for i, c in enumerate(coords):
+            a = a.withColumn(f"__c{i}", F.lit(0) if last else F.explode(F.array(*(F.floor(F.col(c) / width) + k for k in (-1, 0, 1)))))
+            b = b.withColumn(f"__c{i}", F.lit(0) if last else F.floor(F.col(f"__{c}") / width))
+        pairs = a.join(b, [f"__c{i}" for i in range(len(coords))]).filter(F.col(id) != F.col("neighbour"))
+        best = pairs.groupBy(id).agg(F.min(F.struct(apart.alias("apart"), "neighbour")).alias("s")).select(id, "s.neighbour", "s.apart")
+        best = (best if last else best.filter(F.col("apart") <= width)).checkpoint()
+        found = best if found is None else found.union(best)
+        open_ = open_.join(best, id, "left_anti").checkpoint()
+        if last or open_.isEmpty():
+            return found
+        width *= 2
+
+
 def tagged(frame: DataFrame, suffix: str, keep: Sequence[str]) -> DataFrame:
     """``frame`` with a suffix on all columns but ``keep`` (for joins of twins)."""
     return frame.select(*[F.col(c) if c in keep else F.col(c).alias(c + suffix) for c in frame.columns])

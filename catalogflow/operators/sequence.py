@@ -8,8 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.time import DAY_US
 from . import joins as jn
+from . import windows as wn
 
 
 def best_offset(left: DataFrame, right: DataFrame, *, at: str, time: str, offsets: Sequence[int], reach: int) -> int:
@@ -25,7 +28,11 @@ def best_offset(left: DataFrame, right: DataFrame, *, at: str, time: str, offset
 
 def aligned(left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_id: str, at: str, right_id: str, time: str, tolerance: int) -> DataFrame:
     """One-to-one pairs in time order: both lists are walked once; a pair within the tolerance is taken,
-    else the earlier side moves on. Each key's lists are one group, so keys should be days or stations."""
+    else the earlier side moves on.
+
+    A gap of more than the tolerance in the times of both lists together parts the walk: no pair spans it.
+    So each key's rows are cut there into runs (by days and carried counts), and a run is one group.
+    """
     a = left.select(*keys, F.col(left_id).alias("id"), F.col(at).alias("t"), F.lit(0).alias("side"))
     b = right.select(*keys, F.col(right_id).alias("id"), F.col(time).alias("t"), F.lit(1).alias("side"))
 
@@ -48,17 +55,24 @@ def aligned(left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_id:
         return pairs[[*keys, "left_id", "right_id"]]
 
     fields = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
-    return a.union(b).groupBy(*keys).applyInPandas(run, f"{fields}, left_id long, right_id long")
+    both = a.union(b).withColumn("o", F.col("id") * 2 + F.col("side"))
+    both = wn.previous(both, keys=keys, at="t", id="o", width=max(tolerance, DAY_US), value="t", name="__t")
+    opens = F.when(F.col("t") - F.col("__t") <= tolerance, 0).otherwise(1)
+    both = wn.carried(both, keys=keys, at="t", id="o", width=max(tolerance, DAY_US), sums={"__run": opens}).drop("__run_all", "__t", "o")
+    return both.groupBy(*keys, "__run").applyInPandas(run, f"{fields}, left_id long, right_id long")
 
 
-def nudged(rows: DataFrame, *, keys: Sequence[str], id: str, at: str, step: int) -> DataFrame:
+def nudged(rows: DataFrame, *, keys: Sequence[str], id: str, at: str, step: int, width: int) -> DataFrame:
     """``moved``: times made strictly increasing, each at least ``step`` after the one before it.
 
-    moved_i = max over j <= i of (t_j + (i - j) * step), which is a running maximum, so no loop over
-    rows is needed.
+    moved_i = max over j <= i of (t_j + (i - j) * step), a running maximum of t_j - j * step. It runs
+    within buckets of ``width``, from the number of rows and the maximum that the buckets before carry.
     """
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*keys).orderBy(at, id)
-    k = rows.withColumn("__i", F.row_number().over(w))
-    return k.withColumn("moved", F.max(F.col(at) - F.col("__i") * step).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__i") * step).drop("__i")
+    numbered = wn.carried(rows, keys=keys, at=at, id=id, width=width, sums={"__i": F.lit(1).cast("long")}).drop("__i_all")
+    own = numbered.withColumn("__lead", F.col(at) - F.col("__i") * step).withColumn("__b", F.floor(F.col(at) / width))
+    tops = own.groupBy(*keys, "__b").agg(F.max("__lead").alias("__top"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "__b", F.max("__top").over(before).alias("__carried"))
+    within = Window.partitionBy(*keys, "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    run = own.withColumn("__top", F.max("__lead").over(within)).join(tops, [*keys, "__b"])
+    return run.withColumn("moved", F.greatest("__top", "__carried") + F.col("__i") * step).drop("__b", "__i", "__lead", "__top", "__carried")

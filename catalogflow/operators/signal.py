@@ -35,18 +35,6 @@ def lag_correlation(a: np.ndarray, b: np.ndarray, most: int) -> tuple[float, flo
     return float(part[k]), float(k - most + shift), float(full[mid])
 
 
-def correlations(traces: DataFrame, *, id: str, data: str, block: str) -> DataFrame:
-    """a, b (a < b) and cc at lag 0 of all traces of one block. Traces of length 0 norm give null.
-
-    Pairs come from a join on the block; the products stay in generated code.
-    """
-    v = F.col(data).cast("array<double>")
-    own = traces.select(F.col(id).alias("i"), F.col(block).alias("k"), v.alias("v")).withColumn("n", norm(F.col("v")))
-    a, b = own.select("k", F.col("i").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), own.select("k", F.col("i").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, "k").filter("a < b").select("a", "b", F.when(F.col("na") * F.col("nb") > 0, dot / (F.col("na") * F.col("nb"))).alias("cc"))
-
-
 def band_power(traces: DataFrame, *, id: str, data: str, rate: float, low: float, high: float, segment: int) -> DataFrame:
     """id and db: ten times the log10 of the mean spectral power in a band, the median over half-
     overlapping tapered segments."""

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import windows as wn
+
 LN10 = math.log(10)
 
 
@@ -35,10 +37,11 @@ def b_value(magnitude: Column, mc: Column, width: float = 0.1) -> Column:
     return 1 / (LN10 * (F.avg(magnitude) - (F.first(mc) if isinstance(mc, Column) else F.lit(mc)) + width / 2))
 
 
-def b_positive(events: DataFrame, *, magnitude: str, at: str, id: str, keys: Sequence[str] = (), least: float = 0.1) -> DataFrame:
-    """b from the positive differences of successive magnitudes."""
-    d = F.col(magnitude) - F.lag(magnitude).over(Window.partitionBy(*keys).orderBy(at, id))
-    return events.withColumn("d", F.round(d, 6)).filter(F.col("d") >= least).groupBy(*keys).agg(F.count("*").alias("n"), (1 / (LN10 * (F.avg("d") - least + 0.05))).alias("b"))
+def b_positive(events: DataFrame, *, magnitude: str, at: str, id: str, width: int, keys: Sequence[str] = (), least: float = 0.1) -> DataFrame:
+    """b from the positive differences of successive magnitudes, which run in buckets of ``width``."""
+    own = wn.previous(events, keys=keys, at=at, id=id, width=width, value=magnitude, name="__before")
+    d = own.withColumn("d", F.round(F.col(magnitude) - F.col("__before"), 6)).filter(F.col("d") >= least)
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), (1 / (LN10 * (F.avg("d") - least + 0.05))).alias("b"))
 
 
 def circular(phase: Column) -> list[Column]:
@@ -103,3 +106,32 @@ def spread(rows: DataFrame, *, keys: Sequence[str], x: str, y: str, z: str) -> D
     """Root mean square distance from the centroid in the plane, sample deviation of depth."""
     c = rows.groupBy(*keys).agg(F.avg(x).alias("__x"), F.avg(y).alias("__y"))
     return rows.join(c, list(keys)).groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col(x) - F.col("__x"), 2) + F.pow(F.col(y) - F.col("__y"), 2))).alias("rms"), F.stddev_samp(z).alias("depth_std"), F.count("*").alias("n"))
+
+
+def family_class(events: DataFrame, *, keys: Sequence[str], magnitude: str, at: str, id: str) -> DataFrame:
+    """n, log_moment, share (of the moment, by the largest event), before and after (shares of the events
+    before and after it) and kind of each family: swarm below a share of 0.4, foreshock_mainshock_aftershock
+    or mainshock_aftershock from 0.6 on (with 0.15 of the events before it or not), else mixed."""
+    moment = F.pow(F.lit(10.0), 1.5 * F.col(magnitude) + 9.1)
+    main = events.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(moment).alias("__m"), F.max(moment).alias("__top"), F.max(F.struct(F.col(magnitude).alias("m"), (-F.col(id)).alias("i"), F.col(at).alias("t"))).alias("__s"))
+    main = main.withColumn("__t", F.col("__s.t")).drop("__s")
+    share = F.first("__top") / F.first("__m")
+    before, after = F.avg(F.when(F.col(at) < F.col("__t"), 1.0).otherwise(0.0)), F.avg(F.when(F.col(at) > F.col("__t"), 1.0).otherwise(0.0))
+    found = events.join(main, list(keys)).groupBy(*keys, "n").agg(F.log10(F.first("__m")).alias("log_moment"), share.alias("share"), before.alias("before"), after.alias("after"))
+    kind = F.when(F.col("share") < 0.4, "swarm").when(F.col("share") < 0.6, "mixed").when(F.col("before") >= 0.15, "foreshock_mainshock_aftershock").otherwise("mainshock_aftershock")
+    return found.withColumn("kind", kind)
+
+
+def omori(events: DataFrame, *, keys: Sequence[str], magnitude: str, days: str, id: str, bins: int = 7, least: int = 8) -> DataFrame:
+    """n (events after the largest one) and p of each family: minus the slope of the log10 rate over the
+    log10 middle of ``bins`` bins, equal in log10 from the first to the last time after the largest event (0.001
+    days at least). Null under ``least`` events or three bins with any."""
+    main = events.groupBy(*keys).agg(F.max(F.struct(F.col(magnitude).alias("m"), (-F.col(id)).alias("i"), F.col(days).alias("t"))).alias("s")).select(*keys, F.col("s.t").alias("__t"))
+    later = events.join(main, list(keys)).withColumn("t", F.col(days) - F.col("__t")).filter("t > 0")
+    span = later.groupBy(*keys).agg(F.count("*").alias("n"), F.log10(F.greatest(F.min("t"), F.lit(1e-3))).alias("lo"), F.log10(F.max("t")).alias("hi"))
+    span = span.withColumn("w", (F.col("hi") - F.col("lo")) / bins).filter((F.col("n") >= least) & (F.col("w") > 0))
+    k = F.least(F.floor((F.log10("t") - F.col("lo")) / F.col("w") + 1e-12), F.lit(bins - 1))
+    counts = later.select(*keys, "t").join(span, list(keys)).withColumn("k", k).filter("k >= 0").groupBy(*keys, "n", "lo", "w", "k").agg(F.count("*").alias("c"))
+    edge = lambda shift: F.pow(F.lit(10.0), F.col("lo") + (F.col("k") + shift) * F.col("w"))
+    rated = counts.withColumn("y", F.log10(F.col("c") / (edge(1) - edge(0)))).withColumn("x", F.col("lo") + (F.col("k") + 0.5) * F.col("w"))
+    return rated.groupBy(*keys, "n").agg(F.when(F.count("*") >= 3, -F.regr_slope("y", "x")).alias("p"))

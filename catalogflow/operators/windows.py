@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,12 +46,72 @@ def with_epochs(rows: DataFrame, *, key: str, start: str, end: str) -> DataFrame
 
 
 def rolling_percentiles(frame: DataFrame, *, keys: Sequence[str], at: str, value: str, width: int, shares: Sequence[float], least: int, names: Sequence[str]) -> DataFrame:
-    """Exact percentiles over (at - width, at] of the same keys; null under ``least`` values."""
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-(width - 1), 0)
-    out = frame
-    for share, name in zip(shares, names, strict=True):
-        out = out.withColumn(name, F.when(F.count(value).over(w) >= least, F.percentile(value, share).over(w)))
-    return out
+    """Exact percentiles over (at - width, at] of the same keys; null under ``least`` values.
+
+    Time is cut into buckets of the width, and a row goes to its own bucket and the next, so a task holds
+    two widths of one key and a hot key spreads over time. There a sorted list takes in and lets go
+    one value at a time.
+    """
+    own = frame.withColumn("__b", F.floor(F.col(at) / width))
+    dealt = own.withColumn("__to", F.explode(F.array(F.col("__b"), F.col("__b") + 1)))
+    kinds = [(f.name, f.dataType.simpleString()) for f in frame.schema.fields]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(at, kind="stable")
+        t, v, mine = rows[at].to_numpy(np.int64), rows[value].to_numpy(float), (rows["__b"] == rows["__to"]).to_numpy()
+        out = np.full((len(shares), len(rows)), np.nan)
+        held: list[float] = []
+        head = tail = 0
+        while head < len(t):
+            now = t[head]
+            last = int(np.searchsorted(t, now, "right"))
+            for x in v[head:last]:
+                if x == x:
+                    bisect.insort(held, x)
+            while t[tail] <= now - width:
+                if v[tail] == v[tail]:
+                    del held[bisect.bisect_left(held, v[tail])]
+                tail += 1
+            if mine[head] and len(held) >= least:
+                for k, share in enumerate(shares):
+                    place = share * (len(held) - 1)
+                    low = int(place)
+                    high = min(low + 1, len(held) - 1)
+                    out[k, head:last] = held[low] + (held[high] - held[low]) * (place - low)
+            head = last
+        found = rows[[n for n, _ in kinds]].assign(**dict(zip(names, out, strict=True)))[mine]
+        return found
+
+    fields = ", ".join(f"`{n}` {kind}" for n, kind in [*kinds, *((n, "double") for n in names)])
+    found = dealt.groupBy(*keys, "__to").applyInPandas(run, fields)
+    return found.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+
+
+def carried(frame: DataFrame, *, keys: Sequence[str], at: str, id: str, width: int, sums: Mapping[str, Column]) -> DataFrame:
+    """``frame`` with, for each name of ``sums``, the running sum by (at, id) of its column over equal keys,
+    and ``<name>_all``, the sum of all.
+
+    Few keys would be few tasks. So rows run within buckets of ``width``, and each bucket starts from what
+    those before it add up to, a window over one row a bucket.
+    """
+    own = frame.withColumn("__b", F.floor(F.col(at) / width)).withColumns({f"__{n}": c for n, c in sums.items()})
+    totals = own.groupBy(*keys, "__b").agg(*(F.sum(f"__{n}").alias(f"__{n}_in") for n in sums))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "__b", *(F.coalesce(F.sum(f"__{n}_in").over(before), F.lit(0)).alias(f"__{n}_0") for n in sums), *(F.sum(f"__{n}_in").over(Window.partitionBy(*keys)).alias(f"{n}_all") for n in sums))
+    within = Window.partitionBy(*keys, "__b").orderBy(at, id).rowsBetween(Window.unboundedPreceding, 0)
+    run = own.withColumns({n: F.sum(f"__{n}").over(within) for n in sums}).join(starts, [*keys, "__b"])
+    return run.withColumns({n: F.col(n) + F.col(f"__{n}_0") for n in sums}).drop("__b", *(f"__{n}{x}" for n in sums for x in ("", "_0")))
+
+
+def previous(frame: DataFrame, *, keys: Sequence[str], at: str, id: str, width: int, value: str, name: str) -> DataFrame:
+    """``frame`` with ``name``: ``value`` of the row before, by (at, id), of equal keys; by buckets as in
+    :func:`carried`: the first row of a bucket takes the last row of the buckets before."""
+    own = frame.withColumn("__b", F.floor(F.col(at) / width))
+    lasts = own.groupBy(*keys, "__b").agg(F.max(F.struct(F.col(at).alias("at"), F.col(id).alias("id"), F.col(value).alias("value"))).alias("__s"))
+    before = lasts.select(*keys, "__b", F.lag("__s.value").over(Window.partitionBy(*keys).orderBy("__b")).alias("__v"))
+    within = Window.partitionBy(*keys, "__b").orderBy(at, id)
+    run = own.withColumn("__k", F.row_number().over(within)).withColumn(name, F.lag(value).over(within)).join(before, [*keys, "__b"])
+    return run.withColumn(name, F.when(F.col("__k") == 1, F.col("__v")).otherwise(F.col(name))).drop("__b", "__k", "__v")
 
 
 def centred_median(frame: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: str, before: int, after: int, least: int, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Pipelines that recover picks for located events, and kernels that look back over a catalog."""
+"""Pipelines that recover picks for located events."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from ..functions import geo
 from ..operators import joins as jn
 from ..operators import windows as wn
 
+
 def nearest_stations(events: DataFrame, stations: DataFrame, *, n: int, id: str = "id", event: str = "idx") -> DataFrame:
     """The ``n`` stations (slat, slon) nearest to each event (lat, lon), all columns and ``km``; ties go to
     the smaller id.
@@ -73,13 +74,3 @@ def augment(events: DataFrame, assigned: DataFrame, stations: DataFrame, picks:
     new = wn.first_by(clear, ["idx", "station", "phase"], [F.abs("residual"), F.col("pick_id")])
     old = assigned.withColumn("source", F.lit("associated"))
     return old.unionByName(new.withColumn("source", F.lit("augmented")), allowMissingColumns=True), decided
-
-
-def intensity(events: DataFrame, *, t: str, m: str, mu: float, k: float, alpha_ln10: float, c: float, p: float, reference: float, reach: int) -> DataFrame:
-    """``rate``: mu plus what each earlier event within ``reach`` days adds,
-    k * 10^(alpha (m - reference)) * (dt + c)^-p. Days are joined by buckets of the reach."""
-    late = events.withColumn("__at", F.col(t)).select(F.col(t).alias("__t"), F.explode(F.array(F.floor(F.col(t) / reach), F.floor(F.col(t) / reach) - 1)).alias("__b")).distinct()
-    early = events.select(F.col(t).alias("__s"), F.col(m).alias("__m"), F.floor(F.col(t) / reach).alias("__b"))
-    adds = late.join(early, "__b").filter((F.col("__s") < F.col("__t")) & (F.col("__s") >= F.col("__t") - reach))
-    total = adds.groupBy("__t").agg(F.sum(k * F.pow(F.lit(10.0), alpha_ln10 * (F.col("__m") - reference)) * F.pow(F.col("__t") - F.col("__s") + c, F.lit(-p))).alias("__sum"))
-    return events.join(total, F.col(t) == F.col("__t"), "left").withColumn("rate", mu + F.coalesce("__sum", F.lit(0.0))).drop("__t", "__sum")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, text
 from ..functions import time as tm
+from ..operators import blocks
 from ..operators import joins as jn
 from ..operators import windows as wn
 from .registry import catalog, epochs, located, origins, picks, query, r6, readings, stations, table, with_
@@ -328,10 +329,11 @@ def j27(s, d):
     return o.select("idx").join(hit, "idx", "left").select("idx", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-@query("j28_by_key_not_position", "SELECT o_orderkey AS idx, o_custkey AS member FROM orders")
+@query("j28_by_key_not_position", "SELECT c_custkey AS idx, c_name AS name, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def j28(s, d):
-    o = table(s, d, "orders")
-    return o.select(F.col("o_orderkey").alias("idx")).join(o.select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("member")), "idx")
+    """Two relations in different orders, one with members missing, meet by key."""
+    members = table(s, d, "orders").groupBy(F.col("o_custkey").alias("idx")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "idx")
+    return table(s, d, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("name")).join(members, "idx", "left")
 
 
 @query("j29_component_support", "SELECT user_id, count(DISTINCT event_type) AS n, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS support FROM events WHERE event_type IN ('view', 'click', 'error') AND value > 100 GROUP BY 1")
@@ -394,14 +396,15 @@ def w10(s, d):
 
 @query("w11_cumulative", with_("catalog", "SELECT idx, zone, count(*) OVER w AS n, round(sum(power(10.0, 1.5 * mag + 9.1)) OVER w / sum(power(10.0, 1.5 * mag + 9.1)) OVER (PARTITION BY zone), 6) AS share FROM catalog WINDOW w AS (PARTITION BY zone ORDER BY us, idx ROWS UNBOUNDED PRECEDING)"))
 def w11(s, d):
-    w = Window.partitionBy("zone").orderBy("us", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    m = geo.moment_nm(F.col("mag"))
-    return catalog(s, d).withColumn("m", m).select("idx", "zone", F.count("*").over(w).alias("n"), r6(F.sum("m").over(w) / F.sum("m").over(Window.partitionBy("zone")), "share"))
+    c = catalog(s, d).select("idx", "zone", "us", geo.moment_nm(F.col("mag")).alias("moment"))
+    r = wn.carried(c, keys=["zone"], at="us", id="idx", width=30 * tm.DAY_US, sums={"n": F.lit(1).cast("long"), "m": F.col("moment")})
+    return r.select("idx", "zone", "n", r6(F.col("m") / F.col("m_all"), "share"))
 
 
 @query("w13_interval", with_("catalog", "SELECT idx, us - lag(us) OVER (PARTITION BY zone ORDER BY us, idx) AS dt FROM catalog"))
 def w13(s, d):
-    return catalog(s, d).select("idx", (F.col("us") - F.lag("us").over(Window.partitionBy("zone").orderBy("us", "idx"))).alias("dt"))
+    p = wn.previous(catalog(s, d).select("idx", "zone", "us"), keys=["zone"], at="us", id="idx", width=30 * tm.DAY_US, value="us", name="before")
+    return p.select("idx", (F.col("us") - F.col("before")).alias("dt"))
 
 
 @query("w14_relabel_by_size", "SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) AS label FROM events GROUP BY 1")
@@ -461,12 +464,19 @@ def w22(s, d):
     return wn.changes(x, keys=["unit"], at="o", value="shape").filter("shape <> previous").select("event_idx", "line")
 
 
-@query("w24_intensity", with_("catalog", ", d AS (SELECT us / 8.64e10 AS t, count(*) AS n, max(mag) AS m FROM catalog GROUP BY 1) SELECT a.t, round(0.1 + coalesce(sum(0.5 * power(10.0, b.m - 5) * power(a.t - b.t + 0.01, -1.1)), 0), 6) AS rate FROM d a LEFT JOIN d b ON b.t < a.t AND b.t >= a.t - 90 GROUP BY 1"))
+KERNEL = {"mu": 0.1, "k": 0.5, "alpha_ln10": 1.0, "c": 0.01, "p": 1.1, "reference": 5.0}
+
+
+@query("w24_intensity", with_("catalog", ", d AS (SELECT us / 8.64e10 AS t, sum(0.5 * power(10.0, mag - 5)) AS w FROM catalog GROUP BY 1) SELECT a.t, round(0.1 + coalesce(sum(b.w * power(a.t - b.t + 0.01, -1.1)), 0), 6) AS rate FROM d a LEFT JOIN d b ON b.t < a.t GROUP BY 1"))
 def w24(s, d):
-    days = catalog(s, d).groupBy((F.col("us") / 8.64e10).cast("double").alias("t")).agg(F.max("mag").alias("m"))
-    from .augment import intensity
+    events = catalog(s, d).select((F.col("us") / 8.64e10).alias("t"), "mag")
+    return blocks.excitation(events, t="t", m="mag", **KERNEL).select("t", r6(F.col("rate"), "rate"))
+
 
-    return intensity(days, t="t", m="m", mu=0.1, k=0.5, alpha_ln10=1.0, c=0.01, p=1.1, reference=5.0, reach=90).select("t", r6(F.col("rate"), "rate"))
+@query("w24_compensator", with_("catalog", ", e AS (SELECT us / 8.64e10 AS t, mag, max(us / 8.64e10) OVER () AS t1, min(us / 8.64e10) OVER () AS t0 FROM catalog) SELECT count(*) AS n, round(0.1 * any_value(t1 - t0) + sum(0.5 * power(10.0, mag - 5) * (power(0.01, -0.1) - power(t1 - t + 0.01, -0.1)) / 0.1), 4) AS expected FROM e"))
+def w24b(s, d):
+    events = catalog(s, d).select((F.col("us") / 8.64e10).alias("t"), "mag")
+    return blocks.compensator(events, t="t", m="mag", **KERNEL).select("n", F.round("expected", 4).alias("expected"))
 
 
 @query("w25_gain_change", with_("readings", ", g AS (SELECT unit, year(ts) AS y, quantile_cont(ml, 0.5) AS g FROM readings GROUP BY ALL), x AS (SELECT *, lag(g) OVER (PARTITION BY unit ORDER BY y) AS p FROM g) SELECT unit, y FROM x WHERE abs(g - p) > 0.05"))

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import time as tm
 from ..operators import associate as asc
-from ..operators import clusters, families, graph, rates, sequence, stats
+from ..operators import blocks, clusters, families, graph, rates, sequence, stats
 from ..operators import joins as jn
-from ..operators.signal import correlations
 from ..streaming import windows as sw
-from .queries_stats import DAYS
+from .queries_stats import ALL, UNITS
 from .registry import catalog, origins, picks, query, r6, readings, table, with_
 
-PARENTS = DAYS + ", e AS (SELECT c.idx, o.idx AS parent, log10(c.t - o.t) - 0.5 * o.m + 1.6 * log10(greatest(sqrt((c.x - o.x) ** 2 + (c.y - o.y) ** 2), 0.01)) - 0.5 * o.m AS e FROM n c JOIN n o ON o.t < c.t AND o.t >= c.t - 200), par AS (SELECT idx, arg_min(parent, e) AS parent, min(e) AS log_eta FROM e GROUP BY 1), edge AS (SELECT idx AS child, parent FROM par WHERE log_eta < -2.5), chain AS (SELECT idx, idx AS top FROM n UNION ALL SELECT chain.idx, edge.parent FROM chain JOIN edge ON edge.child = chain.top), fam AS (SELECT idx, min(idx) OVER (PARTITION BY top) AS family FROM chain WHERE top NOT IN (SELECT child FROM edge))"
+PARENTS = ALL + ", edge AS MATERIALIZED (SELECT idx AS child, parent FROM par WHERE log_eta < -2.5), chain AS (SELECT idx, idx AS top FROM n UNION ALL SELECT chain.idx, edge.parent FROM chain JOIN edge ON edge.child = chain.top), fam AS (SELECT idx, min(idx) OVER (PARTITION BY top) AS family FROM chain WHERE top NOT IN (SELECT child FROM edge))"
 
 
 def day_events(s, d):
@@ -65,15 +64,23 @@ CC = "WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(
 
 @query("c11_single_linkage", CC)
 def c11(s, d):
+    return linked_vectors(s, d)[1]
+
+
+def linked_vectors(s, d, least=0.25):
+    """Pairs of a label that reach a similarity, and the families that they make."""
     e = table(s, d, "embeddings")
-    return families.single_linkage(correlations(e, id="vec_id", data="embedding", block="label"), e.select("vec_id"), least=0.25, id="vec_id")
+    pairs = blocks.similar(e, id="vec_id", data="embedding", keys=["label"], least=0.1).withColumn("cc", F.col("cc0")).checkpoint()
+    return pairs, families.single_linkage(pairs, e.select("vec_id"), least=least, id="vec_id")
 
 
 @query("c11_average_linkage")
 def c11b(s, d):
-    e = table(s, d, "embeddings")
-    pairs = correlations(e, id="vec_id", data="embedding", block="label").filter("cc >= 0.1")
-    return families.average_linkage(pairs.join(e.select(F.col("vec_id").alias("a"), "label"), "a"), keys=["label"], least=0.25)
+    """Within the single-linkage families of the same cut, which average linkage refines."""
+    pairs, found = linked_vectors(s, d)
+    a, b = (found.select(F.col("vec_id").alias(x), F.col("family").alias(f"f{x}")) for x in "ab")
+    own = pairs.join(a, "a").join(b, "b").filter("fa = fb").withColumnRenamed("fa", "family")
+    return families.average_linkage(own, keys=["family"], least=0.25)
 
 
 @query("c15_thinned", with_("catalog", "SELECT idx FROM catalog WHERE ('0x' || substr(sha256('thin:0:' || idx), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < least(1.0, 2.5 / mag)"))
@@ -108,14 +115,14 @@ def a25b(s, d):
 def a32(s, d):
     e = table(s, d, "embeddings")
     m = e.select("vec_id", "label", (F.col("vec_id") * 7 % 24).alias("hour"))
-    x = families.evidence(m, correlations(e, id="vec_id", data="embedding", block="label"), family="label", id="vec_id")
+    x = families.evidence(m, blocks.mean_within(e, data="embedding", keys=["label"]), family="label")
     return x.select("label", "n", r6(F.col("daytime"), "daytime"), F.round("mean_cc", 5).alias("mean_cc"), "blast_like")
 
 
 @query("a60_permutation_null")
 def a60b(s, d):
     c = catalog(s, d).groupBy("zone", F.year("ts").alias("y")).agg(F.count("*").alias("n"))
-    return rates.permutation_null(c, zone="zone", bin="y", count="n")
+    return rates.permutation_null(c, zone="zone", bin="y", count="n", times=999)
 
 
 @query("a64_resolved", with_("located", "SELECT count(*) AS n, count(*) FILTER (erh > erz) AS resolved FROM located"))
@@ -131,16 +138,20 @@ def j06(s, d):
     return sequence.aligned(p.filter("phase = 'view'"), p.filter("phase = 'click'"), keys=["station"], left_id="pick_id", at="us", right_id="pick_id", time="us", tolerance=3_600_000_000)
 
 
-@query("j06_offset", "SELECT 0::BIGINT AS offset_us")
+OFFSETS = (0, 32_400_000_000, -32_400_000_000)
+
+
+@query("j06_offset", with_("picks origins", f", l AS (SELECT us - 32400000000 AS us FROM origins), v AS (SELECT us FROM picks WHERE phase IN ('view', 'purchase')), o AS (SELECT unnest([{', '.join(map(str, OFFSETS))}]) AS offset_us), g AS (SELECT offset_us, l.us, least(coalesce(min(abs(v.us - l.us - offset_us)), 10000000), 10000000) AS gap FROM l CROSS JOIN o LEFT JOIN v ON v.us BETWEEN l.us + offset_us - 10000000 AND l.us + offset_us + 10000000 GROUP BY ALL) SELECT offset_us FROM g GROUP BY 1 ORDER BY quantile_cont(gap, 0.5), list_position([{', '.join(map(str, OFFSETS))}], offset_us) LIMIT 1"))
 def j06b(s, d):
-    o = origins(s, d).select("us")
-    k = sequence.best_offset(o, o, at="us", time="us", offsets=[0, 32_400_000_000, -32_400_000_000], reach=10_000_000)
+    """Origins nine hours behind the picks' clock: the offset that brings them back is found."""
+    left = origins(s, d).select((F.col("us") - 32_400_000_000).alias("us"))
+    k = sequence.best_offset(left, picks(s, d).filter("phase IN ('view', 'purchase')"), at="us", time="us", offsets=OFFSETS, reach=10_000_000)
     return s.range(1).select(F.lit(k).cast("long").alias("offset_us"))
 
 
 @query("w23_nudged_times", with_("catalog", ", k AS (SELECT idx, zone, us, row_number() OVER (PARTITION BY zone ORDER BY us, idx) AS i FROM catalog) SELECT idx, max(us - i * 100000) OVER (PARTITION BY zone ORDER BY us, idx) + i * 100000 AS moved FROM k"))
 def w23(s, d):
-    return sequence.nudged(catalog(s, d).select("idx", "zone", "us"), keys=["zone"], id="idx", at="us", step=100_000).select("idx", "moved")
+    return sequence.nudged(catalog(s, d).select("idx", "zone", "us"), keys=["zone"], id="idx", at="us", step=100_000, width=30 * tm.DAY_US).select("idx", "moved")
 
 
 @query("w12_reverse_cumulative", with_("catalog", "SELECT idx, count(*) OVER (ORDER BY mag DESC RANGE UNBOUNDED PRECEDING) AS n FROM catalog"))
@@ -169,10 +180,10 @@ def t03(s, d):
     return table(s, d, "lineitem").groupBy("l_suppkey").agg(F.max("l_extendedprice").alias("top")).orderBy(F.desc("top"), "l_suppkey").limit(3)
 
 
-@query("t07_most_negative", "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id ORDER BY list_inner_product(a.v, b.v) / (a.norm * b.norm), a, b LIMIT 10")
+@query("t07_most_negative", f"WITH {UNITS} SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id ORDER BY list_inner_product(a.v, b.v) / (a.norm * b.norm), a, b LIMIT 10")
 def t07(s, d):
-    c = correlations(table(s, d, "embeddings"), id="vec_id", data="embedding", block="label")
-    return c.orderBy("cc", "a", "b").limit(10).select("a", "b")
+    c = blocks.similar(table(s, d, "embeddings"), id="vec_id", data="embedding", keys=["label"], top=10)
+    return c.orderBy("cc0", "a", "b").limit(10).select("a", "b")
 
 
 def streamed(s, d, name: str, build, mode: str = "append"):
@@ -214,7 +225,8 @@ def str04(s, d):
 
 @query("str05_once", "SELECT event_id, event_type FROM events")
 def str05(s, d):
-    return streamed(s, d, "events", lambda e: sw.once(e.select("event_id", "event_type", "ts"), id="event_id")).select("event_id", "event_type")
+    """Every row arrives twice, as after a resume; each is told once."""
+    return streamed(s, d, "events", lambda e: sw.once(e.select("event_id", "event_type", "ts").withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))), id="event_id")).select("event_id", "event_type")
 
 
 @query("str06_sliding", "WITH w AS (SELECT unnest(range(-6, 1)) AS k), e AS (SELECT date_trunc('day', ts) + k * INTERVAL 1 DAY AS start, value FROM events, w) SELECT strftime(start, '%Y-%m-%d') AS start, count(*) AS n FROM e WHERE start + INTERVAL 7 DAYS <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")

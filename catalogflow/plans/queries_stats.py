@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, text
 from ..functions import time as tm
-from ..operators import graph, robust, stats
+from ..operators import blocks, graph, robust, stats
 from ..operators import windows as wn
 from ..sources import records, tables
 from .registry import catalog, epochs, located, origins, picks, query, r6, readings, stations, table, with_
@@ -44,15 +44,27 @@ def a06(s, d):
     return readings(s, d).select("event_idx", "line", r6(F.col("ml") - F.percentile("ml", 0.5).over(w), "residual"))
 
 
-POLISH = (
-    ", f0 AS (SELECT DISTINCT unit, 0.0::DOUBLE AS c FROM readings)"
-    + "".join(f", l{k} AS (SELECT event_idx, quantile_cont(ml - c, 0.5) AS level FROM readings JOIN f{k - 1} USING (unit) GROUP BY 1), r{k} AS (SELECT unit, quantile_cont(ml - level, 0.5) AS raw, count(*) AS n FROM readings JOIN l{k} USING (event_idx) GROUP BY 1), f{k} AS (SELECT unit, raw - (SELECT sum(raw * n) / sum(n) FROM r{k}) AS c FROM r{k})" for k in (1, 2, 3))
-)
+def polish(middle: str, rounds: int, tolerance: float) -> str:
+    """The alternating middles of :mod:`robust`, round by round, up to the first in which no level moves."""
+    steps = ", l0 AS MATERIALIZED (SELECT event_idx, {m} AS level FROM (SELECT event_idx, ml AS v FROM readings) GROUP BY 1)".format(m=middle)
+    for k in range(1, rounds + 1):
+        steps += f", r{k} AS MATERIALIZED (SELECT unit, {middle} AS raw, count(*) AS n FROM (SELECT unit, ml - level AS v FROM readings JOIN l{k - 1} USING (event_idx)) GROUP BY 1)"
+        steps += f", f{k} AS MATERIALIZED (SELECT unit, raw - (SELECT sum(raw * n) / sum(n) FROM r{k}) AS c FROM r{k})"
+        steps += f", l{k} AS MATERIALIZED (SELECT event_idx, {middle} AS level FROM (SELECT event_idx, ml - c AS v FROM readings JOIN f{k} USING (unit)) GROUP BY 1)"
+        steps += f", m{k} AS MATERIALIZED (SELECT max(abs(a.level - b.level)) AS m FROM l{k} a JOIN l{k - 1} b USING (event_idx))"
+    moved = " UNION ALL ".join(f"SELECT {k} AS k, m FROM m{k}" for k in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, unit, c FROM f{k}" for k in range(1, rounds + 1))
+    return f"{steps}, z AS (SELECT coalesce(min(k) FILTER (m < {tolerance}), {rounds}) AS k FROM ({moved})), f AS ({every})"
 
 
-@query("a07_median_polish", with_("readings", POLISH + " SELECT unit, round(c, 6) AS correction FROM f3"))
+@query("a07_median_polish", with_("readings", polish("quantile_cont(v, 0.5)", 40, 1e-4) + " SELECT unit, round(c, 6) AS correction FROM f JOIN z USING (k)"))
 def a07(s, d):
-    return robust.median_polish(readings(s, d), event="event_idx", unit="unit", value="ml", rounds=3)[1].select("unit", r6(F.col("correction"), "correction"))
+    return robust.median_polish(readings(s, d), event="event_idx", unit="unit", value="ml")[1].select("unit", r6(F.col("correction"), "correction"))
+
+
+@query("a08_two_way_means", with_("readings", polish("avg(v)", 40, 1e-9) + " SELECT unit, round(c, 6) AS correction FROM f JOIN z USING (k)"))
+def a08(s, d):
+    return robust.two_way_means(readings(s, d), event="event_idx", unit="unit", value="ml")[1].select("unit", r6(F.col("correction"), "correction"))
 
 
 @query("a09_monthly_medians", with_("readings", "SELECT unit, strftime(date_trunc('month', ts), '%Y-%m') AS month, round(quantile_cont(ml, 0.5), 6) AS med, count(*) AS n FROM readings GROUP BY ALL HAVING count(*) >= 8"))
@@ -123,7 +135,7 @@ def a20(s, d):
 
 @query("a21_b_positive", with_("catalog", f", x AS (SELECT zone, round(mag - lag(mag) OVER (PARTITION BY zone ORDER BY us, idx), 6) AS d FROM catalog) SELECT zone, count(*) AS n, round(1 / ({LN10} * (avg(d) - 0.1 + 0.05)), 6) AS b FROM x WHERE d >= 0.1 GROUP BY 1"))
 def a21(s, d):
-    return stats.b_positive(catalog(s, d), magnitude="mag", at="us", id="idx", keys=["zone"]).select("zone", "n", r6(F.col("b"), "b"))
+    return stats.b_positive(catalog(s, d).select("idx", "zone", "us", "mag"), magnitude="mag", at="us", id="idx", width=30 * tm.DAY_US, keys=["zone"]).select("zone", "n", r6(F.col("b"), "b"))
 
 
 @query("a22_cutoff_ladder", with_("catalog", f", k AS (SELECT (45 + k)::INTEGER AS c10 FROM range(10) r(k)) SELECT zone, c10, count(*) AS n, round(1 / ({LN10} * (avg(mag) - c10 / 10.0::DOUBLE + 0.05)), 6) AS b FROM catalog JOIN k ON mag >= c10 / 10.0::DOUBLE GROUP BY zone, c10"))
@@ -135,7 +147,7 @@ def a22(s, d):
 @query("a23_detection_model")
 def a23(s, d):
     h = stats.size_distribution(catalog(s, d), magnitude="mag", keys=["zone"])
-    return robust.detection_model(h, keys=["zone"])
+    return robust.detection_model(h, keys=["zone"], boots=20)
 
 
 @query("a24_detected_share", with_("catalog", ", c AS (SELECT round_even(mag * 10, 0)::INTEGER AS m10, count(*) AS n FROM catalog GROUP BY 1), t AS (SELECT m10, n, sum(n) OVER (ORDER BY m10 DESC) AS cum FROM c), f AS (SELECT regr_slope(log10(cum), m10) AS a, regr_intercept(log10(cum), m10) AS b FROM t WHERE m10 BETWEEN 50 AND 55) SELECT m10, round(cum / power(10.0, a * m10 + b), 6) AS share FROM t, f"))
@@ -228,12 +240,22 @@ def a37(s, d):
     return stats.azimuthal_gap(az, keys=["l_orderkey"], azimuth="az")
 
 
-@query("a38_correlation_integral", with_("stations", ", p AS (SELECT sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) AS r FROM stations a JOIN stations b ON a.id < b.id), k AS (SELECT power(2.0, -k) * 0.5 AS radius FROM range(5) t(k)) SELECT round(radius, 6) AS radius, count(*) AS n FROM p JOIN k ON r <= radius GROUP BY 1"))
+RADII = ", p AS (SELECT sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) AS r FROM stations a JOIN stations b ON a.id < b.id), k AS (SELECT power(10.0, -3 + k * 3 / 79.0::DOUBLE) AS radius FROM range(80) t(k)), c AS (SELECT radius, count(r) AS n FROM k LEFT JOIN p ON r < radius GROUP BY 1)"
+
+
+@query("a38_correlation_integral", with_("stations", RADII + " SELECT round(radius, 9) AS radius, n, round(n / (SELECT count(*) FROM p), 9) AS share FROM c"))
 def a38(s, d):
-    from ..operators.joins import grid_pairs
+    return integral(s, d).select(F.round("radius", 9).alias("radius"), "n", F.round("share", 9).alias("share"))
+
 
-    p = grid_pairs(stations(s, d).select("id", "lat", "lon"), id="id", coords=["lat", "lon"], reach=0.5)
-    return p.withColumn("radius", F.explode(F.filter(F.array(*(F.lit(0.5 * 2.0**-k) for k in range(5))), lambda r: F.col("apart") <= r))).groupBy(F.round("radius", 6).alias("radius")).agg(F.count("*").alias("n"))
+def integral(s, d):
+    return blocks.correlation_integral(stations(s, d).select("id", "lat", "lon"), id="id", coords=["lat", "lon"], radii=blocks.log_radii(0.001, 1.0, 80))
+
+
+@query("a38_dimension", with_("stations", RADII + " SELECT round(regr_slope(log10(n), log10(radius)), 5) AS d2, round(regr_r2(log10(n), log10(radius)), 5) AS r2, count(*) AS radii FROM c WHERE n > 0 AND radius BETWEEN 0.03 AND 0.3"))
+def a38b(s, d):
+    c = integral(s, d).filter("n > 0 AND radius BETWEEN 0.03 AND 0.3")
+    return c.agg(F.round(F.expr("regr_slope(log10(n), log10(radius))"), 5).alias("d2"), F.round(F.expr("regr_r2(log10(n), log10(radius))"), 5).alias("r2"), F.count("*").alias("radii"))
 
 
 BOXES = ", z AS (SELECT power(2.0, -k) * 0.5 AS size FROM range(5) t(k)), b AS (SELECT size, floor((lon - (SELECT min(lon) FROM catalog)) / size) AS bx, floor((lat - (SELECT min(lat) FROM catalog)) / size) AS by_, count(*)::DOUBLE AS n FROM catalog, z GROUP BY ALL)"
@@ -251,11 +273,11 @@ def a40(s, d):
     return stats.renyi_slopes(b, [0, 2, 3]).select("q", r6(F.col("dimension"), "dimension"))
 
 
-@query("a41_moment_class", with_("catalog", ", m AS (SELECT zone, state, sum(power(10.0, 1.5 * mag + 9.1)) AS m, max(power(10.0, 1.5 * mag + 9.1)) AS top, count(*) AS n FROM catalog GROUP BY ALL) SELECT zone, state, n, round(log10(m), 6) AS log_moment, round(top / m, 6) AS share, CASE WHEN top / m >= 0.5 THEN 'mainshock' WHEN top / m >= 0.01 THEN 'mixed' ELSE 'swarm' END AS kind FROM m"))
+@query("a41_moment_class", with_("catalog", ", g AS (SELECT *, zone || state AS family, power(10.0, 1.5 * mag + 9.1) AS mo FROM catalog), h AS (SELECT *, family || CASE WHEN idx % 7 = 0 THEN idx // 2000 ELSE 0 END AS fam FROM g), t AS (SELECT fam, arg_max(us, (mag, -idx)) AS t, sum(mo) AS m, max(mo) AS top, count(*) AS n FROM h GROUP BY 1), x AS (SELECT fam, any_value(n) AS n, round(log10(any_value(m)), 6) AS log_moment, any_value(top) / any_value(m) AS share, avg(CASE WHEN us < t THEN 1.0 ELSE 0 END) AS before, avg(CASE WHEN us > t THEN 1.0 ELSE 0 END) AS after FROM h JOIN t USING (fam) GROUP BY fam) SELECT fam, n, log_moment, round(share, 6) AS share, round(before, 6) AS before, round(after, 6) AS after, CASE WHEN share < 0.4 THEN 'swarm' WHEN share < 0.6 THEN 'mixed' WHEN before >= 0.15 THEN 'foreshock_mainshock_aftershock' ELSE 'mainshock_aftershock' END AS kind FROM x"))
 def a41(s, d):
-    m = catalog(s, d).withColumn("m", geo.moment_nm(F.col("mag"))).groupBy("zone", "state").agg(F.sum("m").alias("m"), F.max("m").alias("top"), F.count("*").alias("n"))
-    share = F.col("top") / F.col("m")
-    return m.select("zone", "state", "n", r6(F.log10("m"), "log_moment"), r6(share, "share"), F.when(share >= 0.5, "mainshock").when(share >= 0.01, "mixed").otherwise("swarm").alias("kind"))
+    fam = F.concat("zone", "state", F.when(F.col("idx") % 7 == 0, F.floor(F.col("idx") / 2000)).otherwise(0).cast("string"))
+    x = stats.family_class(catalog(s, d).withColumn("fam", fam), keys=["fam"], magnitude="mag", at="us", id="idx")
+    return x.select("fam", "n", *(r6(F.col(c), c) for c in ("log_moment", "share", "before", "after")), "kind")
 
 
 @query("a42_family_summary", with_("catalog", "SELECT zone, count(*) AS n, arg_max(idx, mag * 1e6 - idx / 1e9) AS main, (max(us) - min(us)) // 86400000000 AS days, round(max(dep) - min(dep), 6) AS depth_range FROM catalog GROUP BY 1"))
@@ -269,18 +291,24 @@ def a43(s, d):
     return robust.plane_fit(catalog(s, d).select("zone", "state", e.alias("x"), n.alias("y"), F.col("dep").alias("z")), keys=["zone", "state"])
 
 
-@query("a44_omori", with_("catalog", ", x AS (SELECT zone, floor(ln((us - min(us) OVER (PARTITION BY zone)) / 8.64e10 + 1) * 2)::BIGINT AS bin FROM catalog), c AS (SELECT zone, bin, ln(count(*) / (exp((bin + 1) / 2.0::DOUBLE) - exp(bin / 2.0::DOUBLE))) AS rate FROM x GROUP BY zone, bin) SELECT zone, round(-regr_slope(rate, bin / 2.0::DOUBLE), 6) AS p FROM c GROUP BY 1"))
+@query("a45_migration", with_("catalog", ", p AS (SELECT zone, state, us / 8.64e10 AS d, (lon - 128.5) * 111.32 * cos(radians(35.5)) AS x, (lat - 35.5) * 110.574 AS y FROM catalog), c AS (SELECT zone, state, count(*) AS n, covar_samp(x, x) AS xx, covar_samp(y, y) AS yy, covar_samp(x, y) AS xy FROM p GROUP BY ALL), a AS (SELECT *, atan2(xy, (xx - yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy ** 2)) AS a FROM c), s AS (SELECT p.zone, p.state, n, d, (x * cos(a) + y * sin(a)) * CASE WHEN greatest(cos(a), sin(a)) >= -least(cos(a), sin(a)) THEN 1 ELSE -1 END AS s FROM p JOIN a ON p.zone = a.zone AND p.state = a.state) SELECT zone, state, any_value(n) AS n, round(regr_slope(s, d), 7) AS rate, round(corr(s, d), 5) AS r FROM s GROUP BY zone, state"))
+def a45(s, d):
+    e, n = geo.local_km(F.col("lat"), F.col("lon"), F.lit(35.5), F.lit(128.5))
+    m = robust.migration(catalog(s, d).select("zone", "state", e.alias("x"), n.alias("y"), (F.col("us") / 8.64e10).alias("days")), keys=["zone", "state"])
+    return m.select("zone", "state", "n", F.round("rate", 7).alias("rate"), F.round("r", 5).alias("r"))
+
+
+@query("a44_omori", with_("catalog", ", m AS (SELECT zone, arg_max(us, (mag, -idx)) AS t0 FROM catalog GROUP BY 1), l AS (SELECT zone, (us / 8.64e10) - (t0 / 8.64e10) AS t FROM catalog JOIN m USING (zone) WHERE us > t0), g AS (SELECT zone, count(*) AS n, log10(greatest(min(t), 0.001)) AS lo, (log10(max(t)) - log10(greatest(min(t), 0.001))) / 7 AS w FROM l GROUP BY 1 HAVING count(*) >= 8), b AS (SELECT zone, n, lo, w, least(floor((log10(t) - lo) / w + 1e-12), 6) AS k, count(*) AS c FROM l JOIN g USING (zone) WHERE w > 0 GROUP BY ALL), r AS (SELECT zone, n, lo + (k + 0.5) * w AS x, log10(c / (power(10.0, lo + (k + 1) * w) - power(10.0, lo + k * w))) AS y FROM b WHERE k >= 0) SELECT zone, n, CASE WHEN count(*) >= 3 THEN round(-regr_slope(y, x), 5) END AS p FROM r GROUP BY zone, n"))
 def a44(s, d):
-    x = catalog(s, d).select("zone", F.floor(F.log((F.col("us") - F.min("us").over(Window.partitionBy("zone"))) / 8.64e10 + 1) * 2).alias("bin"))
-    c = x.groupBy("zone", "bin").agg(F.count("*").alias("n")).withColumn("rate", F.log(F.col("n") / (F.exp((F.col("bin") + 1) / 2) - F.exp(F.col("bin") / 2))))
-    return c.groupBy("zone").agg(F.round(-F.expr("regr_slope(rate, bin / 2)"), 6).alias("p"))
+    x = stats.omori(catalog(s, d).withColumn("d", F.col("us") / 8.64e10), keys=["zone"], magnitude="mag", days="d", id="idx")
+    return x.select("zone", "n", F.round("p", 5).alias("p"))
 
 
-@query("a46_theil_sen", with_("readings", ", n AS (SELECT event_idx, count(*) AS n, quantile_cont(dist::DOUBLE, 0.5) AS mx, quantile_cont(ml, 0.5) AS my FROM readings GROUP BY 1 HAVING count(*) >= 5), s AS (SELECT a.event_idx, quantile_cont((b.ml - a.ml) / (b.dist - a.dist), 0.5) AS slope FROM readings a JOIN readings b ON a.event_idx = b.event_idx AND (a.line, a.unit) < (b.line, b.unit) AND a.dist <> b.dist JOIN n ON n.event_idx = a.event_idx GROUP BY 1), r AS (SELECT event_idx, n, slope, ml - (my - slope * mx) - slope * dist AS r FROM readings JOIN n USING (event_idx) JOIN s USING (event_idx)) SELECT event_idx, n, round(slope, 6) AS slope, round(avg(CASE WHEN abs(r) < 0.1 THEN 1.0 ELSE 0 END), 6) AS inlier, round(sqrt(avg(r * r)), 6) AS rms FROM r GROUP BY ALL"))
+@query("a46_theil_sen", with_("readings", ", n AS (SELECT event_idx, count(*) AS n, quantile_cont(dist::DOUBLE, 0.5) AS mx, quantile_cont(ml, 0.5) AS my FROM readings GROUP BY 1 HAVING count(*) >= 5), s AS (SELECT a.event_idx, quantile_cont((b.ml - a.ml) / (b.dist - a.dist), 0.5) AS slope FROM readings a JOIN readings b ON a.event_idx = b.event_idx AND (a.line, a.unit) < (b.line, b.unit) AND a.dist <> b.dist JOIN n ON n.event_idx = a.event_idx GROUP BY 1), k AS (SELECT event_idx, rank() OVER (PARTITION BY event_idx ORDER BY dist) + (count(*) OVER (PARTITION BY event_idx, dist) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY event_idx ORDER BY ml) + (count(*) OVER (PARTITION BY event_idx, ml) - 1) / 2.0::DOUBLE AS ry FROM readings), c AS (SELECT event_idx, corr(rx, ry) AS rho FROM k GROUP BY 1), r AS (SELECT event_idx, n, slope, rho, ml - (my - slope * mx) - slope * dist AS r FROM readings JOIN n USING (event_idx) JOIN s USING (event_idx) JOIN c USING (event_idx)) SELECT event_idx, n, round(slope, 6) AS slope, round(rho, 6) + 0.0 AS rho, round(avg(CASE WHEN abs(r) < 0.1 THEN 1.0 ELSE 0 END), 6) AS inlier, round(sqrt(avg(r * r)), 6) AS rms, avg(CASE WHEN abs(r) < 0.1 THEN 1.0 ELSE 0 END) < 0.5 AS flag FROM r GROUP BY event_idx, n, slope, rho"))
 def a46(s, d):
     x = readings(s, d).withColumn("id", F.struct("line", "unit")).withColumn("x", F.col("dist").cast("double"))
     t = robust.theil_sen(x.select("event_idx", "id", "x", "ml"), keys=["event_idx"], id="id", x="x", y="ml", inlier=0.1)
-    return t.select("event_idx", "n", *[r6(F.col(c), c) for c in ("slope", "inlier", "rms")])
+    return t.select("event_idx", "n", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("slope", "rho", "inlier", "rms")], (F.col("inlier") < 0.5).alias("flag"))
 
 
 @query("a47_demeaned_slope", with_("readings", ", x AS (SELECT unit, snr - avg(snr) OVER (PARTITION BY unit) AS x, ml - avg(ml) OVER (PARTITION BY unit) AS y FROM readings) SELECT unit % 10 AS family, round(sum(x * y) / sum(x * x), 6) AS slope, count(*) AS n FROM x GROUP BY 1"))
@@ -290,10 +318,18 @@ def a47(s, d):
     return x.groupBy("family").agg(F.round(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x")), 6).alias("slope"), F.count("*").alias("n"))
 
 
-@query("a48_linearity_gate", with_("readings", ", g AS (SELECT unit, regr_slope(ml, snr) AS slope, sqrt((var_pop(ml) - covar_pop(ml, snr) ** 2 / var_pop(snr))) AS rms FROM readings GROUP BY 1) SELECT unit, round(slope, 6) AS slope FROM g WHERE slope BETWEEN 0.005 AND 0.3 AND rms < 0.3"))
+@query("a47_robust_slope")
+def a47b(s, d):
+    r = readings(s, d).select((F.col("unit") % 10).alias("family"), F.col("unit").alias("pair"), (F.col("snr") / 50).alias("x"), (F.col("ml") + 1.7 * F.col("snr") / 50).alias("y"))
+    return robust.robust_slope(r, keys=["family"], pair="pair", x="x", y="y", boots=50)
+
+
+@query("a48_linearity_gate", with_("readings", ", g AS (SELECT unit % 997 AS pair, regr_slope(ml + 1.7 * snr / 50, snr / 50) AS slope, sqrt(var_pop(ml + 1.7 * snr / 50) - covar_pop(ml + 1.7 * snr / 50, snr / 50) ** 2 / var_pop(snr / 50)) AS rms FROM readings GROUP BY 1) SELECT pair, round(slope, 6) AS slope FROM g WHERE slope BETWEEN 0.5 AND 3 AND rms < 0.325"))
 def a48(s, d):
-    g = readings(s, d).groupBy("unit").agg(F.regr_slope("ml", "snr").alias("slope"), F.sqrt(F.var_pop("ml") - F.pow(F.covar_pop("ml", "snr"), 2) / F.var_pop("snr")).alias("rms"))
-    return g.filter("slope BETWEEN 0.005 AND 0.3 AND rms < 0.3").select("unit", r6(F.col("slope"), "slope"))
+    x, y = F.col("snr") / 50, F.col("ml") + 1.7 * F.col("snr") / 50
+    r = readings(s, d).select((F.col("unit") % 997).alias("pair"), x.alias("x"), y.alias("y"))
+    g = r.groupBy("pair").agg(F.regr_slope("y", "x").alias("slope"), F.sqrt(F.var_pop("y") - F.pow(F.covar_pop("y", "x"), 2) / F.var_pop("x")).alias("rms"))
+    return g.filter("slope BETWEEN 0.5 AND 3 AND rms < 0.325").select("pair", r6(F.col("slope"), "slope"))
 
 
 @query("a49_tls_slope", with_("readings", "SELECT unit, round((var_pop(ml * 10) - var_pop(snr) + sqrt((var_pop(ml * 10) - var_pop(snr)) ** 2 + 4 * covar_pop(snr, ml * 10) ** 2)) / (2 * covar_pop(snr, ml * 10)), 5) AS slope FROM readings GROUP BY 1"))
@@ -308,11 +344,17 @@ def a50(s, d):
 
 @query("a51_decimation_bias", with_("readings", ", o AS (SELECT year(ts) AS y, unit FROM readings GROUP BY ALL HAVING count(*) >= 60), e AS (SELECT event_idx, quantile_cont(ml, 0.5) AS full_ml FROM readings GROUP BY 1), p AS (SELECT y, event_idx, quantile_cont(ml, 0.5) AS part FROM readings JOIN o USING (unit) GROUP BY ALL) SELECT y, round(quantile_cont(part - full_ml, 0.5), 6) AS bias, count(*) AS n FROM p JOIN e USING (event_idx) GROUP BY 1"))
 def a51(s, d):
+    """Readings meet their unit's operating years and shuffle once, by event; the medians of each year's
+    part are taken within the event's array."""
     r = readings(s, d)
-    operating = r.groupBy(F.year("ts").cast("long").alias("y"), "unit").agg(F.count("*").alias("n")).filter("n >= 60").select("y", "unit")
-    full = r.groupBy("event_idx").agg(F.percentile("ml", 0.5).alias("full_ml"))
-    part = r.join(operating, "unit").groupBy("y", "event_idx").agg(F.percentile("ml", 0.5).alias("part"))
-    return part.join(full, "event_idx").groupBy("y").agg(F.round(F.percentile(F.col("part") - F.col("full_ml"), 0.5), 6).alias("bias"), F.count("*").alias("n"))
+    years = r.groupBy(F.year("ts").cast("long").alias("y"), "unit").agg(F.count("*").alias("n")).filter("n >= 60").groupBy("unit").agg(F.collect_list("y").alias("ys"))
+    own = r.select("event_idx", "unit", "ml").join(years, "unit", "left").groupBy("event_idx").agg(F.sort_array(F.collect_list(F.struct("ml", "ys"))).alias("v"))
+    middle = lambda v: F.when(F.size(v) > 0, (v[F.floor((F.size(v) - 1) / 2).cast("int")] + v[F.floor(F.size(v) / 2).cast("int")]) / 2)
+    ml = lambda v: F.transform(v, lambda x: x["ml"])
+    every = F.array_distinct(F.flatten(F.transform("v", lambda x: F.coalesce(x["ys"], F.array().cast("array<bigint>")))))
+    part = own.select(middle(ml(F.col("v"))).alias("full_ml"), "v", F.explode(every).alias("y"))
+    bias = part.select("y", (middle(ml(F.filter("v", lambda x: F.array_contains(x["ys"], F.col("y"))))) - F.col("full_ml")).alias("b"))
+    return bias.groupBy("y").agg(F.round(F.percentile("b", 0.5), 6).alias("bias"), F.count("*").alias("n"))
 
 
 @query("a52_operating_units", with_("readings", ", t AS (SELECT year(ts) AS y, count(DISTINCT event_idx) AS events FROM readings GROUP BY 1) SELECT y, unit, count(DISTINCT event_idx) AS n FROM readings JOIN t ON year(ts) = y GROUP BY y, unit, events HAVING count(DISTINCT event_idx) >= greatest(3, 0.01 * events)"))
@@ -382,13 +424,12 @@ def a61(s, d):
     return a.join(b, "idx").groupBy("zone").agg(F.round(F.percentile(h, 0.5), 5).alias("horizontal"), F.round(F.percentile(F.abs(F.col("dep2") - F.col("dep")), 0.5), 5).alias("vertical"))
 
 
-@query("a62_nearest_neighbour", with_("stations", ", n AS (SELECT a.id, min(sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2)) AS r FROM stations a JOIN stations b ON a.id <> b.id GROUP BY 1) SELECT round(quantile_cont(r, 0.5), 6) AS med, count(*) AS n FROM n WHERE r <= 0.25"))
+@query("a62_nearest_neighbour", with_("stations", "SELECT a.id, round(min(sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2)), 9) AS apart, round(median(min(sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2))) OVER (), 9) AS med FROM stations a JOIN stations b ON a.id <> b.id GROUP BY 1"))
 def a62(s, d):
-    from ..operators.joins import grid_pairs
+    from ..operators.joins import nearest_neighbour
 
-    p = grid_pairs(stations(s, d).select("id", "lat", "lon"), id="id", coords=["lat", "lon"], reach=0.25)
-    n = p.select(F.col("id_a").alias("id"), "apart").union(p.select("id_b", "apart")).groupBy("id").agg(F.min("apart").alias("r"))
-    return n.agg(F.round(F.percentile("r", 0.5), 6).alias("med"), F.count("*").alias("n"))
+    n = nearest_neighbour(stations(s, d).select("id", "lat", "lon"), id="id", coords=["lat", "lon"])
+    return n.join(F.broadcast(n.agg(F.round(F.percentile("apart", 0.5), 9).alias("med")))).select("id", F.round("apart", 9).alias("apart"), "med")
 
 
 @query("a63_profile", with_("catalog", "SELECT CASE WHEN mag < 4 THEN 'small' WHEN mag < 5 THEN 'middle' ELSE 'large' END AS bin, count(*) AS n, round(avg(dep), 6) AS depth FROM catalog GROUP BY 1"))
@@ -416,7 +457,7 @@ def m2(s, d):
     return mc_and_b(event_magnitudes(readings(s, d), cap=60, least=3).filter("status = 'ok'"), magnitude="magnitude")
 
 
-@query("c04_families", "WITH RECURSIVE e AS (SELECT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_discount = 0.1 AND l_quantity >= 46), v AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS id, a AS reach FROM v UNION SELECT r.id, v.b FROM r JOIN v ON r.reach = v.a) SELECT id, min(reach) AS family FROM r GROUP BY 1")
+@query("c04_families", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), v AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), f(id, family) USING KEY (id) AS (SELECT DISTINCT a, a FROM v UNION SELECT v.b, min(f.family) FROM f JOIN v ON v.a = f.id JOIN recurring.f AS r ON r.id = v.b GROUP BY v.b, r.family HAVING min(f.family) < r.family) SELECT id, family FROM f")
 def c04(s, d):
     e = table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
     nodes = e.select(F.col("a").alias("id")).union(e.select("b"))
@@ -431,10 +472,10 @@ def c07(s, d):
     return graph.depths(u, id="id", parent="parent").withColumn("depth", F.col("depth").cast("long"))
 
 
-DAYS = ", d AS (SELECT us / 8.64e10 AS t, min(idx) AS idx FROM catalog GROUP BY 1), n AS (SELECT c.idx, d.t, lon * 100 AS x, lat * 100 AS y, mag AS m FROM catalog c JOIN d ON c.idx = d.idx)"
+ALL = ", n AS (SELECT idx, us / 8.64e10 AS t, lon * 100 AS x, lat * 100 AS y, mag AS m FROM catalog), pr AS MATERIALIZED (SELECT c.idx, o.idx AS parent, (log10(c.t - o.t) - 0.5 * o.m) + (1.6 * log10(greatest(sqrt((c.x - o.x) ** 2 + (c.y - o.y) ** 2), 0.01)) - 0.5 * o.m) AS e FROM n c JOIN n o ON o.t < c.t), par AS MATERIALIZED (SELECT idx, arg_min(parent, e) AS parent, min(e) AS log_eta FROM pr GROUP BY 1)".replace("pr AS MATERIALIZED", "pr AS NOT MATERIALIZED")
 
 
-@query("j23_nearest_parent", with_("catalog", DAYS + ", p AS (SELECT c.idx, o.idx AS parent, log10(c.t - o.t) - 0.5 * o.m + 1.6 * log10(greatest(sqrt((c.x - o.x) ** 2 + (c.y - o.y) ** 2), 0.01)) - 0.5 * o.m AS e FROM n c JOIN n o ON o.t < c.t AND o.t >= c.t - 200) SELECT idx, arg_min(parent, e) AS parent, round(min(e), 5) AS log_eta FROM p GROUP BY 1"))
+@query("j23_nearest_parent", with_("catalog", ALL + " SELECT idx, parent, round(log_eta, 5) AS log_eta FROM par"))
 def j23(s, d):
     n = catalog(s, d).select("idx", (F.col("us") / 8.64e10).alias("t"), (F.col("lon") * 100).alias("x"), (F.col("lat") * 100).alias("y"), F.col("mag").alias("m"))
     return graph.nearest_parent(n, id="idx", t="t", x="x", y="y", m="m").select("idx", "parent", F.round("log_eta", 5).alias("log_eta"))
@@ -445,18 +486,28 @@ def c09(s, d):
     return graph.density_clusters(stations(s, d).select("id", "lat", "lon"), id="id", coords=["lat", "lon"], reach=0.09, least=4)
 
 
-@query("c12_similarity", "WITH e AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (a.norm * b.norm), 5) AS cc FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id")
-def c12(s, d):
-    from ..operators.signal import correlations
+UNITS = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, len(embedding) AS w, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings)"
 
-    return correlations(table(s, d, "embeddings"), id="vec_id", data="embedding", block="label").select("a", "b", F.round("cc", 5).alias("cc"))
 
+def shifted(lags: int, a: str = "a", b: str = "b") -> list[tuple[int, str]]:
+    """SQL of the normalised correlation at each shift of the first against the second."""
+    return [(k, f"list_inner_product({a}.v[{1 + max(k, 0)}:{a}.w + {min(k, 0)}], {b}.v[{1 + max(-k, 0)}:{b}.w - {max(k, 0)}]) / ({a}.norm * {b}.norm)") for k in sorted(range(-lags, lags + 1), key=lambda k: (abs(k), k))]
 
-@query("c13_anti_pairs", "WITH e AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (a.norm * b.norm) <= -0.2")
-def c13(s, d):
-    from ..operators.signal import correlations
 
-    return correlations(table(s, d, "embeddings"), id="vec_id", data="embedding", block="label").filter("cc <= -0.2").select("a", "b")
+@query("c12_similarity", f"WITH {UNITS}, c AS (SELECT a.vec_id AS a, b.vec_id AS b, [{', '.join(x for _, x in shifted(3))}] AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(list_max(c), 5) AS cc, [{', '.join(str(k) for k, _ in shifted(3))}][list_position(c, list_max(c))]::BIGINT AS lag, round(c[1], 5) AS cc0 FROM c WHERE list_max(c) >= 0.3")
+def c12(s, d):
+    p = blocks.similar(table(s, d, "embeddings"), id="vec_id", data="embedding", keys=["label"], lags=3, least=0.3)
+    return p.select("a", "b", F.round("cc", 5).alias("cc"), "lag", F.round("cc0", 5).alias("cc0"))
+
+
+@query("c13_anti_pairs", f"WITH v AS (SELECT vec_id, label, part, (embedding::DOUBLE[])[1 + part * 21:21 + part * 21] AS v, 21 AS w FROM embeddings, range(3) t(part)), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM v), c AS (SELECT a.vec_id AS a, b.vec_id AS b, a.part, [{', '.join(x for _, x in shifted(2))}] AS c FROM u a JOIN u b ON a.label = b.label AND a.part = b.part AND a.vec_id < b.vec_id) SELECT a, b, round(max(c[1]), 5) AS worst, round(max(list_max(c)), 5) AS cc_pos FROM c GROUP BY a, b HAVING count(*) = 3 AND max(c[1]) <= -0.05 AND max(list_max(c)) < 0.5")
+def c13(s, d):
+    """Three parts of a vector stand for its components: all must be reversed, none alike at any shift."""
+    parts = table(s, d, "embeddings").select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("part"), "embedding")
+    parts = parts.withColumn("embedding", F.slice("embedding", 1 + F.col("part") * 21, F.lit(21)))
+    p = blocks.similar(parts.withColumn("id", F.col("vec_id")), id="id", data="embedding", keys=["label", "part"], lags=2, most=-0.05)
+    found = p.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("cc0").alias("worst"), F.max("cc").alias("cc_pos")).filter("n = 3 AND cc_pos < 0.5")
+    return found.select("a", "b", F.round("worst", 5).alias("worst"), F.round("cc_pos", 5).alias("cc_pos"))
 
 
 @query("c14_network_confirmation", with_("readings", ", s AS (SELECT event_idx % 50 AS family, unit % 20 AS station, avg(ml) AS cc FROM readings GROUP BY ALL) SELECT family, count(*) AS n_available, count(*) FILTER (cc >= 4.5) AS n_confirmed, round(quantile_cont(cc, 0.5), 6) AS med, CASE WHEN count(*) < 3 THEN 'insufficient' WHEN count(*) FILTER (cc >= 4.5) >= 3 THEN 'confirmed' ELSE 'rejected' END AS status FROM s GROUP BY 1"))
