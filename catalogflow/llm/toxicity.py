@@ -1,13 +1,14 @@
 """Toxicity (operator 2): a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Inputs of a word are what its letters and the word itself say: how strongly the word, and the most
-telling and the average of its character 4- and 5-grams, go with labelled documents (log odds and
+Inputs of a word are learned with the network: a vector of the word and the mean of vectors of its
+character 4- and 5-grams (hashed tables; what few texts have stays zero); and beside them how strongly the
+word, and the most telling and the average of its grams, go with labelled documents (log odds and
 their z scores, counted by document over one part of the labelled sample). The network reads windows
 of WINDOW words in both directions, pools its states by attention and gives a logit; windows overlap
 by half and cover the whole text; a document scores as its most toxic window.
 
-It is trained on the other part of the sample, so the inputs of training words are as honest as those
-of new ones: first on windows with the most telling word (toxic documents) and on random and telling
+It is trained on the other part of the sample, so the counted inputs of training words are as honest as
+those of new ones, and each word of a batch goes without its learned inputs half of the time: first on windows with the most telling word (toxic documents) and on random and telling
 ones (others), then again on the windows that the network itself finds most toxic. A shift of the
 logit is then fitted so that 0.5 separates best.
 """
@@ -23,14 +24,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import _tables, held_out, mixed, powers
 
-#: The labelled sample, at most so many documents of each label (chosen by a hash of the id).
-MOST_TOXIC, MOST_OTHER = 2_000, 4_000
-WINDOW, HIDDEN, ATTENTION, INPUTS = 32, 8, 8, 6
+#: The labelled sample, at most so many documents of each label (chosen by a hash of the id), and bytes of
+#: their texts, which are whole.
+MOST_TOXIC, MOST_OTHER, MOST_BYTES = 2_000, 4_000, 64_000_000
+#: Numbers of a word: counted ones, its own vector's, its grams' vectors'.
+COUNTED, OWN, LETTERS = 6, 4, 4
+WINDOW, HIDDEN, ATTENTION, INPUTS = 32, 8, 8, COUNTED + OWN + LETTERS
 WORD_BITS, GRAM_BITS = 17, 18
-BATCH, STEPS, RATE = 128, 220, 0.01
+BATCH, STEPS, RATE, TABLE_RATE = 128, 220, 0.01, 0.005
+#: Texts of the training part that must have a bucket for its vector to learn.
+LEAST_TEXTS = 50
 KEPT_WORDS = 150_000
 SEED = 5
 
@@ -99,35 +106,109 @@ class Evidence:
         return cls(*judged(words), *judged(grams))
 
     def inputs(self, words: list[str]) -> np.ndarray:
-        """A row of INPUTS numbers per word; a word without letters is a blank."""
-        bucket, lettered, owners, buckets = hashed(words)
-        first = np.searchsorted(owners, np.arange(len(words)))
+        """A row of COUNTED numbers per word; a word without letters is a blank."""
+        return self.of_hashes(*hashed(words))
+
+    def of_hashes(self, bucket: np.ndarray, lettered: np.ndarray, owners: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        first = np.searchsorted(owners, np.arange(len(bucket)))
         z = self.gram_z[buckets]
         top = np.maximum.reduceat(z, first)
         mean = np.add.reduceat(z, first) / np.diff(np.append(first, len(z)))
         best = np.minimum.reduceat(np.where(z == top[owners], np.arange(len(z)), len(z)), first)
-        rows = np.stack([self.word_odds[bucket] / 3, self.word_z[bucket] / 2, self.gram_odds[buckets[best]] / 3, top / 2, mean / 2, np.ones(len(words))], axis=1)
+        rows = np.stack([self.word_odds[bucket] / 3, self.word_z[bucket] / 2, self.gram_odds[buckets[best]] / 3, top / 2, mean / 2, np.ones(len(bucket))], axis=1)
         return np.where(lettered[:, None], rows, 0).astype(np.float32)
 
 
-class Words(dict):
-    """Numbers of words and their inputs; number 0 is the blank that fills short texts."""
+class Vectors:
+    """Learned vectors of words and of their grams, by bucket, with their sums of squared gradients."""
+
+    def __init__(self) -> None:
+        self.word, self.gram = np.zeros((1 << WORD_BITS, OWN), np.float32), np.zeros((1 << GRAM_BITS, LETTERS), np.float32)
+        self.word_sum, self.gram_sum = np.zeros_like(self.word), np.zeros_like(self.gram)
+        self.word_open, self.gram_open = np.zeros(1 << WORD_BITS, bool), np.zeros(1 << GRAM_BITS, bool)
+
+    def open_to(self, codes: Codes, views: list[np.ndarray]) -> None:
+        """Let the buckets learn that LEAST_TEXTS texts (as windows of word numbers) have."""
+        words, grams = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << GRAM_BITS, np.int64)
+        for v in views:
+            bucket, _, _, buckets = codes.of(np.unique(v[v > 0]))
+            words[np.unique(bucket)] += 1
+            grams[np.unique(buckets)] += 1
+        self.word_open, self.gram_open = words >= LEAST_TEXTS, grams >= LEAST_TEXTS
+
+    def of_hashes(self, bucket: np.ndarray, lettered: np.ndarray, owners: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """A row of OWN + LETTERS numbers per word."""
+        first = np.searchsorted(owners, np.arange(len(bucket)))
+        letters = np.add.reduceat(self.gram[buckets], first, axis=0) / np.diff(np.append(first, len(buckets)))[:, None]
+        return np.where(lettered[:, None], np.concatenate([self.word[bucket], letters], axis=1), 0).astype(np.float32)
+
+    def learn(self, slope: np.ndarray, bucket: np.ndarray, lettered: np.ndarray, owners: np.ndarray, buckets: np.ndarray) -> None:
+        """A step against the slopes of the words' rows, each bucket at the rate of its own history."""
+        slope = np.where(lettered[:, None], slope, 0).astype(np.float32)
+        share = slope[owners, OWN:] / np.bincount(owners, minlength=len(bucket))[owners][:, None]
+        for table, total, open_, at, g in ((self.word, self.word_sum, self.word_open, bucket, slope[:, :OWN]), (self.gram, self.gram_sum, self.gram_open, buckets, share)):
+            rows, inverse = np.unique(np.where(open_[at], at, -1), return_inverse=True)
+            if rows[0] < 0 and len(rows) == 1:
+                continue
+            mean = np.zeros((len(rows), g.shape[1]), np.float32)
+            np.add.at(mean, inverse, g)
+            if rows[0] < 0:
+                rows, mean = rows[1:], mean[1:]
+            total[rows] += mean * mean
+            table[rows] -= TABLE_RATE * mean / (np.sqrt(total[rows]) + 1e-6)
+
+    def settled(self) -> Vectors:
+        """Without what only learning needs."""
+        self.word_sum = self.gram_sum = self.word_open = self.gram_open = None
+        return self
+
 
-    def __init__(self, evidence: Evidence) -> None:
-        self.evidence = evidence
-        self.rows = np.zeros((1, INPUTS), np.float32)
+class Words(dict):
+    """Numbers of words and their inputs; number 0 is the blank that fills short texts. With a network,
+    also what each word adds to its gates, computed once a word."""
+
+    def __init__(self, evidence: Evidence, vectors: Vectors, network: Network | None = None) -> None:
+        self.evidence, self.vectors, self.network = evidence, vectors, network
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
+        self.many, self._rows = 1, np.zeros((1024, INPUTS), np.float32)
+        self._given = {d: np.zeros((1024, 3 * HIDDEN), np.float32) for d in "fb"}
+        if self.network:
+            for d, x in self.network.projected(self._rows[:1]).items():
+                self._given[d][:1] = x
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self._rows[: self.many]
+
+    @property
+    def given(self) -> dict[str, np.ndarray]:
+        return {d: x[: self.many] for d, x in self._given.items()}
+
+    def _add(self, part: list[str]) -> None:
+        self.update(zip(part, range(self.many, self.many + len(part)), strict=True))
+        codes = hashed(part)
+        new = np.concatenate([self.evidence.of_hashes(*codes), self.vectors.of_hashes(*codes)], axis=1)
+        while self.many + len(part) > len(self._rows):
+            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+            self._given = {d: np.concatenate([x, np.zeros_like(x)]) for d, x in self._given.items()}
+        at = slice(self.many, self.many + len(part))
+        self._rows[at] = new
+        if self.network:
+            for d, x in self.network.projected(new).items():
+                self._given[d][at] = x
+        self.many += len(part)
 
     def windows(self, texts: list[str]) -> list[np.ndarray]:
         """Word numbers of the overlapping windows of each text; its last one ends with it."""
         split = [t.split() for t in texts]
         if len(self) > KEPT_WORDS:
-            self.clear()
-            self.rows = self.rows[:1]
-        new = list(set().union(*split).difference(self))
+            self._start()
+        new = sorted(set().union(*split).difference(self))
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
-            self.rows = np.concatenate([self.rows, self.evidence.inputs(part)])
+            self._add(new[at : at + 20_000])
         out = []
         for own in split:
             numbers = np.array([self[w] for w in own], np.int32)
@@ -184,8 +265,9 @@ class Network:
     def logits(self, given: dict[str, np.ndarray], numbers: np.ndarray) -> np.ndarray:
         return np.concatenate([self.pooled(self.states(given, numbers[i : i + 2048]))[0] for i in range(0, len(numbers), 2048)])
 
-    def gradient(self, rows: np.ndarray, numbers: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        h, keep = HIDDEN, []
+    def gradient(self, rows: np.ndarray, numbers: np.ndarray, label: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Slopes of the mean loss by the parameters, and by the rows of inputs."""
+        h, keep, d_rows = HIDDEN, [], np.zeros_like(rows)
         states = self.states(self.projected(rows), numbers, keep)
         logit, pool, weight, seen = self.pooled(states)
         d_logit = ((_sigmoid(logit) - label) / len(label)).astype(np.float32)
@@ -210,32 +292,56 @@ class Network:
             grad[f"u{d}"] += before.T @ d_hidden
             grad[f"x{d}"] += rows[numbers[:, i]].T @ d_gates
             grad[f"c{d}"] += d_gates.sum(axis=0)
+            np.add.at(d_rows, numbers[:, i], d_gates @ self.p[f"x{d}"].T)
             carry[d] = d_state * (1 - z) + d_hidden @ self.p[f"u{d}"].T
-        return grad
+        return grad, d_rows
 
-    def fit(self, rows: np.ndarray, numbers: np.ndarray, label: np.ndarray, steps: int, rng: np.random.Generator) -> None:
-        """Adam over batches that draw half from each label."""
+    def fit(self, words: Words, codes: Codes, numbers: np.ndarray, label: np.ndarray, steps: int, rng: np.random.Generator) -> None:
+        """Adam over batches that draw half from each label; the words' vectors learn along."""
         one, other = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
         mean, square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
             batch = np.concatenate([rng.choice(one, BATCH // 2), rng.choice(other, BATCH // 2)])
-            for k, g in self.gradient(rows, numbers[batch], label[batch]).items():
+            used, at = np.unique(numbers[batch], return_inverse=True)
+            own = codes.of(used)
+            learned = words.vectors.of_hashes(*own) * (rng.random(len(used)) < 0.5)[:, None]
+            learned[used == 0] = 0
+            rows = np.concatenate([words.rows[used, :COUNTED], learned], axis=1).astype(np.float32)
+            grad, d_rows = self.gradient(rows, at.reshape(numbers[batch].shape), label[batch])
+            d_rows[used == 0] = 0
+            words.vectors.learn(d_rows[:, COUNTED:], *own)
+            for k, g in grad.items():
                 g = np.clip(g, -1, 1)
                 mean[k] = 0.9 * mean[k] + 0.1 * g
                 square[k] = 0.99 * square[k] + 0.01 * g * g
                 self.p[k] = self.p[k] - RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
 
 
+class Codes:
+    """The hashes of the words that :class:`Words` has numbered, by number."""
+
+    def __init__(self, words: Words) -> None:
+        self.bucket, self.lettered, owners, self.buckets = hashed(["", *words])
+        self.first = np.searchsorted(owners, np.arange(len(self.bucket) + 1))
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = self.first[numbers + 1] - self.first[numbers]
+        owners = np.repeat(np.arange(len(numbers)), sizes)
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[numbers], sizes)
+        return self.bucket[numbers], self.lettered[numbers], owners, self.buckets[at]
+
+
 @dataclass
 class Model:
     evidence: Evidence | None
+    vectors: Vectors | None
     network: Network | None
     shift: float  # taken off the logit; without a network the score is this constant
 
     def scores(self, texts: list[str | None], words: Words | None = None) -> np.ndarray:
         if self.network is None:
             return np.full(len(texts), self.shift)
-        words = Words(self.evidence) if words is None else words
+        words = Words(self.evidence, self.vectors, self.network) if words is None else words
         out = np.zeros(len(texts))
         at = 0
         while at < len(texts):
@@ -244,7 +350,7 @@ class Model:
                 size += len(texts[to] or "") + 200
                 to += 1
             parts = words.windows([t or "" for t in texts[at:to]])
-            logits = self.network.logits(self.network.projected(words.rows), np.concatenate(parts))
+            logits = self.network.logits(words.given, np.concatenate(parts))
             out[at:to] = np.maximum.reduceat(logits, np.append(0, np.cumsum([len(p) for p in parts]))[:-1])
             at = to
         return _sigmoid(out - self.shift)
@@ -253,7 +359,7 @@ class Model:
 def trained(texts: list[str], toxic: np.ndarray, part: np.ndarray, seed: int = SEED) -> Model:
     """A model from labelled texts; ``part`` tells those that only train the network."""
     if len(set(toxic.tolist())) < 2:
-        return Model(None, None, 0.75 if len(toxic) and toxic[0] else 0.25)
+        return Model(None, None, None, 0.75 if len(toxic) and toxic[0] else 0.25)
     if min(len(set(toxic[part].tolist())), len(set(toxic[~part].tolist()))) < 2:
         part = np.arange(len(texts)) % 3 == 0
         for label in (0, 1):  # deal each label to both
@@ -261,12 +367,20 @@ def trained(texts: list[str], toxic: np.ndarray, part: np.ndarray, seed: int = S
             part[np.flatnonzero(toxic == label)[1::2]] = False
     pick = lambda which: [t for t, x in zip(texts, which, strict=True) if x]
     evidence = Evidence.counted(pick(~part), toxic[~part])
-    words, rng, net = Words(evidence), np.random.default_rng(seed), Network(seed)
+    vectors = Vectors()
+    words, rng, net = Words(evidence, vectors), np.random.default_rng(seed), Network(seed)
     views, labels = words.windows(pick(part)), toxic[part].astype(np.float32)
     if len(set(labels.tolist())) < 2:
-        return Model(None, None, float(np.clip(toxic.mean(), 0.01, 0.49)))
-    rows = words.rows
-    telling = rows[:, 1] + rows[:, 3]
+        return Model(None, None, None, float(np.clip(toxic.mean(), 0.01, 0.49)))
+    codes = Codes(words)
+    vectors.open_to(codes, views)
+    telling = words.rows[:, 1] + words.rows[:, 3]
+
+    def given() -> dict[str, np.ndarray]:
+        every = np.arange(words.many)
+        rows = np.concatenate([words.rows[:, :COUNTED], vectors.of_hashes(*codes.of(every))], axis=1)
+        rows[0] = 0
+        return net.projected(rows)
 
     def sample(score) -> tuple[np.ndarray, np.ndarray]:
         chosen, own = [], []
@@ -277,25 +391,33 @@ def trained(texts: list[str], toxic: np.ndarray, part: np.ndarray, seed: int = S
             own.append(np.full(len(best), label, np.float32))
         return np.concatenate(chosen), np.concatenate(own)
 
-    net.fit(rows, *sample(lambda v: telling[v].max(axis=1)), STEPS, rng)
-    given = net.projected(rows)
-    net.fit(rows, *sample(lambda v: net.logits(given, v)), STEPS // 2, rng)
-    given = net.projected(rows)
-    top = np.array([net.logits(given, v).max() for v in views])
+    net.fit(words, codes, *sample(lambda v: telling[v].max(axis=1)), STEPS, rng)
+    now = given()
+    net.fit(words, codes, *sample(lambda v: net.logits(now, v)), STEPS // 2, rng)
+    now = given()
+    top = np.array([net.logits(now, v).max() for v in views])
     # the shift that separates best: sensitivity plus specificity, the middle of the widest best gap
     order = np.sort(top)
     edges = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
     value = np.array([(top[labels == 1] > e).mean() + (top[labels == 0] <= e).mean() for e in edges])
-    return Model(evidence, net, float(np.median(edges[value >= value.max() - 1e-9])))
+    return Model(evidence, vectors.settled(), net, float(np.median(edges[value >= value.max() - 1e-9])))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> Model:
-    """A model from the labelled documents outside the held-out fold, at most so many of a label,
-    chosen by a hash of the id. Null labels teach nothing; a document labelled both ways is toxic."""
+    """A model from the labelled documents outside the held-out fold, at most so many of a label, chosen by
+    a hash of the id, and as many of them, in that order, as MOST_BYTES of text hold.
+
+    Null labels and texts teach nothing; a document labelled both ways is toxic. Of rows that repeat a
+    doc_id the text that is first by content teaches. A null doc_id has no label.
+    """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.filter("toxic = 1").orderBy(*by_hash).limit(most_toxic).union(known.filter("toxic = 0").orderBy(*by_hash).limit(most_other))
-    found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    there = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    there = there.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sizes = there.select("doc_id", "toxic", F.octet_length("text").alias("size")).withColumn("sum", F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    few = sizes.filter(F.col("sum") <= MOST_BYTES // 2).select("doc_id")
+    found = there.join(F.broadcast(few), "doc_id").toPandas().sort_values("doc_id")
     part = np.array([zlib.crc32(f"part:{i}".encode()) % 3 == 0 for i in found["doc_id"]], bool)
     return trained(found["text"].tolist(), found["toxic"].to_numpy(np.int64), part)
 
@@ -304,13 +426,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text; others are
     ignored).
 
-    Null and empty texts are one window of blanks. Repeated rows give repeated rows, an empty table
-    none. Without documents of both labels to learn from, all scores are one constant.
+    Null and empty texts are one window of blanks; a long text is all its windows, some megabytes at a
+    time. Repeated rows give repeated rows, an empty table none; a null doc_id is not held out. Without documents of both labels to learn from, all scores are one constant.
     """
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words(model.evidence) if model.network else None
+        words = Words(model.evidence, model.vectors, model.network) if model.network else None
         for series in texts:
             yield pd.Series(model.scores(series.tolist(), words))
 

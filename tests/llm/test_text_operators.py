@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -148,6 +149,40 @@ def test_language_on_hard_cases_and_held_out(spark):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
 
 
+def test_profiles_equal_binding_bundling_and_cosine_by_hand(spark):
+    size = 1024
+    texts = [(1, "Ab, c d", "x"), (2, "zu viel ist zu viel", "y"), (4, "ab ab ab", "x"), (6, "wenig", "y"), (9, "ab zu", None), (11, "", "x")]
+
+    def letter(c):
+        return language._letter_vector(ord(c) if c != " " else 0, size).tolist()
+
+    def bundle(texts):
+        total = [0] * size
+        for text in texts:
+            own = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+            own = re.sub(" +", " ", own)
+            for a, b, c in zip(own, own[1:], own[2:], strict=False):
+                x, y, z = letter(a), letter(b), letter(c)
+                for k in range(size):  # the first letter's vector rotated twice, the second's once
+                    total[k] += x[k - 2] * y[k - 1] * z[k]
+        return total
+
+    def cosine(u, v):
+        return sum(a * b for a, b in zip(u, v, strict=True)) / math.sqrt(sum(a * a for a in u) * sum(b * b for b in v))
+
+    learnt = [(i, t, lang) for i, t, lang in texts if lang and zlib.crc32(str(i).encode()) % 5]
+    profiles = {lang: bundle([t for _, t, own in learnt if own == lang]) for lang in sorted({lang for _, _, lang in learnt})}
+    assert len(profiles) == 2
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, t, _ in texts:
+        if not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+            continue
+        scores = {lang: cosine(bundle([t]), p) for lang, p in profiles.items()}
+        best = max(scores, key=lambda lang: (scores[lang], lang == min(scores)))
+        assert got[i][0] == best and got[i][1] == pytest.approx(max(0.0, scores[best]), abs=1e-6)
+
+
 def test_trigrams_keep_order():
     a, b = language.Vectors(512).bundle([language.trigrams("abc"), language.trigrams("cba")])
     assert abs(a @ b) / np.linalg.norm(a) / np.linalg.norm(b) < 0.6
@@ -216,7 +251,7 @@ def test_random_keys_are_found_with_few_digits_and_in_paths():
     letters, base62, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz"
     path = "/download/files/session/attachments/"
     for n in (16, 20, 24, 32, 64):
-        for signs, least in ((letters, 0.98), (base62, 0.99), (lower, {16: 0.75, 20: 0.85}.get(n, 0.95))):
+        for signs, least in ((letters, 0.98), (base62, 0.99), (lower, {16: 0.75, 20: 0.85, 24: 0.9}.get(n, 0.95))):
             keys = ["".join(draw.choices(signs, k=n)) for _ in range(300)]
             assert sum(find(f"x {k} y") == [(2, 2 + n)] for k in keys) >= 300 * least, (n, signs)
             assert sum(any(lo <= len(path) and hi == len(path) + n for lo, hi in find(path + k)) for k in keys) >= 300 * (least - 0.02)
@@ -278,7 +313,7 @@ def test_topk_equals_brute_force(spark):
 def test_toxicity_gradient():
     net, draw = toxicity.Network(1), np.random.default_rng(0)
     rows, numbers, label = draw.standard_normal((20, toxicity.INPUTS)), draw.integers(0, 20, (4, 6)), np.array([1, 0, 1, 0.0])
-    grad = net.gradient(rows, numbers, label)
+    grad, by_rows = net.gradient(rows, numbers, label)
 
     def loss():
         logit = net.pooled(net.states(net.projected(rows), numbers).astype(float))[0]
@@ -293,6 +328,76 @@ def test_toxicity_gradient():
         down = loss()
         net.p[name][at] = was
         assert (up - down) / 2e-2 == pytest.approx(float(grad[name][at]), abs=2e-4)
+    for at in [(int(numbers[0, 0]), 0), (int(numbers[2, 3]), toxicity.INPUTS - 1)]:
+        rows[at] += 1e-2
+        up = loss()
+        rows[at] -= 2e-2
+        down = loss()
+        rows[at] += 1e-2
+        assert (up - down) / 2e-2 == pytest.approx(float(by_rows[at]), abs=2e-4)
+
+
+def plain_logit(p, rows):
+    """The network over one window, number by number: two recurrent layers, attention, one logit."""
+    h = toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    states = [[0.0] * (2 * h) for _ in rows]
+    for side, d in enumerate("fb"):
+        state = [0.0] * h
+        for t in range(len(rows)) if d == "f" else range(len(rows) - 1, -1, -1):
+            g = [sum(rows[t][i] * p[f"x{d}"][i][j] for i in range(len(rows[t]))) + p[f"c{d}"][j] for j in range(3 * h)]
+            s = [sum(state[i] * p[f"u{d}"][i][j] for i in range(h)) for j in range(3 * h)]
+            z = [sigmoid(g[j] + s[j]) for j in range(h)]
+            r = [sigmoid(g[h + j] + s[h + j]) for j in range(h)]
+            new = [math.tanh(g[2 * h + j] + r[j] * s[2 * h + j]) for j in range(h)]
+            state = [(1 - z[j]) * state[j] + z[j] * new[j] for j in range(h)]
+            states[t][side * h : (side + 1) * h] = state
+    seen = [[math.tanh(sum(x[i] * p["att"][i][a] for i in range(2 * h))) for a in range(toxicity.ATTENTION)] for x in states]
+    weights = [math.exp(sum(v * p["ask"][a] for a, v in enumerate(row))) for row in seen]
+    pool = [sum(w * x[i] for w, x in zip(weights, states, strict=True)) / sum(weights) for i in range(2 * h)]
+    return sum(v * p["out"][i] for i, v in enumerate(pool)) + p["shift"][0]
+
+
+def test_scores_equal_the_network_by_hand():
+    draw = random.Random(3)
+    texts = [prose(i, draw.randrange(3, 60), 80) + (" vile rotten" if i % 3 == 0 else "") for i in range(240)]
+    label = np.array([int(i % 3 == 0) for i in range(240)])
+    model = toxicity.trained(texts, label, np.arange(240) % 2 == 0)
+    p = {k: v.tolist() for k, v in model.network.p.items()}
+    assert np.abs(model.vectors.word).max() > 0 and np.abs(model.vectors.gram).max() > 0
+    for text in ["", "vile", prose(500, 31), prose(501, 32, 80), prose(502, 75, 80) + " rotten " + prose(503, 40, 80)]:
+        own = text.split()
+        rows = []
+        for w in own:
+            codes = toxicity.hashed([w])
+            grams = codes[3].tolist()
+            letters = [sum(float(model.vectors.gram[b][k]) for b in grams) / len(grams) for k in range(toxicity.LETTERS)]
+            rows.append([*map(float, model.evidence.inputs([w])[0]), *map(float, model.vectors.word[codes[0][0]]), *letters] if codes[1][0] else [0.0] * toxicity.INPUTS)
+        rows = [[0.0] * toxicity.INPUTS] * (toxicity.WINDOW - len(rows)) + rows
+        starts = [*range(0, len(rows) - toxicity.WINDOW, toxicity.WINDOW // 2), len(rows) - toxicity.WINDOW]
+        logit = max(plain_logit(p, rows[s : s + toxicity.WINDOW]) for s in starts)
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + math.exp(model.shift - logit)), abs=1e-4)
+
+
+def test_a_word_scores_the_same_whenever_it_is_met(monkeypatch):
+    texts = [prose(i, 40, 60) + (" vile" if i % 2 else "") for i in range(120)]
+    model = toxicity.trained(texts, np.arange(120) % 2, np.arange(120) % 3 == 0)
+    want = model.scores(texts)
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 10)
+    words_ = toxicity.Words(model.evidence, model.vectors, model.network)
+    again = np.concatenate([model.scores([t], words_) for t in texts])
+    assert again == pytest.approx(want, abs=1e-5)
+
+
+def test_the_training_sample_is_bounded_and_the_same_again(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "trained", lambda texts, toxic, part: seen.append((texts, toxic.tolist())))
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 4000)
+    docs = spark.createDataFrame([(i, prose(i, 20)) for i in range(300)] + [(7, "b"), (7, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    for frame in (docs, docs.repartition(7)):
+        toxicity.learn(frame, labels)
+    assert seen[0] == seen[1] and 0 < sum(map(len, seen[0][0])) <= 4000 and set(seen[0][1]) == {0, 1}
 
 
 def test_toxicity_learns_and_bears_hard_cases(spark):
@@ -318,7 +423,7 @@ def test_toxicity_learns_and_bears_hard_cases(spark):
 
 
 def test_windows_cover_whole_texts():
-    words_ = toxicity.Words(toxicity.Evidence.counted(["a b"], np.array([1])))
+    words_ = toxicity.Words(toxicity.Evidence.counted(["a b"], np.array([1])), toxicity.Vectors())
     for n in (0, 1, 31, 32, 33, 48, 100):
         text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
         (got,) = words_.windows([text])
