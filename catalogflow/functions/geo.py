@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +86,64 @@ def moment_nm(magnitude: Column) -> Column:
 def source_radius_m(magnitude: Column, stress_drop_pa: float = 3e6) -> Column:
     """Radius of a circular crack with a constant stress drop."""
     return F.pow(7.0 / 16.0 * moment_nm(magnitude) / stress_drop_pa, F.lit(1.0 / 3.0))
+
+
+#: Semi-major axis (m) and flattening of WGS84.
+WGS84 = (6378137.0, 1 / 298.257223563)
+
+
+def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Distance on the WGS84 ellipsoid: Vincenty's iteration on whole batches. Nearly antipodal points, where it
+    does not settle, are null."""
+
+    @F.pandas_udf("double")
+    def of(a1: pd.Series, o1: pd.Series, a2: pd.Series, o2: pd.Series) -> pd.Series:
+        a, f = WGS84
+        b = a * (1 - f)
+        u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(x.to_numpy(float)))) for x in (a1, a2))
+        far = np.radians(o2.to_numpy(float) - o1.to_numpy(float))
+        su1, cu1, su2, cu2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+        lam, moved = far.copy(), np.full(len(far), np.inf)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for _ in range(100):
+                sl, cl = np.sin(lam), np.cos(lam)
+                ss = np.hypot(cu2 * sl, cu1 * su2 - su1 * cu2 * cl)
+                cs = su1 * su2 + cu1 * cu2 * cl
+                sigma = np.arctan2(ss, cs)
+                sa = np.where(ss > 0, cu1 * cu2 * sl / np.where(ss > 0, ss, 1), 0)
+                ca2 = 1 - sa * sa
+                c2m = np.where(ca2 > 1e-15, cs - 2 * su1 * su2 / np.where(ca2 > 1e-15, ca2, 1), 0)
+                c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
+                after = far + (1 - c) * f * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1)))
+                moved, lam = np.abs(after - lam), after
+                if not (moved > 1e-13).any():
+                    break
+        v2 = ca2 * (a * a - b * b) / (b * b)
+        big = 1 + v2 / 16384 * (4096 + v2 * (v2 * (320 - 175 * v2) - 768))
+        small = v2 / 1024 * (256 + v2 * (v2 * (74 - 47 * v2) - 128))
+        shift = small * ss * (c2m + small / 4 * (cs * (2 * c2m * c2m - 1) - small / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))
+        return pd.Series(np.where(moved > 1e-11, np.nan, b * big * (sigma - shift) / 1000))
+
+    found = of(*(x.cast("double") for x in (lat1, lon1, lat2, lon2)))
+    return F.when(~F.isnan(found), found)
+
+
+def utm_km(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
+    """East and north (km) of a transverse Mercator zone of the northern half: Krueger's series to the third
+    power of the third flattening, good to a millimetre within the zone."""
+    a, f = WGS84
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    sine, turn = F.sin(F.radians(lat)), F.radians(lon - (6 * zone - 183))
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    east = eta + sum((k * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, k in enumerate(alpha)), F.lit(0.0))
+    north = xi + sum((k * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, k in enumerate(alpha)), F.lit(0.0))
+    return 500 + 0.9996 * radius / 1000 * east, 0.9996 * radius / 1000 * north
+
+
+def to_precision(value: Column, width: float = 0.1) -> Column:
+    """The nearest multiple of a width, halves to the even one."""
+    return F.bround(value / width) * width

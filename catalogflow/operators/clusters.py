@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +15,79 @@ def _features(points: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="__v", handleInvalid="skip").transform(points)
 
 
-def kmeans(points: DataFrame, *, id: str, features: Sequence[str], k: int, seed: int = 0) -> DataFrame:
-    """id and cluster of k-means on standardised features."""
+def kmeans(points: DataFrame, *, id: str, features: Sequence[str], k: int, seed: int = 0, starts: int = 1) -> DataFrame:
+    """id and cluster of k-means on standardised features; of ``starts`` runs the one of the least cost."""
+    model, scaled = _best(points, features, k, seed, starts)
+    return model.transform(scaled).select(id, "cluster")
+
+
+def _best(points: DataFrame, features: Sequence[str], k: int, seed: int, starts: int):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
 
     own = _features(points, features)
     scaled = StandardScaler(withMean=True, inputCol="__v", outputCol="__s").fit(own).transform(own)
-    return KMeans(k=k, seed=seed, featuresCol="__s", predictionCol="cluster").fit(scaled).transform(scaled).select(id, "cluster")
+    models = [KMeans(k=k, seed=seed + i, featuresCol="__s", predictionCol="cluster").fit(scaled) for i in range(starts)]
+    return min(models, key=lambda m: m.summary.trainingCost), scaled
+
+
+def cost_curve(points: DataFrame, *, features: Sequence[str], ks: Sequence[int], seed: int = 0, starts: int = 1, nulls: int = 0) -> DataFrame:
+    """k, cost (within-cluster sum of squares of standardised features), knee (the k furthest under the line
+    from the first cost to the last) and, with ``nulls`` uniform tables over the same ranges, gap (mean log
+    cost of theirs less the log cost) and gap_s (its deviation)."""
+    import math
+
+    own = points.select(*features).dropna()
+    costs = [_best(own, features, k, seed, starts)[0].summary.trainingCost for k in ks]
+    gaps: list[tuple[float | None, float | None]] = [(None, None)] * len(ks)
+    if nulls:
+        lows = own.agg(*(F.min(f) for f in features)).first()
+        highs = own.agg(*(F.max(f) for f in features)).first()
+        logs = []
+        for i in range(nulls):
+            null = own.select(*(F.lit(lo) + F.rand(seed * 1000 + i * 10 + j) * (hi - lo) for j, (lo, hi) in enumerate(zip(lows, highs, strict=True)))).toDF(*features).checkpoint()
+            logs.append([math.log(_best(null, features, k, seed, 1)[0].summary.trainingCost) for k in ks])
+        for j, cost in enumerate(costs):
+            own_logs = [row[j] for row in logs]
+            mean = sum(own_logs) / nulls
+            spread = math.sqrt(sum((x - mean) ** 2 for x in own_logs) / nulls) * math.sqrt(1 + 1 / nulls)
+            gaps[j] = (mean - math.log(cost), spread)
+    x = [(k - ks[0]) / max(1, ks[-1] - ks[0]) for k in ks]
+    span = costs[0] - costs[-1]
+    under = [(1 - a) - (c - costs[-1]) / span if span else 0.0 for a, c in zip(x, costs, strict=True)]
+    knee = ks[max(range(len(ks)), key=lambda i: under[i])]
+    return points.sparkSession.createDataFrame([(k, c, k == knee, *g) for k, c, g in zip(ks, costs, gaps, strict=True)], "k int, cost double, knee boolean, gap double, gap_s double")
+
+
+def mixture_bic(points: DataFrame, *, features: Sequence[str], ks: Sequence[int], seed: int = 0) -> DataFrame:
+    """k, log_likelihood and bic of normal mixtures with full covariances."""
+    import math
+
+    from pyspark.ml.clustering import GaussianMixture
+
+    own = _features(points, features).select("__v").checkpoint()
+    n, d = own.count(), len(features)
+    rows = []
+    for k in ks:
+        if k == 1:  # one normal: its likelihood follows from the covariance
+            pairs = points.dropna(subset=list(features)).agg(*(F.covar_pop(a, b) for a in features for b in features)).first()
+            found = -n / 2 * (d * math.log(2 * math.pi) + math.log(np.linalg.det(np.array(pairs, float).reshape(d, d))) + d)
+        else:
+            found = GaussianMixture(k=k, seed=seed, featuresCol="__v").fit(own).summary.logLikelihood
+        rows.append((k, float(found), float(math.log(n) * (k * (1 + d + d * (d + 1) // 2) - 1) - 2 * found)))
+    return points.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double")
+
+
+def davies_bouldin(points: DataFrame, *, cluster: str, features: Sequence[str]) -> DataFrame:
+    """Mean over clusters of the worst (scatter + scatter) / distance with another; scatter is the mean
+    distance to the centre. Centres are a row a cluster."""
+    centres = points.groupBy(cluster).agg(*(F.avg(f).alias(f"__{f}") for f in features))
+    apart = F.sqrt(sum((F.pow(F.col(f) - F.col(f"__{f}"), 2) for f in features), F.lit(0.0)))
+    scatter = points.join(centres, cluster).groupBy(cluster, *(f"__{f}" for f in features)).agg(F.avg(apart).alias("s"))
+    a, b = (scatter.select(*(F.col(c).alias(f"{c}_{x}") for c in scatter.columns)) for x in "ab")
+    between = F.sqrt(sum((F.pow(F.col(f"__{f}_a") - F.col(f"__{f}_b"), 2) for f in features), F.lit(0.0)))
+    worst = a.join(b, F.col(f"{cluster}_a") != F.col(f"{cluster}_b")).groupBy(f"{cluster}_a").agg(F.max((F.col("s_a") + F.col("s_b")) / between).alias("w"))
+    return worst.agg(F.avg("w").alias("davies_bouldin"))
 
 
 def silhouette(points: DataFrame, *, cluster: str, features: Sequence[str]) -> float:
@@ -51,13 +117,15 @@ def adjusted_rand(labels: DataFrame, *, a: str, b: str) -> DataFrame:
     return labels.sparkSession.createDataFrame([(1.0 if top == chance else (both.p - chance) / (top - chance),)], "adjusted_rand double")
 
 
-def valley(values: DataFrame, *, value: str, seed: int = 0) -> DataFrame:
-    """Two normal modes of a value and the point between their means where their densities cross."""
+def valley(values: DataFrame, *, value: str, seed: int = 0, starts: int = 5) -> DataFrame:
+    """Two normal modes of a value (the likeliest of ``starts`` fits) and the point between their means where
+    their densities cross."""
     import math
 
     from pyspark.ml.clustering import GaussianMixture
 
-    model = GaussianMixture(k=2, seed=seed, featuresCol="__v").fit(_features(values, [value]))
+    own = _features(values, [value]).select("__v").checkpoint()
+    model = max((GaussianMixture(k=2, seed=seed + i, featuresCol="__v", maxIter=200, tol=1e-4).fit(own) for i in range(starts)), key=lambda m: m.summary.logLikelihood)
     modes = sorted((float(g.mean[0]), float(g.cov.toArray()[0, 0]), w) for g, w in zip((r for r in model.gaussiansDF.collect()), model.weights, strict=True))
     (m1, v1, w1), (m2, v2, w2) = modes
     a, b, c = 1 / v2 - 1 / v1, 2 * (m1 / v1 - m2 / v2), m2 * m2 / v2 - m1 * m1 / v1 + 2 * math.log(w1 / w2 * math.sqrt(v2 / v1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,37 @@ def norm(data: Column) -> Column:
     return F.sqrt(F.aggregate(data, F.lit(0.0), lambda a, x: a + x * x))
 
 
+def tapered(data: Column, share: float = 0.05) -> Column:
+    """Cosine taper over a share of each end."""
+    n = F.size(data)
+    edge = F.greatest(F.floor(n * share), F.lit(1))
+    return F.transform(data, lambda x, i: x * F.when(F.least(i, n - 1 - i) < edge, 0.5 * (1 - F.cos(F.lit(math.pi) * F.least(i, n - 1 - i) / edge))).otherwise(1.0))
+
+
+def decimated(data: Column, step: int) -> Column:
+    """The means of ``step`` samples each, the last of what is left: low-passed before it is thinned."""
+    mean = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.size(part)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(data), F.lit(1)), F.lit(step)), lambda at: mean(F.slice(data, at, step)))
+
+
+def interpolated(data: Column, rate: float, new_rate: float) -> Column:
+    """Samples at a new rate, linear between the old ones, up to the last of these."""
+    n = F.floor((F.size(data) - 1) * (new_rate / rate) + 1e-9).cast("int")
+
+    def value(k: Column) -> Column:
+        at = k * (rate / new_rate)
+        low = F.least(F.floor(at + 1e-9).cast("int"), F.size(data) - 1)
+        return data[low] + (data[F.least(low + 1, F.size(data) - 1)] - data[low]) * F.greatest(at - low, F.lit(0.0))
+
+    return F.transform(F.sequence(F.lit(0), n), value)
+
+
+def scaled(data: Column) -> Column:
+    """Of norm 1; all zero stays."""
+    size = norm(data)
+    return F.transform(data, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+
+
 def lag_correlation(a: np.ndarray, b: np.ndarray, most: int) -> tuple[float, float, float]:
     """Best normalised correlation over lags, its sub-sample lag (a parabola through the peak), and the
     correlation at lag 0. Nulls (nan) where a trace is all zero."""

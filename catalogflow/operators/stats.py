@@ -127,11 +127,11 @@ def omori(events: DataFrame, *, keys: Sequence[str], magnitude: str, days: str,
     log10 middle of ``bins`` bins, equal in log10 from the first to the last time after the largest event (0.001
     days at least). Null under ``least`` events or three bins with any."""
     main = events.groupBy(*keys).agg(F.max(F.struct(F.col(magnitude).alias("m"), (-F.col(id)).alias("i"), F.col(days).alias("t"))).alias("s")).select(*keys, F.col("s.t").alias("__t"))
-    later = events.join(main, list(keys)).withColumn("t", F.col(days) - F.col("__t")).filter("t > 0")
-    span = later.groupBy(*keys).agg(F.count("*").alias("n"), F.log10(F.greatest(F.min("t"), F.lit(1e-3))).alias("lo"), F.log10(F.max("t")).alias("hi"))
-    span = span.withColumn("w", (F.col("hi") - F.col("lo")) / bins).filter((F.col("n") >= least) & (F.col("w") > 0))
-    k = F.least(F.floor((F.log10("t") - F.col("lo")) / F.col("w") + 1e-12), F.lit(bins - 1))
-    counts = later.select(*keys, "t").join(span, list(keys)).withColumn("k", k).filter("k >= 0").groupBy(*keys, "n", "lo", "w", "k").agg(F.count("*").alias("c"))
-    edge = lambda shift: F.pow(F.lit(10.0), F.col("lo") + (F.col("k") + shift) * F.col("w"))
-    rated = counts.withColumn("y", F.log10(F.col("c") / (edge(1) - edge(0)))).withColumn("x", F.col("lo") + (F.col("k") + 0.5) * F.col("w"))
-    return rated.groupBy(*keys, "n").agg(F.when(F.count("*") >= 3, -F.regr_slope("y", "x")).alias("p"))
+    later = events.join(main, list(keys)).withColumn("__late", F.col(days) - F.col("__t")).filter("__late > 0")
+    span = later.groupBy(*keys).agg(F.count("*").alias("n"), F.log10(F.greatest(F.min("__late"), F.lit(1e-3))).alias("__lo"), F.log10(F.max("__late")).alias("__hi"))
+    span = span.withColumn("__w", (F.col("__hi") - F.col("__lo")) / bins).filter((F.col("n") >= least) & (F.col("__w") > 0))
+    bin_ = F.least(F.floor((F.log10("__late") - F.col("__lo")) / F.col("__w") + 1e-12), F.lit(bins - 1))
+    counts = later.select(*keys, "__late").join(span, list(keys)).withColumn("__bin", bin_).filter("__bin >= 0").groupBy(*keys, "n", "__lo", "__w", "__bin").agg(F.count("*").alias("__c"))
+    edge = lambda shift: F.pow(F.lit(10.0), F.col("__lo") + (F.col("__bin") + shift) * F.col("__w"))
+    rated = counts.withColumn("__y", F.log10(F.col("__c") / (edge(1) - edge(0)))).withColumn("__x", F.col("__lo") + (F.col("__bin") + 0.5) * F.col("__w"))
+    return rated.groupBy(*keys, "n").agg(F.when(F.count("*") >= 3, -F.regr_slope("__y", "__x")).alias("p"))

@@ -308,12 +308,6 @@ def j24(s, d):
     return near.select("idx", r6(F.col("km"), "km"))
 
 
-@query("j25_nearest_node", with_("origins", "SELECT idx, round(35 + round_even((lat - 35) / 0.05, 0) * 0.05, 6) AS node_lat, round(128 + round_even((lon - 128) / 0.05, 0) * 0.05, 6) AS node_lon FROM origins"))
-def j25(s, d):
-    node = lambda c, o: o + F.bround((F.col(c) - o) / 0.05) * 0.05
-    return origins(s, d).select("idx", r6(node("lat", 35), "node_lat"), r6(node("lon", 128), "node_lon"))
-
-
 @query("j26_stations_in_radius", with_("stations", f"SELECT id, round({hav('lat', 'lon', '35.5', '128.5')}, 6) AS km FROM stations WHERE {hav('lat', 'lon', '35.5', '128.5')} <= 40"))
 def j26(s, d):
     km = geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(35.5), F.lit(128.5))

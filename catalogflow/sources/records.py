@@ -55,9 +55,24 @@ def blocks(lines: DataFrame, *, number: str, value: str, starts: Column) -> Data
     return lines.withColumn("block", F.sum(F.when(starts, 1).otherwise(0)).over(w))
 
 
+def read_covariances(lines: DataFrame, *, mark: str = "COVARIANCE", width: int = 8, rows: int = 3) -> DataFrame:
+    """path, block and the entries c11, c12, ... of each covariance block: a line with ``mark``, then ``rows``
+    lines of numbers of ``width`` characters each that may stand glued; a number that does not parse is null.
+    Lines are (path, n, value); those of other kinds are passed over."""
+    own = blocks(lines, number="n", value="value", starts=F.col("value").contains(mark)).filter("block > 0")
+    at = Window.partitionBy("path", "block").orderBy("n")
+    body = own.withColumn("__k", F.row_number().over(at) - 1).filter(F.col("__k").between(1, rows))
+    cell = lambda j: number(F.substring("value", 1 + j * width, width))
+    return body.groupBy("path", "block").agg(*(F.max(F.when(F.col("__k") == i, cell(j - 1))).alias(f"c{i}{j}") for i in range(1, rows + 1) for j in range(1, rows + 1)))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, n and value of the lines of text files; each file is read whole."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
+    """path, n (ascending within a file, not without gaps) and value of the lines of text files. Files split:
+    n is the byte block that a line stands in and its place there, so no file has to fit a task."""
+    at = F.monotonically_increasing_id()
+    own = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("__start"), "value", at.alias("__at"))
+    within = F.row_number().over(Window.partitionBy("path", "__start").orderBy("__at"))
+    return own.select("path", (F.col("__start") * 1024 + within).alias("n"), "value")
 
 
 def subset_blocks(lines: DataFrame, keep: DataFrame, *, id: str = "id") -> DataFrame:

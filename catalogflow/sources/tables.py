@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections import OrderedDict
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..operators import windows as wn
 from . import schemas
 
 
@@ -57,6 +59,31 @@ def read_year(spark: SparkSession, folder: str, year: int) -> tuple[DataFrame |
     return without_nan(events), without_nan(found)
 
 
+class Cached:
+    """Reads by key through ``load``, the last ``most`` of them kept persisted; older ones are let go."""
+
+    def __init__(self, load: Callable[..., DataFrame], most: int = 64) -> None:
+        self.load, self.most, self.kept = load, most, OrderedDict()
+
+    def __call__(self, *key) -> DataFrame:
+        if key in self.kept:
+            self.kept.move_to_end(key)
+        else:
+            self.kept[key] = self.load(*key).persist()
+            if len(self.kept) > self.most:
+                self.kept.popitem(last=False)[1].unpersist()
+        return self.kept[key]
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV catalog (time, and any others) with event_key: the second's stamp, b, c, ... for later events
+    of the same second, by time and then place in the row. Rows without a time are left out."""
+    frame = reconciled(spark.read.option("header", True).option("inferSchema", True).csv(path))
+    frame = without_nan(frame.withColumn("time", F.to_timestamp("time")).filter("time IS NOT NULL"))
+    order = F.xxhash64(*frame.columns)
+    return wn.same_second_ids(frame.withColumn("__o", order), at="time", id="__o", stamp=F.date_format("time", "yyyyMMddHHmmss")).drop("__o")
+
+
 def of_year_or_before(tables: DataFrame, year: int, column: str = "year") -> DataFrame:
     """Rows of the latest year that is not after the wanted one."""
     best = tables.filter(F.col(column) <= year).agg(F.max(column)).first()[0]
@@ -75,6 +102,13 @@ def read_stations(spark: SparkSession, path: str, **constant) -> DataFrame:
     return frame.withColumns({k: F.lit(v) for k, v in constant.items()}).dropDuplicates(["Network", "Code"])
 
 
+def read_epochs(spark: SparkSession, path: str, *, net: str) -> DataFrame:
+    """A CSV list of station epochs (code, latitude, longitude, elevation, start, end): one row an epoch,
+    with the letter of its place among the code's epochs and t1 where the next one starts."""
+    frame = spark.read.schema("code string, latitude double, longitude double, elevation double, start timestamp, end timestamp").option("header", True).csv(path)
+    return wn.with_epochs(frame.dropDuplicates(["code", "start"]), key="code", start="start", end="end").withColumn("net", F.lit(net))
+
+
 def read_station_xml(spark: SparkSession, path: str) -> DataFrame:
     """One row a (net, sta): place, bands (sorted, slash-joined), first start and last end. Epochs come
     from velocity channels (band code ending in H) where there are any, else from all."""
@@ -105,6 +139,15 @@ def archive_days(files: DataFrame) -> DataFrame:
     return by.groupBy("sta", "band", "year").agg(F.max("days").alias("days"))
 
 
+def coverage(files: DataFrame, *, year: int, first: int, last: int) -> DataFrame:
+    """sta, band, days and coverage (days / length) within the days ``first`` to ``last`` of a year."""
+    at = r"([^/]+)/([^/]+)\.D/[^/]*\.(\d{4})\.(\d{3})$"
+    part = lambda k: F.regexp_extract("path", at, k)
+    own = files.select(part(1).alias("sta"), F.substring(part(2), 1, 2).alias("band"), part(3).alias("year"), part(4).try_cast("int").alias("doy"))
+    inside = own.filter((F.col("sta") != "") & (F.col("year") == str(year)) & F.col("doy").between(first, last))
+    return inside.groupBy("sta", "band").agg(F.count_distinct("doy").alias("days")).withColumn("coverage", F.col("days") / (last - first + 1))
+
+
 def write_parquet(frame: DataFrame, path: str, about: Mapping[str, str] | None = None, partition: Sequence[str] = ()) -> None:
     """Parquet, with the run's facts as one JSON line in ``<path>.meta``."""
     frame.write.mode("errorifexists").partitionBy(*partition).parquet(path)
