@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+from .conftest import SF
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -13,6 +15,19 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_queries_leave_the_time_zone_of_the_session(spark):
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
+    try:
+        hours = entry.queries()["x03_times"](spark, SF).orderBy("event_id").limit(50)
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Seoul"
+        there = hours.collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert there == entry.queries()["x03_times"](spark, SF).orderBy("event_id").limit(50).collect()
+
+
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
     for name in ("__spark_entry__.py", "catalogflow"):
         source = ROOT / name
