@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+#: Fixed column names of the files that are read.
 PICKS = "station string, phase string, peak_time timestamp, probability double"
 EVENTS = "idx long, time timestamp, x double, y double, z double, picks int, latitude double, longitude double, depth double"
 ASSIGNMENTS = "event_idx long, pick_idx long, residual double, station string, phase string, time double"
-STATION_YEAR = "net string, sta string, datadir string, lat double, lon double, elev double, t0 timestamp, t1 timestamp, band string, archive string, days_local int"
 STATIONS = "Network string, Code string, Latitude double, Longitude double, Elevation double"
-LOCATED = "time timestamp, lat double, lon double, depth double, num int, gap double, rms double, erh double, erz double, qual string"
-READINGS = "event_idx long, event_time timestamp, network string, station string, channel string, dist_km double, peak_mm double, noise_mm double, snr double, snr_pp double, ML double, p_source string"
 
 #: Fixed order of the relocation table's columns.
 RELOCATED = ("id", "lat", "lon", "depth", "x", "y", "z", "ex", "ey", "ez", "yr", "mo", "dy", "hr", "mi", "sc", "mag", "nccp", "nccs", "nctp", "ncts", "rcc", "rct", "cid")
-#: Names that older files use.
+#: Fixed names that older files use.
 ALIASES = {"lat": "latitude", "lon": "longitude", "dep": "depth"}
