@@ -166,8 +166,9 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, *, ids: boo
     """Encode and decode the text of each row of ``docs`` (doc_id, text; others are ignored).
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the ids and the decoded
-    text. A null text is the empty one: 0 tokens. Repeated rows give repeated rows. The vocabulary
-    is a file that each executor can read at the same path.
+    text. A null text is the empty one: 0 tokens. Repeated rows give repeated rows, an empty table none; a
+    null doc_id is returned as it is; texts of any length are encoded whole. The vocabulary is a file that
+    each executor can read at the same path.
     """
     path = vocabulary or default_vocabulary()
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]

@@ -164,7 +164,8 @@ def predict(docs: DataFrame, profiles: Profiles, *, out: str = "language") -> Da
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang).
 
-    Repeated rows give repeated rows; an empty table gives no rows; a null doc_id is not held out.
+    Repeated rows give repeated rows; an empty table gives no rows; a null doc_id is not held out; where no row
+    has a lang, all are ``und``.
     """
     slim = docs.select("doc_id", "text", "lang")
     found = predict(slim.select("doc_id", "text"), learn(slim))
