@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, gram_hashes, small, words_of
+from .common import cut, gram_hashes, release, small, words_of
 from .heavy import BlockCounter, Known, frequent
 
 WINDOW, ANCHOR = 50, 20
@@ -47,6 +47,8 @@ MOST_WINDOWS = 64
 _TOP = np.uint64(1 << 63)
 
 
+#: The level of the largest power of two within a width of up to 2 * RUN, RUN at most.
+_LEVEL = np.minimum(np.frexp(np.maximum(np.arange(2 * RUN + 1), 1).astype(float))[1] - 1, RUN.bit_length() - 1).astype(np.int64)
 #: For each place in a packed word the bits before it.
 _BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
@@ -136,7 +138,7 @@ class PassageIndex:
         and the whole blocks between.
         """
         width = high - low
-        level = np.minimum(np.frexp(np.maximum(width, 1).astype(np.float64))[1].astype(np.int64) - 1, RUN.bit_length() - 1)
+        level = _LEVEL[np.clip(width, 0, 2 * RUN)]
         row = level * self.size
         least = np.minimum(self.within[row + np.minimum(low, self.size - 1)], self.within[row + np.maximum(high - (1 << level), 0)])
         wide = np.flatnonzero(width > 2 * RUN)
@@ -279,7 +281,7 @@ def _anchored(docs: DataFrame, often: np.ndarray, window: int, anchor: int) -> D
 def _cut_out(docs: DataFrame, passages: DataFrame, window: int) -> DataFrame:
     """The passages' words: (doc_id, anchor, start, words, digest, body)."""
     goes = passages.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("parts"))
-    wanted = docs.join(small(cut(goes, "parts")), "doc_id").select("doc_id", "text", "parts")
+    wanted = docs.join(goes, "doc_id").select("doc_id", "text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (("doc_id", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("digest", pa.binary()), ("body", pa.binary()))
@@ -348,6 +350,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     kept = cut(shared.union(found.filter("anchor < 0")), "passages")
     total = kept.agg(F.sum(F.col("windows") + window - 1).alias("w")).first().w or 0
     parts = cut(_cut_out(own, kept, window), "bodies")
+    release(kept)
     distinct = parts.groupBy("anchor", "digest", "body").agg(F.min("doc_id").alias("first"))
     shards = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
     sizes = parts.groupBy("anchor", "digest").agg(F.max("words").alias("words")).groupBy("anchor").agg(F.sum("words").alias("words"))
@@ -371,7 +374,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     only a smaller id covers. An empty table gives no rows.
     """
     spans = cut(repeated_spans(docs, window=window, anchor=anchor).withColumnRenamed("doc_id", "of"), "spans")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(spans), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "spans")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "spans")
     kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + ([("kept", pa.string())] if text else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
