@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, udf
 from ..functions import time as tm
-from ..operators import cluster_tree, clusters, detect, signal
+from ..operators import blocks, cluster_tree, clusters, detect, signal
 from ..sources import records, tables, waveforms
 from ..streaming import windows as sw
 from .queries_joins import hav
@@ -136,6 +136,13 @@ def c10(s, d):
     return cluster_tree.density_tree(p, keys=["gx", "gy"], id="id", coords=["lat", "lon"], least=4, samples=3)
 
 
+@query("c15_background")
+def c15b(s, d):
+    """The probability of each day's events to be background, under the likeliest mu and k."""
+    events = catalog(s, d).select((F.col("us") / 8.64e10).alias("t"), "mag")
+    return blocks.fitted(events, t="t", m="mag", alpha_ln10=1.0, c=0.01, p=1.1, reference=5.0, tolerance=1e-4)[3]
+
+
 @query("c16_picked")
 def c16(s, d):
     t = table(s, d, "embeddings").select(F.concat(F.lit("S"), F.col("vec_id").cast("string")).alias("station"), (F.col("vec_id") * 1_000_000).alias("us"), F.lit(64.0).alias("rate"), F.col("embedding").alias("data"))

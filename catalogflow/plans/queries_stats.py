@@ -324,12 +324,12 @@ def a47b(s, d):
     return robust.robust_slope(r, keys=["family"], pair="pair", x="x", y="y", boots=50)
 
 
-@query("a48_linearity_gate", with_("readings", ", g AS (SELECT unit % 997 AS pair, regr_slope(ml + 1.7 * snr / 50, snr / 50) AS slope, sqrt(var_pop(ml + 1.7 * snr / 50) - covar_pop(ml + 1.7 * snr / 50, snr / 50) ** 2 / var_pop(snr / 50)) AS rms FROM readings GROUP BY 1) SELECT pair, round(slope, 6) AS slope FROM g WHERE slope BETWEEN 0.5 AND 3 AND rms < 0.325"))
+@query("a48_linearity_gate", with_("readings", ", g AS (SELECT unit % 997 AS pair, regr_slope(ml + 1.7 * snr / 50, snr / 50) AS slope, sqrt(var_pop(ml + 1.7 * snr / 50) - covar_pop(ml + 1.7 * snr / 50, snr / 50) ** 2 / var_pop(snr / 50)) AS rms FROM readings GROUP BY 1) SELECT pair, round(slope, 6) AS slope FROM g WHERE slope BETWEEN 0.5 AND 3 AND rms < 0.388"))
 def a48(s, d):
     x, y = F.col("snr") / 50, F.col("ml") + 1.7 * F.col("snr") / 50
     r = readings(s, d).select((F.col("unit") % 997).alias("pair"), x.alias("x"), y.alias("y"))
     g = r.groupBy("pair").agg(F.regr_slope("y", "x").alias("slope"), F.sqrt(F.var_pop("y") - F.pow(F.covar_pop("y", "x"), 2) / F.var_pop("x")).alias("rms"))
-    return g.filter("slope BETWEEN 0.5 AND 3 AND rms < 0.325").select("pair", r6(F.col("slope"), "slope"))
+    return g.filter("slope BETWEEN 0.5 AND 3 AND rms < 0.388").select("pair", r6(F.col("slope"), "slope"))
 
 
 @query("a49_tls_slope", with_("readings", "SELECT unit, round((var_pop(ml * 10) - var_pop(snr) + sqrt((var_pop(ml * 10) - var_pop(snr)) ** 2 + 4 * covar_pop(snr, ml * 10) ** 2)) / (2 * covar_pop(snr, ml * 10)), 5) AS slope FROM readings GROUP BY 1"))

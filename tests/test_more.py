@@ -132,6 +132,22 @@ def test_pairs_by_blocks_equal_all_pairs(spark):
     assert mean == pytest.approx({g: np.mean([v[2] for k, v in want.items() if k[0] % 2 == g]) for g in (0, 1)})
 
 
+def test_excitation_fits_are_the_likeliest(spark):
+    draw = np.random.default_rng(15)
+    t = np.sort(np.concatenate([draw.uniform(0, 100, 60), *(x + draw.exponential(0.5, 4) for x in draw.uniform(0, 90, 20))]))
+    m = draw.exponential(0.4, len(t)) + 2
+    kind = {"alpha_ln10": 0.8, "c": 0.05, "p": 1.2, "reference": 2.0}
+    mu, k, value, of = blocks.fitted(spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, m, strict=True)], "t double, m double"), t="t", m="m", **kind)
+    w = 10 ** (0.8 * (m - 2.0))
+    sums = np.array([(w[t < x] * (x - t[t < x] + 0.05) ** -1.2).sum() for x in t])
+    whole = (w * (0.05**-0.2 - (t[-1] - t + 0.05) ** -0.2) / 0.2).sum()
+    at = lambda a, b: np.log(a + b * sums).sum() - a * (t[-1] - t[0]) - b * whole
+    assert value == pytest.approx(at(mu, k), rel=1e-9)
+    assert all(at(mu * a, k * b) <= value + 1e-6 for a in (0.97, 1, 1.03) for b in (0.97, 1, 1.03))
+    share = sorted((r.t, r.background) for r in of.collect())
+    assert [b for _, b in share] == pytest.approx(mu / (mu + k * sums))
+
+
 def test_nearest_neighbours_without_a_reach(spark):
     draw = np.random.default_rng(4)
     x = np.concatenate([draw.normal(0, 0.01, (60, 2)), [[50.0, 50.0], [-80.0, 3.0], [50.0, 50.0]]])
