@@ -82,13 +82,13 @@ def compensator(events: DataFrame, *, t: str, m: str, mu: float, k: float, alpha
     return own.agg(F.count("*").alias("n"), (mu * F.first(F.col("t1") - F.col("t0")) + F.sum(weight * grown)).alias("expected"))
 
 
-def fitted(events: DataFrame, *, t: str, m: str, alpha_ln10: float, c: float, p: float, reference: float, rounds: int = 500, tolerance: float = 1e-8) -> tuple[float, float, float, DataFrame]:
+def fitted(events: DataFrame, *, t: str, m: str, alpha_ln10: float, c: float, p: float, reference: float, rounds: int = 6, points: int = 32) -> tuple[float, float, float, DataFrame]:
     """The likeliest mu and k of :func:`excitation` for a given kernel, the log likelihood, and (t, rate,
     background) of each time: background = mu / rate is the probability that an event there has no parent.
 
-    The sums over earlier events do not hang on mu and k, so they are made once; each round of
-    expectation and maximisation is then one aggregation over a row a time. It ends when neither moves by
-    the ``tolerance``, relative.
+    The sums over earlier events do not hang on mu and k, so they are made once. At the best pair the expected
+    number is the number of events, which gives k for each mu; along that line the likelihood is concave, and
+    each of ``rounds`` aggregations finds between which two of ``points`` values of mu its slope turns.
     """
     kernel = {"alpha_ln10": alpha_ln10, "c": c, "p": p, "reference": reference}
     sums = excitation(events, t=t, m=m, mu=0.0, k=1.0, **kernel).withColumnRenamed("rate", "s")
@@ -96,13 +96,14 @@ def fitted(events: DataFrame, *, t: str, m: str, alpha_ln10: float, c: float, p:
     whole = compensator(events, t=t, m=m, mu=0.0, k=1.0, **kernel).first().expected
     span = events.agg((F.max(t) - F.min(t)).cast("double")).first()[0]
     count = own.agg(F.sum("n")).first()[0]
-    mu, k = 0.5 * count / span, 0.5 * count / whole
+    low, high = 0.0, count / span
     for _ in range(rounds):
-        rate = F.lit(mu) + k * F.col("s")
-        alone, caused = own.agg(F.sum(F.col("n") * mu / rate), F.sum(F.col("n") * k * F.col("s") / rate)).first()
-        before, (mu, k) = (mu, k), (alone / span, caused / whole)
-        if abs(mu - before[0]) <= tolerance * mu and abs(k - before[1]) <= tolerance * k:
-            break
+        tried = [low + (high - low) * i / (points + 1) for i in range(1, points + 1)]
+        slopes = own.agg(*(F.sum(F.col("n") * (1 - F.col("s") * span / whole) / (x + (count - x * span) / whole * F.col("s"))) for x in tried)).first()
+        up = sum(v > 0 for v in slopes)
+        low, high = ([low, *tried][up], [*tried, high][up])
+    mu = (low + high) / 2
+    k = (count - mu * span) / whole
     rate = F.lit(mu) + k * F.col("s")
     likelihood = own.agg(F.sum(F.col("n") * F.log(rate))).first()[0] - mu * span - k * whole
     return mu, k, likelihood, own.select("t", rate.alias("rate"), (mu / rate).alias("background"))

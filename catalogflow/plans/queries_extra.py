@@ -140,7 +140,7 @@ def c10(s, d):
 def c15b(s, d):
     """The probability of each day's events to be background, under the likeliest mu and k."""
     events = catalog(s, d).select((F.col("us") / 8.64e10).alias("t"), "mag")
-    return blocks.fitted(events, t="t", m="mag", alpha_ln10=1.0, c=0.01, p=1.1, reference=5.0, tolerance=1e-4)[3]
+    return blocks.fitted(events, t="t", m="mag", alpha_ln10=1.0, c=0.01, p=1.1, reference=5.0)[3]
 
 
 @query("c16_picked")
