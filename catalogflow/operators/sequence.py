@@ -15,6 +15,10 @@ from . import joins as jn
 from . import windows as wn
 
 
+#: Runs of times near one another that one task walks through.
+RUNS = 500
+
+
 def best_offset(left: DataFrame, right: DataFrame, *, at: str, time: str, offsets: Sequence[int], reach: int) -> int:
     """The offset to add to ``at`` that brings the left times nearest to the right ones: the smallest
     median gap; rows without a right time within ``reach`` count as that far."""
@@ -31,7 +35,7 @@ def aligned(left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_id:
     else the earlier side moves on.
 
     A gap of more than the tolerance in the times of both lists together parts the walk: no pair spans it.
-    So each key's rows are cut there into runs (by days and carried counts), and a run is one group.
+    So each key's rows are cut there into runs (by days and carried counts), and RUNS of them are one group.
     """
     a = left.select(*keys, F.col(left_id).alias("id"), F.col(at).alias("t"), F.lit(0).alias("side"))
     b = right.select(*keys, F.col(right_id).alias("id"), F.col(time).alias("t"), F.lit(1).alias("side"))
@@ -59,7 +63,7 @@ def aligned(left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_id:
     both = wn.previous(both, keys=keys, at="t", id="o", width=max(tolerance, DAY_US), value="t", name="__t")
     opens = F.when(F.col("t") - F.col("__t") <= tolerance, 0).otherwise(1)
     both = wn.carried(both, keys=keys, at="t", id="o", width=max(tolerance, DAY_US), sums={"__run": opens}).drop("__run_all", "__t", "o")
-    return both.groupBy(*keys, "__run").applyInPandas(run, f"{fields}, left_id long, right_id long")
+    return both.withColumn("__runs", F.floor(F.col("__run") / RUNS)).groupBy(*keys, "__runs").applyInPandas(run, f"{fields}, left_id long, right_id long")
 
 
 def nudged(rows: DataFrame, *, keys: Sequence[str], id: str, at: str, step: int, width: int) -> DataFrame:

@@ -195,7 +195,9 @@ def walked(x, y, tolerance):
     return out
 
 
-def test_alignment_in_runs_equals_one_walk(spark):
+@pytest.mark.parametrize("runs", [1, 500])
+def test_alignment_in_runs_equals_one_walk(spark, monkeypatch, runs):
+    monkeypatch.setattr(sequence, "RUNS", runs)
     draw = random.Random(7)
     a, b = ([(draw.randrange(0, 20 * DAY), k * 1000 + i) for i in range(200)] for k in (1, 2))
     b += [(t + draw.randrange(-3, 4) * 1_000_000, 5000 + i) for i, (t, _) in enumerate(a[:120])]
