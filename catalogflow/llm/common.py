@@ -37,6 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Rows that go to a Python worker at once while a table is cut: whole texts, so not many.
+ARROW_ROWS = 1_000
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there.
 
@@ -46,7 +50,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(int(batch), ARROW_ROWS) if int(batch) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     where, fs = _folder(spark, path)
     fs.deleteOnExit(where)
     read = spark.read.schema(df.schema).parquet(path)

@@ -244,25 +244,27 @@ def _supported(lists: DataFrame, percent: int) -> DataFrame:
     return lists.join(enough, "key", "left_semi")
 
 
-def _sets(docs: DataFrame, goes: DataFrame, k: int) -> DataFrame:
-    """The sets that ``goes`` (id, key, place, part, more, role) asks for, a row for each place they go
-    to; id is the doc_id of a row with the set of that key."""
-    needs = cut(goes.groupBy(F.col("id").alias("doc_id"), "key").agg(F.collect_list(F.struct("place", "part", "more", "role")).alias("goes")), "needs")
-    wanted = docs.join(small(needs), "doc_id").select("doc_id", "text", "key", "goes")
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, key, set) of the sets named by ``wanted`` (id, key): the texts are read and moved once for all
+    searches; id is the doc_id of a row with the set of that key."""
+    own = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        for batch in _texts(batches, 64):
+        for batch in _texts(batches):
             rows = []
-            for doc, text, key, goes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, text, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 s = shingle_set(text, k)
                 if len(s) and set_key(s)[0] == key:
-                    data = s.tobytes()
-                    rows += [(g["place"], g["part"], g["more"], g["role"], doc, key, data) for g in goes]
+                    rows.append((doc, key, s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["place", "part", "more", "role", "id", "key", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["id", "key", "set"])
+
+    return own.mapInArrow(run, "id long, key long, set binary")
+
 
-    return wanted.mapInArrow(run, "place long, part string, more long, role int, id long, key long, set binary")
+def _placed(sets: DataFrame, goes: DataFrame) -> DataFrame:
+    """A row of each set for each place that ``goes`` (id, key, place, part, more, role) sends it to."""
+    return goes.join(sets, ["id", "key"]).select("place", "part", "more", "role", "id", "key", "set")
 
 
 def _by_place(sets: DataFrame, work, schema: str) -> DataFrame:
@@ -410,9 +412,9 @@ def _dealt(classes: DataFrame, percent: int) -> DataFrame:
     return goes.select("id", "key", F.col("component_id").alias("place"), "go.part", F.col("copies").alias("more"), "go.role")
 
 
-def jaccard_classes(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, k: int = K, percent: int = PERCENT, count: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of each row of ``docs`` (doc_id, text;
-    others are ignored).
+    others are ignored); without ``count`` links are found but not counted, and n_links is left out.
 
     component_id is the smallest doc_id that links reach from the row, class_id the smallest with
     the same set, n_links how many other rows have a set that links with the row's (copies of its own
@@ -450,21 +452,29 @@ def jaccard_classes(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> D
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("string").alias("part")
     members = gathers.join(parts, ["place", "centre"]).select("id", "key", "place", block, more, role(MEMBER))
     mids = parts.select(F.col("place").alias("id"), F.col("centre").alias("key"), "place", each, more, role(CENTRE))
-    first = cut(_searched(_sets(own, members.union(mids), k), percent), "found")
+    ends = gathers.select("id", "key").union(parts.select(F.col("place").alias("id"), F.col("centre").alias("key"))).distinct()
+    sets = cut(_sets(own, ends, k), "sets")
+    first = cut(_searched(_placed(sets, members.union(mids)), percent), "found")
     links = first.filter("kind = 0").select("a", "b")
     strays = first.filter("kind = 1").select(F.col("a").alias("place"), F.col("b").alias("id"), "key")
     if not strays.isEmpty():
         asks = strays.join(parts, "place").select("id", "key", "place", each, more, role(QUERY))
-        second = cut(_searched(_sets(own, members.join(strays.select("place").distinct(), "place", "left_semi").union(asks), k), percent), "found")
+        open_ = members.join(strays.select("place").distinct(), "place", "left_semi").select(*asks.columns)
+        second = cut(_searched(_placed(sets, open_.union(asks)), percent), "found")
         links = links.union(second.select("a", "b"))
     of_id = components(links)
     groups = cut(named.join(of_id, F.col("id") == F.col("v")).select(F.col("label").alias("component_id"), "id", "key", "twin", "n", "copies"), "groups")
-    counts = _counted(_sets(own, _dealt(groups, percent), k), percent).groupBy("id", "key").agg(F.sum("links").alias("links"))
-    found = classes.join(groups.select("key", "twin", "id", "component_id"), ["key", "twin", "id"], "left").join(counts, ["id", "key"], "left")
-    found = found.select("key", "twin", "id", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links"))
+    found = classes.join(groups.select("key", "twin", "id", "component_id"), ["key", "twin", "id"], "left")
+    found = found.select("key", "twin", "id", F.coalesce("component_id", "id").alias("component_id"), "copies")
+    if count:
+        links = _counted(_placed(sets, _dealt(groups, percent)), percent).groupBy("id", "key").agg(F.sum("links").alias("links"))
+        found = found.join(links, ["id", "key"], "left")
     told = rows.join(found, ["key", "twin"], "left")
-    one = F.when(F.col("doc_id").isNull(), 0).otherwise(1)
-    return told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("id", "doc_id").alias("class_id"), F.greatest(F.coalesce("links", one) - one, F.lit(0)).cast("long").alias("n_links"))
+    out = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("id", "doc_id").alias("class_id")]
+    if count:
+        others = F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(0)) - F.when(F.col("doc_id").isNotNull() & F.col("key").isNotNull(), 1).otherwise(0)
+        out.append(others.cast("long").alias("n_links"))
+    return told.select(*out)
 
 
 def keep_one(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -472,5 +482,5 @@ def keep_one(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFram
     smaller doc_id. Rows that repeat a doc_id stay or go together; rows of a null doc_id stay, as
     nothing names them."""
     (gone,) = fresh(docs, "gone")
-    found = jaccard_classes(docs, k=k, percent=percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    found = jaccard_classes(docs, k=k, percent=percent, count=False).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(found, F.col("doc_id") == F.col(gone), "left_anti")
