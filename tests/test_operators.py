@@ -208,7 +208,7 @@ def test_alignment_and_nudging(spark):
     got = [(r.left_id, r.right_id) for r in sequence.aligned(a, b, keys=["k"], left_id="i", at="t", right_id="i", time="t", tolerance=5).collect()]
     assert sorted(got) == [(1, 7), (3, 9)]
     n = spark.createDataFrame([("d", 1, 5), ("d", 2, 5), ("d", 3, 6), ("d", 4, 50)], "k string, i long, t long")
-    assert [r.moved for r in sequence.nudged(n, keys=["k"], id="i", at="t", step=3).orderBy("i").collect()] == [5, 8, 11, 50]
+    assert [r.moved for r in sequence.nudged(n, keys=["k"], id="i", at="t", step=3, width=7).orderBy("i").collect()] == [5, 8, 11, 50]
     assert sequence.best_offset(a.withColumn("t", F.col("t") + 1000), b, at="t", time="t", offsets=[0, 1000, -1000], reach=50) == -1000
 
 
