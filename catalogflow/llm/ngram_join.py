@@ -246,8 +246,8 @@ def _supported(lists: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(id, key, set) of the sets named by ``wanted`` (id, key): the texts are read and moved once for all
-    searches; id is the doc_id of a row with the set of that key."""
-    own = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "key")
+    searches, at every size by a shuffle; id is the doc_id of a row with the set of that key."""
+    own = docs.join(wanted.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id").select("doc_id", "text", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _texts(batches):
