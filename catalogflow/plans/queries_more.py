@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import time as tm
 from ..operators import associate as asc
 from ..operators import blocks, clusters, families, graph, rates, sequence, stats
-from ..operators import joins as jn
 from ..streaming import windows as sw
 from .queries_stats import ALL, UNITS
-from .registry import catalog, origins, picks, query, r6, readings, table, with_
+from .registry import catalog, origins, picks, query, r6, table, with_
 
 PARENTS = ALL + ", edge AS MATERIALIZED (SELECT idx AS child, parent FROM par WHERE log_eta < -2.5), chain AS (SELECT idx, idx AS top FROM n UNION ALL SELECT chain.idx, edge.parent FROM chain JOIN edge ON edge.child = chain.top), fam AS (SELECT idx, min(idx) OVER (PARTITION BY top) AS family FROM chain WHERE top NOT IN (SELECT child FROM edge))"
 

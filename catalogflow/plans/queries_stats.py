@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 from ..functions import geo, text
 from ..functions import time as tm
 from ..operators import blocks, graph, robust, stats
-from ..operators import windows as wn
 from ..sources import records, tables
 from .registry import catalog, epochs, located, origins, picks, query, r6, readings, stations, table, with_
 
