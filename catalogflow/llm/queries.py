@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, ngram_join, secrets, substring_dedup, topk, toxicity, urls
+from . import bpe, exact_dedup, language, mixing, ngram_join, pivot_dedup, prefix_trie, secrets, substring_dedup, topk, toxicity, urls, whitening
 from .common import table
 
 
@@ -57,9 +57,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_topk_search, op4_secret_scan, op5_language_id, op6_url_filter, op7_mix_sources, op8_bpe, op9_exact_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_topk_search, op4_secret_scan, op5_language_id, op6_url_filter, op7_mix_sources, op8_bpe, op9_exact_dedup, op10_substring_dedup, op11_prefix_trie, op12_whitening, op13_pivot_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": topk.SQL, "op6_url_filter": urls.SQL, "op7_mix_sources": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op3_topk_search": topk.SQL, "op6_url_filter": urls.SQL, "op7_mix_sources": mixing.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL}
