@@ -382,6 +382,7 @@ def components(links: DataFrame) -> DataFrame:
         open_ = cut(moved.filter("low < high").distinct(), "open")
         labels = cut(labels.join(hook.withColumnRenamed("high", "label"), "label", "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
         release(before, was, *hooks)
+    release(open_)
     return labels
 
 
@@ -455,6 +456,7 @@ def jaccard_classes(docs: DataFrame, *, k: int = K, percent: int = PERCENT, coun
     ends = gathers.select("id", "key").union(parts.select(F.col("place").alias("id"), F.col("centre").alias("key"))).distinct()
     sets = cut(_sets(own, ends, k), "sets")
     first = cut(_searched(_placed(sets, members.union(mids)), percent), "found")
+    written = [first]
     links = first.filter("kind = 0").select("a", "b")
     strays = first.filter("kind = 1").select(F.col("a").alias("place"), F.col("b").alias("id"), "key")
     if not strays.isEmpty():
@@ -462,13 +464,21 @@ def jaccard_classes(docs: DataFrame, *, k: int = K, percent: int = PERCENT, coun
         open_ = members.join(strays.select("place").distinct(), "place", "left_semi").select(*asks.columns)
         second = cut(_searched(_placed(sets, open_.union(asks)), percent), "found")
         links = links.union(second.select("a", "b"))
+        written.append(second)
+    release(gathers, parts)
     of_id = components(links)
+    release(*written)
     groups = cut(named.join(of_id, F.col("id") == F.col("v")).select(F.col("label").alias("component_id"), "id", "key", "twin", "n", "copies"), "groups")
+    release(of_id)
     found = classes.join(groups.select("key", "twin", "id", "component_id"), ["key", "twin", "id"], "left")
     found = found.select("key", "twin", "id", F.coalesce("component_id", "id").alias("component_id"), "copies")
+    written = [classes, groups, sets]
     if count:
-        links = _counted(_placed(sets, _dealt(groups, percent)), percent).groupBy("id", "key").agg(F.sum("links").alias("links"))
+        links = cut(_counted(_placed(sets, _dealt(groups, percent)), percent).groupBy("id", "key").agg(F.sum("links").alias("links")), "links")
         found = found.join(links, ["id", "key"], "left")
+        written.append(links)
+    found = cut(found, "found")
+    release(*written)
     told = rows.join(found, ["key", "twin"], "left")
     out = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("id", "doc_id").alias("class_id")]
     if count:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -72,7 +73,18 @@ def random_spans(text: str, encoding, taken: list[tuple[int, int, int]]) -> list
     base span already covers. Every run is measured whole; if that says nothing, what remains of it
     between the parts that are words, numbers or digests."""
     few = lambda piece: len(piece) <= (MOST_PER_TOKEN_WORD if WORDLIKE.fullmatch(piece) else MOST_PER_TOKEN) * len(encoding.encode_ordinary(piece))
-    free = lambda lo, hi: not any(s < hi and lo < e for s, _, e in taken)
+    starts, ends = [], []  # what is taken, as disjoint stretches in order
+    for s, _, e in taken:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def free(lo: int, hi: int) -> bool:
+        at = bisect_left(starts, hi) - 1
+        return at < 0 or ends[at] <= lo
+
     found = []
     for m in RUN.finditer(text):
         run, at = m[0], m.start()

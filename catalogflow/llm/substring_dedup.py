@@ -5,22 +5,25 @@ the same word sequence as one that starts in a document of a smaller id.
 
 1. Each window is known by its least anchor: of the hashes of its runs of ``anchor`` words, the
    smallest, frequent runs last. Equal windows have equal anchors. Consecutive windows of one anchor
-   form a passage. Anchors that one document alone has are dropped: their windows repeat nowhere else.
-2. The other passages go, each text once, to the shard of their anchor: equal windows meet there.
+   form a passage, known by 128 bits of its words' BLAKE2b. Anchors that one document alone has are
+   dropped: their windows repeat nowhere else.
+2. Of equal passages the one of the smallest document is cut out of its text. Anchors are packed into
+   shards by the words of their passages, so a shard holds SHARD_WORDS and one more anchor at most.
 3. A shard builds an FM-index of its passages: suffixes sorted by prefix doubling, their
    Burrows-Wheeler transform in a wavelet matrix of packed bits with counts by word, and for each
    suffix the smallest document that has the passage. The passages are streamed through it:
    backward search gives matching statistics towards smaller documents (how far left a match that
    ends here reaches while its interval still holds a smaller document), for all passages of the
    shard in step; matches of a window and more are reported as intervals.
-4. Intervals go back to the documents by the passage's text digest; in a document that is not the
-   first with this passage, all of it is covered.
-
-Word sequences are compared as words, in passages, index and search; hashes only route. Shards are
-of bounded size: as many as the passages' words ask for. An anchor whose different passages alone
-would overfill one (a run that very many texts hold in ever other surroundings) is not indexed: its
-windows are dealt out one by one, by 128 bits of their BLAKE2b, and the smallest document of each is
-found by an aggregation.
+4. An anchor whose passages alone overfill a shard (a run that very many texts hold in ever other
+   surroundings) is split: its passages are cut into those of one second anchor, the next smallest hash of
+   their windows, then by a third, until each fits. What these report is put together for the passage.
+5. Intervals go back to the rows by the passage's digest; in a document that is not the first with
+   this passage, all of it is covered. A row is known by its doc_id and a hash of its text, so rows that
+   repeat an id with another text keep apart.
+
+Word sequences are compared as words, in index and search; hashes only route, and passages are equal if
+their 128 bits are.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, gram_hashes, release, small, words_of
+from .common import cut, gram_hashes, mixed, release, words_of
 from .heavy import BlockCounter, Known, frequent
 
 WINDOW, ANCHOR = 50, 20
@@ -44,6 +47,8 @@ SHARD_WORDS = 1_500_000
 RUN = 16
 #: Windows that a passage has at most (a run that repeats itself can keep one anchor for long).
 MOST_WINDOWS = 64
+#: Shards' worth of words of a bucket, within which anchors are packed; anchors in turn that split a wide one.
+BUCKET_SHARDS, LEVELS = 16, 8
 _TOP = np.uint64(1 << 63)
 
 
@@ -265,104 +270,167 @@ def _frequent_runs(docs: DataFrame, anchor: int, window: int) -> np.ndarray:
 
 
 def _anchored(docs: DataFrame, often: np.ndarray, window: int, anchor: int) -> DataFrame:
+    """(anchor, digest, doc_id, twin, start, words) of every passage of ``docs`` (doc_id, twin, text)."""
+    kinds = (("anchor", pa.int64()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("twin", pa.int64()), ("start", pa.int32()), ("words", pa.int32()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(often)
         for batch in _slices(batches):
-            parts = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, s, c = passages_of(words_of(text), known, window, anchor)
-                parts.append((a, np.full(len(a), doc, np.int64), s, c))
-            a, d, s, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32))], ["anchor", "doc_id", "start", "windows"])
+            parts, digests = [], []
+            for doc, twin, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = words_of(text)
+                a, s, c = passages_of(words, known, window, anchor)
+                sizes = c + window - 1
+                parts.append((a, np.full(len(a), doc, np.int64), np.full(len(a), twin, np.int64), s, sizes))
+                digests += [_digest(b" ".join(words[lo : lo + n])) for lo, n in zip(s.tolist(), sizes.tolist(), strict=True)]
+            a, d, t, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            columns = (a.view(np.int64), digests, d, t, s.astype(np.int32), n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, kinds, strict=True)], [name for name, _ in kinds])
+
+    return docs.select("doc_id", "twin", "text").mapInArrow(run, "anchor long, digest binary, doc_id long, twin long, start int, words int")
+
+
+def _digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long, start int, windows int")
 
+def _packed(passages: DataFrame, last: bool) -> DataFrame:
+    """(anchor, bucket, shard, wide) of ``passages`` (anchor, words): anchors in turn fill the shards of a
+    bucket; an anchor of more than SHARD_WORDS is wide, unless this is the ``last`` level."""
+    sizes = cut(passages.groupBy("anchor").agg(F.sum("words").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size").alias("w")).first().w or 0
+    each = max(1, min(SHARD_WORDS, total // int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, total // (BUCKET_SHARDS * each)))).cast("int")
+    wide = F.lit(False) if last else F.col("size") > SHARD_WORDS
+    before = F.sum(F.when(F.col("wide"), 0).otherwise(F.col("size"))).over(Window.partitionBy("bucket").orderBy("anchor").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.withColumn("wide", wide).withColumn("bucket", bucket).select("anchor", "bucket", F.floor(F.coalesce(before, F.lit(0)) / each).cast("int").alias("shard"), "wide")
 
-def _cut_out(docs: DataFrame, passages: DataFrame, window: int) -> DataFrame:
-    """The passages' words: (doc_id, anchor, start, words, digest, body)."""
-    goes = passages.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("parts"))
-    wanted = docs.join(goes, "doc_id").select("doc_id", "text", "parts")
+
+def _cut_out(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``passages`` (doc_id, twin, start and what else is to stay) with their words as ``body``."""
+    kept = [c for c in passages.columns if c not in ("doc_id", "twin")]
+    goes = passages.groupBy("doc_id", "twin").agg(F.collect_list(F.struct(*kept)).alias("parts"))
+    wanted = docs.join(goes, ["doc_id", "twin"]).select("doc_id", "text", "parts")
+    schema = ", ".join(["first long", *(f"{c} {passages.schema[c].dataType.simpleString()}" for c in kept), "body binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (("doc_id", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("digest", pa.binary()), ("body", pa.binary()))
         for batch in _slices(batches, 32):
-            rows = []
-            for doc, text, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            parts, bodies = batch.column(2), []
+            for text, own in zip(batch.column(1).to_pylist(), parts.to_pylist(), strict=True):
                 words = words_of(text)
-                for p in parts:
-                    own = words[p["start"] : p["start"] + p["windows"] + window - 1]
-                    if len(own) == p["windows"] + window - 1:
-                        body = b" ".join(own)
-                        rows.append((doc, p["anchor"], p["start"], len(own), hashlib.blake2b(body, digest_size=16).digest(), body))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+                bodies += [b" ".join(words[p["start"] : p["start"] + p["words"]]) for p in own]
+            flat = parts.flatten()
+            of = np.repeat(np.arange(batch.num_rows), parts.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *(flat.field(c) for c in kept), pa.array(bodies, pa.binary())], ["first", *kept, "body"])
+
+    return wanted.mapInArrow(run, schema)
 
-    return wanted.mapInArrow(run, "doc_id long, anchor long, start int, words int, digest binary, body binary")
 
+def _reported(bodies: DataFrame, window: int) -> DataFrame:
+    """(digest, first, spans) of (bucket, shard, digest, first, body): what is covered in the first document."""
 
-def _reported(distinct: DataFrame, shards: int, window: int) -> DataFrame:
-    """(digest, first, spans) of (anchor, digest, body, first): what is covered in the first document."""
+    def search(group: dict[bytes, tuple[int, bytes]]) -> pa.RecordBatch:
+        symbols: dict[bytes, int] = {}
+        passages = [np.array([symbols.setdefault(w, len(symbols) + 1) for w in body.split(b" ")], np.int64) for _, body in group.values()]
+        firsts = np.array([first for first, _ in group.values()], np.int64)
+        spans = repeated_in_smaller(passages, firsts, window)
+        flat = pa.array([[x for s in own for x in s] for own in spans], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(list(group), pa.binary()), pa.array(firsts), flat], ["digest", "first", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, passages, firsts, symbols = [], [], [], {}
+        at, group = None, {}
         for batch in _slices(batches, 2048):
-            for digest, body, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                digests.append(digest)
-                firsts.append(first)
-                passages.append(np.array([symbols.setdefault(w, len(symbols) + 1) for w in body.split(b" ")], np.int64))
-        symbols.clear()
-        if passages:
-            spans = repeated_in_smaller(passages, np.array(firsts, np.int64), window)
-            flat = pa.array([[x for s in own for x in s] for own in spans], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(firsts, pa.int64()), flat], ["digest", "first", "spans"])
-
-    dealt = distinct.repartition(shards, "anchor").select("digest", "body", "first")
+            for bucket, shard, digest, first, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (bucket, shard) != at:
+                    if group:
+                        yield search(group)
+                    at, group = (bucket, shard), {}
+                group[digest] = first, body  # rows that are there twice give a passage twice
+        if group:
+            yield search(group)
+
+    dealt = bodies.select("bucket", "shard", "digest", "first", "body").repartition("bucket", "shard").sortWithinPartitions("bucket", "shard")
     return dealt.mapInArrow(run, "digest binary, first long, spans array<int>")
 
 
-def _by_window(distinct: DataFrame, window: int) -> DataFrame:
-    """What :func:`_reported` tells, of passages of any number, window by window."""
+def split_by_next(words: list[bytes], often: Known, window: int, anchor: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Next anchors, first words and windows of the parts of a passage: of each window's distinct hashes
+    the one after ``level`` smaller ones (the largest, if there are no more)."""
+    hashes = gram_hashes(words, anchor)
+    keyed = (hashes >> np.uint64(1)) | np.where(often.among(hashes), _TOP, np.uint64(0))
+    ordered = np.sort(np.lib.stride_tricks.sliding_window_view(keyed, window - anchor + 1), axis=1)
+    rank = np.cumsum(np.append(np.zeros((len(ordered), 1), bool), ordered[:, 1:] != ordered[:, :-1], axis=1), axis=1)
+    at = np.argmax(rank >= np.minimum(level, rank[:, -1:]), axis=1)
+    following = ordered[np.arange(len(ordered)), at]
+    starts = np.flatnonzero(np.append(True, following[1:] != following[:-1]))
+    return following[starts], starts, np.diff(np.append(starts, len(following)))
+
+
+def _split(bodies: DataFrame, often: np.ndarray, window: int, anchor: int, level: int) -> DataFrame:
+    """The parts (anchor, digest, words, body) of passages, with the passage (of, of_first) and their place."""
+    names = ["of", "of_first", "offset", "anchor", "digest", "words", "body"]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(often)
         for batch in _slices(batches, 256):
             rows = []
-            for digest, body, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for of, first, before, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = body.split(b" ")
-                rows += [(digest, first, i, hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()) for i in range(len(words) - window + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.binary()))], ["digest", "first", "at", "window"])
+                following, starts, counts = split_by_next(words, known, window, anchor, level)
+                keys = mixed(following * np.uint64(0x9E3779B97F4A7C15) + np.uint64(before % 2**64)).view(np.int64)
+                for key, lo, count in zip(keys.tolist(), starts.tolist(), counts.tolist(), strict=True):
+                    part = b" ".join(words[lo : lo + count + window - 1])
+                    rows.append((of, first, lo, key, _digest(part), count + window - 1, part))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    parts = bodies.select("digest", "first", "anchor", "body")
+    return parts.mapInArrow(run, "of binary, of_first long, offset int, anchor long, digest binary, words int, body binary")
+
+
+def _told(bodies: DataFrame, often: np.ndarray, window: int, anchor: int, level: int = 1) -> DataFrame:
+    """(digest, first, spans) of the written passages ``bodies``, which go at the end."""
+    found = [cut(_reported(bodies.filter("NOT wide"), window), "told")]
+    wide = bodies.filter("wide")
+    if not wide.isEmpty():
+        parts = cut(_split(wide, often, window, anchor, level), "parts")
+        distinct = parts.groupBy("anchor", "digest", "words").agg(F.min("of_first").alias("first"), F.first("body").alias("body"))
+        below = _told(cut(distinct.join(_packed(distinct, level == LEVELS), "anchor"), "bodies"), often, window, anchor, level + 1)
+        spans = F.when(F.col("of_first") > F.col("first"), F.array(F.lit(0), F.col("words"))).otherwise(F.col("spans"))
+        moved = parts.join(below, "digest").select("of", "of_first", F.transform(spans, lambda x: x + F.col("offset")).alias("spans"))
+        whole = moved.groupBy("of", "of_first").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        found.append(cut(whole.select(F.col("of").alias("digest"), F.col("of_first").alias("first"), "spans"), "told"))
+        release(parts)
+    release(bodies)
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
 
-    windows = cut(distinct.select("digest", "body", "first").mapInArrow(run, "digest binary, first long, at int, window binary"), "windows")
-    smallest = windows.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("window", "least")
-    covered = windows.join(smallest, "window").filter("least < first")
-    found = covered.groupBy("digest", "first").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + window))).alias("spans"))
-    return windows.select("digest", "first").distinct().join(found, ["digest", "first"], "left").select("digest", "first", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"))
+def _by_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, twin, text): twin is a hash of the text, so rows that repeat an id are told apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id and spans (array of first and last + 1 word numbers, in turn) of documents with covered
-    words. Rows with a null doc_id take no part."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    """doc_id, twin (:func:`_by_text`) and spans (array of first and last + 1 word numbers, in turn) of rows
+    with covered words, as a written table. Rows with a null doc_id take no part."""
+    own = _by_text(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     often = _frequent_runs(own, anchor, window)
     found = _anchored(own, often, window, anchor)
     # the top bit marks an anchor that is frequent: it surely repeats
     light = Window.partitionBy("anchor")
     shared = found.filter("anchor >= 0").withColumn("a", F.min("doc_id").over(light)).withColumn("b", F.max("doc_id").over(light)).filter("a < b").drop("a", "b")
     kept = cut(shared.union(found.filter("anchor < 0")), "passages")
-    total = kept.agg(F.sum(F.col("windows") + window - 1).alias("w")).first().w or 0
-    parts = cut(_cut_out(own, kept, window), "bodies")
-    release(kept)
-    distinct = parts.groupBy("anchor", "digest", "body").agg(F.min("doc_id").alias("first"))
-    shards = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
-    sizes = parts.groupBy("anchor", "digest").agg(F.max("words").alias("words")).groupBy("anchor").agg(F.sum("words").alias("words"))
-    wide = cut(sizes.filter(F.col("words") > SHARD_WORDS).select("anchor"), "wide")
-    told = _reported(distinct.join(small(wide), "anchor", "left_anti"), shards, window)
-    if not wide.isEmpty():
-        told = told.unionByName(_by_window(distinct.join(small(wide), "anchor", "left_semi"), window))
-    told = cut(told, "told")
-    back = parts.select("doc_id", "start", "words", "digest").join(told, "digest")
+    distinct = kept.groupBy("anchor", "digest", "words").agg(F.min(F.struct("doc_id", "twin", "start")).alias("at"))
+    distinct = cut(distinct.select("anchor", "digest", "words", "at.*"), "distinct")
+    bodies = cut(_cut_out(own, distinct.join(_packed(distinct, False), "anchor")), "bodies")
+    release(distinct)
+    told = _told(bodies, often, window, anchor)
+    back = kept.select("doc_id", "twin", "start", "words", "digest").join(told, "digest")
     spans = F.when(F.col("doc_id") > F.col("first"), F.array(F.lit(0), F.col("words"))).otherwise(F.col("spans"))
-    moved = back.withColumn("spans", spans).filter(F.size("spans") > 0).select("doc_id", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
-    return moved.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    moved = back.withColumn("spans", spans).filter(F.size("spans") > 0).select("doc_id", "twin", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
+    out = cut(moved.groupBy("doc_id", "twin").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    release(kept)
+    return out
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, text: bool = False) -> DataFrame:
@@ -371,10 +439,10 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
 
     Null and wordless texts have 0 words. Texts shorter than a window keep all. A row with a null
     doc_id keeps all and covers nothing; rows that repeat a doc_id do not cover one another, as
-    only a smaller id covers. An empty table gives no rows.
+    only a smaller id covers, and each has its own text's spans. An empty table gives no rows.
     """
-    spans = cut(repeated_spans(docs, window=window, anchor=anchor).withColumnRenamed("doc_id", "of"), "spans")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, window=window, anchor=anchor)
+    joined = _by_text(docs).join(spans, ["doc_id", "twin"], "left").select("doc_id", "text", "spans")
     kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + ([("kept", pa.string())] if text else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -405,7 +405,9 @@ def trained(texts: list[str], toxic: np.ndarray, part: np.ndarray, seed: int = S
 
 def learn(docs: DataFrame, labels: DataFrame, *, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> Model:
     """A model from the labelled documents outside the held-out fold, at most so many of a label, chosen by
-    a hash of the id, and as many of them, in that order, as MOST_BYTES of text hold.
+    a hash of the id, and as many of them, in that order, as MOST_BYTES of text hold. Of a text of more than
+    MOST_BYTES // 32 characters a passage of that length teaches, from a place that a hash of the id sets; so
+    there are at least four texts of a label, if it has them, and one long text keeps no other out.
 
     Null labels and texts teach nothing; a document labelled both ways is toxic. Of rows that repeat a
     doc_id the text that is first by content teaches. A null doc_id has no label.
@@ -415,6 +417,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_toxic: int = MOST_TOXIC, m
     sample = known.filter("toxic = 1").orderBy(*by_hash).limit(most_toxic).union(known.filter("toxic = 0").orderBy(*by_hash).limit(most_other))
     there = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     there = there.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    longest = max(1, MOST_BYTES // 32)
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - longest, F.lit(0)) + 1).cast("int") + 1
+    there = there.withColumn("text", F.when(F.length("text") > longest, F.substring("text", place, longest)).otherwise(F.col("text")))
     sizes = there.select("doc_id", "toxic", F.octet_length("text").alias("size")).withColumn("sum", F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
     few = sizes.filter(F.col("sum") <= MOST_BYTES // 2).select("doc_id")
     found = there.join(F.broadcast(few), "doc_id").toPandas().sort_values("doc_id")

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 SCALE, COMPONENTS = 256, 4
-#: Singular values below this share of the largest one are noise of the products: a variance below 1e-14 of the largest.
-LEAST_SINGULAR = 1e-7
+#: Singular values below this share of the largest one are noise of the products: a variance below 1e-12 of the largest.
+LEAST_SINGULAR = 1e-6
 #: Numbers that a task works on at once.
 AT_ONCE = 1 << 20
 _HALF, _MASK = 32, (1 << 32) - 1
@@ -106,7 +106,7 @@ def whiten(vectors: DataFrame, *, components: int = COMPONENTS, scale: int = SCA
     Vectors that are null or hold a null, a NaN or an infinity give no rows, nor do those with an entry
     whose integer leaves 64 bits. Shorter vectors count as ending in zeros; an empty one is all zeros.
     Repeated rows give repeated rows, and count once in the fit; a null vec_id is returned as it is.
-    Components of no variance (below 1e-14 of the largest) do not exist, so an empty table, a single
+    Components of no variance (below 1e-12 of the largest) do not exist, so an empty table, a single
     distinct vector and vectors without entries give no rows. A deviation beyond 64 bits is null.
     """
     spark = vectors.sparkSession

@@ -141,10 +141,13 @@ def test_sets_that_share_a_key_stay_apart(spark, monkeypatch):
     assert len(found_) == len({c for c, _ in found_})
 
 
-def test_search_equals_counting():
+@pytest.mark.parametrize(("rounds", "most", "pool", "longest"), [(60, 30, 40, 40), (3, 600, 60, 50), (2, 500, 900, 120)])
+def test_search_equals_counting(rounds, most, pool, longest):
+    """In large blocks lists of a sixteenth and more of the sets are columns, others are merged or probed."""
     draw = np.random.default_rng(3)
-    for _ in range(60):
-        sets = [np.unique(draw.integers(0, 40, draw.integers(1, 40))).astype(np.uint64) for _ in range(draw.integers(1, 30))]
+    for _ in range(rounds):
+        sets = [np.unique(draw.integers(0, pool, draw.integers(1, longest))).astype(np.uint64) for _ in range(draw.integers(most // 2, most))]
+        sets += [np.unique(np.append(s[: max(1, len(s) - 2)], draw.integers(0, pool, 1).astype(np.uint64))) for s in sets[: most // 3]]
         index = ngram_join.Gathered(sets)
         for q in sets:
             want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s))]
@@ -195,6 +198,27 @@ def test_substring_dedup_of_shared_passages(spark, monkeypatch, shard):
     assert sorted(map(tuple, substring_dedup.remove_repeats(spark.createDataFrame(loop, "doc_id long, text string")).collect())) == removed(loop, 50)
 
 
+def test_substring_dedup_of_rows_that_repeat_an_id(spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 70)
+    texts = [(1, a), (2, a), (2, b), (2, b), (3, f"{c} {b}"), (3, c), (4, f"x {c}"), (4, None), (4, a)]
+    got = sorted(map(tuple, substring_dedup.remove_repeats(hard_docs(spark, texts)).collect()))
+    assert got == sorted(removed(texts, 50))
+    assert [r[2] for r in got if r[0] == 2] == [0, 0, 60]
+
+
+@pytest.mark.parametrize("levels", [1, 8])
+def test_a_wide_anchor_is_split_by_the_next(spark, monkeypatch, levels):
+    """One run of words in ever other surroundings, for an index that holds but a few of them."""
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 600)
+    monkeypatch.setattr(substring_dedup, "LEVELS", levels)
+    run, texts = prose(41, 25, 9_000), []
+    for i in range(60):
+        texts.append((i, f"{prose(100 + i % 40, 70, 9_000)} {run} {prose(200 + i % 50, 70, 9_000)}"))
+    texts += [(70, "a " * 400), (71, "a b " * 300), (72, "a " * 90)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect())) == sorted(removed(texts, 50))
+
+
 def test_smallest_documents_of_intervals():
     draw = np.random.default_rng(2)
     passages, documents = [draw.integers(1, 40, draw.integers(5, 90)) for _ in range(60)], draw.integers(0, 30, 60)

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -298,7 +299,7 @@ def test_topk_equals_brute_force(spark):
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, shard string").repartition(3)
     got = [tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     code = {}
-    sound = [(i, np.pad(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int), (0, 8 - len(v)))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and max(map(abs, v)) < 65536]
+    sound = [(i, np.pad(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int), (0, 8 - len(v)))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and max(map(abs, v)) < 2**55]
     for i, v in sound:
         code[i] = min(code.get(i, tuple(v)), tuple(v))
     want = []
@@ -310,6 +311,42 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(few, F.col("vec_id") % 50 == 0).count() == 2 and topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_vectors_of_any_size(spark):
+    draw = random.Random(6)
+    rows = [(50, [70000.0, 1.0]), (100, [3e16, -2e16, 1.0]), (150, [1.0, 1.0]), (200, [0.0]), (51, [3e16, -2e16, 1.5]), (52, [1e300, 0.0]), (53, [-3e16, 2e16]), (54, [0.0, 0.0])]
+    rows += [(i, [draw.choice((-1, 1)) * 10.0 ** draw.randrange(17) for _ in range(3)]) for i in range(300, 420)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    code = {i: [math.floor(256 * x) for x in v] + [0] * (3 - len(v)) for i, v in rows if i != 52}
+    want = []
+    for q in sorted(i for i in code if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(code[q], v, strict=True)), i) for i, v in code.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s if -(2**63) < s <= 2**63 else None) for k, (s, i) in enumerate(best)]
+    assert got == want and any(s is None for *_, s in got) and got[0][0] == 50
+
+
+def test_secrets_of_a_long_text_take_time_in_proportion():
+    text = " ".join(f"token={'ab' * 4}{k} key{k:06d}Zq7xK2mPw9RtLv{k}" for k in range(20_000))
+    base = secrets.base_spans(text)
+    began = time.process_time()
+    found = secrets.random_spans(text, secrets._encoding(secrets.default_vocabulary()), base)
+    assert len(base) == 20_000 and len(found) > 10_000 and time.process_time() - began < 8
+    few = "token=abcdefgh1 Zq7xK2mPw9RtLv3NbY5c " * 3
+    spans = secrets.random_spans(few, secrets._encoding(secrets.default_vocabulary()), secrets.base_spans(few))
+    assert [few[s:e] for s, _, e in spans] == ["Zq7xK2mPw9RtLv3NbY5c"] * 3
+
+
+def test_a_long_training_text_keeps_no_other_out(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 200_000)
+    seen = []
+    monkeypatch.setattr(toxicity, "trained", lambda texts, toxic, part: seen.append((texts, toxic.tolist())))
+    rows = [(i, "bad words " * (15_000 if i % 7 == 0 else 10), i % 2) for i in range(60)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    toxicity.learn(docs, labels)
+    texts, toxic = seen[0]
+    assert toxic.count(0) > 15 and toxic.count(1) > 15 and max(map(len, texts)) == 200_000 // 32 and sum(map(len, texts)) <= 200_000
+
+
 def test_toxicity_gradient():
     net, draw = toxicity.Network(1), np.random.default_rng(0)
     rows, numbers, label = draw.standard_normal((20, toxicity.INPUTS)), draw.integers(0, 20, (4, 6)), np.array([1, 0, 1, 0.0])
