@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, udf
 from ..functions import time as tm
 from ..operators import blocks, cluster_tree, clusters, detect, signal
-from ..sources import records, tables, waveforms
+from ..sources import records, seed, tables, waveforms
 from ..streaming import windows as sw
 from .queries_joins import hav
 from .queries_more import streamed
@@ -54,13 +56,26 @@ def k06(s, d):
     return h.select("idx", "station", F.round("km", 5).alias("km"), F.round("p_seconds", 5).alias("p_seconds"), "p_picked", F.round("s_seconds", 5).alias("s_seconds"))
 
 
-@query("s17_event_windows")
+S17 = """WITH v AS (SELECT vec_id AS id, 'S' || label AS station, vec_id * 1000000 AS us, list_transform(embedding, lambda x: floor(x::DOUBLE * 10000)) AS data FROM embeddings),
+e AS (SELECT vec_id AS idx, vec_id * 1000000 - 500000 AS start FROM embeddings WHERE vec_id % 10 = 0),
+s AS (SELECT station, us, unnest(range(len(data))) AS i, unnest(data) AS x FROM v),
+w AS (SELECT idx, station, start, x, round((us - start) * 64.0 / 1e6) + i AS place FROM e JOIN s ON us > start - 1000000 AND us < start + 3000000)
+SELECT idx, station, start AS us, round(1 - count(*) / 192.0, 6) AS gaps, sum(x)::DOUBLE AS total FROM w WHERE place >= 0 AND place < 192 GROUP BY ALL"""
+
+
+@query("s17_event_windows", S17)
 def s17(s, d):
-    """Vectors as one-second traces of a station a label; a window round every tenth of them."""
-    v = table(s, d, "embeddings").select(F.concat(F.lit("S"), F.col("label").cast("string")).alias("station"), F.lit("HHZ").alias("channel"), (F.col("vec_id") * 1_000_000).alias("us"), F.lit(64.0).alias("rate"), F.col("embedding").cast("array<double>").alias("data"))
+    """Vectors as one-second traces of a station a label, written as an archive of binary day files and read
+    back by record; a window round every tenth of them."""
+    samples = F.transform("embedding", lambda x: F.floor(x.cast("double") * 10_000).cast("double"))
+    v = table(s, d, "embeddings").select(F.concat(F.lit("S"), F.col("label").cast("string")).alias("station"), F.lit("HHZ").alias("channel"), (F.col("vec_id") * 1_000_000).alias("us"), F.lit(64.0).alias("rate"), samples.alias("data"))
+    folder = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/archive-{uuid.uuid4().hex}"
+    seed.write_days(v, folder).count()
+    s.dataSource.register(seed.SeedRecords)
+    traces = s.read.format("seed_records").load(folder).select("station", "channel", "us", "rate", "data")
     events = table(s, d, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").alias("idx"), (F.col("vec_id") * 1_000_000 + 500_000).alias("us"))
-    w = waveforms.windows(events, v, before=1_000_000, after=2_000_000)
-    return w.select("idx", "station", "us", "gaps", r6(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), "total"))
+    w = waveforms.windows(events, traces, before=1_000_000, after=2_000_000)
+    return w.select("idx", "station", "us", r6(F.col("gaps"), "gaps"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query("x09_geodesic")
@@ -131,9 +146,9 @@ def c02e(s, d):
 
 @query("c10_density_tree")
 def c10(s, d):
-    """Within cells of half a degree, which bound a task."""
-    p = stations(s, d).select(F.floor(F.col("lat") * 2).alias("gx"), F.floor(F.col("lon") * 2).alias("gy"), "id", "lat", "lon")
-    return cluster_tree.density_tree(p, keys=["gx", "gy"], id="id", coords=["lat", "lon"], least=4, samples=3)
+    """Of the whole catalog, in kilometres, with the settings that located events get."""
+    km = [((F.col("lon") - 128) * 91).alias("x"), ((F.col("lat") - 35) * 111).alias("y"), F.col("dep").alias("z")]
+    return cluster_tree.density_tree_of_all(catalog(s, d).select("idx", *km), id="idx", coords=["x", "y", "z"], least=30, samples=30)
 
 
 @query("c15_background")
