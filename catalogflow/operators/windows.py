@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -45,45 +44,74 @@ def with_epochs(rows: DataFrame, *, key: str, start: str, end: str) -> DataFrame
     return rows.withColumn("epoch_code", F.concat(F.col(key), letter)).withColumn("t1", F.coalesce(F.lead(start).over(w), F.col(end)))
 
 
+#: Rows of the groups that one frame gathers, about.
+DEALT = 100_000
+
+
+class RankTree:
+    """Values in order of time, by their ranks' bits, from the highest on: on each level those of bit 0 come
+    before those of bit 1, in order of time, and counts say how many of bit 0 stand before a place."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.sorted = np.sort(values)
+        now = np.empty(len(values), np.int64)
+        now[np.argsort(values, kind="stable")] = np.arange(len(values))
+        self.bits = max(1, int(max(len(values) - 1, 1)).bit_length())
+        self.levels = []
+        for bit in range(self.bits - 1, -1, -1):
+            zero = (now >> bit) & 1 == 0
+            before = np.append(0, np.cumsum(zero))
+            self.levels.append(before)
+            now = np.concatenate([now[zero], now[~zero]])
+
+    def kth(self, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The k-th smallest (from 0) of the values at places low to high - 1, for all queries at once."""
+        low, high, k, rank = low.copy(), high.copy(), k.copy(), np.zeros(len(k), np.int64)
+        for before in self.levels:
+            a, b = before[low], before[high]
+            one = k >= b - a
+            k = np.where(one, k - (b - a), k)
+            low, high = np.where(one, before[-1] + low - a, a), np.where(one, before[-1] + high - b, b)
+            rank = rank * 2 + one
+        return self.sorted[rank]
+
+
 def rolling_percentiles(frame: DataFrame, *, keys: Sequence[str], at: str, value: str, width: int, shares: Sequence[float], least: int, names: Sequence[str]) -> DataFrame:
     """Exact percentiles over (at - width, at] of the same keys; null under ``least`` values.
 
-    Time is cut into buckets of the width, and a row goes to its own bucket and the next, so a task holds
-    two widths of one key and a hot key spreads over time. There a sorted list takes in and lets go
-    one value at a time.
+    Time is cut into buckets of the width, and a row goes to its own bucket and the next, so a group is two
+    widths of one key and a hot key spreads over time. Groups are gathered by hash, about DEALT rows of them
+    in a frame; all windows of a frame ask one :class:`RankTree` over its groups, one after the other, level
+    by level.
     """
     own = frame.withColumn("__b", F.floor(F.col(at) / width))
-    dealt = own.withColumn("__to", F.explode(F.array(F.col("__b"), F.col("__b") + 1)))
+    many = max(1, 2 * frame.count() // DEALT)
+    group = [*keys, "__to"]
+    dealt = own.withColumn("__to", F.explode(F.array(F.col("__b"), F.col("__b") + 1))).withColumn("__deal", F.pmod(F.xxhash64(*group), F.lit(many)))
     kinds = [(f.name, f.dataType.simpleString()) for f in frame.schema.fields]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at, kind="stable")
-        t, v, mine = rows[at].to_numpy(np.int64), rows[value].to_numpy(float), (rows["__b"] == rows["__to"]).to_numpy()
-        out = np.full((len(shares), len(rows)), np.nan)
-        held: list[float] = []
-        head = tail = 0
-        while head < len(t):
-            now = t[head]
-            last = int(np.searchsorted(t, now, "right"))
-            for x in v[head:last]:
-                if x == x:
-                    bisect.insort(held, x)
-            while t[tail] <= now - width:
-                if v[tail] == v[tail]:
-                    del held[bisect.bisect_left(held, v[tail])]
-                tail += 1
-            if mine[head] and len(held) >= least:
-                for k, share in enumerate(shares):
-                    place = share * (len(held) - 1)
-                    low = int(place)
-                    high = min(low + 1, len(held) - 1)
-                    out[k, head:last] = held[low] + (held[high] - held[low]) * (place - low)
-            head = last
-        found = rows[[n for n, _ in kinds]].assign(**dict(zip(names, out, strict=True)))[mine]
-        return found
+        rows = rows.iloc[np.lexsort((rows[at].to_numpy(np.int64), rows.groupby(group, sort=False, dropna=False).ngroup().to_numpy()))]
+        number = rows.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
+        mine, sound, t = (rows["__b"] == rows["__to"]).to_numpy(), rows[value].notna().to_numpy(), rows[at].to_numpy(np.int64)
+        place, low, high = np.append(0, np.cumsum(sound)), np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+        edges = np.flatnonzero(np.append(True, number[1:] != number[:-1])).tolist()
+        for lo, hi in zip(edges, [*edges[1:], len(t)], strict=True):
+            low[lo:hi], high[lo:hi] = (lo + np.searchsorted(t[lo:hi], x, "right") for x in (t[lo:hi] - width, t[lo:hi]))
+        low, high = place[low[mine]], place[high[mine]]
+        enough = high - low >= max(1, least)
+        out = np.full((len(shares), len(low)), np.nan)
+        if enough.any():
+            tree, low, high = RankTree(rows[value].to_numpy(float)[sound]), low[enough], high[enough]
+            for k, share in enumerate(shares):
+                at_rank = share * (high - low - 1)
+                first = at_rank.astype(np.int64)
+                one, two = tree.kth(low, high, first), tree.kth(low, high, np.minimum(first + 1, high - low - 1))
+                out[k, enough] = one + (two - one) * (at_rank - first)
+        return rows[[n for n, _ in kinds]][mine].assign(**dict(zip(names, out, strict=True)))
 
     fields = ", ".join(f"`{n}` {kind}" for n, kind in [*kinds, *((n, "double") for n in names)])
-    found = dealt.groupBy(*keys, "__to").applyInPandas(run, fields)
+    found = dealt.groupBy("__deal").applyInPandas(run, fields)
     return found.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, udf
 from ..functions import time as tm
-from ..operators import blocks, cluster_tree, clusters, detect, signal
+from ..operators import blocks, cluster_tree, clusters, detect, excite, signal
 from ..sources import records, seed, tables, waveforms
 from ..streaming import windows as sw
 from .queries_joins import hav
@@ -158,6 +158,13 @@ def c15b(s, d):
     return blocks.fitted(events, t="t", m="mag", alpha_ln10=1.0, c=0.01, p=1.1, reference=5.0)[3]
 
 
+@query("c15_kernel")
+def c15k(s, d):
+    """All five parameters, fitted to every event of the catalog, and the background they leave."""
+    events = catalog(s, d).select((F.col("us") / 8.64e10).alias("t"), "mag")
+    return excite.kernel_fitted(events, t="t", m="mag", reference=5.0, rounds=12)[2]
+
+
 @query("c16_picked")
 def c16(s, d):
     t = table(s, d, "embeddings").select(F.concat(F.lit("S"), F.col("vec_id").cast("string")).alias("station"), (F.col("vec_id") * 1_000_000).alias("us"), F.lit(64.0).alias("rate"), F.col("embedding").alias("data"))
