@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from . import queries_extra, queries_joins, queries_more, queries_stats  # noqa: F401
+from . import queries_extra, queries_instruments, queries_joins, queries_more, queries_stats  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
