@@ -1,13 +1,13 @@
-"""Instrument responses and sensor breaks over the driver's tables, with SQL."""
+"""Instrument responses, sensor breaks and hot groups over the driver's tables, with SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import responses
+from ..operators import responses, select
 from ..operators import windows as wn
 from ..sources import records
-from .registry import query, r6, stations, table
+from .registry import query, r6, readings, stations, table, with_
 
 TEXT = "'B050F03     Station:     S' || s_suppkey || chr(10) || 'B052F22     Start date:  1999,001' || chr(10) || 'B053F07     A0: ' || s_nationkey"
 
@@ -78,3 +78,10 @@ def s15b(s, d):
     """All twenty-four columns of relocation lines, written from the catalog with uneven blanks."""
     values = [F.expr(v).cast("string") for v in _VALUES]
     return records.read_columns(table(s, d, "orders").select(F.concat(F.lit("  "), F.concat_ws("   ", *values), F.lit(" ")).alias("value")), list(RELOCATED))
+
+
+@query("a02_hot_medians", with_("readings", "SELECT line % 2 AS half, round(quantile_cont(ml, 0.5), 6) AS med, count(ml) AS n FROM readings GROUP BY 1"))
+def a02h(s, d):
+    """Medians of two groups that hold half of all readings each."""
+    x = readings(s, d).withColumn("half", F.col("line") % 2)
+    return select.percentiles(x, keys=["half"], value="ml", share=0.5, name="m").select("half", r6(F.col("m"), "med"), "n")

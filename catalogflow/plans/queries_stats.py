@@ -320,7 +320,7 @@ def a47(s, d):
 @query("a47_robust_slope")
 def a47b(s, d):
     r = readings(s, d).select((F.col("unit") % 10).alias("family"), F.col("unit").alias("pair"), (F.col("snr") / 50).alias("x"), (F.col("ml") + 1.7 * F.col("snr") / 50).alias("y"))
-    return robust.robust_slope(r, keys=["family"], pair="pair", x="x", y="y", boots=50)
+    return robust.robust_slope(r, keys=["family"], pair="pair", x="x", y="y", boots=1000)
 
 
 @query("a48_linearity_gate", with_("readings", ", g AS (SELECT unit % 997 AS pair, regr_slope(ml + 1.7 * snr / 50, snr / 50) AS slope, sqrt(var_pop(ml + 1.7 * snr / 50) - covar_pop(ml + 1.7 * snr / 50, snr / 50) ** 2 / var_pop(snr / 50)) AS rms FROM readings GROUP BY 1) SELECT pair, round(slope, 6) AS slope FROM g WHERE slope BETWEEN 0.5 AND 3 AND rms < 0.388"))
@@ -519,14 +519,14 @@ def c14(s, d):
 @query("w20_change_points")
 def w20(s, d):
     x = readings(s, d).withColumn("us", tm.micros(F.col("ts")))
-    return robust.change_points(x, keys=["unit"], at="us", value="ml", least=50, step=0.02, tests=300, level=0.01)
+    return robust.change_points(x, keys=["unit"], at="us", value="ml", least=300, step=0.08, tests=300, level=0.01)
 
 
 @query("c01_kmeans")
 def c01(s, d):
     from ..operators.clusters import kmeans
 
-    return kmeans(catalog(s, d).select("idx", "lon", "lat"), id="idx", features=["lon", "lat"], k=7)
+    return kmeans(catalog(s, d).select("idx", "lon", "lat"), id="idx", features=["lon", "lat"], k=7, starts=10)
 
 
 @query("c02_cluster_indices", with_("catalog", ", c AS (SELECT idx, state AS cluster, lon, lat FROM catalog), m AS (SELECT avg(lon) AS x, avg(lat) AS y, count(*)::DOUBLE AS n FROM c), k AS (SELECT cluster, avg(lon) AS cx, avg(lat) AS cy, count(*) AS cn FROM c GROUP BY 1), b AS (SELECT sum(cn * ((cx - x) ** 2 + (cy - y) ** 2)) AS between_, count(*) AS kk FROM k, m), w AS (SELECT sum((lon - cx) ** 2 + (lat - cy) ** 2) AS within FROM c JOIN k USING (cluster)) SELECT round((between_ / (kk - 1)) / (within / (n - kk)), 5) AS calinski_harabasz FROM b, w, m"))
