@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .slopes import median_slope
+
 
 @F.udtf(returnType=StructType().add("a", StringType()).add("b", StringType()))
 class Pairs:
@@ -22,12 +23,9 @@ class Pairs:
 
 @F.pandas_udf(DoubleType())
 def theil_slope(x: pd.Series, y: pd.Series) -> float:
-    """Median slope over all pairs of a group with different x; null without any. Groups should be small."""
-    u, v = x.to_numpy(float), y.to_numpy(float)
-    i, j = np.triu_indices(len(u), 1)
-    dx = u[j] - u[i]
-    slopes = ((v[j] - v[i])[dx != 0]) / dx[dx != 0]
-    return float(np.median(slopes)) if len(slopes) else float("nan")
+    """Median slope over all pairs of a group with different x; null without any. A group is one task, its work
+    n log n (:mod:`slopes`)."""
+    return median_slope(x.to_numpy(float), y.to_numpy(float))
 
 
 def register(spark: SparkSession) -> None:
