@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +92,17 @@ def small(df: DataFrame, bytes_: int | None = None) -> DataFrame:
     return F.broadcast(df) if size <= (BROADCAST_BYTES if bytes_ is None else bytes_) else df
 
 
+def given_back(batches: Iterator) -> Iterator:
+    """The items of a task's iterator; after the last, what the task has freed goes back to the system. Workers are
+    used again by later stages, whose tasks need the memory, and an allocator keeps it otherwise."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of ``df`` has, in any case of letters."""
     have = {c.lower() for c in df.columns}

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out
+from .common import fresh, given_back, held_out
 
 DIMENSIONS = 1024
 SEED = 11
 _RADIX = 1 << 21
 #: Trigram vectors that a worker keeps at most (1 kB each).
 KEPT = 40_000
+#: Trigram vectors that are bundled at once.
+AT_ONCE = 2048
 
 
 @lru_cache(1)
@@ -78,9 +80,9 @@ class Vectors:
             return out
         rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         codes, inverse = np.unique(np.concatenate(texts), return_inverse=True)
-        for at in range(0, len(codes), 4096):
-            there = (inverse >= at) & (inverse < at + 4096)
-            width = min(4096, len(codes) - at)
+        for at in range(0, len(codes), AT_ONCE):
+            there = (inverse >= at) & (inverse < at + AT_ONCE)
+            width = min(AT_ONCE, len(codes) - at)
             counts = np.bincount(rows[there] * width + inverse[there] - at, minlength=len(texts) * width).reshape(len(texts), width)
             out += counts.astype(np.float32) @ self.of(codes[at : at + width]).astype(np.float32)
         return out
@@ -124,7 +126,7 @@ def learn(docs: DataFrame, *, dimensions: int = DIMENSIONS) -> Profiles:
             names = sorted(sums)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([sums[n].tolist() for n in names], pa.list_(pa.float64()))], ["lang", "v"])
 
-    parts = rows.mapInArrow(run, "lang string, v array<double>")
+    parts = rows.mapInArrow(lambda batches: given_back(run(batches)), "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x")).collect()
     languages = sorted({r.lang for r in sums})
     found = np.zeros((len(languages), dimensions))
@@ -141,8 +143,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, out: str = "language") -> Da
     are bundled whole, some thousand trigrams at a time.
     """
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vectors = Vectors(profiles.vectors.shape[1])
         for series in texts:
             names, scores = [], []
@@ -158,6 +159,10 @@ def predict(docs: DataFrame, profiles: Profiles, *, out: str = "language") -> Da
                     scores.append(float(min(1.0, max(0.0, row[best]))) if known else 0.0)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
+    @F.pandas_udf("lang_pred string, score double")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return given_back(run(texts))
+
     return docs.withColumn(out, of(F.col("text")))
 
 

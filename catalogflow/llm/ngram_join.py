@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, gram_hashes, release, small, words_of
+from .common import cut, fresh, given_back, gram_hashes, release, small, words_of
 from .heavy import BlockCounter, Known, frequent
 
 K, PERCENT = 5, 80
@@ -200,7 +200,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
                 seen.clear()
         yield from often(counter.flush())
 
-    return docs.mapInArrow(run, "kind int, doc_id long, key long, twin long, n long")
+    return docs.mapInArrow(lambda batches: given_back(run(batches)), "kind int, doc_id long, key long, twin long, n long")
 
 
 def _postings(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
@@ -227,7 +227,7 @@ def _postings(docs: DataFrame, k: int, percent: int, often: np.ndarray) -> DataF
             if len(seen) > SEEN:
                 seen.clear()
 
-    return docs.mapInArrow(run, "shingle long, key long, heavy boolean, share int, n int")
+    return docs.mapInArrow(lambda batches: given_back(run(batches)), "shingle long, key long, heavy boolean, share int, n int")
 
 
 def _near_in_size(lists: DataFrame, percent: int) -> DataFrame:
@@ -259,7 +259,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["id", "key", "set"])
 
-    return own.mapInArrow(run, "id long, key long, set binary")
+    return own.mapInArrow(lambda batches: given_back(run(batches)), "id long, key long, set binary")
 
 
 def _placed(sets: DataFrame, goes: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@
 6. Components of the links.
 
 What is found has a cosine of the least or more; what is missed are linked vectors that share fewer pivots
-than all but a share MISS of the sample does. Work in a dense group stays quadratic, as each of
+than any of the sample. Work in a dense group stays quadratic, as each of
 its links is verified to be counted; it is spread over blocks.
 """
 
@@ -37,8 +37,8 @@ COSINE = 0.98
 #: Pivots at most, and pivots that describe a vector. The pivots and the sample that fits them are the first
 #: vectors by hash: 2 * PIVOTS vectors reach the driver, PIVOTS go to each task.
 PIVOTS, NEAREST = 512, 8
-#: Shared pivots that a fit must reach at least, and the share of the sample that may share fewer.
-LEAST_SHARED, MISS = 3, 0.002
+#: Shared pivots that a fit must reach at least.
+LEAST_SHARED = 3
 #: Classes of a block of a list.
 BLOCK = 2048
 
@@ -102,7 +102,7 @@ def thinned(sample: np.ndarray, cosine: float) -> np.ndarray:
 
 def fitted(sample: np.ndarray, cosine: float = COSINE, most: int = PIVOTS, m: int = NEAREST) -> tuple[np.ndarray, int]:
     """Pivots out of the thinned sample, and how many of the m nearest ones two vectors at the least
-    cosine share, but for a share MISS of the probes.
+    cosine share: the fewest that any probe shares.
 
     Probes are the sample's vectors, each beside what it becomes when it is moved to exactly that cosine
     towards another of the sample (so that probes stay where the data are).
@@ -122,7 +122,7 @@ def fitted(sample: np.ndarray, cosine: float = COSINE, most: int = PIVOTS, m: in
     while count > m:
         a, b = nearest(probes, sample[:count], m), nearest(beside, sample[:count], m)
         shared = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2))
-        least = int(np.sort(shared)[int(MISS * len(shared))]) if len(shared) else m
+        least = int(shared.min()) if len(shared) else m
         if least >= min(m, LEAST_SHARED):
             return sample[:count], least
         count //= 2
