@@ -10,7 +10,7 @@ from catalogflow.plans import queries as core
 from .conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"w20_change_points", "c17_association"}
+SLOW = {"w20_change_points", "c17_association", "c10_density_tree"}
 
 
 @pytest.fixture(scope="module")
