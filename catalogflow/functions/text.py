@@ -28,6 +28,11 @@ def base_code(epoch_code: Column) -> Column:
     return F.when(epoch_code.rlike(r"^N\d{3}[a-z]$"), F.regexp_replace(epoch_code, "[a-z]$", "")).otherwise(epoch_code)
 
 
+def character(number: Column) -> Column:
+    """The character of a code point; ``char`` takes it modulo 256."""
+    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+
 def channel_key(*parts: Column) -> Column:
     return F.concat_ws(".", *parts)
 

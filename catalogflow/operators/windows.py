@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
 
 def resolve_ambiguous(candidates: DataFrame, *, pick: Sequence[str], residual: str, event: str, tie: float) -> tuple[DataFrame, DataFrame]:
     """Accepted candidates and decisions for picks that fit more than one event.
@@ -32,7 +33,7 @@ def first_by(frame: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 def same_second_ids(events: DataFrame, *, at: str, id: str, stamp: Column) -> DataFrame:
     """``event_key``: the second's stamp; the second event in it gets b, the third c, ..."""
     k = F.row_number().over(Window.partitionBy(stamp).orderBy(at, id)) - 1
-    return events.withColumn("event_key", F.concat(stamp, F.when(k == 0, "").otherwise(F.char(97 + k))))
+    return events.withColumn("event_key", F.concat(stamp, F.when(k == 0, "").otherwise(text.character(97 + k))))
 
 
 def with_epochs(rows: DataFrame, *, key: str, start: str, end: str) -> DataFrame:
@@ -40,7 +41,7 @@ def with_epochs(rows: DataFrame, *, key: str, start: str, end: str) -> DataFrame
     than one."""
     w = Window.partitionBy(key).orderBy(start)
     many = F.count("*").over(Window.partitionBy(key)) > 1
-    letter = F.when(many, F.char(96 + F.row_number().over(w))).otherwise("")
+    letter = F.when(many, text.character(96 + F.row_number().over(w))).otherwise("")
     return rows.withColumn("epoch_code", F.concat(F.col(key), letter)).withColumn("t1", F.coalesce(F.lead(start).over(w), F.col(end)))
 
 

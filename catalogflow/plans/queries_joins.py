@@ -338,9 +338,9 @@ def j29(s, d):
 
 @query("w01_same_second_ids", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d%H%M%S') || CASE WHEN k = 0 THEN '' ELSE chr((97 + k)::INTEGER) END AS event_key FROM (SELECT *, row_number() OVER (PARTITION BY o_orderdate, o_orderpriority, o_orderstatus ORDER BY o_orderkey) - 1 AS k FROM orders)")
 def w01(s, d):
-    o = table(s, d, "orders").withColumn("group", F.concat(tm.event_id(F.col("o_orderdate")), "o_orderpriority", "o_orderstatus"))
-    k = F.row_number().over(Window.partitionBy("group").orderBy("o_orderkey")) - 1
-    return o.withColumn("k", k).select("o_orderkey", F.concat(tm.event_id(F.col("o_orderdate")), F.when(F.col("k") == 0, "").otherwise(F.char(97 + F.col("k")))).alias("event_key"))
+    k = F.row_number().over(Window.partitionBy("o_orderdate", "o_orderpriority", "o_orderstatus").orderBy("o_orderkey")) - 1
+    o = table(s, d, "orders").withColumn("k", k)
+    return o.select("o_orderkey", F.concat(tm.event_id(F.col("o_orderdate")), F.when(F.col("k") == 0, "").otherwise(text.character(97 + F.col("k")))).alias("event_key"))
 
 
 @query("w02_epoch_codes", with_("epochs", "SELECT base || CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN chr((96 + row_number() OVER w)::INTEGER) ELSE '' END AS epoch_code, t0, coalesce(lead(t0) OVER w, t1) AS t1 FROM epochs WINDOW w AS (PARTITION BY base ORDER BY t0)"))
