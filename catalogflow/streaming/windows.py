@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a frame of numbered ids holds.
+GATHERED = 50_000
+
 
 def daily_counts(picks: DataFrame, *, at: str = "ts", keys: tuple[str, ...] = (), late: str = "10 minutes") -> DataFrame:
     """Counts by day; a day is final once the watermark has passed its end."""
@@ -57,15 +60,17 @@ def late_picks(origins: DataFrame, picks: DataFrame, *, after_s: int = 120, befo
 
 
 def numbered(events: DataFrame, *, key: str = "day", id: str = "event_id", at: str = "ts") -> DataFrame:
-    """Ids within a key in order of arrival, kept in state over batches."""
+    """Ids within a key in order of arrival, kept in state over batches; what arrives in one batch is in order
+    of time and id. A key's rows of a batch come in several frames, so they are gathered (a time and an id
+    each) and sorted as one."""
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        for frame in frames:
-            own = frame.sort_values([at, id])
-            yield pd.DataFrame({key: group[0], id: own[id].to_numpy(), "k": range(n, n + len(own))})
-            n += len(own)
-        state.update((n,))
+        own = pd.concat([f[[at, id]] for f in frames], ignore_index=True).sort_values([at, id])[id].to_numpy()
+        state.update((n + len(own),))
+        for start in range(0, len(own), GATHERED):
+            part = own[start : start + GATHERED]
+            yield pd.DataFrame({key: group[0], id: part, "k": range(n + start, n + start + len(part))})
 
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, id)}
     return events.select(key, id, at).groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{id}` {kinds[id]}, k long", "n long", "append", "NoTimeout")

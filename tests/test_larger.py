@@ -38,3 +38,9 @@ def test_more_events_in_a_second_than_latin_letters(spark, tmp_path):
     orders = "SELECT range AS o_orderkey, TIMESTAMP '1998-02-06 00:00:00' AS o_orderdate, '1-URGENT' AS o_orderpriority, 'O' AS o_orderstatus FROM range(400)"
     got = same(spark, made(tmp_path, orders=orders), "w01_same_second_ids", "orders")
     assert len({r.event_key for r in got}) == 400
+
+
+def test_numbers_of_a_day_of_several_frames(spark, tmp_path):
+    events = "SELECT range AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (range * 7919 % 25013) SECOND AS ts FROM range(25000)"
+    got = same(spark, made(tmp_path, events=events), "str07_numbered", "events")
+    assert len(got) == 25000
