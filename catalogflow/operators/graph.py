@@ -126,13 +126,18 @@ def density_clusters(points: DataFrame, *, id: str, coords: Sequence[str], reach
     """DBSCAN: id and cluster (smallest core id of its component; null for noise).
 
     Core points have ``least`` points within reach, themselves included. A border point goes to the core
-    point nearest to it (ties: smaller id).
+    point nearest to it (ties: smaller id). Points of one place are one, told by its smallest id and counted.
     """
-    pairs = grid_pairs(points.select(id, *coords), id=id, coords=coords, reach=reach).select(F.col(f"{id}_a").alias("a"), F.col(f"{id}_b").alias("b"), "apart").checkpoint()
+    there = points.select(id, *(F.col(c).cast("double").alias(c) for c in coords))
+    places = there.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in coords)).groupBy(*coords).agg(F.min(id).alias("p"), F.count("*").alias("n")).checkpoint()
+    sizes = places.select(F.col("p").alias("b"), "n")
+    pairs = grid_pairs(places.select("p", *coords), id="p", coords=coords, reach=reach).select(F.col("p_a").alias("a"), F.col("p_b").alias("b"), "apart").checkpoint()
     both = pairs.union(pairs.select("b", "a", "apart"))
-    core = both.groupBy(F.col("a").alias("core")).agg((F.count("*") + 1).alias("n")).filter(F.col("n") >= least).select("core").checkpoint()
+    counted = both.join(sizes, "b").select("a", "n").union(places.select("p", "n"))
+    core = counted.groupBy(F.col("a").alias("core")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("core").checkpoint()
     links = pairs.join(core.withColumnRenamed("core", "a"), "a", "left_semi").join(core.withColumnRenamed("core", "b"), "b", "left_semi")
     found = connected(links, core, a="a", b="b", id="core")
     border = both.join(core, F.col("b") == F.col("core"), "left_semi").join(core, F.col("a") == F.col("core"), "left_anti").groupBy(F.col("a").alias("p")).agg(F.min(F.struct("apart", "b")).alias("s")).select("p", F.col("s.b").alias("core"))
     placed = found.select(F.col("core").alias("p"), "family").union(border.join(found, "core").select("p", "family"))
-    return points.select(id).join(placed, F.col(id) == F.col("p"), "left").select(id, F.col("family").alias("cluster"))
+    told = places.join(placed, "p").select(*coords, F.col("family").alias("cluster"))
+    return there.join(told, list(coords), "left").select(id, "cluster")

@@ -81,3 +81,13 @@ def test_a_full_cell_is_dealt_to_several_tasks(spark, monkeypatch):
     pairs = joins.grid_pairs(frame, id="id", coords=["x", "y"], reach=0.25)
     assert "__deal" in plan(pairs)
     assert sorted((r.id_a, r.id_b) for r in pairs.collect()) == [(a, b) for a in range(400) for b in range(a + 1, 400) if abs(a % 4 - b % 4) <= 2]
+
+
+def test_clusters_of_points_that_share_places(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(graph, "grid_pairs", lambda points, **kind: met.append(points.count()) or joins.grid_pairs(points, **kind))
+    spots = {0: 0.0, 1: 0.5, 2: 1.2, 3: 9.0, 4: 20.0}
+    rows_ = [(i, spots[i % 4], 0.0) for i in range(40)] + [(100, spots[4], 0.0), (101, None, 0.0)]
+    got = {r.id: r.cluster for r in graph.density_clusters(spark.createDataFrame(rows_, "id long, x double, y double"), id="id", coords=["x", "y"], reach=0.8, least=5).collect()}
+    assert got == {i: 3 if i % 4 == 3 else 0 for i in range(40)} | {100: None, 101: None}
+    assert met == [5]
