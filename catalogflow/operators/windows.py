@@ -19,7 +19,8 @@ def resolve_ambiguous(candidates: DataFrame, *, pick: Sequence[str], residual: s
     behind, it goes to none. Always two relations, also for no input.
     """
     order = Window.partitionBy(*pick).orderBy(F.abs(residual), event)
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).withColumn("runner_event", F.lead(event).over(order)).withColumn("runner_residual", F.lead(residual).over(order))
+    two = candidates.withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
+    ranked = two.withColumn("runner_event", F.lead(event).over(order)).withColumn("runner_residual", F.lead(residual).over(order))
     best = ranked.filter("rank = 1").withColumn("gap", F.abs("runner_residual") - F.abs(residual))
     clear = best.filter(F.col("gap").isNull() | (F.col("gap") >= tie)).select(*candidates.columns)
     decided = best.filter("gap IS NOT NULL").select(*pick, F.col(event).alias("best_event"), F.col(residual).alias("best_residual"), "runner_event", "runner_residual", F.when(F.col("gap") < tie, "dropped_ambiguous").otherwise("best_match_wins").alias("decision"))

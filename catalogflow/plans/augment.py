@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -51,19 +51,24 @@ def nearest_stations(events: DataFrame, stations: DataFrame, *, n: int, id: str
         width *= 2
 
 
-def candidates(events: DataFrame, assigned: DataFrame, stations: DataFrame, picks: DataFrame, *, least: float = 0.3, radius: float = 100.0, tolerance: float = 1.0, before: int = 5_000_000, after: int = 120_000_000, model: str = "three_layer", stretch: float = 1.0) -> DataFrame:
+def candidates(events: DataFrame, assigned: DataFrame | None, stations: DataFrame, picks: DataFrame, *, least: float = 0.3, radius: float = 100.0, tolerance: float = 1.0, before: int = 5_000_000, after: int = 120_000_000, model: str = "three_layer", stretch: float = 1.0, unless: Column | None = None) -> DataFrame:
     """Picks that fit an event's predicted arrival within ``tolerance`` seconds and are not yet its.
 
     events: idx, us, lat, lon, dep; assigned: idx, station, phase; stations: station, slat, slon; picks:
     pick_id, station, phase, kind (P or S), pus, prob. Picks of unknown stations do not fit. ``stretch``
-    multiplies travel times. Returns idx, pick_id, station, phase, residual, epi, prob.
+    multiplies travel times. ``unless``, a condition on columns of both sides, tells assigned ones without a
+    join of the pairs. Returns idx, pick_id, station, phase, residual, epi, prob.
     """
     sound = picks.filter(F.col("prob") >= least).join(stations, "station")
     pairs = jn.range_join(events, sound, at="us", time="pus", before=before, after=after)
     epi = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
     late = (F.col("pus") - F.col("us")) / 1e6 - stretch * geo.slant_seconds(F.col("epi"), F.col("dep"), F.col("kind"), model)
+    if unless is not None:
+        pairs = pairs.filter(~unless)
     fit = pairs.withColumn("epi", epi).filter(F.col("epi") <= radius).withColumn("residual", late).filter(F.abs("residual") <= tolerance)
-    return fit.join(assigned.select("idx", "station", "phase"), ["idx", "station", "phase"], "left_anti").select("idx", "pick_id", "station", "phase", "residual", "epi", "prob")
+    if assigned is not None:
+        fit = fit.join(assigned.select("idx", "station", "phase"), ["idx", "station", "phase"], "left_anti")
+    return fit.select("idx", "pick_id", "station", "phase", "residual", "epi", "prob")
 
 
 def augment(events: DataFrame, assigned: DataFrame, stations: DataFrame, picks: DataFrame, *, tie: float = 0.2, **kind) -> tuple[DataFrame, DataFrame]:

@@ -135,10 +135,12 @@ def candidates(s, d):
     p = picks(s, d)
     user = table(s, d, "events").select("user_id").distinct()
     sta = user.select(F.concat(F.lit("KG.U"), F.col("user_id").cast("string")).alias("station"), (35 + F.col("user_id") * 37 % 100 / 100.0).alias("slat"), (128 + F.col("user_id") * 53 % 100 / 100.0).alias("slon"))
-    near = jn.range_join(origins(s, d).select("idx", "us"), p.filter("phase = 'view'").select("station", "phase", F.col("us").alias("pus")), at="us", time="pus", before=60 * SEC, after=60 * SEC)
-    taken = near.select("idx", "station", "phase").distinct()
     orphans = p.filter("phase IN ('view', 'click')").select("pick_id", "station", F.when(F.col("phase") == "view", "S").otherwise("P").alias("kind"), "phase", F.col("us").alias("pus"), "prob")
-    return find(origins(s, d), taken, sta, orphans, least=0.02, radius=100.0, tolerance=60.0, before=5 * SEC, after=600 * SEC, stretch=10.0)
+    # a view's event lies up to 600 s before it and 5 s after; the station's views within 60 s of that event are its assigned ones
+    around = Window.partitionBy("station", "phase").orderBy("pus").rangeBetween(-660 * SEC, 65 * SEC)
+    orphans = orphans.withColumn("views", F.collect_list(F.when(F.col("phase") == "view", F.col("pus"))).over(around))
+    taken = F.exists("views", lambda t: F.abs(t - F.col("us")) <= 60 * SEC)
+    return find(origins(s, d), None, sta, orphans, least=0.02, radius=100.0, tolerance=60.0, before=5 * SEC, after=600 * SEC, stretch=10.0, unless=taken)
 
 
 @query("j01_orphan_picks", with_("picks origins", CANDIDATES + "SELECT idx, pick_id, round(residual, 4) AS residual, round(epi, 4) AS epi FROM fit"))

@@ -91,3 +91,11 @@ def test_clusters_of_points_that_share_places(spark, monkeypatch):
     got = {r.id: r.cluster for r in graph.density_clusters(spark.createDataFrame(rows_, "id long, x double, y double"), id="id", coords=["x", "y"], reach=0.8, least=5).collect()}
     assert got == {i: 3 if i % 4 == 3 else 0 for i in range(40)} | {100: None, 101: None}
     assert met == [5]
+
+
+def test_candidates_are_not_shuffled_to_be_told_from_assigned_picks(spark, tmp_path):
+    events = "SELECT range AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (range * 7919 % 4001) SECOND AS ts, range % 7 AS user_id, ['purchase', 'view', 'click'][range % 3 + 1] AS event_type, 100.0 AS value FROM range(600)"
+    folder = made(tmp_path, events=events)
+    for name in ("j01_orphan_picks", "w04_best_match", "w04_decisions", "w05_one_pick_a_station"):
+        assert same(spark, folder, name, "events")
+        assert "LeftAnti" not in plan(core.queries()[name](spark, folder))
