@@ -53,41 +53,70 @@ def pick(traces: DataFrame, picker: Picker, *, least: float = 0.3, station: str
     return traces.filter(f"`{data}` IS NOT NULL").select(station, start, rate, data).mapInPandas(run, PICKED)
 
 
+#: Arrivals of a task of :func:`locate`, about; their bytes are few beside the solver's work.
+ARRIVALS = 100_000
+
+#: Events that the grid locator holds the nodes of at once, times their arrivals.
+HELD = 100
+
+
 def grid_locator(*, speed: Mapping[str, float], box: tuple[tuple[float, float], ...], steps: int = 9, rounds: int = 5) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The node of a grid over ``box`` (x, y, z ranges) with the least rms of arrival residuals, straight
     rays at constant speeds; the grid closes in round the best node ``rounds`` times. The origin time is
-    the mean of arrivals less travel times."""
+    the mean of arrivals less travel times. Events of equally many arrivals are located together."""
+    edges = np.array(box, float)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        t = frame["us"].to_numpy(np.int64)
-        first = t.min()
-        arrival = (t - first) / 1e6
-        v = np.array([speed[p] for p in frame["phase"]])
-        place = frame[["sx", "sy"]].to_numpy(float)
-        ranges = [np.array(b, float) for b in box]
+    def closed(t: np.ndarray, v: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Origin in seconds, place and rms of events, all (events, arrivals)."""
+        ranges, own = np.repeat(edges[None], len(t), axis=0), np.arange(len(t))
         for _ in range(rounds):
-            axes = [np.linspace(lo, hi, steps) for lo, hi in ranges]
-            nodes = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 3)
-            travel = np.sqrt(((nodes[:, None, :2] - place[None]) ** 2).sum(axis=2) + nodes[:, None, 2] ** 2) / v
-            origin = (arrival - travel).mean(axis=1, keepdims=True)
-            rms = np.sqrt(((arrival - travel - origin) ** 2).mean(axis=1))
-            k = int(rms.argmin())
-            ranges = [np.clip([c - (hi - lo) / (steps - 1), c + (hi - lo) / (steps - 1)], b[0], b[1]) for c, (lo, hi), b in zip(nodes[k], ranges, box, strict=True)]
-        row = (frame["event_idx"].iloc[0], first + round(float(origin[k, 0]) * 1e6), *map(float, nodes[k]), float(rms[k]), len(frame))
-        return pd.DataFrame([row], columns=["event_idx", "us", "x", "y", "z", "rms", "n"]).astype({"n": "int32"})
+            lo, hi = ranges[:, :, 0], ranges[:, :, 1]
+            axes = np.linspace(lo, hi, steps, axis=-1)  # events, 3, steps
+            dx, dy = ((axes[:, k, None, :] - s[:, :, None]) ** 2 for k, s in ((0, sx), (1, sy)))  # events, arrivals, steps
+            deep = (axes[:, 2] ** 2)[:, None, None, :]
+            late = [(t[:, i, None, None, None] - np.sqrt((dx[:, i, :, None] + dy[:, i, None, :])[..., None] + deep) / v[:, i, None, None, None]).reshape(len(t), -1) for i in range(t.shape[1])]
+            origin = sum(late) / len(late)
+            rms = np.sqrt(sum((x - origin) ** 2 for x in late) / len(late))
+            k = rms.argmin(axis=1)
+            node = np.stack([axes[own, c, i] for c, i in enumerate(np.unravel_index(k, (steps,) * 3))], axis=1)
+            step = (hi - lo) / (steps - 1)
+            ranges = np.clip(np.stack([node - step, node + step], axis=2), edges[None, :, :1], edges[None, :, 1:])
+        return origin[own, k], node, rms[own, k]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        starts = np.flatnonzero(np.append(True, frame["event_idx"].to_numpy()[1:] != frame["event_idx"].to_numpy()[:-1]))
+        counts = np.diff(np.append(starts, len(frame)))
+        us, sx, sy = frame["us"].to_numpy(np.int64), frame["sx"].to_numpy(float), frame["sy"].to_numpy(float)
+        v, out = frame["phase"].map(speed).to_numpy(float), []
+        for n in np.unique(counts):
+            same = starts[counts == n]
+            for at in range(0, len(same), max(1, HELD // int(n))):
+                rows = same[at : at + max(1, HELD // int(n)), None] + np.arange(n)
+                first = us[rows].min(axis=1)
+                origin, node, rms = closed((us[rows] - first[:, None]) / 1e6, v[rows], sx[rows], sy[rows])
+                out.append(pd.DataFrame({"event_idx": frame["event_idx"].to_numpy()[rows[:, 0]], "us": first + np.rint(origin * 1e6).astype(np.int64), **dict(zip("xyz", node.T, strict=True)), "rms": rms, "n": np.full(len(rows), n, np.int32)}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
 
 def locate(arrivals: DataFrame, solver: Callable[[pd.DataFrame], pd.DataFrame], *, least: int = 4) -> DataFrame:
-    """What ``solver`` gives for each event's arrivals (event_idx, us, phase, sx, sy), from ``least`` on. One
-    event's arrivals are a task's group."""
+    """What ``solver`` gives for the events' arrivals (event_idx, us, phase, sx, sy), from ``least`` on. An event's
+    arrivals are gathered in order as one row; a solver gets those of many events one after the other, and
+    gives a row an event."""
     from pyspark.sql import functions as F
-    from pyspark.sql.window import Window
 
-    n = F.count("*").over(Window.partitionBy("event_idx"))
-    own = arrivals.select("event_idx", "us", "phase", "sx", "sy").withColumn("n", n).filter(F.col("n") >= least).drop("n")
-    return own.groupBy("event_idx").applyInPandas(solver, LOCATED)
+    parts = ["us", "phase", "sx", "sy"]
+    many = max(4 * arrivals.sparkSession.sparkContext.defaultParallelism, arrivals.count() // ARRIVALS)
+    own = arrivals.repartition(many, "event_idx").groupBy("event_idx").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("a")).filter((F.size("a") >= least) & F.col("event_idx").isNotNull()).select("event_idx", *(F.col("a")[p].alias(p) for p in parts))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                counts = frame["us"].map(len).to_numpy()
+                yield solver(pd.DataFrame({"event_idx": np.repeat(frame["event_idx"].to_numpy(), counts), **{p: np.concatenate(frame[p].to_list()) for p in parts}}))
+
+    return own.mapInPandas(run, LOCATED)
 
 
 def damped(solve: Callable[[float], tuple[float, DataFrame]], *, first: float, band: tuple[float, float], most: int = 12) -> tuple[float, float, DataFrame]:

@@ -99,3 +99,20 @@ def test_candidates_are_not_shuffled_to_be_told_from_assigned_picks(spark, tmp_p
     for name in ("j01_orphan_picks", "w04_best_match", "w04_decisions", "w05_one_pick_a_station"):
         assert same(spark, folder, name, "events")
         assert "LeftAnti" not in plan(core.queries()[name](spark, folder))
+
+
+def test_many_events_reach_the_solver_together(spark):
+    places = [(0.0, 0.0), (40.0, 0.0), (0.0, 40.0), (40.0, 40.0), (20.0, 10.0)]
+    rows_ = [(e, round(math.dist((5 + e % 30, 25, 8), (*p, 0)) / 6 * 1e6), "P", *p) for e in range(200) for p in places[: 4 + e % 2]]
+    arrivals = spark.createDataFrame(rows_, "event_idx long, us long, phase string, sx double, sy double")
+    solver, known = detect.grid_locator(speed={"P": 6.0}, box=((0, 40), (0, 40), (0, 20)), rounds=8), detect.LOCATED
+
+    def counted(frame):
+        return solver(frame).assign(n=frame["event_idx"].nunique()).astype({"n": "int32"})
+
+    got = detect.locate(arrivals, counted).collect()
+    assert len(got) == 200 and known == detect.LOCATED and max(r.n for r in got) > 1
+    together = {r.event_idx: tuple(r) for r in detect.locate(arrivals, solver).collect()}
+    for e in (0, 1, 29, 199):
+        alone = solver(pd.DataFrame([r for r in sorted(rows_) if r[0] == e], columns=arrivals.columns))
+        assert together[e] == pytest.approx(tuple(alone.iloc[0]))
