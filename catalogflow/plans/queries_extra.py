@@ -124,8 +124,8 @@ def x13(s, d):
 
 @query("x14_theil_slope", "SELECT a.l_orderkey, round(quantile_cont((b.l_extendedprice - a.l_extendedprice) / (b.l_quantity - a.l_quantity), 0.5) * 0.7071067811865476::DOUBLE, 4) AS slope FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND (a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_quantity) < (b.l_linenumber, b.l_partkey, b.l_suppkey, b.l_quantity) AND a.l_quantity <> b.l_quantity GROUP BY 1")
 def x14(s, d):
-    g = table(s, d, "lineitem").groupBy("l_orderkey").agg(udf.theil_slope("l_quantity", "l_extendedprice").alias("slope"))
-    return g.filter("slope IS NOT NULL AND NOT isnan(slope)").select("l_orderkey", F.round(F.col("slope") * 0.7071067811865476, 4).alias("slope"))
+    g = udf.theil_slopes(table(s, d, "lineitem"), keys=["l_orderkey"], x="l_quantity", y="l_extendedprice")
+    return g.select("l_orderkey", F.round(F.col("slope") * 0.7071067811865476, 4).alias("slope"))
 
 
 @query("c02_davies_bouldin", with_("catalog", ", p AS (SELECT substr(zone, 1, 1) AS z, lon * 10 + ascii(zone) AS x, lat AS y FROM catalog), c AS (SELECT z, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1), s AS (SELECT z, any_value(cx) AS cx, any_value(cy) AS cy, avg(sqrt((x - cx) ** 2 + (y - cy) ** 2)) AS s FROM p JOIN c USING (z) GROUP BY 1), w AS (SELECT a.z, max((a.s + b.s) / sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2)) AS w FROM s a JOIN s b ON a.z <> b.z GROUP BY 1) SELECT round(avg(w), 5) AS davies_bouldin FROM w"))

@@ -116,3 +116,11 @@ def test_many_events_reach_the_solver_together(spark):
     for e in (0, 1, 29, 199):
         alone = solver(pd.DataFrame([r for r in sorted(rows_) if r[0] == e], columns=arrivals.columns))
         assert together[e] == pytest.approx(tuple(alone.iloc[0]))
+
+
+def test_slopes_of_small_groups_need_no_python(spark, tmp_path):
+    lineitem = "SELECT CASE WHEN range < 300 THEN 0 ELSE 1 + range // 5 END AS l_orderkey, range AS l_linenumber, range AS l_partkey, 1 AS l_suppkey, (range * 7 % 50)::DOUBLE AS l_quantity, (range * 7919 % 10007)::DOUBLE AS l_extendedprice FROM range(2000)"
+    folder = made(tmp_path, lineitem=lineitem)
+    same(spark, folder, "x14_theil_slope", "lineitem")
+    x14 = lambda: core.queries()["x14_theil_slope"](spark, folder)
+    assert "theil_slope(" not in plan(x14()) and "size(p" in plan(x14())
