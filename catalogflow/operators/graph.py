@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .joins import grid_pairs
+from .parents import nearest_parent
+
+__all__ = ["connected", "density_clusters", "depths", "families_by_size", "nearest_parent"]
 
 
 def connected(edges: DataFrame, nodes: DataFrame, *, a: str, b: str, id: str) -> DataFrame:
@@ -48,74 +48,6 @@ def depths(forest: DataFrame, *, id: str, parent: str) -> DataFrame:
         state = after.drop("moved")
 
 
-def _least_eta(child: pd.DataFrame, older: pd.DataFrame, b: float, dimension: float, least_km: float) -> pd.DataFrame:
-    """The parent of each child among ``older`` (id, log_eta, parent, log_t, log_r, r), for those that have one."""
-    older, out = older.sort_values("id"), []
-    pid, pt, px, py, pm = (older[c].to_numpy() for c in ("id", "t", "x", "y", "m"))
-    rows = max(1, 2_000_000 // max(1, len(older)))
-    for at in range(0, len(child) if len(older) else 0, rows):
-        part = child.iloc[at : at + rows]
-        t, x, y = (part[c].to_numpy()[:, None] for c in ("t", "x", "y"))
-        dt = t - pt
-        r = np.maximum(np.sqrt((x - px) ** 2 + (y - py) ** 2), least_km)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log_t, log_r = np.log10(dt) - 0.5 * b * pm, dimension * np.log10(r) - 0.5 * b * pm
-        eta = np.where(dt > 0, log_t + log_r, np.inf)
-        k, own = eta.argmin(axis=1), np.arange(len(part))
-        some = dt[own, k] > 0
-        out.append(pd.DataFrame({"id": part["id"].to_numpy(), "log_eta": eta[own, k], "parent": pid[k], "log_t": log_t[own, k], "log_r": log_r[own, k], "r": r[own, k]})[some])
-    return pd.concat(out) if out else pd.DataFrame(columns=["id", "log_eta", "parent", "log_t", "log_r", "r"])
-
-
-def nearest_parent(events: DataFrame, *, id: str, t: str, x: str, y: str, m: str, b: float = 1.0, dimension: float = 1.6, least_km: float = 0.01) -> DataFrame:
-    """For each event the strictly earlier one with the smallest eta = dt * r^D * 10^(-b m).
-
-    Ties go to the smaller id; the first event has none. Distances under ``least_km`` count as that.
-    All earlier events are searched. Time is cut into slices of equal counts, a slice by place into
-    tiles. An event meets all of its own slice and the one before; the best of these bounds eta, and of
-    the older tiles it meets those whose least distance in time and place and largest magnitude allow as
-    small an eta. Slices go with the root of the number of events, so the work goes with its power 1.5.
-    """
-    kind = events.schema[id].dataType.simpleString()
-    own = events.select(F.col(id).alias("id"), *(F.col(c).cast("double").alias(n) for c, n in ((t, "t"), (x, "x"), (y, "y"), (m, "m")))).dropna().checkpoint()
-    fields = f"id {kind}, log_eta double, parent {kind}, log_t double, log_r double, r double"
-    size = own.agg(F.count("*").alias("n"), *(f(c).alias(k + c) for c in "xy" for k, f in (("lo_", F.min), ("hi_", F.max)))).first()
-    slices, cells = max(1, int(math.sqrt(size.n) / 6.5)), 8
-    edges = np.unique(own.approxQuantile("t", [i / slices for i in range(1, slices)], 0.2 / slices)) if slices > 1 else np.array([])
-    spans = [(size[f"lo_{c}"] or 0.0, ((size[f"hi_{c}"] or 0.0) - (size[f"lo_{c}"] or 0.0)) or 1.0) for c in "xy"]
-
-    def tiled(frames):
-        for f in frames:
-            i, j = (np.minimum(((f[c] - lo) / span * cells).to_numpy().astype(int), cells - 1) for c, (lo, span) in zip("xy", spans, strict=True))
-            k = np.searchsorted(edges, f["t"].to_numpy(), "right")
-            yield f.assign(slice=k, tile=(k * cells + i) * cells + j)
-
-    own = own.mapInPandas(tiled, f"id {kind}, t double, x double, y double, m double, slice long, tile long").checkpoint()
-    search = lambda c, p: _least_eta(c, p, b, dimension, least_km)
-    near = own.withColumn("to", F.explode(F.array(F.col("slice"), F.col("slice") - 1))).groupBy("to").cogroup(own.groupBy("slice")).applyInPandas(search, fields).checkpoint()
-    first = near.groupBy("id").agg(F.min("log_eta").alias("bound"))
-    tiles = own.groupBy("slice", "tile").agg(F.max("t").alias("t1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("m").alias("m1")).toPandas()
-    bounds = {c: tiles[c].to_numpy() for c in tiles}
-
-    def open_tiles(frames):
-        for f in frames:
-            for at in range(0, len(f), 256):
-                part = f.iloc[at : at + 256]
-                ct, cx, cy, ck, bound = (part[c].to_numpy()[:, None] for c in ("t", "x", "y", "slice", "bound"))
-                dx = np.maximum(np.maximum(bounds["x0"] - cx, cx - bounds["x1"]), 0)
-                dy = np.maximum(np.maximum(bounds["y0"] - cy, cy - bounds["y1"]), 0)
-                r = np.maximum(np.sqrt(dx * dx + dy * dy), least_km)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    least = np.log10(ct - bounds["t1"]) + dimension * np.log10(r) - b * bounds["m1"]
-                i, j = np.nonzero((bounds["slice"] < ck - 1) & (np.isnan(bound) | (least <= bound + 1e-9)))
-                yield part.iloc[i][["id", "t", "x", "y"]].assign(to=bounds["tile"][j])
-
-    asked = own.join(first, "id", "left").mapInPandas(open_tiles, f"id {kind}, t double, x double, y double, to long")
-    far = asked.groupBy("to").cogroup(own.groupBy("tile")).applyInPandas(search, fields)
-    best = near.union(far).groupBy("id").agg(F.min(F.struct("log_eta", "parent", "log_t", "log_r", "r")).alias("s"))
-    return best.select(F.col("id").alias(id), "s.parent", "s.log_eta", "s.log_t", "s.log_r", F.col("s.r").alias("r_km"))
-
-
 def families_by_size(labels: DataFrame, *, id: str, family: str = "family") -> DataFrame:
     """``rank``: 1 for the largest family, ties by label; ``n``: its size."""
     sizes = labels.groupBy(family).agg(F.count("*").alias("n"))
