@@ -90,9 +90,14 @@ def ks_completeness(histogram: DataFrame, *, keys: Sequence[str], bin: str = "m1
     return histogram.select(*keys, bin, count).groupBy(*keys).applyInPandas(run, f"{fields}, mc double")
 
 
+#: Counts from which numpy draws no hypergeometric numbers; so many events are permuted one by one.
+DRAWN = 1_000_000_000
+
+
 def permutation_null(cells: DataFrame, *, zone: str, bin: str, count: str, times: int = 199, seed: int = 0) -> DataFrame:
     """Observed mean Hellinger distance between zones over bins, and the share of label permutations that
-    reach it. The input is one row a cell of a contingency table, so it is small."""
+    reach it. The input is one row a cell of a contingency table, so it is small; the cells of a permutation are
+    drawn from their distribution (hypergeometric, zone by zone), so work does not go with the counts."""
 
     def distance(table: np.ndarray) -> float:
         p = np.sqrt(table / np.maximum(table.sum(axis=1, keepdims=True), 1))
@@ -102,11 +107,18 @@ def permutation_null(cells: DataFrame, *, zone: str, bin: str, count: str, times
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         table = frame.pivot_table(index=zone, columns=bin, values=count, fill_value=0).to_numpy(float)
         rng, seen = np.random.default_rng(seed), distance(table)
-        sizes, bins = table.sum(axis=1).astype(int), np.repeat(np.arange(table.shape[1]), table.sum(axis=0).astype(int))
+        sizes, totals = table.sum(axis=1).astype(int), table.sum(axis=0).astype(int)
         beaten = 0
         for _ in range(times):
-            parts = np.split(rng.permutation(bins), np.cumsum(sizes)[:-1])
-            beaten += distance(np.array([np.bincount(x, minlength=table.shape[1]) for x in parts], float)) >= seen
+            if totals.sum() < DRAWN:
+                left, parts = totals.copy(), []
+                for size in sizes:
+                    parts.append(rng.multivariate_hypergeometric(left, size, method="marginals"))
+                    left = left - parts[-1]
+            else:
+                mixed = np.split(rng.permutation(np.repeat(np.arange(len(totals)), totals)), np.cumsum(sizes)[:-1])
+                parts = [np.bincount(x, minlength=len(totals)) for x in mixed]
+            beaten += distance(np.array(parts, float)) >= seen
         return pd.DataFrame([[seen, (beaten + 1) / (times + 1)]], columns=["distance", "p"])
 
     return cells.select(zone, bin, count).groupBy(F.lit(0).alias("__one")).applyInPandas(run, "distance double, p double")

@@ -513,3 +513,15 @@ def test_numbers_of_a_query_without_sql(spark):
     assert len(located) == len(truth) and np.median([math.dist((r.x, r.y), truth[r.event_idx]) for r in located]) < 0.5
     e = spark.read.parquet(f"{SF}/events.parquet")
     assert run("str05_once").count() == e.count()
+
+
+def test_permutations_do_not_go_with_the_counts(spark):
+    cells = lambda k: spark.createDataFrame([(z, b, k * (n + 3 * b)) for z, n in zip("abc", (40, 41, 39), strict=True) for b in range(7)], "z string, b int, n long")
+    small, large = (rates.permutation_null(cells(k), zone="z", bin="b", count="n", times=199).first() for k in (1, 900_000))  # 926 million events
+    assert large.distance == pytest.approx(small.distance) and small.p > 0.5 and large.p == pytest.approx(1 / 200)
+    draw = np.random.default_rng(0)
+    totals, sizes = np.array([5, 3, 2]), (4, 6)
+    bins = np.array([0] * 5 + [1] * 3 + [2] * 2)
+    mixed = [np.bincount(draw.permutation(bins)[: sizes[0]], minlength=3)[0] for _ in range(4000)]
+    drawn = [draw.multivariate_hypergeometric(totals, sizes[0], method="marginals")[0] for _ in range(4000)]
+    assert np.bincount(mixed, minlength=5) / 4000 == pytest.approx(np.bincount(drawn, minlength=5) / 4000, abs=0.04)
