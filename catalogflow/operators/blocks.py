@@ -31,7 +31,10 @@ def meet(rows: DataFrame, work: Work, schema: str, *, id: str, keys: Sequence[st
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = frame["__i"].iloc[0], frame["__j"].iloc[0]
         a = frame[frame["__own"] == i][names]
-        return work(a, a, True) if i == j else work(a, frame[frame["__own"] == j][names], False)
+        if i == j:
+            return work(a, a, True)
+        b = frame[frame["__own"] == j][names]
+        return work(a, b, False) if len(a) and len(b) else pd.DataFrame()  # a block of a small group may be empty
 
     return dealt.groupBy(*keys, "__i", "__j").applyInPandas(run, schema)
 
@@ -109,6 +112,37 @@ def fitted(events: DataFrame, *, t: str, m: str, alpha_ln10: float, c: float, p:
     return mu, k, likelihood, own.select("t", rate.alias("rate"), (mu / rate).alias("background"))
 
 
+def units(*vectors: pd.Series) -> list[np.ndarray]:
+    """Matrices of the vectors at norm 1 (nan, if theirs is 0); shorter ones end in zeros."""
+    width = max(v.map(len).max() for v in vectors)
+    found = []
+    for own in vectors:
+        out = np.zeros((len(own), width))
+        for i, v in enumerate(own):
+            out[i, : len(v)] = v
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        found.append(out / np.where(norm > 0, norm, np.nan))
+    return found
+
+
+def _correlated(x: np.ndarray, y: np.ndarray, shifts: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Largest correlation over the shifts, its shift, smallest, and that at the first shift."""
+    width = x.shape[1]
+    best = lag = low = zero = None
+    for s in shifts:
+        cc = x[:, max(s, 0) : width + min(s, 0)] @ y[:, max(-s, 0) : width - max(s, 0)].T
+        if best is None:
+            best, low, zero, lag = cc.copy(), cc.copy(), cc, np.zeros(cc.shape, np.int64)
+        else:
+            lag[cc > best + 1e-12] = s
+            best, low = np.maximum(best, cc), np.minimum(low, cc)
+    return best, lag, low, zero
+
+
+def _shifts(lags: int) -> list[int]:
+    return sorted(range(-lags, lags + 1), key=lambda s: (abs(s), s))
+
+
 def similar(traces: DataFrame, *, id: str, data: str, keys: Sequence[str] = (), lags: int = 0, least: float | None = None, most: float | None = None, top: int | None = None) -> DataFrame:
     """a, b (a < b), cc (the largest normalised correlation over shifts of up to ``lags``), lag (its shift of
     a against b, the smallest in size and then value if several), cc0 (at shift 0) and cc_neg (the
@@ -117,30 +151,15 @@ def similar(traces: DataFrame, *, id: str, data: str, keys: Sequence[str] = (),
     Pairs leave a task if cc reaches ``least``, if cc0 is at most ``most``, or as the ``top`` smallest cc0 of
     the task; without any of them, all do. Traces of norm 0 meet none; shorter ones end in zeros.
     """
-    shifts = sorted(range(-lags, lags + 1), key=lambda s: (abs(s), s))
+    shifts = _shifts(lags)
     kind = traces.schema[id].dataType.simpleString()
 
-    def matrix(frame: pd.DataFrame, width: int) -> np.ndarray:
-        out = np.zeros((len(frame), width))
-        for i, v in enumerate(frame["v"]):
-            out[i, : len(v)] = v
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm > 0, norm, np.nan)
-
     def work(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        width = max(a["v"].map(len).max(), b["v"].map(len).max())
-        x, y = matrix(a, width), matrix(b, width)
+        x, y = units(a["v"], b["v"])
         out = []
         for at in range(0, len(x), 500):
             part = x[at : at + 500]
-            best = lag = low = zero = None
-            for s in shifts:
-                cc = part[:, max(s, 0) : width + min(s, 0)] @ y[:, max(-s, 0) : width - max(s, 0)].T
-                if best is None:
-                    best, low, zero, lag = cc.copy(), cc.copy(), cc, np.zeros(cc.shape, np.int64)
-                else:
-                    lag[cc > best + 1e-12] = s
-                    best, low = np.maximum(best, cc), np.minimum(low, cc)
+            best, lag, low, zero = _correlated(part, y, shifts)
             keep = ~np.isnan(zero)
             if same:
                 keep &= np.arange(at, at + len(part))[:, None] < np.arange(len(y))[None, :]
@@ -164,6 +183,61 @@ def similar(traces: DataFrame, *, id: str, data: str, keys: Sequence[str] = (),
     return meet(own, work, f"a {kind}, b {kind}, cc double, lag long, cc0 double, cc_neg double", id="id", keys=keys)
 
 
+def reversed_in_all(traces: DataFrame, *, id: str, data: Sequence[str], keys: Sequence[str] = (), lags: int = 0, most: float, below: float) -> DataFrame:
+    """a, b (a < b), worst (the largest correlation at shift 0 of the columns ``data``) and cc_pos (the largest at
+    any shift of up to ``lags``) of pairs of equal ``keys`` with worst at most ``most`` and cc_pos under ``below``.
+
+    All columns of a pair meet in one task, so no pair leaves it that one column alone would keep. A null or a
+    norm of 0 in any column meets none.
+    """
+    shifts, names = _shifts(lags), [f"v{k}" for k in range(len(data))]
+    kind = traces.schema[id].dataType.simpleString()
+
+    def work(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        parts = [units(a[v], b[v]) for v in names]
+        first, second, out = a["id"].to_numpy(), b["id"].to_numpy(), []
+        for at in range(0, len(a), 500):
+            worst, best = None, None
+            for x, y in parts:
+                cc, _, _, zero = _correlated(x[at : at + 500], y, shifts)
+                worst, best = (zero, cc) if worst is None else (np.maximum(worst, zero), np.maximum(best, cc))
+            keep = (worst <= most) & (best < below)  # nan is neither
+            if same:
+                keep &= np.arange(at, at + len(worst))[:, None] < np.arange(len(second))[None, :]
+            i, j = np.nonzero(keep)
+            out.append(pd.DataFrame({"a": np.minimum(first[at + i], second[j]), "b": np.maximum(first[at + i], second[j]), "worst": worst[i, j], "cc_pos": best[i, j]}))
+        return pd.concat(out)
+
+    there = " AND ".join(f"`{c}` IS NOT NULL" for c in data)
+    own = traces.filter(there).select(F.col(id).alias("id"), *keys, *(F.col(c).cast("array<double>").alias(v) for c, v in zip(data, names, strict=True)))
+    return meet(own, work, f"a {kind}, b {kind}, worst double, cc_pos double", id="id", keys=keys)
+
+
+def links(traces: DataFrame, *, id: str, data: str, keys: Sequence[str] = (), least: float) -> DataFrame:
+    """a, b: of the pairs of equal ``keys`` whose correlation reaches ``least`` those of a spanning forest of each
+    pair of blocks, so they have the components of all such pairs; a task gives fewer than it has rows."""
+    kind = traces.schema[id].dataType.simpleString()
+
+    def work(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        x, y = units(a["v"], b["v"])
+        first, second = a["id"].to_numpy(), b["id"].to_numpy()
+        label = np.arange(len(second) + (0 if same else len(first)))  # the second rows, then the first
+        own, out = (0 if same else len(second)), []
+        for at in range(0, len(x), 500):
+            near = x[at : at + 500] @ y.T >= least
+            for i, row in enumerate(near, at):
+                met = np.flatnonzero(row & (label[: len(second)] != label[own + i]))
+                if len(met):
+                    told, one = np.unique(label[met], return_index=True)
+                    out += [(first[i], second[j]) for j in met[one]]
+                    label[np.isin(label, told)] = label[own + i]
+        found = np.array(out, dtype=first.dtype).reshape(-1, 2)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    own = traces.filter(F.col(data).isNotNull()).select(F.col(id).alias("id"), *keys, F.col(data).cast("array<double>").alias("v"))
+    return meet(own, work, f"a {kind}, b {kind}", id="id", keys=keys)
+
+
 def mean_within(traces: DataFrame, *, data: str, keys: Sequence[str]) -> DataFrame:
     """keys, n and mean_cc: the mean correlation at shift 0 over all pairs of a group's traces, from the sum
     of their unit vectors alone: (|sum|^2 - n) / (n * (n - 1)). Traces of norm 0 count in n, with 0."""

@@ -502,10 +502,8 @@ def c12(s, d):
 @query("c13_anti_pairs", f"WITH v AS (SELECT vec_id, label, part, (embedding::DOUBLE[])[1 + part * 21:21 + part * 21] AS v, 21 AS w FROM embeddings, range(3) t(part)), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM v), c AS (SELECT a.vec_id AS a, b.vec_id AS b, a.part, [{', '.join(x for _, x in shifted(2))}] AS c FROM u a JOIN u b ON a.label = b.label AND a.part = b.part AND a.vec_id < b.vec_id) SELECT a, b, round(max(c[1]), 5) AS worst, round(max(list_max(c)), 5) AS cc_pos FROM c GROUP BY a, b HAVING count(*) = 3 AND max(c[1]) <= -0.05 AND max(list_max(c)) < 0.5")
 def c13(s, d):
     """Three parts of a vector stand for its components: all must be reversed, none alike at any shift."""
-    parts = table(s, d, "embeddings").select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("part"), "embedding")
-    parts = parts.withColumn("embedding", F.slice("embedding", 1 + F.col("part") * 21, F.lit(21)))
-    p = blocks.similar(parts.withColumn("id", F.col("vec_id")), id="id", data="embedding", keys=["label", "part"], lags=2, most=-0.05)
-    found = p.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("cc0").alias("worst"), F.max("cc").alias("cc_pos")).filter("n = 3 AND cc_pos < 0.5")
+    parts = table(s, d, "embeddings").select("vec_id", "label", *(F.slice("embedding", 1 + k * 21, 21).alias(f"part{k}") for k in range(3)))
+    found = blocks.reversed_in_all(parts, id="vec_id", data=["part0", "part1", "part2"], keys=["label"], lags=2, most=-0.05, below=0.5)
     return found.select("a", "b", F.round("worst", 5).alias("worst"), F.round("cc_pos", 5).alias("cc_pos"))
 
 

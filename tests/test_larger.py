@@ -3,9 +3,10 @@
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
-from catalogflow.operators import detect, graph, joins
+from catalogflow.operators import blocks, detect, families, graph, joins
 from catalogflow.plans import queries as core
 from pyspark.sql import functions as F
 
@@ -124,3 +125,29 @@ def test_slopes_of_small_groups_need_no_python(spark, tmp_path):
     same(spark, folder, "x14_theil_slope", "lineitem")
     x14 = lambda: core.queries()["x14_theil_slope"](spark, folder)
     assert "theil_slope(" not in plan(x14()) and "size(p" in plan(x14())
+
+
+def vectors(spark, n, width=63):
+    draw = np.random.default_rng(5)
+    x = np.round(draw.normal(size=(n, width)), 3)
+    x[7], x[8], x[11] = x[3], 0.0, -x[5]
+    return x, [(i, i % 3, [float(v) for v in row]) for i, row in enumerate(x)]
+
+
+def small_blocks(monkeypatch, size=15):
+    original = blocks.meet
+    monkeypatch.setattr(blocks, "meet", lambda *a, **k: original(*a, **{**k, "size": size}))
+
+
+def test_reversed_pairs_leave_a_task_when_all_parts_are_reversed(spark, tmp_path, monkeypatch):
+    small_blocks(monkeypatch)
+    _, rows_ = vectors(spark, 150)
+    spark.createDataFrame([r for r in rows_ if r[0] != 8], "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = con.execute(core.oracle_sql()["c13_anti_pairs"])
+    names = [c[0] for c in found.description]
+    frame = core.queries()["c13_anti_pairs"](spark, str(tmp_path))
+    assert "Aggregate [a" not in plan(frame)
+    got = frame.collect()
+    assert got and rows(frame.columns, got) == rows(names, found.fetchall())
