@@ -151,3 +151,19 @@ def test_reversed_pairs_leave_a_task_when_all_parts_are_reversed(spark, tmp_path
     assert "Aggregate [a" not in plan(frame)
     got = frame.collect()
     assert got and rows(frame.columns, got) == rows(names, found.fetchall())
+
+
+def test_linkage_of_vectors_makes_no_row_a_pair(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    _, rows_ = vectors(spark, 120, 12)
+    frame = spark.createDataFrame(rows_, "id long, g int, v array<double>")
+    pairs = blocks.similar(frame, id="id", data="v", keys=["g"], least=0.1).withColumn("cc", F.col("cc0")).checkpoint()
+    links = blocks.links(frame, id="id", data="v", keys=["g"], least=0.5)
+    told = lambda edges: sorted(map(tuple, graph.connected(edges, frame, a="a", b="b", id="id").collect()))
+    assert told(links) == told(pairs.filter("cc >= 0.5")) and links.count() < pairs.filter("cc >= 0.5").count()
+    monkeypatch.setattr(families, "FLOATS", 100)
+    of = pairs.join(frame.select(F.col("id").alias("a"), "g"), "a")
+    for least in (0.3, 0.45, 0.7):
+        want = {r.id: r.cluster for r in families.average_linkage(of, keys=["g"], least=least).collect()}
+        got = {r.id: r.cluster for r in families.average_linkage_of(frame, id="id", data="v", keys=["g"], least=least, floor=0.1).collect()}
+        assert {i: got[i] for i in want} == want and got[8] == 8 and len(got) == 120
