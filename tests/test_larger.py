@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from catalogflow.operators import blocks, detect, families, graph, joins
+from catalogflow.operators import blocks, detect, families, graph, joins, overlap
 from catalogflow.plans import queries as core
 from pyspark.sql import functions as F
 
@@ -167,3 +167,13 @@ def test_linkage_of_vectors_makes_no_row_a_pair(spark, monkeypatch):
         want = {r.id: r.cluster for r in families.average_linkage(of, keys=["g"], least=least).collect()}
         got = {r.id: r.cluster for r in families.average_linkage_of(frame, id="id", data="v", keys=["g"], least=least, floor=0.1).collect()}
         assert {i: got[i] for i in want} == want and got[8] == 8 and len(got) == 120
+
+
+def test_near_duplicates_move_no_sets_and_no_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(overlap, "OWN", 20)
+    events = "SELECT {} AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (range * 7919 % 9001) SECOND AS ts, CASE WHEN range % 50 = 0 THEN NULL ELSE range % 23 END AS user_id, ['purchase', 'view', 'click', 'view'][range % 4 + 1] AS event_type, 9.0 AS value FROM range(900)"
+    for part, id_ in (("plain", "range"), ("twice", "CASE WHEN range % 100 = 8 THEN 4 ELSE range END")):
+        (tmp_path / part).mkdir()
+        folder = made(tmp_path / part, events=events.format(id_))
+        assert len(same(spark, folder, "j20_near_duplicates", "events")) > 5000
+        assert ("collect_set" in plan(core.queries()["j20_near_duplicates"](spark, folder))) == (part == "twice")
