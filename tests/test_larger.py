@@ -177,3 +177,27 @@ def test_near_duplicates_move_no_sets_and_no_pairs(spark, tmp_path, monkeypatch)
         folder = made(tmp_path / part, events=events.format(id_))
         assert len(same(spark, folder, "j20_near_duplicates", "events")) > 5000
         assert ("collect_set" in plan(core.queries()["j20_near_duplicates"](spark, folder))) == (part == "twice")
+
+
+@pytest.mark.parametrize(("reach", "depth"), [(1.0, 0.5), (0.3, 2.0), (0.6, 0.0)])
+def test_merging_by_place_joins_cells(spark, monkeypatch, reach, depth):
+    monkeypatch.setattr(families, "PAIRS", 50)
+    draw = np.random.default_rng(7)
+    x = np.round(np.concatenate([draw.normal((0, 0, 5), (0.5, 0.2, 0.4), (250, 3)), draw.uniform((-9, -9, 0), (9, 9, 10), (150, 3)), [(i / 10, 7.0, 3.0) for i in range(30)]]), 1)
+    frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(900, None, 1.0, 1.0), (901, math.nan, 1.0, 1.0)], "f long, x double, y double, z double")
+    up = list(range(len(x)))
+    for i, p in enumerate(x):
+        for j in np.flatnonzero((np.sqrt((x[:, 0] - p[0]) ** 2 + (x[:, 1] - p[1]) ** 2) <= reach) & (np.abs(x[:, 2] - p[2]) <= depth)):
+            low, high = sorted((up[i], up[j]))
+            up = [low if u == high else u for u in up]
+    merged = families.merged_by_place(frame, family="f", x="x", y="y", z="z", reach=reach, depth=depth)
+    assert {r.f: r.merged for r in merged.collect()} == dict(enumerate(up)) | {900: 900, 901: 901}
+
+
+def test_merging_by_place_makes_no_row_a_pair(spark, monkeypatch):
+    edges = []
+    original = graph.connected
+    monkeypatch.setattr(graph, "connected", lambda e, *a, **k: edges.append(e.count()) or original(e, *a, **k))
+    frame = spark.range(3000).select(F.col("id").alias("f"), (F.col("id") % 50 * 0.01).alias("x"), (F.col("id") % 7 * 0.01).alias("y"), F.lit(1.0).alias("z"))
+    assert {r.merged for r in families.merged_by_place(frame, family="f", x="x", y="y", z="z", reach=2.0, depth=1.0).collect()} == {0}
+    assert sum(edges) == 0
