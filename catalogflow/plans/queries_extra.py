@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, udf
 from ..functions import time as tm
 from ..operators import blocks, cluster_tree, clusters, detect, excite, signal
+from ..operators import joins as jn
 from ..sources import records, seed, tables, waveforms
 from ..streaming import windows as sw
 from .queries_joins import hav
@@ -49,6 +50,7 @@ def s14(s, d):
 @query("k06_headers", with_("catalog stations", ", a AS (SELECT l_orderkey AS idx, l_suppkey AS id, min(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity / 10 END) AS p, min(CASE WHEN l_linenumber % 2 = 1 THEN l_quantity / 10 END) AS s FROM lineitem GROUP BY ALL), j AS (SELECT a.idx, 'S' || a.id AS station, c.lat, c.lon, dep, t.lat AS slat, t.lon AS slon, p, s FROM a JOIN catalog c USING (idx) JOIN stations t ON t.id = a.id) SELECT idx, station, round(" + FLAT + ", 5) AS km, round(coalesce(p, sqrt((" + FLAT + ") ** 2 + dep * dep) / (CASE WHEN dep >= 15 THEN 6.38 ELSE 5.98 END)), 5) AS p_seconds, p IS NOT NULL AS p_picked, round(coalesce(s, sqrt((" + FLAT + ") ** 2 + dep * dep) / (CASE WHEN dep >= 15 THEN 3.79 ELSE 3.4 END)), 5) AS s_seconds FROM j"))
 def k06(s, d):
     li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("idx"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("station"), F.when(F.col("l_linenumber") % 2 == 0, "P").otherwise("S").alias("phase"), (F.col("l_quantity") * 100_000).cast("long").alias("late"))
+    li = jn.spread(li, "idx")
     c = catalog(s, d).select("idx", "us", "lat", "lon", "dep")
     arrivals = li.join(c.select("idx", "us"), "idx").withColumn("pus", F.col("us") + F.col("late"))
     sta = stations(s, d).select(F.col("sta").alias("station"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))

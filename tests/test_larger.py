@@ -1,6 +1,7 @@
 """Queries on tables whose groups are larger than those of the smallest tables, against their SQL."""
 
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -201,3 +202,11 @@ def test_merging_by_place_makes_no_row_a_pair(spark, monkeypatch):
     frame = spark.range(3000).select(F.col("id").alias("f"), (F.col("id") % 50 * 0.01).alias("x"), (F.col("id") % 7 * 0.01).alias("y"), F.lit(1.0).alias("z"))
     assert {r.merged for r in families.merged_by_place(frame, family="f", x="x", y="y", z="z", reach=2.0, depth=1.0).collect()} == {0}
     assert sum(edges) == 0
+
+
+def test_headers_are_dealt_to_more_tasks_as_arrivals_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "SPREAD", 100)
+    folder = made(tmp_path, lineitem="SELECT * FROM '{}/lineitem.parquet' LIMIT 2000", orders="SELECT * FROM '{}/orders.parquet'", supplier="SELECT * FROM '{}/supplier.parquet'")
+    same(spark, folder, "k06_headers", "lineitem", "orders", "supplier")
+    optimized = core.queries()["k06_headers"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[idx#\d+L?\], 20\b", optimized)
