@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from catalogflow.operators import blocks, detect, families, graph, joins, overlap
+from catalogflow.operators import blocks, detect, families, graph, joins, overlap, robust
 from catalogflow.plans import queries as core
 from pyspark.sql import functions as F
 
@@ -210,3 +210,20 @@ def test_headers_are_dealt_to_more_tasks_as_arrivals_grow(spark, tmp_path, monke
     same(spark, folder, "k06_headers", "lineitem", "orders", "supplier")
     optimized = core.queries()["k06_headers"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"RepartitionByExpression \[idx#\d+L?\], 20\b", optimized)
+
+
+def test_polish_sends_few_readings_and_equals_plain_rounds(spark, monkeypatch):
+    """Packed events give what the rounds by joins give, for means and medians, ties and events of one reading too."""
+    draw = np.random.default_rng(5)
+    rows = [(f"e{e}", int(u), float(np.round(e % 7 + u * 0.1 + draw.normal(0, 0.3), 2))) for e in range(300) for u in draw.integers(0, 12, draw.integers(1, 7))]
+    frame = spark.createDataFrame(rows, "e string, u int, v double").repartition(3)
+    for fit, rounds in ((robust.median_polish, 8), (robust.median_polish, 1), (robust.two_way_means, 6), (robust.two_way_means, 100)):
+        found = []
+        for many in (0, 4_000_000):
+            monkeypatch.setattr(robust, "PACKED_UNITS", many)
+            level, fix = fit(frame, event="e", unit="u", value="v", rounds=rounds)
+            found.append(({r.e: r.level for r in level.collect()}, {r.u: r.correction for r in fix.collect()}))
+        assert found[1][0] == pytest.approx(found[0][0], abs=1e-9) and found[1][1] == pytest.approx(found[0][1], abs=1e-9)
+    packed, units = robust._packed(frame, "e", "u", "v")
+    assert packed.count() == len({r[0] for r in rows}) and units.count() == len({r[1] for r in rows})
+    assert robust._packed(frame.unionByName(spark.createDataFrame([(None, 1, 1.0)], frame.schema)), "e", "u", "v") is None
