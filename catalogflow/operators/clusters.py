@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .written import written
+
 
 def _features(points: DataFrame, features: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
@@ -35,8 +38,6 @@ def cost_curve(points: DataFrame, *, features: Sequence[str], ks: Sequence[int],
     """k, cost (within-cluster sum of squares of standardised features), knee (the k furthest under the line
     from the first cost to the last) and, with ``nulls`` uniform tables over the same ranges, gap (mean log
     cost of theirs less the log cost) and gap_s (its deviation)."""
-    import math
-
     own = points.select(*features).dropna()
     costs = [_best(own, features, k, seed, starts)[0].summary.trainingCost for k in ks]
     gaps: list[tuple[float | None, float | None]] = [(None, None)] * len(ks)
@@ -61,8 +62,6 @@ def cost_curve(points: DataFrame, *, features: Sequence[str], ks: Sequence[int],
 
 def mixture_bic(points: DataFrame, *, features: Sequence[str], ks: Sequence[int], seed: int = 0) -> DataFrame:
     """k, log_likelihood and bic of normal mixtures with full covariances."""
-    import math
-
     from pyspark.ml.clustering import GaussianMixture
 
     own = _features(points, features).select("__v").checkpoint()
@@ -117,16 +116,65 @@ def adjusted_rand(labels: DataFrame, *, a: str, b: str) -> DataFrame:
     return labels.sparkSession.createDataFrame([(1.0 if top == chance else (both.p - chance) / (top - chance),)], "adjusted_rand double")
 
 
-def valley(values: DataFrame, *, value: str, seed: int = 0, starts: int = 5) -> DataFrame:
-    """Two normal modes of a value (the likeliest of ``starts`` fits) and the point between their means where
-    their densities cross."""
-    import math
+#: Values that choose the start of a fit of two modes: bins of equal width, a row each.
+SUMMARY = 4_096
+#: Rounds of a start on the bins.
+START_ROUNDS = 2_000
+#: So that a mode of one value has a density.
+LEAST_VARIANCE = 1e-12
+
+
+def _fitted_modes(values: DataFrame, modes: list[tuple[float, float, float]], rounds: int, tolerance: float) -> tuple[float, list[tuple[float, float, float]]]:
+    """The log likelihood and the modes (mean, variance, weight) of values (x, n) that expectation and maximisation
+    come to from ``modes``: a round is one aggregation. The last one gains less than ``tolerance``."""
+    before = None
+    for done in range(rounds + 1):
+        logs = [F.lit(math.log(w) - 0.5 * math.log(2 * math.pi * v)) - (F.col("x") - m) * (F.col("x") - m) / (2 * v) for m, v, w in modes]
+        top = F.greatest(*logs)
+        rows = values.withColumn("top", top).withColumns({f"d{k}": F.exp(one - top) for k, one in enumerate(logs)}).withColumn("all", F.col("d0") + F.col("d1"))
+        shares = [F.col("n") * F.col(f"d{k}") / F.col("all") for k in range(2)]
+        off = [F.col("x") - m for m, _, _ in modes]  # moments round the old means, so that nothing cancels
+        got = rows.agg(F.sum(F.col("n") * (F.col("top") + F.log("all"))), *(F.sum(e) for s, o in zip(shares, off, strict=True) for e in (s, s * o, s * o * o))).first()
+        likely, sums = got[0], (got[1:4], got[4:7])
+        if done == rounds or (before is not None and abs(likely - before) < tolerance) or min(s[0] for s in sums) <= 0:
+            break
+        before, total = likely, sums[0][0] + sums[1][0]
+        modes = [(m + b / n, max(c / n - (b / n) ** 2, LEAST_VARIANCE), n / total) for (m, _, _), (n, b, c) in zip(modes, sums, strict=True)]
+    return likely, modes
+
+
+def _started_modes(x: np.ndarray, n: np.ndarray, seed: int, rounds: int, tolerance: float) -> tuple[float, list[tuple[float, float, float]]]:
+    """:func:`_fitted_modes` of a few weighted values, from the means and variances of two draws of 15 of them."""
+    drawn = x[np.random.default_rng(seed).choice(len(x), (2, 15), p=n / n.sum())]
+    m, v, w = drawn.mean(axis=1)[:, None], np.maximum(drawn.var(axis=1), LEAST_VARIANCE)[:, None], np.full((2, 1), 0.5)
+    before = -math.inf
+    for _ in range(rounds):
+        logs = np.log(w) - 0.5 * np.log(2 * np.pi * v) - (x - m) ** 2 / (2 * v)
+        both = np.logaddexp(*logs)
+        likely = float((n * both).sum())
+        shares = n * np.exp(logs - both)
+        sums = shares.sum(axis=1, keepdims=True)
+        if abs(likely - before) < tolerance or sums.min() <= 0:
+            break
+        before, w = likely, sums / n.sum()
+        m = (shares * x).sum(axis=1, keepdims=True) / sums
+        v = np.maximum((shares * (x - m) ** 2).sum(axis=1, keepdims=True) / sums, LEAST_VARIANCE)
+    return likely, list(zip(m[:, 0].tolist(), v[:, 0].tolist(), w[:, 0].tolist(), strict=True))
 
-    from pyspark.ml.clustering import GaussianMixture
 
-    own = _features(values, [value]).select("__v").checkpoint()
-    model = max((GaussianMixture(k=2, seed=seed + i, featuresCol="__v", maxIter=200, tol=1e-4).fit(own) for i in range(starts)), key=lambda m: m.summary.logLikelihood)
-    modes = sorted((float(g.mean[0]), float(g.cov.toArray()[0, 0]), w) for g, w in zip((r for r in model.gaussiansDF.collect()), model.weights, strict=True))
+def valley(values: DataFrame, *, value: str, seed: int = 0, starts: int = 5) -> DataFrame:
+    """Two normal modes of a value and the point between their means where their densities cross.
+
+    Equal values are one row with a count. The likeliest of ``starts`` fits is sought on the means of at most
+    SUMMARY bins; from there all values are fitted.
+    """
+    own = written(values.select(F.col(value).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)").groupBy("x").agg(F.count("*").cast("double").alias("n")))
+    low, high = own.agg(F.min("x"), F.max("x")).first()
+    bin_ = F.floor((F.col("x") - low) / ((high - low) or 1.0) * SUMMARY)
+    few = own.groupBy(bin_.alias("bin")).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").alias("n")).orderBy("bin").toPandas()
+    x, n = few["x"].to_numpy(), few["n"].to_numpy()
+    _, best = max((_started_modes(x, n, seed + i, START_ROUNDS, 1e-4) for i in range(starts)), key=lambda fit: fit[0])
+    modes = sorted(_fitted_modes(own, best, 200, 1e-4)[1])
     (m1, v1, w1), (m2, v2, w2) = modes
     a, b, c = 1 / v2 - 1 / v1, 2 * (m1 / v1 - m2 / v2), m2 * m2 / v2 - m1 * m1 / v1 + 2 * math.log(w1 / w2 * math.sqrt(v2 / v1))
     disc = b * b - 4 * a * c

@@ -227,3 +227,21 @@ def test_polish_sends_few_readings_and_equals_plain_rounds(spark, monkeypatch):
     packed, units = robust._packed(frame, "e", "u", "v")
     assert packed.count() == len({r[0] for r in rows}) and units.count() == len({r[1] for r in rows})
     assert robust._packed(frame.unionByName(spark.createDataFrame([(None, 1, 1.0)], frame.schema)), "e", "u", "v") is None
+
+
+def test_modes_are_fitted_to_counted_values(spark, monkeypatch):
+    """The fit of two modes takes equal values once, and is the same from fewer bins."""
+    from catalogflow.operators import clusters
+
+    draw = np.random.default_rng(3)
+    v = np.round(np.concatenate([draw.normal(1, 0.4, 3000), draw.normal(3, 0.6, 2000)]), 2)
+    frame = spark.createDataFrame([(float(x),) for x in v], "v double")
+    held = []
+    real = clusters.written
+    monkeypatch.setattr(clusters, "written", lambda f: held.append(real(f)) or held[-1])
+    one = clusters.valley(frame, value="v").first()
+    assert held[0].count() == len(set(v.tolist())) and held[0].agg(F.sum("n")).first()[0] == len(v)
+    monkeypatch.setattr(clusters, "SUMMARY", 100)
+    two = clusters.valley(frame, value="v").first()
+    assert tuple(two) == pytest.approx(tuple(one), abs=1e-3)
+    assert one.low == pytest.approx(1, abs=0.05) and one.high == pytest.approx(3, abs=0.1) and 1 < one.cut < 3
