@@ -245,3 +245,20 @@ def test_modes_are_fitted_to_counted_values(spark, monkeypatch):
     two = clusters.valley(frame, value="v").first()
     assert tuple(two) == pytest.approx(tuple(one), abs=1e-3)
     assert one.low == pytest.approx(1, abs=0.05) and one.high == pytest.approx(3, abs=0.1) and 1 < one.cut < 3
+
+
+def test_late_picks_of_one_bucket_are_few_rows(spark, monkeypatch):
+    from catalogflow.streaming import windows as sw
+
+    draw = np.random.default_rng(4)
+    frame = lambda name, n: spark.createDataFrame([(i, float(t)) for i, t in enumerate(np.round(draw.uniform(0, 3000, n)))], f"{name} long, s double").withColumn("ts", F.timestamp_seconds("s"))
+    o, p = frame("idx", 300), frame("pick_id", 900)
+    want = sorted((a.idx, b.pick_id) for a in o.collect() for b in p.collect() if -5 <= b.s - a.s <= 600)
+    for pack, pairs in ((10_000, 1_000_000), (7, 50)):
+        monkeypatch.setattr(sw, "PACK", pack)
+        monkeypatch.setattr(sw, "PAIRS", pairs)
+        got = sw.late_picks(o, p, after_s=600)
+        assert sorted((r.idx, r.pick_id) for r in got.collect()) == want
+        assert got.columns == ["idx", "origin_ts", "pick_id", "pick_ts"]
+    packed = sw._packs(p.select("pick_id", F.unix_micros("ts").alias("us"), F.floor(F.col("s") / 605).alias("b")), "pick_id")
+    assert packed.filter("size(ids) > 7").isEmpty() and packed.agg(F.sum(F.size("ids"))).first()[0] == 900
