@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from .joins import grid_pairs
 from .parents import nearest_parent
+from .written import dropped, written
 
 __all__ = ["connected", "density_clusters", "depths", "families_by_size", "nearest_parent"]
 
@@ -19,33 +20,39 @@ def connected(edges: DataFrame, nodes: DataFrame, *, a: str, b: str, id: str) ->
 
     Each round every label that has a smaller neighbour label hooks to the smallest one, chains of hooks
     are shortened, and edges within one label go. As at least half of the labels with open edges hook,
-    rounds go with the logarithm of their number. Lineage is cut at reliable checkpoints.
+    rounds go with the logarithm of their number. Tables are written between them, as a checkpoint keeps the plan's
+    estimated size, on which a driver would spend longer each round.
     """
-    labels = nodes.select(F.col(id).alias("u")).distinct().withColumn("label", F.col("u")).checkpoint()
+    labels = written(nodes.select(F.col(id).alias("u")).distinct().withColumn("label", F.col("u")))
     ends = lambda x, y: [F.least(x, y).alias("low"), F.greatest(x, y).alias("high")]
-    open_ = edges.select(*ends(F.col(a), F.col(b))).filter("low < high").distinct().checkpoint()
+    open_ = written(edges.select(*ends(F.col(a), F.col(b))).filter("low < high").distinct())
     while not open_.isEmpty():
-        hook = open_.groupBy("high").agg(F.min("low").alias("to")).checkpoint()
+        hook = written(open_.groupBy("high").agg(F.min("low").alias("to")))
         for _ in range(2):
-            far = hook.select(F.col("high").alias("__k"), F.col("to").alias("__far"))
-            hook = hook.join(far, F.col("to") == F.col("__k"), "left").select("high", F.coalesce("__far", "to").alias("to")).checkpoint()
+            far, before = hook.select(F.col("high").alias("__k"), F.col("to").alias("__far")), hook
+            hook = written(hook.join(far, F.col("to") == F.col("__k"), "left").select("high", F.coalesce("__far", "to").alias("to")))
+            dropped(before)
         low, high = hook.select(F.col("high").alias("low"), F.col("to").alias("__l")), hook.select("high", F.col("to").alias("__h"))
-        open_ = open_.join(low, "low", "left").join(high, "high", "left").select(*ends(F.coalesce("__l", "low"), F.coalesce("__h", "high"))).filter("low < high").distinct().checkpoint()
-        labels = labels.join(hook.withColumnRenamed("high", "label"), "label", "left").select("u", F.coalesce("to", "label").alias("label")).checkpoint()
+        before = [open_, labels, hook]
+        open_ = written(open_.join(low, "low", "left").join(high, "high", "left").select(*ends(F.coalesce("__l", "low"), F.coalesce("__h", "high"))).filter("low < high").distinct())
+        labels = written(labels.join(hook.withColumnRenamed("high", "label"), "label", "left").select("u", F.coalesce("to", "label").alias("label")))
+        dropped(*before)
+    dropped(open_)
     return labels.select(F.col("u").alias(id), F.col("label").alias("family"))
 
 
 def depths(forest: DataFrame, *, id: str, parent: str) -> DataFrame:
     """``root`` and ``depth`` of each node of a forest (parent null at roots), by doubling pointers."""
     state = forest.select(F.col(id).alias("id"), F.coalesce(F.col(parent), F.col(id)).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"))
+    state = written(state)
     while True:
-        state = state.checkpoint()
         over = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         after = state.join(over, "up").select("id", F.col("up2").alias("up"), (F.col("depth") + F.when(F.col("up") == F.col("id"), 0).otherwise(F.col("d2"))).alias("depth"), (F.col("up2") != F.col("up")).alias("moved"))
-        after = after.checkpoint()
+        after = written(after)
+        dropped(state)
         if after.filter("moved").isEmpty():
             return after.select(F.col("id").alias(id), F.col("up").alias("root"), "depth")
-        state = after.drop("moved")
+        state = after
 
 
 def families_by_size(labels: DataFrame, *, id: str, family: str = "family") -> DataFrame:
