@@ -297,7 +297,7 @@ def j21(s, d):
 
 @query("j22_pairs_within", with_("stations", "SELECT a.id AS id_a, b.id AS id_b, round(sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2), 6) AS apart FROM stations a JOIN stations b ON a.id < b.id AND sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) <= 0.125"))
 def j22(s, d):
-    return jn.grid_pairs(stations(s, d).select("id", "lat", "lon"), id="id", coords=["lat", "lon"], reach=0.125).select("id_a", "id_b", r6(F.col("apart"), "apart"))
+    return jn.place_pairs(stations(s, d).select("id", "lat", "lon"), id="id", coords=["lat", "lon"], reach=0.125).select("id_a", "id_b", r6(F.col("apart"), "apart"))
 
 
 @query("j24_nearest_station", with_("origins stations", f"SELECT idx, round(min({hav('o.lat', 'o.lon', 's.lat', 's.lon')}), 6) AS km FROM origins o, stations s GROUP BY 1"))
