@@ -51,21 +51,28 @@ def nearest_stations(events: DataFrame, stations: DataFrame, *, n: int, id: str
         width *= 2
 
 
-def candidates(events: DataFrame, assigned: DataFrame | None, stations: DataFrame, picks: DataFrame, *, least: float = 0.3, radius: float = 100.0, tolerance: float = 1.0, before: int = 5_000_000, after: int = 120_000_000, model: str = "three_layer", stretch: float = 1.0, unless: Column | None = None) -> DataFrame:
+def candidates(events: DataFrame, assigned: DataFrame | None, stations: DataFrame, picks: DataFrame, *, least: float = 0.3, radius: float = 100.0, tolerance: float = 1.0, before: int = 5_000_000, after: int = 120_000_000, model: str = "three_layer", stretch: float = 1.0, unless: Column | None = None, rivals: str | None = None) -> DataFrame:
     """Picks that fit an event's predicted arrival within ``tolerance`` seconds and are not yet its.
 
     events: idx, us, lat, lon, dep; assigned: idx, station, phase; stations: station, slat, slon; picks:
     pick_id, station, phase, kind (P or S), pus, prob. Picks of unknown stations do not fit. ``stretch``
     multiplies travel times. ``unless``, a condition on columns of both sides, tells assigned ones without a
-    join of the pairs. Returns idx, pick_id, station, phase, residual, epi, prob.
+    join of the pairs. ``rivals`` names an array of the other picks (pus, pick_id) of a pick's station and phase that
+    are at most two tolerances from it: of those that fit an event, the one that fits best stays (ties: the smaller
+    pick_id), and no pair is shuffled for it. Returns idx, pick_id, station, phase, residual, epi, prob.
     """
     sound = picks.filter(F.col("prob") >= least).join(stations, "station")
     pairs = jn.range_join(events, sound, at="us", time="pus", before=before, after=after)
     epi = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
-    late = (F.col("pus") - F.col("us")) / 1e6 - stretch * geo.slant_seconds(F.col("epi"), F.col("dep"), F.col("kind"), model)
+    late = lambda pus: (pus - F.col("us")) / 1e6 - F.col("__travel")
+    travel = stretch * geo.slant_seconds(F.col("epi"), F.col("dep"), F.col("kind"), model)
     if unless is not None:
         pairs = pairs.filter(~unless)
-    fit = pairs.withColumn("epi", epi).filter(F.col("epi") <= radius).withColumn("residual", late).filter(F.abs("residual") <= tolerance)
+    fit = pairs.withColumn("epi", epi).filter(F.col("epi") <= radius).withColumn("__travel", travel).withColumn("residual", late(F.col("pus"))).filter(F.abs("residual") <= tolerance)
+    if rivals is not None:
+        order = lambda pus, pick: F.struct(F.abs(late(pus)), pick, pus)
+        better = lambda r: r.pus.between(F.col("us") - before, F.col("us") + after) & (order(r.pus, r.pick_id) < order(F.col("pus"), F.col("pick_id")))
+        fit = fit.filter(~F.exists(rivals, better))
     if assigned is not None:
         fit = fit.join(assigned.select("idx", "station", "phase"), ["idx", "station", "phase"], "left_anti")
     return fit.select("idx", "pick_id", "station", "phase", "residual", "epi", "prob")

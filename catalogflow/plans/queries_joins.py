@@ -128,8 +128,9 @@ fit AS (SELECT * FROM cand WHERE abs(residual) <= 60)
 """
 
 
-def candidates(s, d):
-    """Picks that fit an event's predicted arrival and are not among its assigned ones."""
+def candidates(s, d, best=False):
+    """Picks that fit an event's predicted arrival and are not among its assigned ones; the ``best`` of an event's
+    station and phase alone, if asked."""
     from .augment import candidates as find
 
     p = picks(s, d)
@@ -140,7 +141,18 @@ def candidates(s, d):
     around = Window.partitionBy("station", "phase").orderBy("pus").rangeBetween(-660 * SEC, 65 * SEC)
     orphans = orphans.withColumn("views", F.collect_list(F.when(F.col("phase") == "view", F.col("pus"))).over(around))
     taken = F.exists("views", lambda t: F.abs(t - F.col("us")) <= 60 * SEC)
-    return find(origins(s, d), None, sta, orphans, least=0.02, radius=100.0, tolerance=60.0, before=5 * SEC, after=600 * SEC, stretch=10.0, unless=taken)
+    kind = {"least": 0.02, "radius": 100.0, "tolerance": 60.0, "before": 5 * SEC, "after": 600 * SEC, "stretch": 10.0, "unless": taken}
+    if not best:
+        return find(origins(s, d), None, sta, orphans, **kind)
+    near = Window.partitionBy("station", "phase").orderBy("pus").rangeBetween(-120 * SEC, 120 * SEC)
+    sound = orphans.filter("prob >= 0.02").dropDuplicates(["pick_id", "station", "phase", "pus"]).withColumn("rivals", F.collect_list(F.struct("pus", "pick_id")).over(near))
+    sound = sound.withColumn("rivals", F.filter("rivals", lambda r: (r.pus != F.col("pus")) | ~r.pick_id.eqNullSafe(F.col("pick_id"))))
+    o = origins(s, d).withColumn("n", F.count("*").over(Window.partitionBy("idx")))
+    once = find(o.filter("n = 1"), None, sta, sound, rivals="rivals", **kind)
+    again = o.filter("n > 1")
+    if again.isEmpty():
+        return once
+    return once.unionByName(wn.first_by(find(again, None, sta, orphans, **kind), ["idx", "station", "phase"], [F.abs("residual"), F.col("pick_id")]))
 
 
 @query("j01_orphan_picks", with_("picks origins", CANDIDATES + "SELECT idx, pick_id, round(residual, 4) AS residual, round(epi, 4) AS epi FROM fit"))
@@ -160,7 +172,7 @@ def w04b(s, d):
 
 @query("w05_one_pick_a_station", with_("picks origins", CANDIDATES + "SELECT idx, station, phase, pick_id FROM fit QUALIFY row_number() OVER (PARTITION BY idx, station, phase ORDER BY abs(residual), pick_id) = 1"))
 def w05(s, d):
-    return wn.first_by(candidates(s, d), ["idx", "station", "phase"], [F.abs("residual"), F.col("pick_id")]).select("idx", "station", "phase", "pick_id")
+    return candidates(s, d, best=True).select("idx", "station", "phase", "pick_id")
 
 
 @query("j02_not_assigned", with_("picks", "SELECT pick_id FROM picks p WHERE NOT EXISTS (SELECT 1 FROM picks q WHERE q.phase = 'signup' AND q.station = p.station AND q.ts::DATE = p.ts::DATE)"))
